@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidepool.functions.quantiles import chi2_sf, normal_two_sided
 from tidepool.operators.series import mid_ranks
@@ -82,12 +83,12 @@ def rank_sum(df: DataFrame, group: Sequence[str], value: str, label: str) -> Dat
     return found.where("n1 > 0 and n0 > 0").select(*group, "n1", "n0", "w", F.when(spread > 0, (d - 0.5 * F.signum(d)) / spread).alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_sf(a, d) for a, d in zip(x, dof, strict=True)])
 

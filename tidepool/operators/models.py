@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tidepool.functions import linmod
 from tidepool.functions.quantiles import clopper_pearson
@@ -145,7 +146,7 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
     return rows.groupBy(*group, "permutation").applyInPandas(run, schema)
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))
 def share_limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Clopper-Pearson limits, rounded to 3 digits."""
     made = [clopper_pearson(int(a), int(b)) if b else (np.nan, np.nan) for a, b in zip(k, n, strict=True)]

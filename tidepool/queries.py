@@ -6,14 +6,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
-from tidepool.operators import agg, inference, plotdata, select, series, sets, timejoin
+from tidepool.functions import dsp, features
+from tidepool.operators import agg, inference, models, plotdata, select, series, sets, spectral, statespace, timejoin
+from tidepool.plans import analyses
 from tidepool.sources import readers, writers
+from tidepool.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -757,3 +761,288 @@ def v3_spread(spark, d):
 def v2_violin(spark, d):
     v = plotdata.violin(table(spark, d, "events"), ["event_type"], "value", 0.0, 500.0, 20)
     return v.select("event_type", "bin", "center", "n", r("width", 9).alias("width"))
+
+
+# Spectra ----------------------------------------------------------------------------------------
+
+
+def recordings(spark, d):
+    """Each user's values in order of time, as one recording."""
+    e = events(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "value"))).alias("s"))
+    return e.select("user_id", F.transform("s", lambda x: x["value"]).alias("samples"))
+
+
+@query()
+def h1_h5_spectrum(spark, d):
+    return spectral.spectrum(recordings(spark, d), U, "samples", 16.0, error="chi2", fpass=(0.0, 8.0))
+
+
+@query()
+def h7_jackknife(spark, d):
+    return spectral.spectrum(recordings(spark, d), U, "samples", 16.0, error="jackknife", fpass=(0.0, 8.0))
+
+
+@query("select user_id, cast(i as integer) findex, i * 0.25e0 f from (select distinct user_id from events), (select unnest(range(0, 33)) i) where i * 0.25e0 >= 1 and i * 0.25e0 <= 4")
+def h2_frequency_grid(spark, d):
+    return spectral.frequency_grid(table(spark, d, "events").select("user_id").distinct(), 16.0, 64, 1.0, 4.0)
+
+
+@query()
+def h6_spectrogram(spark, d):
+    return spectral.spectrogram(recordings(spark, d), U, "samples", 16.0, "mt", 1.0, 0.5, (0.0, 8.0))
+
+
+@query()
+def h8_welch(spark, d):
+    return spectral.spectrogram(recordings(spark, d), U, "samples", 16.0, "welch", 2.0, 1.0, (0.0, 8.0))
+
+
+@query()
+def h8_wavelet(spark, d):
+    return spectral.spectrogram(recordings(spark, d), U, "samples", 16.0, "wavelet", step=0.5, fpass=(1.0, 7.0))
+
+
+@query()
+def h8_hilbert(spark, d):
+    return spectral.spectrogram(recordings(spark, d), U, "samples", 16.0, "hilbert", step=0.5, bands=((1, 3), (3, 6)))
+
+
+BAND_CASE = "case when f >= 1 and f <= 4 then 'delta' when f > 4 and f <= 8 then 'theta' when f > 8 and f <= 12 then 'alpha' when f > 12 and f <= 30 then 'beta' when f > 30 and f <= 70 then 'Lgamma' end"
+
+
+@query(f"select vec_id, {BAND_CASE} band, round(avg(p), 6) power from (select vec_id, cast(i as double) f, cast(embedding[i] as double) p from embeddings, (select unnest(range(1, 65)) i)) where f >= 1 group by 1, 2")
+def h9_band_means(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    s = s.select("vec_id", (F.col("i") + 1).cast("double").alias("f"), F.col("x").cast("double").alias("p"))
+    return spectral.band_means(s, ["vec_id"], features.BANDS, power="p").select("vec_id", "band", r("power").alias("power"))
+
+
+@query("select label, round(avg(x) filter (where k = 0), 6) leftaccdelta, round(avg(x) filter (where k = 1), 6) leftaccalpha from (select label, vec_id % 2 k, cast(embedding[1] as double) x from embeddings) group by label")
+def h10_feature_columns(spark, d):
+    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("k"), F.col("embedding")[0].cast("double").alias("x"))
+    m = e.groupBy("label", F.when(F.col("k") == 0, "delta").otherwise("alpha").alias("band")).agg(r(F.avg("x")).alias("power"))
+    m = m.withColumns({"side": F.lit("left"), "region": F.lit("acc")})
+    return spectral.feature_columns(m, ["label"], "side", "region", ["leftaccdelta", "leftaccalpha"])
+
+
+@query()
+def h11_band_powers(spark, d):
+    return spectral.band_powers(recordings(spark, d), U, "samples", 16.0, {"low": (1, 3), "high": (3, 8)}, 2.0)
+
+
+@query("select * from (values ('delta', 1e0, 4e0), ('theta', 4e0, 8e0), ('alpha', 8e0, 12e0), ('beta', 12e0, 30e0), ('Lgamma', 30e0, 70e0), ('Hgamma', 70e0, 100e0)) t(band, low, high)")
+def h12_bands(spark, d):
+    return spectral.band_dimension(spark, features.BANDS)
+
+
+@query()
+def h13_fir(spark, d):
+    return spectral.fir_filtered(recordings(spark, d), U, "samples", 16.0, 2.0, 6.0)
+
+
+@query()
+def h15_filtered(spark, d):
+    return spectral.filtered(recordings(spark, d), U, "samples", [dsp.butterworth(4, 4.0, 16.0, "lowpass")])
+
+
+@query()
+def h16_preprocessed(spark, d):
+    return spectral.preprocess(recordings(spark, d), U, "samples", 32.0, 1, 0.5, 6.0, 5.0)
+
+
+@query("with n as (select user_id, i, avg(value) over (partition by i) m, value from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 i from events)) select user_id, i, round(value - m, 6) \"value\" from n")
+def h16_rereferenced(spark, d):
+    n = series.numbered(events(spark, d), U, TE).select("user_id", "i", "value")
+    return spectral.rereferenced(n, [], "i", "value").select("user_id", "i", r("value").alias("value"))
+
+
+@query()
+def h18_band_stops(spark, d):
+    spec = spark.createDataFrame([(0, 2.0, 3.0, 2), (1, 4.0, 5.0, 2), (1, 6.0, 7.0, 4)], "channel int, low double, high double, order int")
+    rows = recordings(spark, d).withColumn("channel", (F.col("user_id") % 3).cast("int"))
+    return spectral.filtered_by_spec(rows, spec, U, ["channel"], "samples", 16.0)
+
+
+# Models -----------------------------------------------------------------------------------------
+
+
+def vectors(spark, d):
+    """Vectors of five subjects, with a score that depends on two of their features."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    e = table(spark, d, "embeddings").where("vec_id < 500").select((F.col("vec_id") % 5).alias("subject"), "vec_id", x.alias("x"))
+    noise = F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000
+    return e.withColumn("score", F.col("x")[0] - F.col("x")[3] + noise * 0.1).withColumn("x", F.slice("x", 1, 6))
+
+
+def classed(spark, d):
+    return agg.median_split(vectors(spark, d), ["subject"], "score", "label")
+
+
+@query()
+def m1_m8_lda(spark, d):
+    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda")
+
+
+@query()
+def m2_m9_lda_uniform(spark, d):
+    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda_uniform", folds=5, gap=1, scaling="fold")
+
+
+@query()
+def m4_lasso(spark, d):
+    scored = models.cross_validated(vectors(spark, d), ["subject"], "x", "score", "vec_id", "lasso")
+    return agg.fit_quality(scored, ["subject"], "truth", "score")
+
+
+@query()
+def m5_logistic(spark, d):
+    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "logistic", folds=5)
+
+
+@query()
+def m6_svm(spark, d):
+    return models.cross_validated(classed(spark, d).where("subject = 0"), ["subject"], "x", "label", "vec_id", "svm", folds=5)
+
+
+@query()
+def m7_ridge(spark, d):
+    return models.cross_validated(vectors(spark, d).where("subject < 2"), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
+
+
+@query()
+def m10_hold_out(spark, d):
+    rows = series.chronological_split(classed(spark, d), ["subject"], ["vec_id"])
+    return models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=5)
+
+
+@query()
+def m11_transfer(spark, d):
+    rows = classed(spark, d)
+    one, other = rows.where("subject = 0"), rows.where("subject = 1").withColumn("subject", F.lit(0).cast("long"))
+    there = models.transfer(one, other, ["subject"], "x", "label", "vec_id").withColumn("way", F.lit("there"))
+    return there.unionByName(models.transfer(other, one, ["subject"], "x", "label", "vec_id").withColumn("way", F.lit("back")))
+
+
+@query()
+def m12_grid(spark, d):
+    subsets = {"all": range(6), "left": range(3), "right": range(3, 6)}
+    g = analyses.grid(vectors(spark, d), "subject", "vec_id", "x", "score", subsets, permutations=5, folds=10)
+    return g.withColumn("result", C.result_text("auc", "p"))
+
+
+@query()
+def m14_limits(spark, d):
+    c = agg.confusion(labelled(spark, d), U, "y", "s", 0.1)
+    return c.withColumn("l", models.share_limits("tp", F.col("tp") + F.col("fn"))).select("user_id", "tp", "fn", "l.low", "l.high")
+
+
+@query("select vec_id, [round((e[1] - m1) * 2, 6), round((e[2] - m2) * -1, 6)] shap from (select vec_id, cast(embedding[1:2] as double[]) e, avg(cast(embedding[1] as double)) over (partition by label) m1, avg(cast(embedding[2] as double)) over (partition by label) m2 from embeddings)")
+def m15_shap(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("x"))
+    e = agg.with_stats(e, ["label"], a=F.avg(F.col("x")[0]), b=F.avg(F.col("x")[1]))
+    shap = models.linear_shap(F.array(F.lit(2.0), F.lit(-1.0)), F.col("x"), F.array("a", "b"))
+    return e.select("vec_id", F.transform(shap, lambda v: F.round(v, 6)).alias("shap"))
+
+
+@query()
+def m16_coefficients(spark, d):
+    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(6)])
+    return plotdata.heatmap(c, ["subject"])
+
+
+@query()
+def k1_permutations(spark, d):
+    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10, permutations=10)
+    areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
+    own = areas.where("permutation = 0").drop("permutation")
+    return inference.permutation_p(areas.where("permutation > 0"), own, ["subject"], "auc")
+
+
+@query()
+def v6_swarm(spark, d):
+    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=5, permutations=5)
+    areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
+    return plotdata.swarm(areas.where("permutation > 0"), areas.where("permutation = 0"), ["subject"], "auc")
+
+
+# State space ------------------------------------------------------------------------------------
+
+
+def state_series(spark, d):
+    """Two-dimensional series of ten groups of users, in order of time."""
+    e = events(spark, d).withColumn("subject", F.col("user_id") % 10)
+    n = series.numbered(e, ["subject"], TE)
+    return n.select("subject", "i", F.array("value", (F.col("user_id") % 7).cast("double")).alias("x"), F.floor(F.col("i") / 20).alias("recording"))
+
+
+@query(EV + ", n as (select user_id, row_number() over (partition by user_id order by t, event_id) - 1 i, value a, lead(value) over (partition by user_id order by t, event_id) b from ev) select user_id, i, [a, b] h from n where b is not null")
+def j1_hankel(spark, d):
+    n = series.numbered(events(spark, d), U, TE)
+    return statespace.hankel_columns(n, U, "i", ["value"], 2)
+
+
+@query()
+def j2_j7_fitted(spark, d):
+    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", 3, range(1, 4)).select("subject", "n", "aic")
+
+
+@query()
+def j6_j8_states(spark, d):
+    s = state_series(spark, d)
+    fitted = statespace.fitted(s, ["subject"], "i", "x", 3, range(2, 3))
+    found = statespace.states(s, fitted, ["subject"], "i", "x").join(s.select("subject", "i", "recording"), ["subject", "i"])
+    return statespace.last_state(found, ["subject", "recording"], "i")
+
+
+@query(EV + ", n as (select user_id, floor((row_number() over (partition by user_id order by t, event_id) - 1) / 5) trial from ev), b as (select user_id, min(trial) a, max(trial) z from n group by 1) select n.user_id, cast(run as bigint) run, is_warm_up, count(*) n from (select user_id, trial run, false is_warm_up from n union all select user_id, trial + 1, true from n) n join b using (user_id) where run > a and run <= z group by 1, 2, 3")
+def j9_warmed(spark, d):
+    n = series.numbered(events(spark, d), U, TE).withColumn("trial", F.floor(F.col("i") / 5))
+    return statespace.warmed_trials(n, U, "trial").groupBy("user_id", "run", "is_warm_up").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id, event_type, round(avg(value), 6) power from events group by 1, 2")
+def j10_mean_power(spark, d):
+    return statespace.mean_power(table(spark, d, "events"), ["user_id", "event_type"], "value").withColumn("power", r("power"))
+
+
+@query()
+def m19_state_decoding(spark, d):
+    s = state_series(spark, d)
+    score = s.groupBy("subject", "recording").agg(F.avg(F.col("x")[0]).alias("y"))
+    return analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", 3, range(1, 3), permutations=3)
+
+
+# Streams ----------------------------------------------------------------------------------------
+
+
+def _streamed(spark, frame: DataFrame, name: str) -> DataFrame:
+    """What a stream yields until its input ends."""
+    name = f"{name}_{uuid.uuid4().hex[:8]}"
+    frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    return files.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+@query()
+def t1_filter_stream(spark, d):
+    rows = event_stream(spark, d).withColumn("t", F.unix_micros("ts"))
+    return _streamed(spark, stateful.filter_stream(rows, "user_id", "t", "value", dsp.butterworth(2, 2.0, 16.0, "lowpass")), "filtered")
+
+
+@query()
+def t2_kalman_stream(spark, d):
+    import numpy as np
+
+    rows = event_stream(spark, d).select("user_id", F.unix_micros("ts").alias("t"), F.array("value").alias("x"))
+    a, c, k = np.array([[0.9]]), np.array([[1.0]]), np.array([[0.3]])
+    return _streamed(spark, stateful.kalman_stream(rows, "user_id", "t", "x", a, c, k), "states")
+
+
+@query()
+def t3_window_power(spark, d):
+    return _streamed(spark, stateful.window_power(event_stream(spark, d), ["event_type"], "ts", "value", "1 day", "1 day"), "power")
