@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
-from tidepool.functions import dsp, features
+from tidepool.functions import dsp, features, linmod
 from tidepool.operators import agg, inference, models, plotdata, select, series, sets, spectral, statespace, timejoin
 from tidepool.plans import analyses
+from tidepool.plans import recordings as recording_plans
 from tidepool.sources import readers, writers
 from tidepool.streaming import stateful
 
@@ -1046,3 +1047,132 @@ def t2_kalman_stream(spark, d):
 @query()
 def t3_window_power(spark, d):
     return _streamed(spark, stateful.window_power(event_stream(spark, d), ["event_type"], "ts", "value", "1 day", "1 day"), "power")
+
+
+# More of the inventory --------------------------------------------------------------------------
+
+
+@query("select r_regionkey, r_name from region")
+def a4_a6_csv(spark, d):
+    path = writers.scratch_path(spark, "csv")
+    writers.write_csv(table(spark, d, "region").withColumn("_c0", F.lit(0)).select("_c0", "r_regionkey", "r_name"), path, single=True)
+    return readers.read_csv_table(spark, path, "_c0 int, r_regionkey int, r_name string", "_c0")
+
+
+@query("select o_orderkey, o_orderstatus, o_orderpriority from orders")
+def a5_a7_parquet(spark, d):
+    path = writers.scratch_path(spark, "results")
+    writers.write_results(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), path, ["o_orderstatus"])
+    return readers.read_recordings(spark, path).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag from lineitem")
+def b7_tokens(spark, d):
+    df = table(spark, d, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", *features.matching(df.columns, "return", "flag", "l_"))
+
+
+@query(EV + " select event_id from ev where nv is not null and value is not null and event_type is not null")
+def b10_complete(spark, d):
+    return events(spark, d).dropna("any", subset=["nv", "value", "event_type"]).select("event_id")
+
+
+@query("select event_id from events where nullif(event_type, '') is not null")
+def b11_not_empty(spark, d):
+    return table(spark, d, "events").where(F.nullif("event_type", F.lit("")).isNotNull()).select("event_id")
+
+
+@query()
+def e5_durbin_levinson(spark, d):
+    a = series.autocovariance(events(spark, d), ["event_type"], "event_id", "value", 5)
+    return series.partial_autocorrelation(a, ["event_type"], 2000)
+
+
+@query("select l_orderkey, list(l_linenumber order by l_linenumber desc) sizes from lineitem group by l_orderkey")
+def s2_sorted_sizes(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber"), asc=False).alias("sizes"))
+
+
+@query()
+def h14_designs(spark, d):
+    designs = [("lowpass", 4.0), ("highpass", 1.0), ("bandstop", (3.0, 5.0))]
+    rows = [(kind, i, j, float(v)) for kind, cut in designs for i, s in enumerate(dsp.butterworth(4, cut, 16.0, kind)) for j, v in enumerate(s)]
+    return spark.createDataFrame(rows, "kind string, section int, term int, value double")
+
+
+@query()
+def h20_recordings(spark, d):
+    rows = recordings(spark, d).withColumns({"contact": F.lit("E3E1"), "start_us": F.lit(0).cast("long"), "fs": F.lit(16.0), "subject": F.col("user_id") % 3})
+    gone = spark.createDataFrame([(1, 2), (2, 5)], "subject long, ordinal long")
+    loaded = recording_plans.load_recordings(rows, U, "samples", "contact", "start_us", "fs", 64, gone, ["subject"])
+    return recording_plans.quiet_recordings(loaded, ["subject"], "samples").select("user_id", "subject", "contact_1", "contact_2", "end_us", "sd")
+
+
+@query()
+def h21_power_features(spark, d):
+    rows = recordings(spark, d).withColumns({"channel": F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"), "pair": F.floor(F.col("user_id") / 2)})
+    return recording_plans.power_features(rows, ["pair"], "channel", "samples", 16.0, {"low": (1, 4), "high": (4, 8)}, ["a", "b"], line=5.0)
+
+
+@query()
+def h22_synced_temperature(spark, d):
+    e = events(spark, d).dropDuplicates(["user_id", "t"])
+    marks = e.where("event_type = 'view'").select("user_id", "t", "event_id")
+    return recording_plans.synced_temperature(marks, e.select("user_id", "t", "value"), "t", U, "value", 16.0, 3_600_000_000)
+
+
+@query()
+def m3_shrinkage(spark, d):
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        cov, intensity = linmod.ledoit_wolf(np.stack(rows["x"]))
+        return pd.DataFrame({"subject": rows["subject"].iloc[:1], "intensity": intensity, "trace": np.trace(cov)})
+
+    return vectors(spark, d).select("subject", "x").groupBy("subject").applyInPandas(run, "subject long, intensity double, trace double")
+
+
+@query()
+def m13_targets(spark, d):
+    rows = vectors(spark, d)
+    two = [rows.withColumns({"score": F.col("x")[i], "target": F.lit(f"f{i}")}) for i in (0, 1)]
+    labelled_rows = agg.median_split(sets.stacked(two), ["subject", "target"], "score", "label")
+    scored = models.cross_validated(labelled_rows, ["subject", "target"], "x", "label", "vec_id", "lda", folds=5)
+    return agg.auc(scored, ["subject", "target"], "truth", "score")
+
+
+@query()
+def m17_predictions(spark, d):
+    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10)
+    return scored.select("subject", "vec_id", "truth", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def m18_acute_decoding(spark, d):
+    rows = agg.median_split(vectors(spark, d), ["subject"], "score", "label", strict=True)
+    logit = models.cross_validated(rows, ["subject"], "x", "label", "vec_id", "logistic", folds=5)
+    ridge = models.cross_validated(rows.where("subject = 0"), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
+    return agg.auc(logit, ["subject"], "truth", "score").join(agg.fit_quality(ridge, ["subject"], "truth", "score").select("subject", "r2"), "subject", "left")
+
+
+@query()
+def k2_k3_null_table(spark, d):
+    rows = series.chronological_split(classed(spark, d), ["subject"], ["vec_id"])
+    scored = models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=10)
+    areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
+    return inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), ["subject"], "auc", strict=False)
+
+
+@query()
+def k11_compared_bouts(spark, d):
+    e = series.numbered(events(spark, d), U, TE).withColumns({"trial": F.floor(F.col("i") / 12), "subject": F.col("user_id") % 20})
+    e = e.withColumn("trial", F.col("user_id") * 1000 + F.col("trial")).withColumn("y", (F.col("trial") % 2).cast("int"))
+    return recording_plans.compared_bouts(e, "subject", "trial", TE, "value", "y", 30.0)
+
+
+@query()
+def v7_heatmap(spark, d):
+    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(6)], "lasso")
+    return sets.pivoted(plotdata.heatmap(c, ["subject"]), ["subject"], "name", [f"f{i}" for i in range(6)], F.first("scaled"))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that ``spark.checkpoint.dir`` names for all executors; where it is unset, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; ``single``: one file, for results of a few rows."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
