@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import connected_components
@@ -18,8 +19,8 @@ from tidepool.llm.store import bind, written
 PERMUTATIONS = 60
 ROWS = 5
 PERCENT = 80
-#: Anchors of a bucket in one round; in the last round all documents of what is still open are anchors.
-ANCHORS = (1, 8, 64, None)
+#: Classes of a bucket that are compared with so many others in one task.
+BLOCK = 256
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -123,6 +124,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", shared).select("a", "b", (F.col("i") * 100 >= joined * percent).alias("linked"))
 
 
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with theirs."""
+    state = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = state.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("bucket")
+    return written(state.join(several, "bucket"), "open")
+
+
+def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a block of rows with ``is_query`` to a block of others, of another component, whose first shared band is this."""
+    rows = rows.sort_values("id")
+    asked, others = rows[rows["is_query"]], rows[~rows["is_query"]]
+    if not len(asked) or not len(others):
+        return pd.DataFrame({"a": [], "b": []})
+    sizes = others["n"].to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    known, place = np.unique(np.concatenate(others["shingles"].to_numpy()), return_inverse=True)
+    bands, ids, components = np.stack(others["bands"].to_numpy()), others["id"].to_numpy(), others["component"].to_numpy()
+    found: list[tuple[int, int]] = []
+    for q in asked.itertuples(index=False):
+        same = bands == q.bands
+        first = same.any(1) & (bands[np.arange(len(bands)), same.argmax(1)] == q.bucket)
+        near = first & (components != q.component) & (np.minimum(sizes, q.n) * 100 >= np.maximum(sizes, q.n) * percent)
+        if near.any():
+            at = np.searchsorted(known, q.shingles)
+            inside = np.append(known, 0)[at] == q.shingles
+            inside &= at < len(known)
+            has = np.zeros(len(known), np.int64)
+            has[at[inside]] = 1
+            shared = np.add.reduceat(has[place], starts)
+            linked = near & (shared * 100 >= (sizes + q.n - shared) * percent)
+            found += [(max(q.id, i), min(q.id, i)) for i in ids[linked].tolist()]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _rest(still: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between components of open buckets.
+
+    Classes outside a bucket's largest component are compared with all of the bucket, block by block: a task has one block of
+    either, however large the bucket is. A pair is compared in the first band that it shares, and no table of pairs is made.
+    """
+    counts = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    parts = main.select("bucket", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("query_blocks"))
+    rows = still.join(parts, "bucket").join(classes.select("id", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    names = ["bucket", "id", "component", "n", "bands", "shingles"]
+
+    def dealt(rows: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_blocks)))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1)))
+
+    asked = dealt(rows.where("component <> main"), "q", "query_blocks", "m", "blocks").select(*names, "q", "m", F.lit(True).alias("is_query"))
+    others = dealt(rows, "m", "blocks", "q", "query_blocks").select(*names, "q", "m", F.lit(False).alias("is_query"))
+    return asked.unionByName(others).groupBy("bucket", "q", "m").applyInPandas(lambda x: _compare(x, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``; other columns are ignored).
 
@@ -130,48 +186,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, perm
     ``component_id`` is the smallest ``doc_id`` reached, ``kept`` marks it. A document without words is linked with
     nothing, nor is one without id (its ``component_id`` is null, it is kept). Repeated rows get the same values.
 
-    Documents of equal word sequences are one class. Classes that share a band are a bucket. In each round a bucket
-    has anchors, its smallest ids in 1, 8, then 64 random parts; its other classes are paired with them unless their
-    component is the same or the pair was tested. Sets confirm the pairs, links join components, and most buckets close after
-    the first round. In the last round every class of a bucket that is still open is an anchor, so no
-    link between two of a bucket's components is lost; pairs within a component are never made.
+    Documents of equal word sequences are one class. Classes that share a band are a bucket. First, each class is paired with the
+    smallest id of all of its buckets, then with the smallest of each bucket where their components still
+    differ. Sets confirm the pairs, links join components, and most buckets then hold one component. In the
+    others, what is outside the largest component is compared with the whole bucket in blocks, so no link between components is lost.
     """
     marks = written(signatures(docs, size, permutations, rows), "signatures")
     usable = marks.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n")).alias("b")).where("k > 1").drop("k")
     members = written(banded.join(shared, "bucket"), "buckets")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = links = tested = joined = None
-    state = members.withColumn("component", F.col("id"))
-    for anchors in ANCHORS:
-        part = F.lit(0) if anchors == 1 else F.pmod(F.xxhash64("id", "bucket"), F.lit(anchors)) if anchors else F.col("id")
-        chosen = state.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("id", "component", "n")).alias("b"))
-        pairs = state.join(chosen, "bucket").where(F.col("component") != F.col("b.component"))
-        near = F.least("n", "b.n") * 100 >= F.greatest("n", "b.n") * percent
-        pairs = pairs.where(near).select(F.greatest("id", "b.id").alias("a"), F.least("id", "b.id").alias("b"))
-        if tested is None:  # at first, the smallest anchor of all of a class's buckets is enough
-            pairs = written(pairs.groupBy("a").agg(F.min("b").alias("b")), "pairs")
-        else:
-            pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        if sets is None:
-            sets = written(shingle_sets(texts, size), "sets")
-        judged = written(_confirmed(pairs, sets, percent), "judged")
-        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
+    sets = written(shingle_sets(texts, size), "sets")
+    near = F.least("n", "b.n") * 100 >= F.greatest("n", "b.n") * percent
+    with_first = members.where(near & (F.col("id") != F.col("b.id"))).select(F.col("id").alias("a"), F.col("b.id").alias("b"))
+
+    first = written(_confirmed(with_first.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "judged")
+    links = first.where("linked").select("a", "b")
+    joined = connected_components(links, "a", "b")
+    still = _open(members, joined)
+    if not still.isEmpty():
+        anchor = joined.select(F.col("node").alias("b_id"), F.col("component").alias("b_component"))
+        apart = still.withColumn("b_id", F.col("b.id")).join(anchor, "b_id", "left").where(near & (F.col("component") != F.coalesce("b_component", "b_id")))
+        pairs = apart.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+        second = written(_confirmed(pairs, sets, percent), "judged")
+        links = links.unionByName(second.where("linked").select("a", "b"))
+        joined = connected_components(links, "a", "b")
+        still = _open(members, joined)
+    if not still.isEmpty():
+        links = links.unionByName(written(_rest(still, classes, sets, percent), "links"))
         joined = connected_components(links, "a", "b")
-        state = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = state.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("bucket")
-        state = written(state.join(several, "bucket"), "open")
-        if state.isEmpty():
-            break
     of_class = classes.select("key_a", "key_b", F.col("id").alias("node"))
-    of_class = of_class.withColumn("component", F.col("node")) if joined is None else of_class.join(joined, "node", "left")
+    of_class = of_class.join(joined, "node", "left")
     of_class = of_class.select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
     out = marks.join(of_class, ["key_a", "key_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
