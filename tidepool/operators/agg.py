@@ -155,17 +155,15 @@ def cohen_d(df: DataFrame, group: Sequence[str], value: str, label: str) -> Data
 
 
 def chi_square(df: DataFrame, group: Sequence[str], row: str, column: str) -> DataFrame:
-    """``chi2`` and ``dof`` of a contingency table."""
-    cells = df.groupBy(*group, row, column).agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy(*group, row).agg(F.sum("o").alias("r"))
-    columns = cells.groupBy(*group, column).agg(F.sum("o").alias("c"))
-    total = cells.groupBy(*group).agg(F.sum("o").alias("t"))
+    """``chi2`` and ``dof`` of a contingency table: n x (the sum of o^2 / (row sum x column sum) - 1), so empty cells aren't listed."""
     keys = list(group)
-    full = rows.join(columns, keys) if keys else rows.join(F.broadcast(columns))
-    full = (full.join(total, keys) if keys else full.join(F.broadcast(total))).join(cells, [*keys, row, column], "left")
-    e = F.col("r") * F.col("c") / F.col("t")
-    d = F.coalesce("o", F.lit(0)) - e
-    return full.groupBy(*group).agg(F.sum(d * d / e).alias("chi2"), ((F.countDistinct(row) - 1) * (F.countDistinct(column) - 1)).alias("dof"))
+    cells = df.groupBy(*keys, row, column).agg(F.count(F.lit(1)).alias("o"))
+    rows = cells.groupBy(*keys, row).agg(F.sum("o").alias("r"))
+    columns = cells.groupBy(*keys, column).agg(F.sum("o").alias("c"))
+    full = cells.join(rows, [*keys, row]).join(columns, [*keys, column])
+    n = F.sum("o")
+    chi2 = n * (F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - 1)
+    return full.groupBy(*keys).agg(chi2.alias("chi2"), ((F.countDistinct(row) - 1) * (F.countDistinct(column) - 1)).alias("dof"))
 
 
 def within_iqr(df: DataFrame, group: Sequence[str], value: str, times: float = 10.0, approx: bool = False) -> DataFrame:
