@@ -53,7 +53,7 @@ def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
     k, e = np.zeros((len(a), len(c))), r
     for _ in range(steps):
         e = c @ p @ c.T + r
-        k_new = np.linalg.solve(e.T, (a @ p @ c.T + s).T).T
+        k_new = (a @ p @ c.T + s) @ np.linalg.pinv(e)
         p = a @ p @ a.T + q - k_new @ e @ k_new.T
         p = (p + p.T) / 2
         if np.abs(k_new - k).max() < 1e-10:
