@@ -135,7 +135,8 @@ def training_order(
     placed = cut.join(base, "part").withColumn("slot", slot).drop("base")
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
     ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
-    path = path or new_path(spark, "shards")
+    files = cut.inputFiles()  # their names have the store's scheme, which tasks need
+    path = path or (f"{files[0].rsplit('/', 2)[0]}/shards-{uuid.uuid4().hex}" if files else new_path(spark, "shards"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
