@@ -49,6 +49,13 @@ def test_exclusion_keeps_unknown(spark):
     assert [r.x for r in select.excluding(rows, F.col("x") == 0).collect()] == [1.0, None]
 
 
+def test_smooth_histogram_is_a_density(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(0, float(v)) for v in rng.normal(50, 10, 2000)], "g int, x double")
+    got = agg.smooth_histogram(df, ["g"], "x", 0.0, 100.0).orderBy("x").collect()
+    assert sum(r.density for r in got) == pytest.approx(1, abs=0.02) and abs(max(got, key=lambda r: r.density).x - 50) < 4
+
+
 def _pchip(x, y, at):
     h, d = np.diff(x), np.diff(y) / np.diff(x)
     m = np.zeros(len(x))

@@ -356,9 +356,7 @@ def d13_auto_bins(spark, d):
 
 @query()
 def d14_smooth_histogram(spark, d):
-    e = table(spark, d, "events")
-    width = e.groupBy("event_type").agg(F.lit(10.0).alias("w")).select("event_type")
-    return agg.kernel_density(e.join(width, "event_type"), ["event_type"], "value", range(0, 500, 20), 10.0)
+    return agg.smooth_histogram(table(spark, d, "events"), ["event_type"], "value", 0.0, 500.0)
 
 
 @query("select event_type, x, round(avg(exp(-power((x - value) / 20e0, 2) / 2)) / (20e0 * 2.5066282746310002e0), 9) density from events, (select unnest([0e0, 50e0, 100e0, 200e0]) x) group by event_type, x")
