@@ -9,7 +9,7 @@ from tidepool.llm.store import bind, text_key, written
 
 #: What separates words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5  # of the words
@@ -22,7 +22,11 @@ MIN_LEFT = 0.5
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than space, tab, line feed, vertical tab, form feed and return."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def has_word(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def _repeated(w: Column) -> Column:
@@ -52,12 +56,14 @@ def _repeated(w: Column) -> Column:
 
 
 def statistics(text: Column) -> list[Column]:
-    """``_words`` (``n_words, n_repeat_words``), ``word_chars, n_symbols, n_dup_lines`` of a text."""
-    stats = bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    """``_words`` (``n_words, word_chars, n_repeat_words``), ``n_symbols, n_dup_lines`` of a text."""
+    stats = bind(
+        words(text),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).alias("n_repeat_words")),
+    )
+    symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
     return [
         stats.alias("_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         bind(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ]
@@ -65,7 +71,8 @@ def statistics(text: Column) -> list[Column]:
 
 def normalised(line: Column) -> Column:
     """A line for comparison: lower case, its words parted by single spaces, digits as 0."""
-    return F.translate(F.lower(F.array_join(words(line), " ")), "123456789", "0" * 9)
+    single = F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    return F.regexp_replace(F.lower(single), "[1-9]", "0")
 
 
 def line_hash(line: Column) -> Column:
@@ -74,7 +81,7 @@ def line_hash(line: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(text, "\n"), has_word)
 
 
 def _host(host: str) -> Column:
@@ -103,15 +110,15 @@ def _judged(docs: DataFrame, host: str, max_docs: int, max_share: float, min_lef
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gone = F.filter(_lines(text), lambda x: F.array_contains("_lines", line_hash(x)))
     removed = F.aggregate(gone, F.lit(0), lambda n, x: n + F.size(words(x)))
-    own, chars, symbols, dup = statistics(text)
-    rows = rows.withColumn("_s", F.struct(own, chars, symbols, dup, F.when(F.col("_lines").isNull(), 0).otherwise(removed).cast("long").alias("removed")))
+    own, symbols, dup = statistics(text)
+    rows = rows.withColumn("_s", F.struct(own, symbols, dup, F.when(F.col("_lines").isNull(), 0).otherwise(removed).cast("long").alias("removed")))
 
     def verdict(s: Column) -> Column:
         n, repeated = s["_words"]["n_words"], s["_words"]["n_repeat_words"]
         failed = (n < MIN_WORDS) | (repeated * 100 > n * int(100 * MAX_REPEATED))
         return F.struct(
             n.alias("n_words"),
-            s["word_chars"].alias("word_chars"),
+            s["_words"]["word_chars"].alias("word_chars"),
             s["n_symbols"].alias("n_symbols"),
             s["n_dup_lines"].alias("n_dup_lines"),
             repeated.alias("n_repeat_words"),
