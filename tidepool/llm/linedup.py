@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.quality import SPACES
+from tidepool.llm.quality import has_word
 from tidepool.llm.store import written
 
 MAX_RATIO = 0.1
@@ -19,7 +19,7 @@ def _hash(line: Column) -> Column:
 
 
 def _with_word(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(text, "\n"), has_word)
 
 
 def _host(host: str) -> Column:
@@ -50,7 +50,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     found = written(boilerplate(docs, host, max_ratio, min_pages), "boilerplate")
     rows = docs.withColumn("_host", _host(host)).join(found.select(F.col("host").alias("_host"), F.col("lines").alias("_gone")), "_host", "left")
-    left = F.filter(F.split("text", "\n"), lambda x: (F.translate(x, SPACES, "") == "") | ~F.array_contains("_gone", _hash(x)))
+    left = F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("_gone", _hash(x)) & has_word(x)))
     rows = rows.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
     rows = rows.withColumns(
         {
