@@ -232,4 +232,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT)
     Repeated rows of an id that stays all stay; so do rows without words or without id.
     """
     verdict = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti")
+    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
