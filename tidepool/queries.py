@@ -349,7 +349,13 @@ def d12_histogram(spark, d):
     return h.select("event_type", "bin", r("center").alias("center"), "n", r("share", 9).alias("share"))
 
 
-@query()
+@query(
+    """with s as (select user_id, list(value order by value) s, count(*) n, count(distinct value) d from events group by 1),
+q as (select *, greatest(1e0, least(n * 0.25e0 + 0.5e0, n)) a, greatest(1e0, least(n * 0.75e0 + 0.5e0, n)) b from s),
+v as (select *, s[cast(floor(a) as int)] x0, coalesce(s[cast(floor(a) as int) + 1], s[cast(floor(a) as int)]) x1, s[cast(floor(b) as int)] y0, coalesce(s[cast(floor(b) as int) + 1], s[cast(floor(b) as int)]) y1 from q),
+w as (select *, 2 * (y0 + (y1 - y0) * (b - floor(b)) - x0 - (x1 - x0) * (a - floor(a))) / power(n, 1e0 / 3) w from v)
+select user_id, n, d \"distinct\", d < n / 3 \"discrete\", cast(case when n < 20 then ceil(n / 4) when w > 0 then round((list_max(s) - list_min(s)) / w) else 1 end as bigint) bins from w"""
+)
 def d13_auto_bins(spark, d):
     return agg.auto_bins(table(spark, d, "events"), U, "value")
 
@@ -699,9 +705,10 @@ def k5_fdr_dependent(spark, d):
     return inference.fdr_threshold(p_values(spark, d), U, "p", 0.05, dependent=True)
 
 
-@query()
+@query(PV + ", a as (select *, least(1, min(p * v / i) over (partition by user_id order by i desc)) adj from k), g as (select power(10e0, -6 + 5e0 * unnest(range(0, 1000)) / 999) q), m as (select user_id, p, min(adj) adj from a group by 1, 2) select user_id, p, round(coalesce(min(q), 1), 9) q from m left join g on q >= adj * (1 - 1e-9) group by 1, 2")
 def k6_fdr_grid(spark, d):
-    return inference.fdr_grid(p_values(spark, d), U, "p")
+    g = inference.fdr_grid(p_values(spark, d), U, "p")
+    return g.groupBy("user_id", "p").agg(r(F.min("q"), 9).alias("q"))
 
 
 @query(PV + ", a as (select *, least(1, min(p * v / i) over (partition by user_id order by i desc)) adj from k) select user_id, p, round(min(adj), 9) adjusted from a group by 1, 2")
@@ -1042,9 +1049,10 @@ def t2_kalman_stream(spark, d):
     return _streamed(spark, stateful.kalman_stream(rows, "user_id", "t", "x", a, c, k), "states")
 
 
-@query()
+@query("select event_type, epoch_us(date_trunc('day', ts)) \"start\", count(value) n, round(avg(value * value), 6) power from events group by event_type, date_trunc('day', ts) having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events)")
 def t3_window_power(spark, d):
-    return _streamed(spark, stateful.window_power(event_stream(spark, d), ["event_type"], "ts", "value", "1 day", "1 day"), "power")
+    p = _streamed(spark, stateful.window_power(event_stream(spark, d), ["event_type"], "ts", "value", "1 day", "1 day"), "power")
+    return p.select("event_type", F.unix_micros("start").alias("start"), "n", r("power").alias("power"))
 
 
 # More of the inventory --------------------------------------------------------------------------
