@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 from oracle import assert_same, connection
 
-from tidepool.llm import linedup, quality, queries
+from tidepool.llm import linedup, quality, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,5 +91,14 @@ def test_empty_and_extra_columns(spark, docs):
     from pyspark.sql import functions as F
 
     assert quality.judge(docs([])).collect() == [] and linedup.drop_boilerplate(docs([])).collect() == []
-    extra = docs([(1, "a b")]).withColumns({c: F.lit(1) for c in ("host", "line", "lines", "key_a", "n", "n_lines", "total")})
-    assert quality.judge(extra).count() == 1 and linedup.drop_boilerplate(extra).first().n_lines == 1
+    names = ("host", "line", "lines", "key_a", "n", "n_lines", "total", "_host", "_lines", "_q", "_s", "_doc", "_text", "_left", "_gone", "base", "spans", "_more", "n_words")
+    extra = docs([(1, "a b " * 40)]).withColumns({c: F.lit(c) for c in names})
+    assert quality.judge(extra, max_docs=0).count() == 1
+    extra = docs([(1, "a b")]).withColumns({c: F.lit(c) for c in names})
+    row = linedup.drop_boilerplate(extra, min_pages=1, max_ratio=0.5).first()
+    assert (row.n_lines, row.n_dropped, row.text, row._left, row._gone) == (1, 1, "", "_left", "_gone")
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    assert secrets.redact(extra, ratios).first()._more == "_more" and secrets.find_secrets(extra, ratios).first()._text == "_text"
+    words = " ".join(chr(97 + i % 26) * (1 + i // 26) for i in range(60))
+    row = quality.filter_documents(docs([(1, words)]).withColumns({c: F.lit(c) for c in names})).first()
+    assert (row.text, row._q, row.n) == (words, "_q", "n")

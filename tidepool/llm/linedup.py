@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.quality import has_word
-from tidepool.llm.store import written
+from tidepool.llm.store import with_text, written
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
@@ -49,16 +49,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     found = written(boilerplate(docs, host, max_ratio, min_pages), "boilerplate")
-    rows = docs.withColumn("_host", _host(host)).join(found.select(F.col("host").alias("_host"), F.col("lines").alias("_gone")), "_host", "left")
-    left = F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("_gone", _hash(x)) & has_word(x)))
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    rows = rows.withColumns(
-        {
-            "n_lines": F.coalesce(F.size(_with_word(F.col("text"))), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size(F.split("text", "\n")) - F.size("_left"), F.lit(0)).cast("long"),
-        }
-    )
-    rows = rows.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("_left", "\n")).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*names, "n_lines", "n_dropped")
+    rows = docs.select(F.struct("*").alias("_doc"), _host(host).alias("_host")).join(found.select(F.col("host").alias("_host"), F.col("lines").alias("_gone")), "_host", "left")
+    text = F.col("_doc.text")
+    left = F.filter(F.split(text, "\n"), lambda x: ~(F.array_contains("_gone", _hash(x)) & has_word(x)))
+    rows = rows.select("_doc", F.when(F.col("_gone").isNotNull(), left).alias("_left"), F.coalesce(F.size(_with_word(text)), F.lit(0)).cast("long").alias("n_lines"))
+    rows = rows.withColumn("n_dropped", F.coalesce(F.size(F.split(text, "\n")) - F.size("_left"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_text", F.when(F.col("n_dropped") > 0, F.array_join("_left", "\n")).otherwise(text))
+    return with_text(rows, names, "n_lines", "n_dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.store import bind, text_key, written
+from tidepool.llm.store import bind, text_key, with_text, written
 
 #: What separates words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
@@ -104,10 +104,10 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DO
 
 
 def _judged(docs: DataFrame, host: str, max_docs: int, max_share: float, min_left: float) -> DataFrame:
-    """``docs`` with ``_q``: statistics and verdict, and ``_lines``: the frequent lines of the row's host or null."""
+    """``_doc``: the row, ``_q``: its statistics and verdict, ``_lines``: the frequent lines of its host, or null."""
     frequent = written(frequent_lines(docs, host, max_docs, max_share), "frequent").select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    rows = docs.withColumn("_host", _host(host)).join(frequent, "_host", "left").drop("_host")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_doc"), _host(host).alias("_host")).join(frequent, "_host", "left")
+    text = F.coalesce(F.col("_doc.text").cast("string"), F.lit(""))
     gone = F.filter(_lines(text), lambda x: F.array_contains("_lines", line_hash(x)))
     removed = F.aggregate(gone, F.lit(0), lambda n, x: n + F.size(words(x)))
     own, symbols, dup = statistics(text)
@@ -127,7 +127,7 @@ def _judged(docs: DataFrame, host: str, max_docs: int, max_share: float, min_lef
             s["removed"].alias("words_removed"),
         )
 
-    return rows.withColumn("_q", bind(F.col("_s"), verdict)).drop("_s")
+    return rows.select("_doc", "_lines", bind(F.col("_s"), verdict).alias("_q"))
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
@@ -138,15 +138,12 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     count as one host. ``kept``: not ``base_failed``, and at least ``min_left`` of the words are left when the
     host's frequent lines are gone. Texts never go through a shuffle, unless the hosts' lists are too large to be sent to all tasks.
     """
-    return _judged(docs, host, max_docs, max_share, min_left).select("doc_id", "_q.*")
+    return _judged(docs, host, max_docs, max_share, min_left).select("_doc.doc_id", "_q.*")
 
 
 def filter_documents(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """Rows of ``docs`` that ``judge`` keeps, without their frequent lines; all columns stay, ``n_chars`` follows the text."""
-    names = docs.columns
     rows = _judged(docs, host, max_docs, max_share, min_left).where("_q.kept")
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_lines", line_hash(x)))
-    rows = rows.withColumn("text", F.when(F.col("_q.words_removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(names)
+    left = F.filter(F.split("_doc.text", "\n"), lambda x: ~F.array_contains("_lines", line_hash(x)))
+    text = F.when(F.col("_q.words_removed") == 0, F.col("_doc.text")).otherwise(F.array_join(left, "\n"))
+    return with_text(rows.select("_doc", text.alias("_text")), docs.columns)

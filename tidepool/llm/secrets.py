@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.store import bind
+from tidepool.llm.store import bind, with_text
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,9 +171,9 @@ def find_secrets(docs: DataFrame, ratios: list[float], min_bits: float = MIN_BIT
     def likely(m: Column) -> Column:
         return bind(score(m, ratios), lambda s: (s >= min_bits) & (s >= min_bits_a_step * (F.length(m) - 1)))
 
-    rows = docs.select(*names, F.array_sort(base).alias("base"), _found(text, "random", len(BASE), CANDIDATE, likely).alias("_more"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.array_sort(base).alias("base"), _found(text, "random", len(BASE), CANDIDATE, likely).alias("_more"))
     new = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(*names, "base", F.array_sort(F.concat("base", new)).alias("spans"))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in names], "base", F.array_sort(F.concat("base", new)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -192,6 +192,4 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> Data
 
     whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
     new = F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
-    changed = rows.select("_doc", new.alias("_text"))
-    out = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_doc")[c].alias(c) for c in docs.columns]
-    return changed.select(*out)
+    return with_text(rows.select("_doc", new.alias("_text")), docs.columns)

@@ -42,3 +42,12 @@ def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit fingerprints of a text (null: as empty)."""
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(7919), text).alias("key_b")]
+
+
+def with_text(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns ``names`` of ``_doc`` with ``_text`` as their ``text``, and its length as ``n_chars``, if there is one; then ``more``.
+
+    A document's own columns stay in a struct till here, so that no other name can meet theirs.
+    """
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in names], *more)
