@@ -138,7 +138,8 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     count as one host. ``kept``: not ``base_failed``, and at least ``min_left`` of the words are left when the
     host's frequent lines are gone. Texts never go through a shuffle, unless the hosts' lists are too large to be sent to all tasks.
     """
-    return _judged(docs, host, max_docs, max_share, min_left).select("_doc.doc_id", "_q.*")
+    own = docs.select(*dict.fromkeys(("doc_id", "text", host)))
+    return _judged(own, host, max_docs, max_share, min_left).select("_doc.doc_id", "_q.*")
 
 
 def filter_documents(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:

@@ -42,7 +42,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    rows = linedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
