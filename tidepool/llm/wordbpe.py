@@ -4,63 +4,86 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepool.llm.store import text_key, written
+from tidepool.llm.store import text_key
 
-#: Words that every task gets as a table, at most; they are the most frequent of at most so many rows.
+#: Words that every task gets as an Arrow table, at most (20 MB); they are the most frequent of at most so many rows.
 #: All other words go through joins, so neither number changes the result.
-HOT_WORDS = 200_000
-SAMPLE_ROWS = 20_000
+HOT_WORDS = 400_000
+SAMPLE_ROWS = 40_000
 
 #: The word pattern of this kind of tokenizer, and Unicode's white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
+#: The same for ASCII, and for texts without characters that Python's own classes see otherwise: numbers that aren't
+#: decimal digits, and separators that Unicode doesn't count as white space.
+ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^a-z0-9\x20\x09-\x0D]+")
+PLAIN_WORD = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\w\s]|_)+")
+ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f]")
+
+
+@functools.cache
+def _special(path: str) -> tuple[dict[str, int], "re.Pattern | None"]:
+    """Special tokens with their ids, and what finds them."""
+    with open(path, encoding="utf-8") as file:
+        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    return added, re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
+
 
 @functools.cache
-def _tokenizer(path: str) -> tuple[Tokenizer, list[str], "regex.Pattern | None"]:
-    """The tokenizer with special tokens as ordinary text, its pieces by id, and what finds special tokens."""
+def _tokenizer(path: str) -> Tokenizer:
+    """The tokenizer with special tokens as ordinary text."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@functools.cache
+def _pieces(path: str) -> np.ndarray:
+    """The vocabulary's pieces by id: the table that ids are decoded with."""
     with open(path, encoding="utf-8") as file:
-        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
-    pieces = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    found = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
-    return tokenizer, pieces, found
+        spec = json.load(file)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    pieces = np.full(max(ids.values()) + 1, "", dtype=object)
+    pieces[list(ids.values())] = list(ids)
+    return pieces
 
 
 def split_words(path: str, text: str | None) -> list[str]:
     """Words of a whole text as the tokenizer splits it; a special token is a word of its own, marked by a leading space."""
-    found = _tokenizer(path)[2]
+    found = _special(path)[1]
     out: list[str] = []
     for i, part in enumerate(found.split(text or "") if found else [text or ""]):
         if i % 2:
             out.append(" " + part)
         elif part:
-            part = unicodedata.normalize("NFC", part)
-            out += WORD.findall(part.replace("Σ", "σ").lower())
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            out += (ASCII_WORD if part.isascii() else WORD if ODD.search(part) else PLAIN_WORD).findall(part)
     return out
 
 
 def _word_ids(path: str, words: list[str]) -> list[bytes]:
     """Each word's ids as little-endian unsigned 32-bit numbers."""
-    tokenizer = _tokenizer(path)[0]
+    tokenizer, added = _tokenizer(path), _special(path)[0]
     plain = tokenizer.encode_batch_fast([w for w in words if w[0] != " "], add_special_tokens=False)
     ids = iter([e.ids for e in plain])
-    return [np.array([tokenizer.token_to_id(w[1:])] if w[0] == " " else next(ids), "<u4").tobytes() for w in words]
+    return [np.array([added[w[1:]]] if w[0] == " " else next(ids), "<u4").tobytes() for w in words]
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -88,6 +111,39 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class WordTable:
+    """Ids of frequent words, as Arrow and NumPy arrays: a few bytes a word in each Python worker."""
+
+    def __init__(self, words: pa.Array, ids: list[bytes]) -> None:
+        self.words = words
+        self.size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.ids = np.frombuffer(b"".join(ids), "<u4")
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Places of words in the table, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def with_rows(self, ids: list[bytes]) -> "WordTable":
+        """The table with further rows after its own; they have no word to be found by."""
+        more = WordTable(self.words, ids)
+        more.first = np.concatenate([self.first, more.first + len(self.ids)])
+        more.size, more.ids = np.concatenate([self.size, more.size]), np.concatenate([self.ids, more.ids])
+        return more
+
+    def join(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids at the places, one after another, and where each place's end."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[places] - (ends - size), size) + np.arange(size.sum())], ends
+
+
+def _split_all(path: str, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """Words of some texts, one after another, and where each text's start and end."""
+    lists = [split_words(path, t) for t in texts]
+    return pa.array([w for x in lists for w in x], pa.string()), np.cumsum([0, *map(len, lists)])
+
+
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     """``word, ids`` of a table of distinct words."""
 
@@ -104,32 +160,42 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, hot_words: int = HOT_WORD
 
     ``docs`` needs ``doc_id`` and ``text``; a null text is an empty one, without ids; repeated rows are repeated; an empty
     table stays empty. Every distinct word is encoded once. The ids of frequent words come from a table that every task
-    has, bounded by ``hot_words``; the others' are joined: (text, position, word) rows meet the table of their
-    distinct words, then their text, by its fingerprint. Equal texts send their words once.
+    has, bounded by ``hot_words``; the others' are joined: the (text, position, word) rows of a word meet in one partition, one after
+    another, where it is encoded once; with its ids they meet their text, by its fingerprint.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"))
     count = docs.count()
     sample = rows if count <= sample_rows else rows.sample(sample_rows / count, seed=1)
     frequent = count_words(sample, tokenizer).orderBy(F.desc("n"), "word").limit(hot_words)
-    hot = spark.sparkContext.broadcast({r.word: bytes(r.ids) for r in encode_words(frequent, tokenizer).collect()})
+    words = encode_words(frequent, tokenizer).toArrow().combine_chunks()
+    hot = spark.sparkContext.broadcast(WordTable(pa.array(words.column(0).to_pylist(), pa.string()), words.column(1).to_pylist()))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = [(i, w) for i, w in enumerate(split_words(tokenizer, text.as_py())) if w not in known]
-                out[0].extend([a] * len(found))
-                out[1].extend([b] * len(found))
-                out[2].extend([i for i, _ in found])
-                out[3].extend([w for _, w in found])
-            yield _batch(key_a=(out[0], pa.int64()), key_b=(out[1], pa.int64()), at=(out[2], pa.int32()), word=(out[3], pa.string()))
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                words, ends = _split_all(tokenizer, part.column(0).to_pylist())
+                at = np.flatnonzero(hot.value.find(words) < 0)
+                text = np.searchsorted(ends, at, side="right") - 1
+                keys = [part.column(i).take(pa.array(text)) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array((at - ends[text]).astype(np.int32)), words.take(pa.array(at))], ["key_a", "key_b", "at", "word"])
+
+    def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, bytes] = {}
+        for batch in batches:
+            coded = batch.column(3).dictionary_encode()
+            own = coded.dictionary.to_pylist()
+            new = [w for w in own if w not in last]
+            made = last | dict(zip(new, _word_ids(tokenizer, new), strict=True))
+            ids = pa.array([made[w] for w in own], pa.binary()).take(coded.indices)
+            last = {own[-1]: made[own[-1]]} if own else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["key_a", "key_b", "at", "ids"])
 
     apart = rows.select("text", *text_key(F.col("text"))).mapInArrow(rare, "key_a long, key_b long, at int, word string")
-    apart = written(apart.distinct(), "rare-words")
-    table = encode_words(apart.select("word").distinct(), tokenizer)
-    joined = apart.join(table, "word").groupBy("key_a", "key_b").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("rare"))
+    apart = apart.repartition("word").sortWithinPartitions("word")
+    found = apart.mapInArrow(encode_rows, "key_a long, key_b long, at int, ids binary")
+    joined = found.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
@@ -138,19 +204,21 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, hot_words: int = HOT_WORD
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["doc_id", "packed", "key_a", "key_b"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces, unpack = hot.value, np.array(_tokenizer(tokenizer)[1], dtype=object), zstandard.ZstdDecompressor().decompress
+        known, pieces, unpack = hot.value, _pieces(tokenizer), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, decoded = [], []
-                for packed, rare in zip(part.column(1), part.column(2), strict=True):
-                    words = split_words(tokenizer, unpack(packed.as_py()).decode())
-                    own = [known.get(w) for w in words]
-                    for x in rare.as_py() or ():
-                        own[x["at"]] = x["ids"]
-                    ids.append(b"".join(own))
-                    decoded.append(" ".join(pieces[np.frombuffer(ids[-1], "<u4")]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                words, ends = _split_all(tokenizer, [unpack(x).decode() for x in part.column(1).to_pylist()])
+                lists = part.column(2)
+                text = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                at, ids = (lists.flatten().field(i) for i in (0, 1))
+                places = known.find(words)
+                places[ends[text] + at.to_numpy()] = len(known.size) + np.arange(len(text))
+                joined, stops = known.with_rows(ids.to_pylist()).join(places)
+                stops = np.append(0, stops)[ends]
+                own = [joined[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+                columns = [part.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([" ".join(pieces[x]) for x in own], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
     kind = dict(rows.dtypes)["doc_id"]
     packed = rows.select("doc_id", "text", *text_key(F.col("text"))).mapInArrow(shrink, f"doc_id {kind}, packed binary, key_a long, key_b long")
