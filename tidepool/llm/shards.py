@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -25,11 +24,11 @@ MOST_STEPS = 200
 
 
 def cut_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Token streams cut into sequences: ``part, ordinal, first_doc_id, n_tokens, packed``.
+    """Token streams cut into sequences: ``part, ordinal, first_doc_id, n_tokens, ids``.
 
     Each input partition's documents, each ended by ``end_id``, follow each other and are cut every
-    ``length`` ids, so that only a partition's last sequence is shorter (``n_tokens``). ``packed`` holds
-    the ids as unsigned 16-bit numbers (the vocabulary must fit), compressed. ``first_doc_id`` is the
+    ``length`` ids, so that only a partition's last sequence is shorter (``n_tokens``). ``ids`` holds
+    unsigned 16-bit numbers, little-endian (the vocabulary must fit). ``first_doc_id`` is the
     document that its first id belongs to. Null texts are empty ones, that is just ``end_id``; a null
     ``doc_id`` stays null; repeated rows are repeated; other columns are ignored.
     """
@@ -37,20 +36,20 @@ def cut_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ordinal, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(1).compress
+        part, ordinal = TaskContext.get().partitionId(), 0
         held, size, owner = [], 0, None
         rows: list[tuple] = []
 
         def sequence(ids: np.ndarray) -> None:
             nonlocal ordinal
-            rows.append((part, ordinal, owner, len(ids), pack(ids.astype("<u2").tobytes())))
+            rows.append((part, ordinal, owner, len(ids), ids.astype("<u2").tobytes()))
             ordinal += 1
 
         def table() -> pa.RecordBatch:
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             rows.clear()
-            names = ["part", "ordinal", "first_doc_id", "n_tokens", "packed"]
+            names = ["part", "ordinal", "first_doc_id", "n_tokens", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
@@ -74,7 +73,7 @@ def cut_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
         yield table()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "part int, ordinal long, first_doc_id long, n_tokens int, packed binary")
+    return rows.mapInArrow(run, "part int, ordinal long, first_doc_id long, n_tokens int, ids binary")
 
 
 def round_keys(key: str, rounds: int) -> list[int]:
@@ -122,52 +121,80 @@ def training_order(
 
     A sequence's index is its ordinal in its partition plus the counts of earlier partitions: one row
     for each input partition goes to the driver, the sequences never do. The sequences are written first, so
-    that indexes stay the same if an executor is lost, then sorted by slot in range partitions that hold
-    whole shards. A task writes a shard under a name of its own and renames it when whole, so a task that is
-    run again replaces it by the same bytes.
+    that indexes stay the same if an executor is lost. A task then joins its sequences for one shard and
+    compresses them, before they go to range partitions of whole shards. A shard is put together in memory (``per_shard`` x 2 x
+    ``length`` bytes), written under a name of its own and renamed, so a task that is run again replaces it by the same bytes.
     """
     spark = docs.sparkSession
-    cut = written(cut_sequences(docs, tokenizer, length, end_id), "sequences")
+    cut = written(cut_sequences(docs, tokenizer, length, end_id), "sequences", level=9)
     sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     starts = np.concatenate([[0], np.cumsum([r.n for r in sizes], dtype=np.int64)])
+    count = int(starts[-1])
     base = spark.createDataFrame([(r.part, int(s)) for r, s in zip(sizes, starts[:-1], strict=True)], "part int, base long")
-    slot = feistel(F.col("base") + F.col("ordinal"), max(int(starts[-1]), 1), key)
-    placed = cut.join(base, "part").withColumn("slot", slot).drop("base")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
+    slot = feistel(F.col("base") + F.col("ordinal"), max(count, 1), key)
+    placed = cut.join(F.broadcast(base), "part").withColumn("slot", slot)  # its rows are those that the driver has just counted
     files = cut.inputFiles()  # their names have the store's scheme, which tasks need
     path = path or (f"{files[0].rsplit('/', 2)[0]}/shards-{uuid.uuid4().hex}" if files else new_path(spark, "shards"))
+    rows = ["slot", "part", "ordinal", "first_doc_id", "n_tokens"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
 
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(9).compress
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            order = np.argsort(slots)
+            shards, first = np.unique(slots[order] // per_shard, return_index=True)
+            ends = [*first[1:].tolist(), len(order)]
+            lists = [pa.ListArray.from_arrays(pa.array([*first.tolist(), len(order)], pa.int32()), batch.column(i).take(pa.array(order))) for i in range(5)]
+            ids = batch.column(5).take(pa.array(order)).to_pylist()
+            packed = [pack(b"".join(ids[a:b])) for a, b in zip(first.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), *lists, pa.array(packed, pa.binary())], ["shard", *rows, "packed"])
+
+    schema = "shard long, slot array<long>, part array<int>, ordinal array<long>, first_doc_id array<long>, n_tokens array<int>, packed binary"
+    grouped = placed.select(*rows, "ids").mapInArrow(gather, schema)
+    shards = max(1, -(-count // per_shard))
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = grouped.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        unpack = zstandard.ZstdDecompressor().decompress
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder)
-        out, shard, own_name = None, None, ""
-
-        def close() -> None:
-            if out:
-                out.close()
-                store.move(own_name, f"{folder}/shard-{shard:08d}.bin")
-
-        for rows in batches:
-            sums = []
-            for s, packed in zip(rows["shard"], rows["packed"], strict=True):
-                if s != shard:
-                    close()
-                    shard, own_name = s, f"{folder}/.part-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(own_name)
-                ids = np.full(length, end_id, "<u2")
-                own = np.frombuffer(unpack(packed), "<u2")
-                ids[: len(own)] = own
-                out.write(ids.tobytes())
-                sums.append(zlib.crc32(ids.tobytes()))
-            yield rows.drop(columns="packed").assign(ids_crc32=sums)
-        close()
-
-    schema = "part int, ordinal long, first_doc_id long, n_tokens int, slot long, shard long, ids_crc32 long"
-    manifest = written(ordered.mapInPandas(lay, schema), "manifest")
+        unpack = zstandard.ZstdDecompressor().decompress
+        shard, held = None, []
+
+        def put() -> pa.RecordBatch:
+            block = np.full((min(per_shard, count - shard * per_shard), length), end_id, "<u2")
+            columns: list[list] = [[] for _ in range(5)]
+            for row in held:
+                stream, at = np.frombuffer(unpack(row[5]), "<u2"), 0
+                for one, n in zip(row[0], row[4], strict=True):
+                    block[one - shard * per_shard, :n] = stream[at : at + n]
+                    at += n
+                for column, values in zip(columns, row, strict=False):
+                    column += values
+            own_name = f"{folder}/.part-{uuid.uuid4().hex}"
+            with store.open_output_stream(own_name) as out:
+                out.write(block.tobytes())
+            store.move(own_name, f"{folder}/shard-{shard:08d}.bin")
+            sums = [zlib.crc32(block[one - shard * per_shard].tobytes()) for one in columns[0]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([shard] * len(sums), pa.int64()), pa.array(sums, pa.int64())], [*rows, "shard", "ids_crc32"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(7)), strict=True):
+                values = [x.as_py() for x in row]
+                if held and values[0] != shard:
+                    yield put()
+                    held.clear()
+                shard = values[0]
+                held.append(values[1:])
+        if held:
+            yield put()
+
+    out = "slot long, part int, ordinal long, first_doc_id long, n_tokens int, shard long, ids_crc32 long"
+    manifest = written(ordered.mapInArrow(lay, out), "manifest")
     offset = (F.col("slot") - F.col("shard") * per_shard) * (2 * length)
     names = ["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "part", "ordinal", "ids_crc32"]
     return manifest.withColumn("byte_offset", offset).select(names), path

@@ -22,14 +22,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
+def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again; ``level``: of its compression.
 
     Its lineage ends there: later stages and the loss of an executor re-read the files and do not
     compute them again.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
