@@ -872,12 +872,16 @@ def h18_band_stops(spark, d):
 # Models -----------------------------------------------------------------------------------------
 
 
+#: Components of a vector.
+WIDTH = 64
+
+
 def vectors(spark, d):
-    """Vectors of five subjects, with a score that depends on two of their features."""
+    """All vectors, a subject for each hundred of ids, with a score that depends on two of their features; so subjects grow in number and not in size."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    e = table(spark, d, "embeddings").where("vec_id < 500").select((F.col("vec_id") % 5).alias("subject"), "vec_id", x.alias("x"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("subject"), "vec_id", x.alias("x"))
     noise = F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000
-    return e.withColumn("score", F.col("x")[0] - F.col("x")[3] + noise * 0.1).withColumn("x", F.slice("x", 1, 6))
+    return e.withColumn("score", F.col("x")[0] - F.col("x")[3] + noise * 0.1)
 
 
 def classed(spark, d):
@@ -907,12 +911,12 @@ def m5_logistic(spark, d):
 
 @query()
 def m6_svm(spark, d):
-    return models.cross_validated(classed(spark, d).where("subject = 0"), ["subject"], "x", "label", "vec_id", "svm", folds=5)
+    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "svm", folds=5)
 
 
 @query()
 def m7_ridge(spark, d):
-    return models.cross_validated(vectors(spark, d).where("subject < 2"), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
+    return models.cross_validated(vectors(spark, d), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
 
 
 @query()
@@ -923,15 +927,15 @@ def m10_hold_out(spark, d):
 
 @query()
 def m11_transfer(spark, d):
-    rows = classed(spark, d)
-    one, other = rows.where("subject = 0"), rows.where("subject = 1").withColumn("subject", F.lit(0).cast("long"))
+    one = classed(spark, d)
+    other = one.withColumn("subject", F.col("subject") - 1)  # each subject and the next one, under the first one's number
     there = models.transfer(one, other, ["subject"], "x", "label", "vec_id").withColumn("way", F.lit("there"))
     return there.unionByName(models.transfer(other, one, ["subject"], "x", "label", "vec_id").withColumn("way", F.lit("back")))
 
 
 @query()
 def m12_grid(spark, d):
-    subsets = {"all": range(6), "left": range(3), "right": range(3, 6)}
+    subsets = {"all": range(WIDTH), "left": range(WIDTH // 2), "right": range(WIDTH // 2, WIDTH)}
     g = analyses.grid(vectors(spark, d), "subject", "vec_id", "x", "score", subsets, permutations=5, folds=10)
     return g.withColumn("result", C.result_text("auc", "p"))
 
@@ -952,7 +956,7 @@ def m15_shap(spark, d):
 
 @query()
 def m16_coefficients(spark, d):
-    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(6)])
+    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(WIDTH)])
     return plotdata.heatmap(c, ["subject"])
 
 
@@ -1159,7 +1163,7 @@ def m17_predictions(spark, d):
 def m18_acute_decoding(spark, d):
     rows = agg.median_split(vectors(spark, d), ["subject"], "score", "label", strict=True)
     logit = models.cross_validated(rows, ["subject"], "x", "label", "vec_id", "logistic", folds=5)
-    ridge = models.cross_validated(rows.where("subject = 0"), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
+    ridge = models.cross_validated(rows, ["subject"], "x", "score", "vec_id", "ridge", folds=3)
     return agg.auc(logit, ["subject"], "truth", "score").join(agg.fit_quality(ridge, ["subject"], "truth", "score").select("subject", "r2"), "subject", "left")
 
 
@@ -1180,5 +1184,5 @@ def k11_compared_bouts(spark, d):
 
 @query()
 def v7_heatmap(spark, d):
-    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(6)], "lasso")
-    return sets.pivoted(plotdata.heatmap(c, ["subject"]), ["subject"], "name", [f"f{i}" for i in range(6)], F.first("scaled"))
+    c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(WIDTH)], "lasso")
+    return sets.pivoted(plotdata.heatmap(c, ["subject"]), ["subject"], "name", [f"f{i}" for i in range(WIDTH)], F.first("scaled"))
