@@ -58,6 +58,20 @@ def test_pairs_near_the_threshold_are_found(spark):
     assert 0.9 * expected <= got <= expected
 
 
+def test_large_group_keeps_its_links(spark):
+    """Members are near the threshold, not in balls, and many more than a leaf holds."""
+    rng = np.random.default_rng(10)
+    center = rng.normal(size=64)
+    rows = [(i, (center + rng.normal(size=64) * rng.uniform(0.15, 0.27)).tolist(), 0) for i in range(3000)]
+    rows += [(3000 + i, rng.normal(size=64).tolist(), 0) for i in range(1000)]
+    expected = _links(rows)
+    got = {r.vec_id: r.n_links for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    total = sum(len(x) for x in expected.values())
+    print("links found", sum(got.values()), "of", total)
+    assert total > 4_000_000 and all(got[i] <= len(x) for i, x in expected.items())
+    assert sum(got.values()) >= 0.99 * total
+
+
 def test_edges(spark):
     v = [1.0] * 8
     rows = [

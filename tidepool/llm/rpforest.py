@@ -20,6 +20,8 @@ LEAF = 256
 SPILL = 0.05
 THRESHOLD = 0.93
 MOST_LEVELS = 80
+#: Vectors of a component that are compared with as many others in one task.
+BLOCK = 2048
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -124,6 +126,68 @@ def balls(vectors: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
     return written(out.select("id", "b.ball", "vec", "b.angle"), "balls")
 
 
+def _spanning(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the first row of its component."""
+    first = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if first[i] < 0:
+            new = np.zeros(len(linked), bool)
+            new[i] = True
+            while new.any():
+                first[new] = i
+                new = linked[new].any(0) & (first < 0)
+    return first
+
+
+def _across(known: DataFrame, radius: DataFrame, threshold: float) -> DataFrame:
+    """``id, links``: rows of other balls of its component that a vector is linked with, in parts that have to be added.
+
+    All pairs of a component are compared, block against block, except those in one ball, which are linked anyway, and
+    those of two large balls that are too far apart. A large ball's members are in blocks of their own. Small components go into
+    one block with others. No pair becomes a row: a pair of blocks gives a number for each vector that has links.
+    """
+    sizes = known.groupBy("component", "dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ball").alias("balls")).where("balls > 1")
+    sizes = written(sizes.select("component", "dim", "n"), "sizes")
+    small = BLOCK // 8
+    buckets = math.ceil((sizes.where(F.col("n") <= small).agg(F.sum("n")).first()[0] or 0) / (2 * small)) or 1
+    bucket = F.concat_ws(":", F.lit("small"), "dim", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    parts = sizes.select("component", "n", F.when(F.col("n") <= small, bucket).otherwise(F.concat(F.lit("one:"), "component")).alias("part"))
+    large = known.groupBy("ball").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("ball", F.col("ball").cast("string").alias("own"))
+    rows = known.join(parts, "component").join(large, "ball", "left").withColumn("own", F.coalesce("own", F.lit("")))
+    groups = rows.groupBy("part", "own").agg(F.count(F.lit(1)).alias("n"))
+    groups = written(groups.withColumn("blocks", F.when(F.startswith("part", F.lit("small")), 1).otherwise(F.ceil(F.col("n") / BLOCK))).drop("n"), "groups")
+    rows = rows.join(groups, ["part", "own"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = written(rows.select("part", "own", "block", "id", "component", "ball", "rows", "vec"), "members")
+
+    centers = known.where("id = ball").join(radius, "ball").select(F.col("ball").cast("string").alias("own"), "vec", "radius")
+    blocks = groups.join(centers, "own", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    pairs = blocks.toDF("own_a", "part", "vec_a", "radius_a", "block_a").join(blocks.toDF("own_b", "part", "vec_b", "radius_b", "block_b"), "part")
+    ordered = F.struct("own_a", "block_a") <= F.struct("own_b", "block_b")
+    in_one = (F.col("own_a") != "") & (F.col("own_a") == F.col("own_b"))
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _cosine("vec_a", "vec_b"))))
+    near = F.coalesce(angle <= math.acos(threshold) + 1e-7 + F.col("radius_a") + F.col("radius_b"), F.lit(True))
+    keys = ["part", "own_a", "block_a", "own_b", "block_b"]
+    pairs = written(pairs.where(ordered & ~in_one & near).select(keys), "blocks")
+
+    def side(s: str) -> DataFrame:
+        own = rows.withColumnsRenamed({"own": f"own_{s}", "block": f"block_{s}"})
+        return own.join(pairs, ["part", f"own_{s}", f"block_{s}"]).select(*keys, F.lit(s == "a").alias("is_a"), "id", "component", "ball", "rows", "vec")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["is_a"]], rows[~rows["is_a"]]
+        linked = _unit(np.stack(a["vec"])) @ _unit(np.stack(b["vec"])).T >= threshold if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        for c, same in (("component", True), ("ball", False)):
+            linked &= (a[c].to_numpy()[:, None] == b[c].to_numpy()[None, :]) == same
+        found = [(a, linked @ b["rows"].to_numpy())]
+        first = rows.iloc[0]
+        if (first["own_a"], first["block_a"]) != (first["own_b"], first["block_b"]):
+            found.append((b, linked.T @ a["rows"].to_numpy()))
+        made = pd.DataFrame({"id": np.concatenate([r["id"].to_numpy() for r, _ in found]), "links": np.concatenate([n for _, n in found])})
+        return made[made["links"] > 0]
+
+    return side("a").unionByName(side("b")).groupBy(keys).applyInPandas(count, "id long, links long")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``rows`` (``vec_id, embedding, label``; other columns are ignored).
 
@@ -133,8 +197,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     lengths neither. Repeated rows are linked with each other.
 
     Equal vectors are one class, with the number of its rows. Classes in a ball (see ``balls``) are linked without
-    pairs. Balls' centers go into the forest; two that meet in a leaf and are near enough for their radii have
-    their members compared. Every link found is exact. A pair of balls that no leaf holds would be missed; the tests measure the recall.
+    pairs. Balls' centers go into the forest; two that meet in a leaf, are near enough for their radii and aren't connected by other links have
+    their members compared. In the components that this gives, all pairs are compared (see ``_across``), so leaves don't limit a group's links. Every
+    link found is exact. A link between components whose balls no leaf holds would be missed; the tests measure the recall.
     """
     ok = F.coalesce(
         F.col("label").isNotNull()
@@ -156,23 +221,32 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         unit, ids, own = _unit(np.stack(rows["vec"])), rows["id"].to_numpy(), rows["radius"].to_numpy()
-        near = np.arccos(np.clip(unit @ unit.T, -1, 1)) <= most + own[:, None] + own[None, :]
-        a, b = np.nonzero(near & (ids[:, None] < ids[None, :]))
-        return pd.DataFrame({"ball": ids[a], "other": ids[b]})
-
-    met = written(leaves.groupBy("label", "dim", "tree", "node").applyInPandas(compare, "ball long, other long").distinct(), "met")
-    members = ball.select("ball", "id", "vec")
-    both = met.join(members.toDF("ball", "a", "u"), "ball").join(members.toDF("other", "b", "v"), "other")
+        cosine = unit @ unit.T
+        tree = _spanning(cosine >= threshold)
+        near = np.arccos(np.clip(cosine, -1, 1)) <= most + own[:, None] + own[None, :]
+        a, b = np.nonzero(near & (ids[:, None] < ids[None, :]) & (tree[:, None] != tree[None, :]))
+        other = np.flatnonzero(tree != np.arange(len(ids)))
+        return pd.DataFrame({"ball": ids[np.append(a, tree[other])], "other": ids[np.append(b, other)], "linked": np.arange(len(a) + len(other)) >= len(a)})
+
+    met = written(leaves.groupBy("label", "dim", "tree", "node").applyInPandas(compare, "ball long, other long, linked boolean").distinct(), "met")
+    edges = met.where("linked").select(F.col("ball").alias("a"), F.col("other").alias("b")).unionByName(ball.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b")))
+    joined = written(connected_components(edges, "a", "b").toDF("id", "component"), "joined")
+    members = ball.join(joined, "id", "left").select("ball", "id", "vec", F.coalesce("component", "id").alias("component"))
+    one = members.where("id = ball").select("ball", F.col("component").alias("one"))
+    apart = met.where("not linked").join(one, "ball").join(one.toDF("other", "two"), "other").where("one <> two").select("ball", "other")
+    own = members.select("ball", "id", "vec")
+    both = apart.join(own.toDF("ball", "a", "u"), "ball").join(own.toDF("other", "b", "v"), "other")
     pairs = written(both.where(_cosine("u", "v") >= threshold).select("a", "b"), "pairs")
-    edges = pairs.unionByName(ball.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b")))
-    joined = connected_components(edges, "a", "b").withColumnRenamed("node", "id")
-    known = classes.select("id", "rows").join(ball.select("id", "ball"), "id")
+    if not pairs.isEmpty():
+        edges = pairs.unionByName(joined.toDF("a", "b"))
+        joined = written(connected_components(edges, "a", "b").toDF("id", "component"), "joined")
+    known = classes.select("id", "dim", "rows", "vec").join(ball.select("id", "ball"), "id").join(joined, "id", "left")
+    known = written(known.withColumn("component", F.coalesce("component", "id")), "known")
     inside = known.groupBy("ball").agg(F.sum("rows").alias("in_ball"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = both.join(known.select(F.col("id").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("across")).withColumnRenamed("a", "id")
-    known = known.join(inside, "ball").join(across, "id", "left").join(joined, "id", "left")
+    across = _across(known, radius, threshold).groupBy("id").agg(F.sum("links").alias("across"))
+    known = known.select("id", "rows", "ball", "component").join(inside, "ball").join(across, "id", "left")
     links = F.col("in_ball") - 1 + F.coalesce("across", F.lit(0))
-    known = classes.select("id", "label", "vec").join(known.select("id", links.alias("n_links"), F.coalesce("component", "id").alias("component_id")), "id").drop("id")
+    known = classes.select("id", "label", "vec").join(known.select("id", links.alias("n_links"), F.col("component").alias("component_id")), "id").drop("id")
     known = known.withColumnsRenamed({"label": "_label", "vec": "_vec"})
     key = (F.when(F.col("ok"), F.col("label")) == F.col("_label")) & (F.when(F.col("ok"), F.col("vec")) == F.col("_vec"))
     out = sound.join(known, key, "left")
