@@ -24,6 +24,9 @@ SAMPLES = 4000
 MIN_BITS = 16.0
 MIN_BITS_A_STEP = 0.75
 
+#: Characters of a candidate's part that is judged alone.
+LEAST_PART = 12
+
 #: Marks around matches; in a text, they are replaced before, by another character that no pattern takes.
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 
@@ -119,21 +122,63 @@ def train(samples: DataFrame) -> list[float]:
     return ratios
 
 
-def score(token: Column, ratios: list[float]) -> Column:
-    """A string's log-likelihood ratio in bits; its characters must be of ``ALPHABET``."""
+def _steps(token: Column, ratios: list[float], use) -> Column:
+    """``use`` of the log ratios of a string's steps."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     place = F.split(F.lit(",".join(str(ALPHABET.find(chr(i))) for i in range(128))), ",").cast("array<int>")
     codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.get(place, F.ascii(F.substr(token, i, F.lit(1)))))
     return bind(
         codes,
-        lambda c: F.aggregate(
-            F.zip_with(c, F.slice(c, 2, F.size(c)), lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x
-        ),
+        lambda c: use(F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0)))),
     )
 
 
-def _found(text: Column, kind: str, rank: int, pattern: str, holds) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches that hold, in code points.
+def score(token: Column, ratios: list[float]) -> Column:
+    """A string's log-likelihood ratio in bits; its characters must be of ``ALPHABET``."""
+    return _steps(token, ratios, lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v))
+
+
+def random_parts(token: Column, ratios: list[float], min_bits: float = MIN_BITS, min_bits_a_step: float = MIN_BITS_A_STEP) -> Column:
+    """``struct(start, end)`` of a candidate's random parts: all of it, or its runs of steps that have so many bits more than ``min_bits_a_step`` for each.
+
+    A run ends at its maximum, once the sum falls to 0 or by ``min_bits`` under it. It needs ``LEAST_PART`` characters, and is
+    widened to the next "=" or "/" on either side.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    none = {"sum": F.lit(0.0), "start": F.lit(0), "best": F.lit(0.0), "end": F.lit(0)}
+
+    def state(i: Column, out: Column, **x: Column) -> Column:
+        return F.struct(i.alias("i"), *[x[k].alias(k) for k in none], out.alias("out"))
+
+    def ended(s: Column) -> Column:
+        ok = (s["best"] >= min_bits) & (s["end"] - s["start"] >= LEAST_PART)
+        return F.when(ok, F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["sum"] + x - min_bits_a_step
+        i = s["i"] + 1
+        over = (total <= 0) | (total <= s["best"] - min_bits)
+        more = total > s["best"]
+        on = state(i, s["out"], sum=total, start=s["start"], best=F.greatest(s["best"], total), end=F.when(more, i + 1).otherwise(s["end"]))
+        return F.when(over, state(i, ended(s), **(none | {"start": i}))).otherwise(on)
+
+    def widened(p: Column) -> Column:
+        left = F.substr(token, F.lit(1), p["start"])
+        right = F.substr(token, p["end"] + 1)
+        start = p["start"] - F.length(F.regexp_extract(left, "[^=/]*$", 0))
+        return F.struct(start.cast("int").alias("start"), (p["end"] + F.length(F.regexp_extract(right, "^[^=/]*", 0))).cast("int").alias("end"))
+
+    def judged(x: Column) -> Column:
+        total, n = F.aggregate(x, F.lit(0.0), lambda s, v: s + v), F.length(token)
+        whole = (total >= min_bits) & (total >= min_bits_a_step * (n - 1))
+        runs = F.aggregate(x, state(F.lit(0), F.array().cast(kind), **none), step, ended)
+        return F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.cast("int").alias("end")))).otherwise(F.array_distinct(F.transform(runs, widened)))
+
+    return _steps(token, ratios, lambda x: bind(x, judged))
+
+
+def _found(text: Column, kind: str, rank: int, pattern: str, parts_of) -> Column:
+    """Spans of what ``parts_of`` gives (``struct(start, end)``) of a pattern's leftmost non-overlapping matches, in code points.
 
     Matches are put between two marks that no pattern matches (in the text, they were replaced before); the parts
     between marks then give the places.
@@ -143,8 +188,11 @@ def _found(text: Column, kind: str, rank: int, pattern: str, holds) -> Column:
 
     def step(acc: Column, part: Column) -> Column:
         match = F.substring_index(part, CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(match)).alias("end"), F.lit(kind).alias("kind"))
-        spans = F.when(F.contains(part, F.lit(CLOSE)) & holds(match), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        own = F.transform(
+            bind(match, parts_of),
+            lambda p: F.struct((acc["at"] + p["start"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + p["end"]).alias("end"), F.lit(kind).alias("kind")),
+        )
+        spans = F.when(F.contains(part, F.lit(CLOSE)), F.concat(acc["spans"], own)).otherwise(acc["spans"])
         return F.struct((acc["at"] + F.length(part) - F.when(F.contains(part, F.lit(CLOSE)), 1).otherwise(0)).alias("at"), spans.alias("spans"))
 
     parts = bind(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), F.split(m, OPEN)).otherwise(F.array(F.lit("")))) 
@@ -154,26 +202,31 @@ def _found(text: Column, kind: str, rank: int, pattern: str, holds) -> Column:
 def find_secrets(docs: DataFrame, ratios: list[float], min_bits: float = MIN_BITS, min_bits_a_step: float = MIN_BITS_A_STEP) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of ``struct(start, rank, end, kind)`` in order of start, then kind.
 
-    ``base`` holds the fixed patterns' spans; ``spans`` adds, as kind ``random``, candidates that meet no base span and whose
-    ratio is high enough. Offsets are code points, ends exclusive. A null text has none. All rows and columns
+    ``base`` holds the fixed patterns' spans; ``spans`` adds, as kind ``random``, the parts of candidates, outside base spans, whose
+    ratio is high enough (see ``random_parts``). Offsets are code points, ends exclusive. A null text has none. All rows and columns
     stay; columns of these two names are replaced.
     """
     names = [c for c in docs.columns if c not in ("base", "spans")]
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), OPEN + CLOSE, INSTEAD * 2)
 
     def long_enough(kind: str, pattern: str):
-        if kind == "assign":
-            return lambda m: F.length(F.regexp_extract(m, pattern, 2)) >= LEAST[kind]
-        return lambda m: F.length(m) >= LEAST[kind]
+        def parts(m: Column) -> Column:
+            n = F.length(F.regexp_extract(m, pattern, 2)) if kind == "assign" else F.length(m)
+            whole = F.struct(F.lit(0).alias("start"), F.length(m).alias("end"))
+            return F.when(n >= LEAST[kind], F.array(whole)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+        return parts
 
     base = F.concat(*[_found(text, k, i, p, long_enough(k, p)) for i, (k, p) in enumerate(BASE)])
 
-    def likely(m: Column) -> Column:
-        return bind(score(m, ratios), lambda s: (s >= min_bits) & (s >= min_bits_a_step * (F.length(m) - 1)))
+    def outside(acc: Column, b: Column) -> Column:
+        """The text with a base span's characters replaced by ones that no candidate has."""
+        return F.concat(F.substr(acc, F.lit(1), b["start"]), F.repeat(F.lit(INSTEAD), b["end"] - b["start"]), F.substr(acc, b["end"] + 1))
 
-    rows = docs.select(F.struct("*").alias("_doc"), F.array_sort(base).alias("base"), _found(text, "random", len(BASE), CANDIDATE, likely).alias("_more"))
-    new = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(*[F.col("_doc")[c].alias(c) for c in names], "base", F.array_sort(F.concat("base", new)).alias("spans"))
+    rows = docs.select(F.struct("*").alias("_doc"), text.alias("_rest"), F.array_sort(base).alias("base"))
+    rest = F.when(F.size("base") > 0, F.aggregate("base", F.col("_rest"), outside)).otherwise(F.col("_rest"))
+    rows = rows.select("_doc", "base", _found(rest, "random", len(BASE), CANDIDATE, lambda m: random_parts(m, ratios, min_bits, min_bits_a_step)).alias("new"))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in names], "base", F.array_sort(F.concat("base", "new")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
