@@ -71,3 +71,11 @@ def test_empty_and_repeated_rows(docs):
     text = "".join(rng.choice("abcdef") for _ in range(700))
     rows = repeats.remove_repeats(docs([(1, text), (1, text), (None, "a")])).collect()
     assert sorted((r.n_removed, r.n_spans) for r in rows) == [(0, 0), (700, 1), (700, 1)]
+
+
+def test_chunks_keep_to_their_places():
+    rng = random.Random(7)
+    texts = [rng.randbytes(repeats.CHUNK - 1), rng.randbytes(repeats.CHUNK + 1000), b"a" * 500]
+    parts = list(repeats._chunks(iter(texts)))
+    assert max(len(data) for data, _, _ in parts) <= repeats._PLACE
+    assert sum(n - 399 for _, _, owners in parts for _, _, n in owners) == sum(len(t) - 399 for t in texts)

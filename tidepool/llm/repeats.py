@@ -95,7 +95,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 def _chunks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
     """Bytes of some documents, their ends, and ``(row, offset in its text, length)`` of each; long texts come in parts.
 
-    Parts overlap by one byte less than a window, so that each window is in exactly one part.
+    Parts overlap by one byte less than a window, so that each window is in exactly one part. What comes together has places of
+    ``_PLACE`` at most.
     """
     parts: list[bytes] = []
     owners: list[tuple[int, int, int]] = []
@@ -110,6 +111,9 @@ def _chunks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, li
     for row, text in enumerate(texts):
         for lo in range(0, max(len(text) - LENGTH + 1, 0), CHUNK):
             part = text[lo : lo + CHUNK + LENGTH - 1]
+            if parts and held + len(part) > _PLACE:
+                yield made()
+                held = 0
             parts.append(part)
             owners.append((row, lo, len(part)))
             held += len(part)
