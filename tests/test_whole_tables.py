@@ -23,3 +23,14 @@ def test_models_take_all_subjects(spark):
     assert {tuple(r) for r in ways} == {("there", 100, 499, 400), ("back", 0, 399, 400)}
     assert QUERIES["m18_acute_decoding"](spark, SF).where("r2 is not null").count() == 5
     assert QUERIES["m16_coefficients"](spark, SF).agg(F.countDistinct("name")).first()[0] == WIDTH
+
+
+def test_limits_follow_the_length_of_series(spark):
+    d = "/root/testdata/sf0.1"
+    for name, key, fixed in (("e5_durbin_levinson", "event_type", 2000), ("e6_pacf", "user_id", 60)):
+        n = {r[key]: r["count"] for r in spark.read.parquet(f"{d}/events.parquet").where("value is not null").groupBy(key).count().collect()}
+        rows = QUERIES[name](spark, d).collect()
+        expected = [abs(r.pacf) > 1.959963984540054 / max(n[r[key]] - 1 - r.lag, 1) ** 0.5 for r in rows]
+        assert [r.significant for r in rows] == expected
+        other = [abs(r.pacf) > 1.959963984540054 / max(fixed - 1 - r.lag, 1) ** 0.5 for r in rows]
+        print(name, "differ", sum(a != b for a, b in zip(expected, other)), "of", len(rows), "significant", sum(other), sum(expected))

@@ -128,38 +128,39 @@ def tumbling(df: DataFrame, group: Sequence[str], i: str, length: int, *aggregat
 
 
 def autocovariance(df: DataFrame, group: Sequence[str], i: str, value: str, lags: int, mode: str = "biased") -> DataFrame:
-    """``lag, acov`` for 0 .. ``lags`` of the centered series; missing values are skipped.
+    """``lag, acov, n`` for 0 .. ``lags`` of the centered series; missing values are skipped. ``n``: the series' values that are there.
 
     ``biased`` divides by n, ``unbiased`` by the number of products, ``coeff`` by lag 0. Each row meets ``lags`` others of its
     series through the window, so there is no join.
     """
-    means = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    means = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"), F.count(value).alias("_there"))
     by = Window.partitionBy(*group).orderBy(i)
     rows = df.join(means, list(group)).withColumn("_x", F.col(value) - F.col("_m"))
     ahead = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("_x") * F.lead("_x", k).over(by)).alias("p")) if k else F.struct(F.lit(0).alias("lag"), (F.col("_x") * F.col("_x")).alias("p")) for k in range(lags + 1)])
-    rows = rows.select(*group, "_n", ahead.alias("_a")).select(*group, "_n", F.explode("_a").alias("e"))
-    out = rows.groupBy(*group, "e.lag").agg(F.sum("e.p").alias("_s"), F.count("e.p").alias("_k"), F.first("_n").alias("_n"))
+    rows = rows.select(*group, "_n", "_there", ahead.alias("_a")).select(*group, "_n", "_there", F.explode("_a").alias("e"))
+    out = rows.groupBy(*group, "e.lag").agg(F.sum("e.p").alias("_s"), F.count("e.p").alias("_k"), F.first("_n").alias("_n"), F.first("_there").alias("n"))
     if mode == "unbiased":
-        return out.select(*group, "lag", (F.col("_s") / F.col("_k")).alias("acov"))
+        return out.select(*group, "lag", (F.col("_s") / F.col("_k")).alias("acov"), "n")
     if mode == "coeff":
         zero = out.where("lag = 0").select(*group, F.col("_s").alias("_z"))
-        return out.join(zero, list(group)).select(*group, "lag", (F.col("_s") / F.col("_z")).alias("acov"))
-    return out.select(*group, "lag", (F.col("_s") / F.col("_n")).alias("acov"))
+        return out.join(zero, list(group)).select(*group, "lag", (F.col("_s") / F.col("_z")).alias("acov"), "n")
+    return out.select(*group, "lag", (F.col("_s") / F.col("_n")).alias("acov"), "n")
 
 
-def partial_autocorrelation(acov: DataFrame, group: Sequence[str], n: int) -> DataFrame:
-    """``lag, pacf, significant`` by the Durbin-Levinson recursion over a series' few autocovariances."""
+def partial_autocorrelation(acov: DataFrame, group: Sequence[str], n: int | str = "n") -> DataFrame:
+    """``lag, pacf, significant`` by the Durbin-Levinson recursion over a series' few autocovariances; ``n``: its length, or the column that has it."""
     import numpy as np
     import pandas as pd
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         c = rows.sort_values("lag")["acov"].to_numpy()
+        size = rows[n].iloc[0] if isinstance(n, str) else n
         a, e, out = np.zeros(0), c[0], []
         for k in range(1, len(c)):
             r = (c[k] - a @ c[k - 1 : 0 : -1]) / e if e > 0 else 0.0
             a, e = np.append(a - r * a[::-1], r), e * (1 - r * r)
             out.append(r)
-        limit = 1.959963984540054 / np.sqrt(np.maximum(n - 1 - np.arange(1, len(c)), 1))
+        limit = 1.959963984540054 / np.sqrt(np.maximum(size - 1 - np.arange(1, len(c)), 1))
         keys = {g: rows[g].iloc[0] for g in group}
         return pd.DataFrame({**keys, "lag": np.arange(1, len(c)), "pacf": out, "significant": np.abs(out) > limit})
 

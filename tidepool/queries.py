@@ -528,7 +528,7 @@ def e4_autocovariance(spark, d):
 @query()
 def e6_pacf(spark, d):
     a = series.autocovariance(events(spark, d), U, "event_id", "value", 8, "coeff")
-    return series.partial_autocorrelation(a, U, 60)
+    return series.partial_autocorrelation(a, U)
 
 
 @query(
@@ -1095,7 +1095,7 @@ def b11_not_empty(spark, d):
 @query()
 def e5_durbin_levinson(spark, d):
     a = series.autocovariance(events(spark, d), ["event_type"], "event_id", "value", 5)
-    return series.partial_autocorrelation(a, ["event_type"], 2000)
+    return series.partial_autocorrelation(a, ["event_type"])
 
 
 @query("select l_orderkey, list(l_linenumber order by l_linenumber desc) sizes from lineitem group by l_orderkey")
