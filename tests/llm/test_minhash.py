@@ -56,6 +56,35 @@ def test_a_large_group_with_outliers(docs):
     assert got == expected and len(set(got.values())) > 1
 
 
+def test_rows_of_one_id_with_other_texts(docs):
+    """Each row is a document of its own, and its group's smallest id is its class."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(5)]
+    rows = []
+    for _ in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((rng.randrange(40), " ".join(words)))
+    classes = _components({i: _set(t, 2) for i, (_, t) in enumerate(rows)})
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[classes[i]] = min(d, least.get(classes[i], d))
+    expected = sorted((d, least[classes[i]]) for i, (d, _) in enumerate(rows))
+    got = [(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs(rows), 2).collect()]
+    assert sorted(got) == expected
+
+    stay = minhash.drop_near_duplicates(docs(rows), 2).collect()
+    assert sorted((r.doc_id, r.text) for r in stay) == sorted((d, t) for i, (d, t) in enumerate(rows) if d == least[classes[i]])
+    linked = [(1, "w x y z"), (1, "z a b c d e f g h i j"), (2, "z a b c d e f g h i j q"), (3, "w x y z")]
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs(linked), 2).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_columns_of_inner_names_stay(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 5, 6, "x"), (2, "a b c d e f", 7, 8, "y")], "doc_id long, text string, content int, component_id int, _doc string")
+    assert [tuple(r) for r in minhash.drop_near_duplicates(rows).collect()] == [(1, "a b c d e f", 5, 6, "x")]
+
+
 def test_edges(docs):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A  b"), (7, "A  b"), (None, "a b"), (8, "ÀB x"), (9, "àb x"), (10, "word " * 20000)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(rows), 2).collect()), key=str)

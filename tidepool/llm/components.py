@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.store import written
+from tidepool.llm.store import drop, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Rounds of the large-star and small-star steps: each replaces a node's edges by edges to its
     smallest neighbour, found by a map-side combined ``min``, so no neighbourhood is ever gathered
     in one task; the join that follows has one row for each node on one side, so that a hub's rows
-    may be split. Rounds go on until the edges no longer change. Each round is written to the shared folder.
+    may be split. Rounds go on until the edges no longer change. Each round is written to the shared folder, and the one before deleted.
 
     Nulls and loops are ignored, repeated edges count once. No edges give an empty table.
     """
@@ -42,8 +42,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 )
             ).alias("e")
         )
-        edges = written(small.select("e.*").where("node <> to").distinct(), "edges")
+        last, edges = edges, written(small.select("e.*").where("node <> to").distinct(), "edges")
         before, state = state, _state(edges)
+        drop(last)
         if state == before:
             break
     parts = edges.select("node", F.col("to").alias("component"))

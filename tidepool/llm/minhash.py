@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import connected_components
@@ -71,12 +71,20 @@ def _bands(shingles: np.ndarray, starts: np.ndarray, permutations: int, rows: in
     return bands
 
 
+def _lower(text: Column) -> Column:
+    """A text (null: empty) with A-Z lower-cased and every separator a space."""
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + SPACES, UPPER.lower() + " " * len(SPACES))
+
+
 def _hashed_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, key_a, key_b, words``: word hashes of lower-cased (A-Z) texts, and fingerprints of the word sequences."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = words(F.translate(text, UPPER + SPACES, UPPER.lower() + " " * len(SPACES)))
-    made = bind(own, lambda w: F.struct(F.xxhash64(w).alias("key_a"), F.xxhash64(F.lit(7919), w).alias("key_b"), F.transform(w, lambda x: F.xxhash64(x)).alias("words")))
-    return docs.select(F.col("doc_id").cast("long"), made.alias("m")).select("doc_id", "m.*")
+    """``doc_id, content, key_a, key_b, words``: word hashes of lower-cased (A-Z) texts, and fingerprints of texts and of word sequences."""
+    made = bind(words(_lower(F.col("text"))), lambda w: F.struct(F.xxhash64(w).alias("key_a"), F.xxhash64(F.lit(7919), w).alias("key_b"), F.transform(w, lambda x: F.xxhash64(x)).alias("words")))
+    return docs.select(F.col("doc_id").cast("long"), _content(F.col("text")).alias("content"), made.alias("m")).select("doc_id", "content", "m.*")
+
+
+def _content(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,24 +93,24 @@ def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, key_a, key_b, n_shingles, bands``: one row for each row of ``docs``; bands: null without words."""
+    """``doc_id, content, key_a, key_b, n_shingles, bands``: one row for each row of ``docs``; bands: null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 400):
                 batch = whole.slice(lo, 400)
-                shingles, starts = _shingles(*_flat(batch.column(3)), size)
+                shingles, starts = _shingles(*_flat(batch.column(4)), size)
                 n = np.diff(starts)
                 bands = iter(_bands(shingles, starts, permutations, rows).view(np.int64) if len(shingles) else ())
                 lists = pa.array([next(bands) if x else None for x in n], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), lists], ["doc_id", "key_a", "key_b", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), lists], ["doc_id", "content", "key_a", "key_b", "n_shingles", "bands"])
 
-    schema = "doc_id long, key_a long, key_b long, n_shingles long, bands array<long>"
+    schema = "doc_id long, content long, key_a long, key_b long, n_shingles long, bands array<long>"
     return _hashed_words(docs).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, shingles``: the full sets, as sorted 64-bit hashes."""
+    """``id, shingles``: the full sets of texts with an ``id``, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,25 +118,26 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 batch = whole.slice(lo, 400)
                 shingles, starts = _shingles(*_flat(batch.column(1)), size)
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(shingles.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
 
-    return _hashed_words(docs).select("doc_id", "words").mapInArrow(run, "doc_id long, shingles array<long>")
+    rows = docs.select("id", words(_lower(F.col("text"))).alias("w"))
+    return rows.select("id", F.transform("w", lambda x: F.xxhash64(x))).mapInArrow(run, "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, linked`` of pairs, by their full sets. Each ``a`` sends its set once, with all of its ``b``."""
-    left = pairs.groupBy("a").agg(F.collect_set("b").alias("bs")).join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.select("a", "sa", F.explode("bs").alias("b")).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = pairs.groupBy("a").agg(F.collect_set("b").alias("bs")).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.select("a", "sa", F.explode("bs").alias("b")).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     joined = F.size("sa") + F.size("sb") - F.col("i")
     return both.withColumn("i", shared).select("a", "b", (F.col("i") * 100 >= joined * percent).alias("linked"))
 
 
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with theirs."""
-    state = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = state.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("bucket")
-    return written(state.join(several, "bucket"), "open")
+    """Members of buckets that hold several components, with theirs and, in ``b``, that of the bucket's first class."""
+    state = members.drop("b").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = state.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several"), F.min(F.struct("id", "n", "component")).alias("b"))
+    return written(state.join(several.where("several").drop("several"), "bucket"), "open")
 
 
 def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -167,7 +176,7 @@ def _rest(still: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -
     counts = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
     parts = main.select("bucket", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("query_blocks"))
-    rows = still.join(parts, "bucket").join(classes.select("id", "bands"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    rows = still.join(parts, "bucket").join(classes.select("id", "bands"), "id").join(sets, "id")
     names = ["bucket", "id", "component", "n", "bands", "shingles"]
 
     def dealt(rows: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
@@ -186,20 +195,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, perm
     ``component_id`` is the smallest ``doc_id`` reached, ``kept`` marks it. A document without words is linked with
     nothing, nor is one without id (its ``component_id`` is null, it is kept). Repeated rows get the same values.
 
-    Documents of equal word sequences are one class. Classes that share a band are a bucket. First, each class is paired with the
-    smallest id of all of its buckets, then with the smallest of each bucket where their components still
+    Documents of equal word sequences are one class, which has a number of its own, so rows of one ``doc_id`` with different
+    texts are told apart. Classes that share a band are a bucket. First, each class is paired with the
+    first of all of its buckets, then with the first of each bucket where their components still
     differ. Sets confirm the pairs, links join components, and most buckets then hold one component. In the
     others, what is outside the largest component is compared with the whole bucket in blocks, so no link between components is lost.
     """
+    return _judged(docs, size, percent, permutations, rows).drop("content")
+
+
+def _judged(docs: DataFrame, size: int, percent: int, permutations: int, rows: int) -> DataFrame:
+    """``near_duplicates`` with ``content``."""
     marks = written(signatures(docs, size, permutations, rows), "signatures")
     usable = marks.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    of_rows = usable.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "content")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = written(of_rows.withColumn("id", F.monotonically_increasing_id()), "classes")
     banded = classes.select("id", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "n")).alias("b")).where("k > 1").drop("k")
     members = written(banded.join(shared, "bucket"), "buckets")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(shingle_sets(texts, size), "sets")
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "row.*")
+    texts = docs.select(F.col("doc_id").cast("long"), _content(F.col("text")).alias("content"), "text").join(wanted, ["doc_id", "content"]).dropDuplicates(["id"])
+    sets = written(shingle_sets(texts.select("id", "text"), size), "sets")
     near = F.least("n", "b.n") * 100 >= F.greatest("n", "b.n") * percent
     with_first = members.where(near & (F.col("id") != F.col("b.id"))).select(F.col("id").alias("a"), F.col("b.id").alias("b"))
 
@@ -208,9 +224,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, perm
     joined = connected_components(links, "a", "b")
     still = _open(members, joined)
     if not still.isEmpty():
-        anchor = joined.select(F.col("node").alias("b_id"), F.col("component").alias("b_component"))
-        apart = still.withColumn("b_id", F.col("b.id")).join(anchor, "b_id", "left").where(near & (F.col("component") != F.coalesce("b_component", "b_id")))
-        pairs = apart.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+        apart = still.where(near & (F.col("component") != F.col("b.component")))
+        pairs = apart.select(F.col("id").alias("a"), F.col("b.id").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
         second = written(_confirmed(pairs, sets, percent), "judged")
         links = links.unionByName(second.where("linked").select("a", "b"))
         joined = connected_components(links, "a", "b")
@@ -218,18 +233,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, perm
     if not still.isEmpty():
         links = links.unionByName(written(_rest(still, classes, sets, percent), "links"))
         joined = connected_components(links, "a", "b")
-    of_class = classes.select("key_a", "key_b", F.col("id").alias("node"))
-    of_class = of_class.join(joined, "node", "left")
-    of_class = of_class.select("key_a", "key_b", F.coalesce("component", "node").alias("component_id"))
+    of_class = classes.select("key_a", "key_b", "row.doc_id", F.col("id").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.join(least, "component").select("key_a", "key_b", "component_id")
     out = marks.join(of_class, ["key_a", "key_b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "content", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` with one document of each group of near-duplicates, the one with the smallest id; all columns stay.
 
-    Repeated rows of an id that stays all stay; so do rows without words or without id.
+    A row's verdict follows its id and text: repeated rows that stay all stay, and so do rows of the group's smallest id with other texts, and rows
+    without words or without id.
     """
-    verdict = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+    verdict = _judged(docs, size, percent, PERMUTATIONS, ROWS).where("not kept").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), _content(F.col("text")).alias("_content"))
+    return rows.join(verdict, ["_id", "_content"], "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

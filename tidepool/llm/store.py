@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one, which is then set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one, which is then set, unless executors couldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,6 +37,17 @@ def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``written`` has written for ``tables``, once nothing is to be read from it any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if not re.search("-[0-9a-f]{32}$", folder):
+                raise ValueError(f"{folder} isn't a folder of an intermediate table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once for each row, however often ``use`` reads it."""
     return F.transform(F.array(value), use)[0]
