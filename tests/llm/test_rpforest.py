@@ -72,6 +72,15 @@ def test_large_group_keeps_its_links(spark):
     assert sum(got.values()) >= 0.99 * total
 
 
+def test_rows_of_one_id_with_other_vectors(spark):
+    """Each row is a vector of its own."""
+    rng = np.random.default_rng(11)
+    c, o = rng.normal(size=(2, 8))
+    rows = [(1, c.tolist(), 0), (1, o.tolist(), 0), (2, (c * 2 + 0.01).tolist(), 0), (3, (o + 0.01).tolist(), 0), (0, (o + 0.02).tolist(), 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False)]
+
+
 def test_edges(spark):
     v = [1.0] * 8
     rows = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import connected_components
-from tidepool.llm.store import written
+from tidepool.llm.store import drop, written
 
 TREES = 8
 LEAF = 256
@@ -20,6 +21,8 @@ LEAF = 256
 SPILL = 0.05
 THRESHOLD = 0.93
 MOST_LEVELS = 80
+#: Levels whose projections go with a vector at once.
+DEPTH = 12
 #: Vectors of a component that are compared with as many others in one task.
 BLOCK = 2048
 
@@ -34,42 +37,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 1))
 
 
+def _projections(vectors: DataFrame, trees: int, first: int, seed: int) -> DataFrame:
+    """``id, label, dim, tree, at`` of each vector and tree: projections on the random directions of ``DEPTH`` levels from ``first`` on."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                own = pa.array(np.flatnonzero(dims == d))
+                unit = _unit(_matrix(batch.column(3).take(own)))
+                keys = [batch.column(i).take(own) for i in range(3)]
+                for t in range(trees):
+                    directions = np.stack([np.random.default_rng([seed, t, first + k, d]).normal(size=d) for k in range(DEPTH)])
+                    at = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * DEPTH, pa.int32()), pa.array((unit @ directions.T).ravel()))
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(own), t, np.int32)), at], ["id", "label", "dim", "tree", "at"])
+
+    return vectors.select("id", "label", "dim", "vec").mapInArrow(project, "id long, label long, dim int, tree int, at array<double>")
+
+
 def grow(vectors: DataFrame, trees: int, leaf: int = LEAF, spill: float = SPILL, seed: int = 1) -> DataFrame:
     """``id, label, dim, vec, tree, node, home`` of each vector in each leaf that holds it; ``home``: where it is without spill.
 
     Level by level, every node of more than ``leaf`` vectors is split at the median of their projections on a random
     direction of its tree and level; medians and spill limits are approximate percentiles, which are
-    aggregated in the tasks first, and a node's go to its vectors by a join. Only distinct vectors may come in, so that
-    nodes can always be split in the end.
+    aggregated in the tasks first, and a node's go to its vectors by a join. What a level writes are ids, nodes and projections, not vectors. Only
+    distinct vectors may come in, so that nodes can always be split in the end.
     """
-    spark = vectors.sparkSession
-    active = vectors.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), "node": F.lit("").cast("string"), "home": F.lit(True)})
-    done: DataFrame | None = None
-    names = ["id", "label", "dim", "vec", "tree", "node", "home"]
+    names = ["id", "label", "dim", "tree", "node", "home"]
     keys = ["label", "dim", "tree", "node"]
+    done: list[DataFrame] = []
+    before: list[DataFrame] = []
+    active = None
     for level in range(MOST_LEVELS):
-
-        def project(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tree, dim = batch.column(4).to_numpy(), batch.column(2).to_numpy()
-                out = np.zeros(batch.num_rows)
-                for t, d in {*zip(tree.tolist(), dim.tolist(), strict=True)}:
-                    own = np.flatnonzero((tree == t) & (dim == d))
-                    direction = np.random.default_rng([seed, t, level, d]).normal(size=d)
-                    out[own] = _unit(_matrix(batch.column(3).take(pa.array(own)))) @ direction
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "at"])
-
-        kinds = dict(active.dtypes)
-        active = written(active.select(names).mapInArrow(project, ", ".join(f"{c} {kinds[c]}" for c in names) + ", at double"), "level")
-        limits = F.percentile_approx("at", F.array(*[F.lit(x) for x in (0.5 - spill, 0.5, 0.5 + spill)]), F.lit(1000))
-        nodes = written(active.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), limits.alias("cut")), "nodes")
-        rows = active.join(nodes, keys)
-        small = rows.where(F.col("n") <= leaf).select(names)
-        done = small if done is None else done.unionByName(small)
+        if level % DEPTH == 0:
+            made = _projections(vectors, trees, level, seed)
+            active = made.withColumns({"node": F.lit(""), "home": F.lit(True)}) if active is None else active.drop("at").join(made.select("id", "tree", "at"), ["id", "tree"])
+        active = written(active.select(*names, "at"), "level")
+        drop(*before)
+        limits = F.percentile_approx("now", F.array(*[F.lit(x) for x in (0.5 - spill, 0.5, 0.5 + spill)]), F.lit(1000))
+        placed = active.withColumn("now", F.get("at", F.lit(level % DEPTH)))
+        nodes = written(placed.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), limits.alias("cut")), "nodes")
+        before = [active, nodes]
+        rows = placed.join(nodes, keys)
+        done.append(written(rows.where(F.col("n") <= leaf).select(names), "leaves"))
         if nodes.where(F.col("n") > leaf).isEmpty():
-            return written(done, "leaves")
-        left, right = F.col("at") <= F.col("cut")[2], F.col("at") > F.col("cut")[0]
-        is_left = F.col("at") <= F.col("cut")[1]
+            drop(*before)
+            return functools.reduce(DataFrame.unionByName, done).join(vectors.select("id", "vec"), "id")
+        left, right = F.col("now") <= F.col("cut")[2], F.col("now") > F.col("cut")[0]
+        is_left = F.col("now") <= F.col("cut")[1]
         sides = F.array_compact(F.array(F.when(left, F.struct(F.lit("0").alias("s"), is_left.alias("h"))), F.when(right, F.struct(F.lit("1").alias("s"), (~is_left).alias("h")))))
         active = rows.where(F.col("n") > leaf).withColumn("side", F.explode(sides))
         active = active.withColumns({"node": F.concat("node", "side.s"), "home": F.col("home") & F.col("side.h")})
@@ -196,7 +211,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     zero or hold a null or non-finite component, and rows without label or id, are linked with nothing; vectors of different
     lengths neither. Repeated rows are linked with each other.
 
-    Equal vectors are one class, with the number of its rows. Classes in a ball (see ``balls``) are linked without
+    Equal vectors are one class, with a number of its own and that of its rows, so rows of one ``vec_id`` with different vectors are told apart. Classes in a ball (see ``balls``) are linked without
     pairs. Balls' centers go into the forest; two that meet in a leaf, are near enough for their radii and aren't connected by other links have
     their members compared. In the components that this gives, all pairs are compared (see ``_across``), so leaves don't limit a group's links. Every
     link found is exact. A link between components whose balls no leaf holds would be missed; the tests measure the recall.
@@ -210,8 +225,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
         F.lit(False),
     )
     sound = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("vec"), ok.alias("ok"))
-    classes = sound.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    classes = written(classes.withColumn("dim", F.size("vec")), "classes")
+    classes = sound.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("rows"))
+    classes = written(classes.withColumns({"dim": F.size("vec"), "id": F.monotonically_increasing_id()}), "classes")
     vectors = classes.select("id", "label", "dim", "vec")
     ball = balls(vectors, threshold)
     radius = ball.groupBy("ball").agg(F.max("angle").alias("radius"))
@@ -240,13 +255,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     if not pairs.isEmpty():
         edges = pairs.unionByName(joined.toDF("a", "b"))
         joined = written(connected_components(edges, "a", "b").toDF("id", "component"), "joined")
-    known = classes.select("id", "dim", "rows", "vec").join(ball.select("id", "ball"), "id").join(joined, "id", "left")
+    known = classes.select("id", "vec_id", "dim", "rows", "vec").join(ball.select("id", "ball"), "id").join(joined, "id", "left")
     known = written(known.withColumn("component", F.coalesce("component", "id")), "known")
     inside = known.groupBy("ball").agg(F.sum("rows").alias("in_ball"))
     across = _across(known, radius, threshold).groupBy("id").agg(F.sum("links").alias("across"))
-    known = known.select("id", "rows", "ball", "component").join(inside, "ball").join(across, "id", "left")
+    least = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = known.select("id", "rows", "ball", "component").join(inside, "ball").join(across, "id", "left").join(least, "component")
     links = F.col("in_ball") - 1 + F.coalesce("across", F.lit(0))
-    known = classes.select("id", "label", "vec").join(known.select("id", links.alias("n_links"), F.col("component").alias("component_id")), "id").drop("id")
+    known = classes.select("id", "label", "vec").join(known.select("id", links.alias("n_links"), "component_id"), "id").drop("id")
     known = known.withColumnsRenamed({"label": "_label", "vec": "_vec"})
     key = (F.when(F.col("ok"), F.col("label")) == F.col("_label")) & (F.when(F.col("ok"), F.col("vec")) == F.col("_vec"))
     out = sound.join(known, key, "left")
