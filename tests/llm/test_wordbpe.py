@@ -34,6 +34,25 @@ def test_odd_texts(docs):
         _same(rows, dict(enumerate(texts)))
 
 
+def test_all_code_points(docs):
+    """Also those that only one side's Unicode tables know; surrogates aren't text."""
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b{chr(c)}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    rows = wordbpe.encode_and_decode(docs(list(enumerate(texts))), PATH, hot_words=1000).collect()
+    assert len(rows) == len(texts)
+    _same(rows, dict(enumerate(texts)))
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "rare one", 5, "k"), (1, "rare two words", 6, "k"), (1, "rare two words", 7, "k"), (None, "x rare", 8, "k"), (None, "y rarer", 9, "k"), (2, None, 1, "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, at int, key string")
+    library = Tokenizer.from_file(PATH)
+    for hot in (0, 100):
+        got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in wordbpe.encode_and_decode(table, PATH, hot_words=hot).collect())
+        ids = [(str(d), library.encode(t or "", add_special_tokens=False).ids) for d, t, *_ in rows]
+        assert got == sorted((d, i, library.decode(i, skip_special_tokens=False)) for d, i in ids)
+
+
 def test_empty_and_null_ids(docs):
     assert wordbpe.encode_and_decode(docs([]), PATH).collect() == []
     assert [r.doc_id for r in wordbpe.encode_and_decode(docs([(None, "a b")]), PATH, hot_words=0).collect()] == [None]

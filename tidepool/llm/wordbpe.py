@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -14,12 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepool.llm.store import text_key
-
 #: Words that every task gets as an Arrow table, at most (20 MB); they are the most frequent of at most so many rows.
 #: All other words go through joins, so neither number changes the result.
 HOT_WORDS = 400_000
@@ -35,6 +34,9 @@ ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^a-z0-9\x20\x09-\x0
 PLAIN_WORD = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\w\s]|_)+")
 ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f]")
 
+#: Where a text's own row comes among those of its rare words: last.
+LAST = 2**31 - 1
+
 
 @functools.cache
 def _special(path: str) -> tuple[dict[str, int], "re.Pattern | None"]:
@@ -54,15 +56,28 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-@functools.cache
-def _pieces(path: str) -> np.ndarray:
-    """The vocabulary's pieces by id: the table that ids are decoded with."""
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``id, piece``: the vocabulary, special tokens included; the table that ids are decoded with."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
-    pieces = np.full(max(ids.values()) + 1, "", dtype=object)
-    pieces[list(ids.values())] = list(ids)
-    return pieces
+    return spark.createDataFrame(sorted((i, p) for p, i in ids.items()), "id int, piece string")
+
+
+@functools.cache
+def _unknown() -> re.Pattern:
+    """Code points that Python's Unicode tables don't know, but the library's may."""
+    unknown = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
+    cuts = [k for k in range(1, len(unknown)) if unknown[k] != unknown[k - 1] + 1]
+    runs = [unknown[a:b] for a, b in itertools.pairwise([0, *cuts, len(unknown)])]
+    return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]")
+
+
+def _as_the_library(path: str, text: str) -> list[str]:
+    """Words by the file's own normalizer and splitter."""
+    tokenizer = _tokenizer(path)
+    plain = tokenizer.normalizer.normalize_str(text)
+    return [plain[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
 
 def split_words(path: str, text: str | None) -> list[str]:
@@ -72,9 +87,13 @@ def split_words(path: str, text: str | None) -> list[str]:
     for i, part in enumerate(found.split(text or "") if found else [text or ""]):
         if i % 2:
             out.append(" " + part)
-        elif part:
+        elif part.isascii():
+            out += ASCII_WORD.findall(part.lower())
+        elif _unknown().search(part):
+            out += _as_the_library(path, part)
+        else:
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += (ASCII_WORD if part.isascii() else WORD if ODD.search(part) else PLAIN_WORD).findall(part)
+            out += (WORD if ODD.search(part) else PLAIN_WORD).findall(part)
     return out
 
 
@@ -155,31 +174,44 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids binary")
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first; they compress better so."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def encode_and_decode(docs: DataFrame, tokenizer: str, hot_words: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, ids, decoded``: ids as little-endian unsigned 32-bit numbers, and the text that they decode to.
 
     ``docs`` needs ``doc_id`` and ``text``; a null text is an empty one, without ids; repeated rows are repeated; an empty
     table stays empty. Every distinct word is encoded once. The ids of frequent words come from a table that every task
-    has, bounded by ``hot_words``; the others' are joined: the (text, position, word) rows of a word meet in one partition, one after
-    another, where it is encoded once; with its ids they meet their text, by its fingerprint.
+    has, bounded by ``hot_words``; the others' are joined: the (row, position, word) rows of a word meet in one partition, one after
+    another, where it is encoded once; with its ids they meet their row, known by its id and a fingerprint of its text. A text goes
+    there as the numbers of its words in the table. Ids are joined with the table of pieces, which is bounded by the vocabulary and sent to all tasks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    kind = dict(rows.dtypes)["doc_id"]
     count = docs.count()
     sample = rows if count <= sample_rows else rows.sample(sample_rows / count, seed=1)
     frequent = count_words(sample, tokenizer).orderBy(F.desc("n"), "word").limit(hot_words)
     words = encode_words(frequent, tokenizer).toArrow().combine_chunks()
     hot = spark.sparkContext.broadcast(WordTable(pa.array(words.column(0).to_pylist(), pa.string()), words.column(1).to_pylist()))
+    vocabulary = pieces(spark, tokenizer).toArrow().combine_chunks()
+    vocabulary = spark.sparkContext.broadcast((vocabulary.column("id").combine_chunks(), vocabulary.column("piece").combine_chunks()))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                words, ends = _split_all(tokenizer, part.column(0).to_pylist())
+                words, ends = _split_all(tokenizer, part.column(1).to_pylist())
                 at = np.flatnonzero(hot.value.find(words) < 0)
                 text = np.searchsorted(ends, at, side="right") - 1
-                keys = [part.column(i).take(pa.array(text)) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array((at - ends[text]).astype(np.int32)), words.take(pa.array(at))], ["key_a", "key_b", "at", "word"])
+                keys = [part.column(i).take(pa.array(text)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array((at - ends[text]).astype(np.int32)), words.take(pa.array(at))], ["doc_id", "key", "at", "word"])
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, bytes] = {}
@@ -190,37 +222,69 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, hot_words: int = HOT_WORD
             made = last | dict(zip(new, _word_ids(tokenizer, new), strict=True))
             ids = pa.array([made[w] for w in own], pa.binary()).take(coded.indices)
             last = {own[-1]: made[own[-1]]} if own else last
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["key_a", "key_b", "at", "ids"])
-
-    apart = rows.select("text", *text_key(F.col("text"))).mapInArrow(rare, "key_a long, key_b long, at int, word string")
-    apart = apart.repartition("word").sortWithinPartitions("word")
-    found = apart.mapInArrow(encode_rows, "key_a long, key_b long, at int, ids binary")
-    joined = found.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["doc_id", "key", "at", "content"])
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["doc_id", "packed", "key_a", "key_b"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                words, ends = _split_all(tokenizer, part.column(1).to_pylist())
+                places = hot.value.find(words) + 1
+                packed = [pack(_planes(places[a:b])) for a, b in itertools.pairwise(ends.tolist())]
+                at = pa.array(np.full(len(packed), LAST, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), at, pa.array(packed, pa.binary())], ["doc_id", "key", "at", "content"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces, unpack = hot.value, _pieces(tokenizer), zstandard.ZstdDecompressor().decompress
+        known, (ids, pieces), unpack = hot.value, vocabulary.value, zstandard.ZstdDecompressor().decompress
+        held: pa.Table | None = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                words, ends = _split_all(tokenizer, [unpack(x).decode() for x in part.column(1).to_pylist()])
-                lists = part.column(2)
-                text = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                at, ids = (lists.flatten().field(i) for i in (0, 1))
-                places = known.find(words)
-                places[ends[text] + at.to_numpy()] = len(known.size) + np.arange(len(text))
-                joined, stops = known.with_rows(ids.to_pylist()).join(places)
-                stops = np.append(0, stops)[ends]
-                own = [joined[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-                columns = [part.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([" ".join(pieces[x]) for x in own], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    packed = rows.select("doc_id", "text", *text_key(F.col("text"))).mapInArrow(shrink, f"doc_id {kind}, packed binary, key_a long, key_b long")
-    both = packed.join(joined, ["key_a", "key_b"], "left").select("doc_id", "packed", "rare")
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+            held, made = _joined(table, known, unpack)
+            for doc_ids, texts in made:
+                own = pa.array(np.concatenate(texts) if texts else np.zeros(0, "<u4"), pa.uint32())
+                offsets = pa.array(np.cumsum([0, *map(len, texts)]), pa.int32())
+                decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pc.index_in(own.cast(pa.int32()), value_set=ids))), " ")
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.tobytes() for x in texts], pa.binary()), decoded], ["doc_id", "ids", "decoded"])
+
+    schema = f"doc_id {kind}, key long, at int, content binary"
+    apart = rows.select("doc_id", "text", "key").mapInArrow(rare, f"doc_id {kind}, key long, at int, word string")
+    found = apart.repartition("word").sortWithinPartitions("word").mapInArrow(encode_rows, schema)
+    numbered = rows.select("doc_id", "text", "key").mapInArrow(number, schema)
+    both = numbered.unionByName(found).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "at")
     return both.mapInArrow(finish, f"doc_id {kind}, ids binary, decoded string")
+
+
+def _joined(table: pa.Table, known: WordTable, unpack) -> tuple[pa.Table, Iterator[tuple[pa.Array, list[np.ndarray]]]]:
+    """The rare words' rows of the last key, which may go on; and, for some texts at a time, their doc_ids and ids.
+
+    Rows of one key follow each other, first its rare words' (once for each of its texts) by position, then its texts'.
+    """
+    key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
+    doc = table.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+    table = table.filter(pa.array(np.append(True, ~(same & (at[1:] == at[:-1]) & (at[1:] < LAST))))) if len(key) else table
+    key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
+    doc = table.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+    group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    if not len(starts):
+        return table, iter(())
+    size = np.add.reduceat((at < LAST).astype(np.int64), starts)
+    content, texts = table.column("content").combine_chunks(), np.flatnonzero(at == LAST)
+
+    def some() -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        for lo in range(0, len(texts), 500):
+            own = texts[lo : lo + 500]
+            lists = [_numbers(unpack(x)) for x in content.take(pa.array(own)).to_pylist()]
+            ends = np.cumsum([0, *map(len, lists)])
+            n = size[group[own]]
+            row = np.repeat(starts[group[own]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            places = np.concatenate(lists) - 1
+            places[np.repeat(ends[:-1], n) + at[row]] = len(known.size) + np.arange(len(row))
+            joined, stops = known.with_rows(content.take(pa.array(row)).to_pylist()).join(places)
+            stops = np.append(0, stops)[ends]
+            yield table.column("doc_id").combine_chunks().take(pa.array(own)), [joined[a:b] for a, b in itertools.pairwise(stops.tolist())]
+
+    return table.slice(starts[-1], size[-1]), some()
