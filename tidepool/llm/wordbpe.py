@@ -64,13 +64,9 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted((i, p) for p, i in ids.items()), "id int, piece string")
 
 
-@functools.cache
-def _unknown() -> re.Pattern:
-    """Code points that Python's Unicode tables don't know, but the library's may."""
-    unknown = [i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn"]
-    cuts = [k for k in range(1, len(unknown)) if unknown[k] != unknown[k - 1] + 1]
-    runs = [unknown[a:b] for a, b in itertools.pairwise([0, *cuts, len(unknown)])]
-    return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]")
+def _unknown(text: str) -> bool:
+    """Whether there are code points that Python's Unicode tables don't know, but the library's may; texts without any are told by a scan in C, mostly."""
+    return not text.replace("\n", " ").isprintable() and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 def _as_the_library(path: str, text: str) -> list[str]:
@@ -89,7 +85,7 @@ def split_words(path: str, text: str | None) -> list[str]:
             out.append(" " + part)
         elif part.isascii():
             out += ASCII_WORD.findall(part.lower())
-        elif _unknown().search(part):
+        elif _unknown(part):
             out += _as_the_library(path, part)
         else:
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
