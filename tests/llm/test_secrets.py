@@ -88,3 +88,12 @@ def test_redaction(docs, ratios):
     assert out == sorted([(1, 'say [SECRET]" and [SECRET].', 27), (2, None, None), (3, "clean text", 10), (3, "clean text", 10)], key=str)
     assert secrets.redact(docs([]), ratios).collect() == []
     assert secrets.redact(docs(rows), ratios).columns == docs(rows).columns
+
+
+def test_a_very_long_candidate_takes_linear_time(spark, docs):
+    import time
+
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    began = time.time()
+    rows = secrets.find_secrets(docs([(1, "x9Q" * 100_000), (2, "word" * 50_000)]), ratios).collect()
+    assert len(rows) == 2 and time.time() - began < 60

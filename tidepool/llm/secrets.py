@@ -126,7 +126,7 @@ def _steps(token: Column, ratios: list[float], use) -> Column:
     """``use`` of the log ratios of a string's steps."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     place = F.split(F.lit(",".join(str(ALPHABET.find(chr(i))) for i in range(128))), ",").cast("array<int>")
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.get(place, F.ascii(F.substr(token, i, F.lit(1)))))
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.get(place, F.ascii(c)))
     return bind(
         codes,
         lambda c: use(F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.coalesce(F.get(table, a * len(ALPHABET) + b), F.lit(0.0)))),
