@@ -1,19 +1,47 @@
 """Null-aware aggregates. NaN should be NULL (see ``nan_to_null``); NULL is skipped.
 
 Statistics of a group go to its rows by a join, not by a window over the group, so a group's rows are never sorted or
-held together; medians and percentiles are exact by default and approximate, in bounded memory, with ``approx``.
+held together; medians and percentiles are exact by default, from counts of distinct values, and approximate with ``approx``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def median(c: str, approx: bool = False) -> Column:
-    return F.percentile_approx(c, 0.5, 10_000) if approx else F.median(c)
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mapping[str, Column], *more: str) -> DataFrame:
+    """The values at places in each group's order, interpolated: ``at`` has them from 0, as expressions of ``_n``, the values that are there.
+
+    Values are counted before they are shuffled. A window then adds up the counts of distinct values, which Spark can
+    spill, and one aggregation picks those at the places; ``_n`` and ``_distinct`` come too if ``more`` names them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    totals = counts.groupBy(*group).agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
+    up = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_c", F.sum("_k").over(up))
+    counts = counts.join(totals, list(group)) if group else counts.join(F.broadcast(totals))
+    found, places = [F.first(c).alias(c) for c in ("_n", "_distinct")], {}
+    for name, place in at.items():
+        lo = F.floor(place)
+        found += [F.min(F.when(F.col("_c") > lo, F.col(value))).alias(f"_{name}_lo"), F.min(F.when(F.col("_c") > F.least(lo + 1, F.col("_n") - 1), F.col(value))).alias(f"_{name}_hi")]
+        places[name] = F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (place - lo)
+    picked = counts.groupBy(*group).agg(*found)
+    return picked.select(*group, *more, *[c.alias(n) for n, c in places.items()])
+
+
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Mapping[str, float], approx: bool = False) -> DataFrame:
+    """Exact (or approximate) percentiles of each group, interpolated between the values about them."""
+    if approx:
+        return df.groupBy(*group).agg(*[F.percentile_approx(value, p, 10_000).alias(n) for n, p in shares.items()])
+    return order_statistics(df, group, value, {n: (F.col("_n") - 1) * F.lit(p) for n, p in shares.items()})
+
+
+def joined(df: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with their group's statistics; null where a group has none."""
+    return df.join(stats, list(group), "left") if group else df.join(F.broadcast(stats), how="left")
 
 
 def with_stats(df: DataFrame, group: Sequence[str], **stats: Column) -> DataFrame:
@@ -56,7 +84,7 @@ def l2_normalised(df: DataFrame, group: Sequence[str], value: str, out: str) ->
 
 def median_split(df: DataFrame, group: Sequence[str], value: str, out: str, strict: bool = False, approx: bool = False) -> DataFrame:
     """1 where the value is at least (``strict``: above) its group's median, 0 where not, NULL where it is missing."""
-    rows = with_stats(df, group, _m=median(value, approx))
+    rows = joined(df, percentiles(df, group, value, {"_m": 0.5}, approx), group)
     hit = F.col(value) > F.col("_m") if strict else F.col(value) >= F.col("_m")
     return rows.withColumn(out, hit.cast("int")).drop("_m")
 
@@ -79,18 +107,14 @@ def auto_bins(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     2 IQR / n^(1/3), with quartiles that interpolate at (i - 0.5) / n.
     """
 
-    def quartile(p: float) -> Column:
-        at = F.greatest(F.lit(1.0), F.least(F.col("n") * p + 0.5, F.col("n").cast("double")))
-        lo = F.floor(at).cast("int")
-        a, b = F.get("s", lo - 1), F.coalesce(F.get("s", lo), F.get("s", lo - 1))
-        return a + (b - a) * (at - lo)
+    def place(p: float) -> Column:
+        return F.greatest(F.lit(1.0), F.least(F.col("_n") * p + 0.5, F.col("_n").cast("double"))) - 1
 
-    found = df.groupBy(*group).agg(F.count(value).alias("n"), F.countDistinct(value).alias("distinct"), F.sort_array(F.collect_list(value)).alias("s"))
-    iqr = quartile(0.75) - quartile(0.25)
-    width = 2 * iqr / F.pow(F.col("n"), F.lit(1 / 3))
-    spread = F.array_max("s") - F.array_min("s")
-    bins = F.when(F.col("n") < 20, F.ceil(F.col("n") / 4)).when(width > 0, F.round(spread / width)).otherwise(1)
-    return found.select(*group, "n", "distinct", (F.col("distinct") < F.col("n") / 3).alias("discrete"), bins.cast("long").alias("bins"))
+    last = (F.col("_n") - 1).cast("double")
+    found = order_statistics(df, group, value, {"q1": place(0.25), "q3": place(0.75), "least": F.lit(0.0), "most": last}, "_n", "_distinct")
+    width = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("_n"), F.lit(1 / 3))
+    bins = F.when(F.col("_n") < 20, F.ceil(F.col("_n") / 4)).when(width > 0, F.round((F.col("most") - F.col("least")) / width)).otherwise(1)
+    return found.select(*group, F.col("_n").alias("n"), F.col("_distinct").alias("distinct"), (F.col("_distinct") < F.col("_n") / 3).alias("discrete"), bins.cast("long").alias("bins"))
 
 
 def kernel_density(df: DataFrame, group: Sequence[str], value: str, grid: Sequence[float], width: float) -> DataFrame:
@@ -194,8 +218,7 @@ def chi_square(df: DataFrame, group: Sequence[str], row: str, column: str) -> Da
 
 def within_iqr(df: DataFrame, group: Sequence[str], value: str, times: float = 10.0, approx: bool = False) -> DataFrame:
     """Rows whose value is within ``times`` interquartile ranges of the quartiles."""
-    q = (lambda p: F.percentile_approx(value, p, 10_000)) if approx else (lambda p: F.percentile(value, F.lit(p)))
-    rows = with_stats(df, group, _a=q(0.25), _b=q(0.75))
+    rows = joined(df, percentiles(df, group, value, {"_a": 0.25, "_b": 0.75}, approx), group)
     room = (F.col("_b") - F.col("_a")) * times
     return rows.where((F.col(value) >= F.col("_a") - room) & (F.col(value) <= F.col("_b") + room)).drop("_a", "_b")
 

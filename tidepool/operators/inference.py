@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidepool.functions.quantiles import chi2_sf, normal_two_sided
+from tidepool.functions.quantiles import chi2_sf, normal_two_sided, t_quantile
 from tidepool.operators.series import mid_ranks
 
 
@@ -22,12 +22,30 @@ def permutation_p(null: DataFrame, observed: DataFrame, group: Sequence[str], st
     return observed.join(found, list(group), "left").withColumn("p", p).drop("_k", "_n")
 
 
-def _ranked(df: DataFrame, group: Sequence[str], p: str) -> DataFrame:
-    """Rows with ``_i`` (rank) and ``_v`` (number) among the group's p-values that are there."""
-    rows = df.where(F.col(p).isNotNull())
-    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_v"))
-    rows = rows.join(n, list(group)) if group else rows.join(F.broadcast(n))
-    return rows.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(p)))
+#: Ranges that p-values without groups are ranked in.
+RANGES = 64
+
+
+def _ranked(df: DataFrame, group: Sequence[str], p: str) -> tuple[DataFrame, list[str]]:
+    """Distinct p-values with ``_i`` (how many of the group are as low) and ``_v`` (their number), and what keeps tasks apart.
+
+    Without groups, values are dealt into ranges between approximate percentiles, and counts of lower ranges are added, so no task ranks
+    all of them.
+    """
+    counts = df.where(F.col(p).isNotNull()).groupBy(*group, p).agg(F.count(F.lit(1)).alias("_k"))
+    by = list(group)
+    if not group:
+        cuts = counts.agg(F.percentile_approx(p, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
+        counts = counts.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
+        by = ["_range"]
+    inside = F.sum("_k").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    if group:
+        total = counts.groupBy(*group).agg(F.sum("_k").alias("_v"))
+        return counts.join(total, by).withColumn("_i", inside).drop("_k"), by
+    parts = counts.groupBy("_range").agg(F.sum("_k").alias("_s"))  # a row for each range
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_range", before.alias("_before"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("_v"))
+    return counts.join(F.broadcast(parts), "_range").withColumn("_i", F.col("_before") + inside).drop("_k", "_before"), by
 
 
 def _dependence(v: Column, dependent: bool) -> Column:
@@ -37,18 +55,22 @@ def _dependence(v: Column, dependent: bool) -> Column:
 
 def fdr_threshold(df: DataFrame, group: Sequence[str], p: str, q: float, dependent: bool = False) -> DataFrame:
     """``threshold``: the largest p at or below its rank / number x q (over the harmonic sum, if dependent); null if none."""
-    rows = _ranked(df, group, p)
-    rows = rows.withColumn("_c", _dependence(F.col("_v"), dependent))
+    rows = _ranked(df, group, p)[0].withColumn("_c", _dependence(F.col("_v"), dependent))
     return rows.groupBy(*group).agg(F.max(F.when(F.col(p) <= F.col("_i") / F.col("_v") * q / F.col("_c"), F.col(p))).alias("threshold"))
 
 
 def fdr_adjusted(df: DataFrame, group: Sequence[str], p: str, dependent: bool = False) -> DataFrame:
-    """Rows with ``corrected`` (p x number x c / rank) and ``adjusted`` (its running minimum from the largest p, 1 at most)."""
-    rows = _ranked(df, group, p)
-    corrected = F.col(p) * F.col("_v") * _dependence(F.col("_v"), dependent) / F.col("_i")
-    down = Window.partitionBy(*group).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("corrected", corrected)
-    return rows.withColumn("adjusted", F.least(F.lit(1.0), F.min("corrected").over(down))).drop("_i", "_v")
+    """Rows with ``corrected`` (p x number x c / rank, equal values having the last one's rank) and ``adjusted`` (its running minimum from the largest p, 1 at most)."""
+    rows, by = _ranked(df, group, p)
+    rows = rows.withColumn("corrected", F.col(p) * F.col("_v") * _dependence(F.col("_v"), dependent) / F.col("_i"))
+    adjusted = F.min("corrected").over(Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    if not group:
+        after = F.min("_m").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+        least = rows.groupBy("_range").agg(F.min("corrected").alias("_m")).select("_range", after.alias("_after"))
+        rows = rows.join(F.broadcast(least), "_range")
+        adjusted = F.least(adjusted, F.col("_after"))
+    values = rows.select(*group, p, "corrected", F.least(F.lit(1.0), adjusted).alias("adjusted"))
+    return df.join(values, [*group, p])
 
 
 def fdr_grid(df: DataFrame, group: Sequence[str], p: str, points: int = 1000, high: float = 0.1, low: float = 1e-6) -> DataFrame:
@@ -83,34 +105,59 @@ def rank_sum(df: DataFrame, group: Sequence[str], value: str, label: str) -> Dat
     return found.where("n1 > 0 and n0 > 0").select(*group, "n1", "n0", "w", F.when(spread > 0, (d - 0.5 * F.signum(d)) / spread).alias("z"))
 
 
+def _each(f, *columns: pd.Series) -> pd.Series:
+    """``f`` of each distinct combination of values, computed once in a batch; null where any is."""
+    rows = pd.concat(columns, axis=1, keys=range(len(columns)))
+    known = rows.dropna().drop_duplicates()
+    made = known.assign(value=[f(*v) for v in known.itertuples(index=False)])
+    return rows.merge(made, "left")["value"].astype(float)
+
+
 @F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v))
+    return _each(normal_two_sided, z)
 
 
 @F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) else chi2_sf(a, d) for a, d in zip(x, dof, strict=True)])
+    return _each(chi2_sf, x, dof)
+
+
+def t_quantiles(p: float):
+    """The ``p`` quantile of the t distribution with so many degrees of freedom, as a function of a column."""
+
+    @F.pandas_udf(DoubleType())
+    def found(dof: pd.Series) -> pd.Series:
+        return _each(lambda d: t_quantile(p, d), dof)
+
+    return found
+
+
+#: Shuffles of a group that one task makes.
+SHUFFLES = 250
 
 
 def surrogate_differences(df: DataFrame, group: Sequence[str], a: str, b: str, shuffles: int, size: int, seed: int = 0) -> DataFrame:
     """``shuffle, i, diff``: ``size`` values of ``a`` minus ``size`` of ``b``, each a random subset in order, for every shuffle.
 
-    A shuffle's randomness follows from the seed, its number and the group, wherever it runs.
+    A shuffle's randomness follows from the seed, its number and the group, wherever it runs; a task makes ``SHUFFLES`` of a group.
     """
     import numpy as np
 
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shuffle = int(rows["shuffle"].iloc[0])
+        batch = int(rows["_batch"].iloc[0])
         keys = {g: rows[g].iloc[0] for g in group}
-        rng = np.random.default_rng([seed, shuffle, *"|".join(map(str, keys.values())).encode()])
+        name = [*"|".join(map(str, keys.values())).encode()]
         x, y = (np.sort(rows[c].dropna().to_numpy()) for c in (a, b))
-        n = min(size, len(x), len(y))
-        pick = [v[np.sort(rng.permutation(len(v))[:n])] for v in (x, y)]
-        return pd.DataFrame({**keys, "shuffle": shuffle, "i": np.arange(n), "diff": pick[0] - pick[1]})
-
-    rows = df.select(*group, a, b).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+        n, numbers, made = min(size, len(x), len(y)), np.arange(batch * SHUFFLES, min((batch + 1) * SHUFFLES, shuffles)), []
+        for shuffle in numbers:
+            rng = np.random.default_rng([seed, int(shuffle), *name])
+            pick = [v[np.sort(rng.permutation(len(v))[:n])] for v in (x, y)]
+            made.append(pick[0] - pick[1])
+        return pd.DataFrame({**keys, "shuffle": np.repeat(numbers, n), "i": np.tile(np.arange(n), len(numbers)), "diff": np.concatenate(made)})
+
+    rows = df.select(*group, a, b).withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit((shuffles - 1) // SHUFFLES))))
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "shuffle int, i long, diff double"])
-    return rows.groupBy(*group, "shuffle").applyInPandas(run, schema)
+    return rows.groupBy(*group, "_batch").applyInPandas(run, schema)

@@ -1,4 +1,4 @@
-"""Cross-validated models: one task for each (group, permutation), the folds inside it share its matrix."""
+"""Cross-validated models: one task for each group and some permutations, which share its matrix."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ from pyspark.sql.types import DoubleType, StructType
 from tidepool.functions import linmod
 from tidepool.functions.quantiles import clopper_pearson
 
+#: Permutations that one task makes, so a group's matrix goes to the tasks once for so many.
+BATCH = 20
+
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
 
@@ -73,30 +76,36 @@ def _out_of_fold(x: np.ndarray, y: np.ndarray, fit: Fit, folds: list[np.ndarray]
     return out
 
 
+def _batched(df: DataFrame, permutations: int) -> DataFrame:
+    """Rows once for each batch of permutations."""
+    return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(permutations // BATCH))))
+
+
 def cross_validated(
     df: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", folds: int = 0, gap: int = 0, permutations: int = 0, seed: int = 0, scaling: str = "global"
 ) -> DataFrame:
     """``permutation, order, truth, score`` of out-of-fold predictions; ``folds`` 0: leave one out. Permutation 0 keeps the labels.
 
-    A group's rows are a small matrix (a participant's recordings). Every permutation is a task of its own, whose random numbers follow from
-    the seed and its number.
+    A group's rows are a small matrix (a participant's recordings). A task makes ``BATCH`` permutations of it; their random numbers follow
+    from the seed and the permutation's number.
     """
     kinds = dict(df.dtypes)
     fit = MODELS[model]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        perm = int(rows["permutation"].iloc[0])
-        rows, m, t = _matrix(rows, x, y, order)
-        if perm:
-            t = np.random.default_rng([seed, perm]).permutation(t)
-        parts = np.array_split(np.arange(len(t)), folds or len(t))
-        score = _out_of_fold(m, t, fit, [p for p in parts if len(p)], gap, scaling)
-        return pd.DataFrame({**{g: rows[g].to_numpy() for g in group}, "permutation": perm, order: rows[order].to_numpy(), "truth": t, "score": score})
+        batch = int(rows["_batch"].iloc[0])
+        rows, m, truth = _matrix(rows, x, y, order)
+        parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
+        made = []
+        for perm in range(batch * BATCH, min((batch + 1) * BATCH, permutations + 1)):
+            t = np.random.default_rng([seed, perm]).permutation(truth) if perm else truth
+            score = _out_of_fold(m, t, fit, parts, gap, scaling)
+            made.append(pd.DataFrame({**{g: rows[g].to_numpy() for g in group}, "permutation": perm, order: rows[order].to_numpy(), "truth": t, "score": score}))
+        return pd.concat(made)
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
-    rows = ok.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    out = rows.groupBy(*group, "permutation").applyInPandas(run, schema)
+    out = _batched(ok, permutations).groupBy(*group, "_batch").applyInPandas(run, schema)
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
@@ -130,20 +139,21 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
     fit = MODELS[model]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        perm = int(rows["permutation"].iloc[0])
-        _, a, t = _matrix(rows[~rows["is_test"]], x, y, order)
+        batch = int(rows["_batch"].iloc[0])
+        _, a, own = _matrix(rows[~rows["is_test"]], x, y, order)
         held, b, truth = _matrix(rows[rows["is_test"]], x, y, order)
-        if perm:
-            t = np.random.default_rng([seed, perm]).permutation(t)
-        score = fit(_standardised(a), t)(_standardised(b, a)) if len(np.unique(t)) > 1 else np.full(len(b), np.nan)
-        return pd.DataFrame({**{g: held[g].to_numpy() for g in group}, "permutation": perm, order: held[order].to_numpy(), "truth": truth, "score": score})
+        z, there, made = _standardised(a), _standardised(b, a), []
+        for perm in range(batch * BATCH, min((batch + 1) * BATCH, permutations + 1)):
+            t = np.random.default_rng([seed, perm]).permutation(own) if perm else own
+            score = fit(z, t)(there) if len(np.unique(t)) > 1 else np.full(len(b), np.nan)
+            made.append(pd.DataFrame({**{g: held[g].to_numpy() for g in group}, "permutation": perm, order: held[order].to_numpy(), "truth": truth, "score": score}))
+        return pd.concat(made)
 
     both = train.select(*group, order, x, y, F.lit(False).alias("is_test")).unionByName(test.select(*group, order, x, y, F.lit(True).alias("is_test")))
     sides = both.groupBy(*group).agg(F.countDistinct("is_test").alias("_s")).where("_s = 2").select(*group)
     both = both.where(F.col(y).isNotNull()).join(sides, list(group), "left_semi")
-    rows = both.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    return rows.groupBy(*group, "permutation").applyInPandas(run, schema)
+    return _batched(both, permutations).groupBy(*group, "_batch").applyInPandas(run, schema)
 
 
 @F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))
@@ -151,3 +161,15 @@ def share_limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Clopper-Pearson limits, rounded to 3 digits."""
     made = [clopper_pearson(int(a), int(b)) if b else (np.nan, np.nan) for a, b in zip(k, n, strict=True)]
     return pd.DataFrame(np.round(made, 3), columns=["low", "high"])
+
+
+def shrinkage(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
+    """``intensity, trace`` of each group's covariance, shrunk to a multiple of the identity."""
+    kinds = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cov, intensity = linmod.ledoit_wolf(np.stack(rows[x]))
+        return pd.DataFrame({**{g: rows[g].iloc[:1] for g in group}, "intensity": intensity, "trace": np.trace(cov)})
+
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "intensity double, trace double"])
+    return df.where(F.col(x).isNotNull()).select(*group, x).groupBy(*group).applyInPandas(run, schema)

@@ -12,11 +12,9 @@ from tidepool.operators import agg
 
 def box(df: DataFrame, group: Sequence[str], value: str, approx: bool = False) -> DataFrame:
     """``n, mean, sd, sem_low, sem_high, q1, median, q3`` of each group."""
-    q = (lambda p: F.percentile_approx(value, p, 10_000)) if approx else (lambda p: F.percentile(value, F.lit(p)))
     e = agg.sem(value) * 1.96
-    return df.groupBy(*group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.avg(value) - e).alias("sem_low"), (F.avg(value) + e).alias("sem_high"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3")
-    )
+    moments = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.avg(value) - e).alias("sem_low"), (F.avg(value) + e).alias("sem_high"))
+    return agg.joined(moments, agg.percentiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, approx), group)
 
 
 def spread_points(df: DataFrame, group: Sequence[str], order: str, value: str, bins: int = 10, width: float = 0.5) -> DataFrame:

@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 def within(left: DataFrame, right: DataFrame, t: str, tolerance: int, keys: Sequence[str] = (), how: str = "left_semi") -> DataFrame:
     """Rows of ``left`` with (``left_semi``) or without (``left_anti``) a row of ``right`` at most ``tolerance`` away.
 
-    Time is cut into buckets of the tolerance; the right side's distinct times go into their own bucket and the two
-    beside it. So it is a join on equal keys, which Spark can shuffle, and no loop over all pairs.
+    Time is cut into buckets of the tolerance. Of the right side, a bucket has one row: whether it has times itself, the last of
+    the bucket before and the first of the one after. So it is a join of equal keys with at most one match, however many times a bucket holds.
     """
     size = max(tolerance, 1)
-    bucket = F.floor(F.col(t) / size)
-    other = right.select(*keys, F.col(t).alias("_t")).distinct()
-    other = other.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_t") / size) + i for i in (-1, 0, 1)])))
-    rows = left.withColumn("_b", bucket)
-    on = [rows[k] == other[k] for k in keys] + [rows["_b"] == other["_b"], F.abs(rows[t] - other["_t"]) <= tolerance]
-    return rows.join(other, on, how).drop("_b")
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    other = right.groupBy(*own, F.floor(F.col(t) / size).alias("_b")).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    sides = [
+        F.struct(F.col("_b").alias("b"), F.lit(True).alias("own"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after")),
+        F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("own"), F.col("_hi").alias("before"), F.lit(None).cast("long").alias("after")),
+        F.struct((F.col("_b") - 1).alias("b"), F.lit(False).alias("own"), F.lit(None).cast("long").alias("before"), F.col("_lo").alias("after")),
+    ]
+    named = [f"_k{i}" for i in range(len(keys))]
+    other = other.select(*named, F.explode(F.array(*sides)).alias("_s")).groupBy(*named, F.col("_s.b").alias("_b"))
+    other = other.agg(F.max("_s.own").alias("_own"), F.max("_s.before").alias("_before"), F.min("_s.after").alias("_after"))
+    rows = left.withColumn("_at", F.floor(F.col(t) / size))
+    near = other["_own"] | (other["_before"] >= rows[t] - tolerance) | (other["_after"] <= rows[t] + tolerance)
+    on = [rows[k] == other[n] for k, n in zip(keys, named, strict=True)] + [rows["_at"] == other["_b"], F.coalesce(near, F.lit(False))]
+    return rows.join(other, on, how).drop("_at")
 
 
 def nearest(left: DataFrame, right: DataFrame, t: str, keys: Sequence[str], value: str) -> DataFrame:

@@ -6,14 +6,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
-from tidepool.functions import dsp, features, linmod
+from tidepool.functions import dsp, features
 from tidepool.operators import agg, inference, models, plotdata, select, series, sets, spectral, statespace, timejoin
 from tidepool.plans import analyses
 from tidepool.plans import recordings as recording_plans
@@ -28,6 +27,22 @@ SQL: dict[str, str] = {}
 EV = "with ev as (select event_id, user_id, event_type, ts, epoch_us(ts) t, value, case when event_id % 7 = 0 then null else value end nv from events)"
 
 
+def area(to: str, density: str, steps: int = 600) -> str:
+    """SQL for the integral of a density (of ``x``) from 0, by Simpson's rule."""
+    at = density.replace("x", f"({to}) * i / {steps}e0")
+    return f"(({to}) / {3 * steps}e0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: (case when i in (0, {steps}) then 1 when i % 2 = 1 then 4 else 2 end) * ({at}))))"
+
+
+def normal_p(z: str) -> str:
+    """SQL for the two-sided normal tail."""
+    return f"(1 - 2 * {area(f'abs({z})', '0.3989422804014327e0 * power(2.718281828459045e0, -power(x, 2) / 2)')})"
+
+
+def impulse_response(sos, taps: int) -> str:
+    """A causal filter's response as an SQL list."""
+    return "[" + ", ".join(f"{v:.17e}" for v in dsp.filter_sections(sos, [1.0] + [0.0] * (taps - 1))[0]) + "]"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -83,9 +98,11 @@ def a8_result_matrix(spark, d):
     return m.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "view")])
 
 
-@query()
+@query("select range id, true near from range(1000)")
 def a11_linear_data(spark, d):
-    return readers.linear_data(spark, 1000, [1.0, 2.0, 0.5, -1.0, 3.0], 0.1).select("id", "y")
+    weights = [1.0, 2.0, 0.5, -1.0, 3.0]
+    exact = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
+    return readers.linear_data(spark, 1000, weights, 0.1).select("id", (F.abs(F.col("y") - exact) < 0.8).alias("near"))
 
 
 @query("select user_id, [max(value) filter (where event_type = 'click'), max(value) filter (where event_type = 'view')] \"values\" from events group by user_id")
@@ -293,7 +310,9 @@ def d1_weighted_sums(spark, d):
 
 @query(EV + " select user_id, round(avg(nv), 6) \"mean\", round(stddev_samp(nv), 6) sd, round(median(nv), 6) med from ev group by user_id")
 def d2_moments(spark, d):
-    return events(spark, d).groupBy("user_id").agg(r(F.avg("nv")).alias("mean"), r(F.stddev_samp("nv")).alias("sd"), r(agg.median("nv")).alias("med"))
+    e = events(spark, d)
+    moments = e.groupBy("user_id").agg(r(F.avg("nv")).alias("mean"), r(F.stddev_samp("nv")).alias("sd"))
+    return agg.joined(moments, agg.percentiles(e, U, "nv", {"med": 0.5}), U).withColumn("med", r("med"))
 
 
 @query(EV + " select user_id, round(stddev_samp(nv) / sqrt(count(nv)), 6) sem, round(stddev_samp(nv) / sqrt(count(*)), 6) sem_all from ev group by user_id")
@@ -301,14 +320,17 @@ def d3_sem(spark, d):
     return events(spark, d).groupBy("user_id").agg(r(agg.sem("nv")).alias("sem"), r(agg.sem("nv", True)).alias("sem_all"))
 
 
-@query()
+@query(
+    EV.replace("with ev", "with recursive ev")
+    + f""", s as (select user_id, count(*) n, stddev_samp(nv) sd from ev group by user_id having count(*) > 1), z as (select distinct n, n - 1e0 v, lgamma(n / 2e0) - lgamma((n - 1) / 2e0) - ln((n - 1) * pi()) / 2 c from s),
+b(n, v, c, lo, hi, k) as (select n, v, c, 0e0, 100e0, 0 from z union all select n, v, c, case when inside < 0.475e0 then mid else lo end, case when inside < 0.475e0 then hi else mid end, k + 1
+  from (select *, {area('mid', 'power(2.718281828459045e0, c - (v + 1) / 2 * ln(1 + power(x, 2) / v))')} inside from (select *, (lo + hi) / 2 mid from b where k < 50)))
+select user_id, n, round(lo * sd / sqrt(n), 6) half_width from s join b using (n) where k = 50"""
+)
 def d4_t_interval(spark, d):
-    from tidepool.functions.quantiles import t_quantile
-
     s = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("nv").alias("sd")).where("n > 1")
-    sizes = s.groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
-    quantile = F.udf(lambda n: t_quantile(0.975, n - 1), "double")
-    return s.join(sizes.select("n", quantile("n").alias("q")), "n").select("user_id", "n", (F.col("q") * F.col("sd") / F.sqrt("n")).alias("half_width"))
+    q = inference.t_quantiles(0.975)(F.col("n") - 1)
+    return s.select("user_id", "n", r(q * F.col("sd") / F.sqrt("n")).alias("half_width"))
 
 
 @query(EV + " select event_id, round((nv - avg(nv) over w) / stddev_samp(nv) over w, 6) z from ev window w as (partition by user_id)")
@@ -475,8 +497,8 @@ def d31_summary(spark, d):
 
 @query("select event_type, round(quantile_cont(value, 0.01), 6) low, round(quantile_cont(value, 0.99), 6) high from events group by event_type")
 def d32_color_limits(spark, d):
-    p = lambda x: r(F.percentile("value", F.lit(x)))
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.01).alias("low"), p(0.99).alias("high"))
+    p = agg.percentiles(table(spark, d, "events"), ["event_type"], "value", {"low": 0.01, "high": 0.99})
+    return p.select("event_type", r("low").alias("low"), r("high").alias("high"))
 
 
 @query(LABELLED + ", k as (select *, rank() over (partition by user_id order by s) + (count(*) over (partition by user_id, s) - 1) / 2e0 r from s) select user_id, round((sum(r) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2e0) / nullif(count(*) filter (where y = 1) * count(*) filter (where y = 0), 0), 9) auc from k group by user_id")
@@ -510,9 +532,28 @@ def e2_smoothed(spark, d):
     return series.smoothed(events(spark, d), U, TE, "nv", 5, "smooth").select("event_id", r("smooth").alias("smooth"))
 
 
-@query()
+def _middle(h0: str, d0: str, h1: str, d1: str) -> str:
+    w0, w1 = f"(2 * {h1} + {h0})", f"({h1} + 2 * {h0})"
+    return f"case when {d0} * {d1} <= 0 then 0 else ({w0} + {w1}) / ({w0} / {d0} + {w1} / {d1}) end"
+
+
+def _end(h0: str, d0: str, h1: str, d1: str) -> str:
+    s = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"case when {d1} is null then {d0} when {s} * {d0} <= 0 then 0 when {d0} * {d1} <= 0 and abs({s}) > 3 * abs({d0}) then 3 * {d0} else {s} end"
+
+
+@query(
+    EV
+    + f""", y as (select user_id, t x, avg(nv) y from ev where nv is not null group by 1, 2),
+n as (select *, lag(x) over w xm, lag(y) over w ym, lead(x) over w x1, lead(y) over w y1, lead(x, 2) over w x2, lead(y, 2) over w y2, min(x) over (partition by user_id) o from y window w as (partition by user_id order by x)),
+d as (select *, (x1 - x) * 1e0 h, (y1 - y) / (x1 - x) d, (x - xm) * 1e0 h0, (y - ym) / (x - xm) d0, (x2 - x1) * 1e0 h2, (y2 - y1) / (x2 - x1) d2 from n where x1 is not null),
+m as (select *, case when xm is null then {_end('h', 'd', 'h2', 'd2')} else {_middle('h0', 'd0', 'h', 'd')} end m0, case when x2 is null then {_end('h', 'd', 'h0', 'd0')} else {_middle('h', 'd', 'h2', 'd2')} end m1 from d),
+k as (select *, unnest(range(cast(ceil((x - o) / 86400e6) as bigint), cast(ceil((x1 - o) / 86400e6) as bigint) + case when x2 is null and (x1 - o) % 86400000000 = 0 then 1 else 0 end)) k from m),
+s as (select *, o + k * 86400000000 at_, (o + k * 86400000000 - x) / h s from k)
+select user_id, at_ t, round((1 + 2 * s) * (1 - s) * (1 - s) * y + s * (1 - s) * (1 - s) * h * m0 + s * s * (3 - 2 * s) * y1 + s * s * (s - 1) * h * m1, 6) "value" from s"""
+)
 def e3_resampled(spark, d):
-    return series.resampled(events(spark, d), U, "t", "nv", 86_400_000_000)
+    return series.resampled(events(spark, d), U, "t", "nv", 86_400_000_000).withColumn("value", r("value"))
 
 
 @query(
@@ -525,10 +566,21 @@ def e4_autocovariance(spark, d):
     return a.select("user_id", F.col("lag").cast("long").alias("lag"), r("acov", 4).alias("acov"))
 
 
-@query()
+def _levinson(group: str, lags: int, scale: str) -> str:
+    """SQL of the recursion over the autocovariances of ``value``, in order of event_id."""
+    return f"""with recursive x as (select {group} g, event_id, value - avg(value) over (partition by {group}) x, count(*) over (partition by {group}) n, row_number() over (partition by {group} order by event_id) i from events),
+v as (select a.g, l.lag, sum(a.x * b.x) / max({scale}) v, max(a.n) n from x a join (select unnest(range(0, {lags + 1})) lag) l on true join x b on b.g = a.g and b.i = a.i + l.lag group by 1, 2),
+c as (select g, max(n) n, list(v order by lag) c from v group by g),
+k(g, n, c, a, e, k, r) as (select g, n, c, cast([] as double[]), c[1], 0, 0e0 from c union all
+  select g, n, c, list_append(list_transform(range(1, k + 1), lambda j: a[j] - q * a[k + 1 - j]), q), e * (1 - q * q), k + 1, q
+  from (select *, case when e > 0 then (c[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: a[j] * c[k + 2 - j])), 0)) / e else 0 end q from k where k < len(c) - 1))
+select g {group}, cast(k as integer) lag, round(r, 6) pacf, abs(r) > 1.959963984540054e0 / sqrt(greatest(n - 1 - k, 1)) significant from k where k > 0"""
+
+
+@query(_levinson("user_id", 8, "1"))
 def e6_pacf(spark, d):
     a = series.autocovariance(events(spark, d), U, "event_id", "value", 8, "coeff")
-    return series.partial_autocorrelation(a, U)
+    return series.partial_autocorrelation(a, U).withColumn("pacf", r("pacf"))
 
 
 @query(
@@ -717,6 +769,9 @@ def k7_fdr_adjusted(spark, d):
     return a.groupBy("user_id", "p").agg(r(F.min("adjusted"), 9).alias("adjusted"))
 
 
+#: Shuffles of surrogate tests and permutations of models.
+SHUFFLES, PERMUTATIONS = 1000, 100
+
 RANK = LABELLED + ", k as (select *, rank() over (partition by user_id order by s) + (count(*) over (partition by user_id, s) - 1) / 2e0 r from s), t as (select user_id, sum(c * c * c - c) t from (select user_id, count(*) c from s group by user_id, s) group by 1), w as (select user_id, count(*) filter (where y = 1) n1, count(*) filter (where y = 0) n0, sum(r) filter (where y = 1) w from k group by 1), z as (select *, sqrt(n1 * n0 / 12e0 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1)))) sp, w - n1 * (n1 + n0 + 1) / 2e0 dd from w join t using (user_id) where n1 > 0 and n0 > 0)"
 
 
@@ -725,22 +780,35 @@ def k8_rank_sum(spark, d):
     return inference.rank_sum(labelled(spark, d), U, "s", "y").select("user_id", "n1", "n0", "w", r("z").alias("z"))
 
 
-@query()
+#: Adjusted p-values of a table ``p0(..., p)``, all in one family: ``adjusted``.
+FAMILY = "k as (select *, row_number() over (order by p) i, count(*) over () v from p0 where p is not null), f as (select *, least(1, min(p * v / i) over (order by i desc)) adjusted from k)"
+
+
+@query(RANK + f", p0 as (select user_id, {normal_p('(dd - 0.5 * sign(dd)) / sp')} p from z where sp > 0), {FAMILY.replace('k as', 'kk as').replace('from k)', 'from kk)')} select user_id, round(p, 6) p, round(adjusted, 6) adjusted from f")
 def k8_rank_sum_p(spark, d):
     z = inference.rank_sum(labelled(spark, d), U, "s", "y").withColumn("p", inference.two_sided_p("z"))
-    return inference.fdr_adjusted(z, [], "p")
+    return inference.fdr_adjusted(z, [], "p").select("user_id", r("p").alias("p"), r("adjusted").alias("adjusted"))
 
 
 @query()
 def k9_surrogates(spark, d):
     e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "click", F.col("value")).alias("a"), F.when(F.col("event_type") == "view", F.col("value")).alias("b"))
-    return inference.surrogate_differences(e, U, "a", "b", 10, 5)
+    return inference.surrogate_differences(e, U, "a", "b", SHUFFLES, 5)
 
 
-@query()
+CHI = (
+    """with c as (select user_id, event_type a, value > 100 b, count(*) o from events group by 1, 2, 3), x as (select *, sum(o) over (partition by user_id, a) r, sum(o) over (partition by user_id, b) k from c),
+q as (select user_id, sum(o) * (sum(o * o / (r * k)) - 1) chi2, (count(distinct a) - 1) * (count(distinct b) - 1) dof from x group by 1), """
+    + f"p0 as (select *, case dof when 1 then {normal_p('sqrt(chi2)')} when 2 then exp(-chi2 / 2) when 3 then {normal_p('sqrt(chi2)')} + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) when 4 then exp(-chi2 / 2) * (1 + chi2 / 2) end p from q where dof > 0), "
+    + FAMILY
+)
+
+
+@query(CHI + ", g as (select power(10e0, -6 + 5e0 * unnest(range(0, 1000)) / 999) q) select user_id, max(round(chi2, 6)) chi2, max(dof) dof, round(max(p), 6) p, round(coalesce(min(q), 1), 9) q from f left join g on g.q >= adjusted * (1 - 1e-9) group by user_id")
 def k10_chi_square_p(spark, d):
     c = agg.chi_square(table(spark, d, "events").withColumn("high", F.col("value") > 100), U, "event_type", "high")
-    return inference.fdr_grid(c.where("dof > 0").withColumn("p", inference.chi2_p("chi2", "dof")), [], "p")
+    g = inference.fdr_grid(c.where("dof > 0").withColumn("p", inference.chi2_p("chi2", "dof")), [], "p")
+    return g.select("user_id", r("chi2").alias("chi2"), "dof", r("p").alias("p"), r("q", 9).alias("q"))
 
 
 @query("select event_id, case when value / 1000 < 0.05 then '***' else '' end stars from events")
@@ -846,9 +914,13 @@ def h13_fir(spark, d):
     return spectral.fir_filtered(recordings(spark, d), U, "samples", 16.0, 2.0, 6.0)
 
 
-@query()
+LOW_PASS = dsp.butterworth(4, 4.0, 16.0, "lowpass")
+
+
+@query(f"with h as (select {impulse_response(LOW_PASS, 90)} h), s as (select user_id, list(value order by ts, event_id) v from events group by 1) select user_id, list_transform(range(1, len(v) + 1), lambda i: round(list_sum(list_transform(range(0, least(i, 90)), lambda k: h[k + 1] * v[i - k])), 6)) samples from s, h")
 def h15_filtered(spark, d):
-    return spectral.filtered(recordings(spark, d), U, "samples", [dsp.butterworth(4, 4.0, 16.0, "lowpass")])
+    done = spectral.filtered(recordings(spark, d), U, "samples", [LOW_PASS])
+    return done.select("user_id", F.transform("samples", lambda v: F.round(v, 6)).alias("samples"))
 
 
 @query()
@@ -922,7 +994,7 @@ def m7_ridge(spark, d):
 @query()
 def m10_hold_out(spark, d):
     rows = series.chronological_split(classed(spark, d), ["subject"], ["vec_id"])
-    return models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=5)
+    return models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=PERMUTATIONS)
 
 
 @query()
@@ -936,7 +1008,7 @@ def m11_transfer(spark, d):
 @query()
 def m12_grid(spark, d):
     subsets = {"all": range(WIDTH), "left": range(WIDTH // 2), "right": range(WIDTH // 2, WIDTH)}
-    g = analyses.grid(vectors(spark, d), "subject", "vec_id", "x", "score", subsets, permutations=5, folds=10)
+    g = analyses.grid(vectors(spark, d), "subject", "vec_id", "x", "score", subsets, permutations=PERMUTATIONS, folds=10)
     return g.withColumn("result", C.result_text("auc", "p"))
 
 
@@ -962,7 +1034,7 @@ def m16_coefficients(spark, d):
 
 @query()
 def k1_permutations(spark, d):
-    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10, permutations=10)
+    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10, permutations=PERMUTATIONS)
     areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
     own = areas.where("permutation = 0").drop("permutation")
     return inference.permutation_p(areas.where("permutation > 0"), own, ["subject"], "auc")
@@ -970,7 +1042,7 @@ def k1_permutations(spark, d):
 
 @query()
 def v6_swarm(spark, d):
-    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=5, permutations=5)
+    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
     areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
     return plotdata.swarm(areas.where("permutation > 0"), areas.where("permutation = 0"), ["subject"], "auc")
 
@@ -979,10 +1051,10 @@ def v6_swarm(spark, d):
 
 
 def state_series(spark, d):
-    """Two-dimensional series of ten groups of users, in order of time."""
-    e = events(spark, d).withColumn("subject", F.col("user_id") % 10)
+    """Each user's two-dimensional series, in order of time, in recordings of six samples."""
+    e = events(spark, d).withColumnRenamed("user_id", "subject")
     n = series.numbered(e, ["subject"], TE)
-    return n.select("subject", "i", F.array("value", (F.col("user_id") % 7).cast("double")).alias("x"), F.floor(F.col("i") / 20).alias("recording"))
+    return n.select("subject", "i", F.array("value", F.length("event_type").cast("double")).alias("x"), F.floor(F.col("i") / 6).alias("recording"))
 
 
 @query(EV + ", n as (select user_id, row_number() over (partition by user_id order by t, event_id) - 1 i, value a, lead(value) over (partition by user_id order by t, event_id) b from ev) select user_id, i, [a, b] h from n where b is not null")
@@ -1019,7 +1091,7 @@ def j10_mean_power(spark, d):
 def m19_state_decoding(spark, d):
     s = state_series(spark, d)
     score = s.groupBy("subject", "recording").agg(F.avg(F.col("x")[0]).alias("y"))
-    return analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", 3, range(1, 3), permutations=3)
+    return analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", 3, range(1, 3), permutations=PERMUTATIONS)
 
 
 # Streams ----------------------------------------------------------------------------------------
@@ -1027,9 +1099,9 @@ def m19_state_decoding(spark, d):
 
 def _streamed(spark, frame: DataFrame, name: str) -> DataFrame:
     """What a stream yields until its input ends."""
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    path = writers.scratch_path(spark, name)
+    frame.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def event_stream(spark, d):
@@ -1038,19 +1110,24 @@ def event_stream(spark, d):
     return files.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-@query()
+STREAM_PASS = dsp.butterworth(2, 2.0, 16.0, "lowpass")
+IN_ORDER = "s as (select user_id, list(epoch_us(ts) order by ts) t, list(value order by ts) v from events group by 1), n as (select *, unnest(range(1, len(v) + 1)) i from s)"
+
+
+@query(f"with h as (select {impulse_response(STREAM_PASS, 120)} h), {IN_ORDER} select user_id, t[i] t, round(list_sum(list_transform(range(0, least(i, 120)), lambda k: h[k + 1] * v[i - k])), 6) \"value\" from n, h")
 def t1_filter_stream(spark, d):
     rows = event_stream(spark, d).withColumn("t", F.unix_micros("ts"))
-    return _streamed(spark, stateful.filter_stream(rows, "user_id", "t", "value", dsp.butterworth(2, 2.0, 16.0, "lowpass")), "filtered")
+    return _streamed(spark, stateful.filter_stream(rows, "user_id", "t", "value", STREAM_PASS), "filtered").withColumn("value", r("value"))
 
 
-@query()
+@query(f"with {IN_ORDER} select user_id, t[i] t, [round(coalesce(list_sum(list_transform(range(1, i), lambda k: 0.3e0 * power(0.6e0, i - 1 - k) * v[k])), 0), 6)] state from n")
 def t2_kalman_stream(spark, d):
     import numpy as np
 
     rows = event_stream(spark, d).select("user_id", F.unix_micros("ts").alias("t"), F.array("value").alias("x"))
     a, c, k = np.array([[0.9]]), np.array([[1.0]]), np.array([[0.3]])
-    return _streamed(spark, stateful.kalman_stream(rows, "user_id", "t", "x", a, c, k), "states")
+    found = _streamed(spark, stateful.kalman_stream(rows, "user_id", "t", "x", a, c, k), "states")
+    return found.withColumn("state", F.transform("state", lambda v: F.round(v, 6)))
 
 
 @query("select event_type, epoch_us(date_trunc('day', ts)) \"start\", count(value) n, round(avg(value * value), 6) power from events group by event_type, date_trunc('day', ts) having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 day from events)")
@@ -1092,10 +1169,10 @@ def b11_not_empty(spark, d):
     return table(spark, d, "events").where(F.nullif("event_type", F.lit("")).isNotNull()).select("event_id")
 
 
-@query()
+@query(_levinson("event_type", 5, "a.n"))
 def e5_durbin_levinson(spark, d):
     a = series.autocovariance(events(spark, d), ["event_type"], "event_id", "value", 5)
-    return series.partial_autocorrelation(a, ["event_type"])
+    return series.partial_autocorrelation(a, ["event_type"]).withColumn("pacf", r("pacf"))
 
 
 @query("select l_orderkey, list(l_linenumber order by l_linenumber desc) sizes from lineitem group by l_orderkey")
@@ -1131,17 +1208,15 @@ def h22_synced_temperature(spark, d):
     return recording_plans.synced_temperature(marks, e.select("user_id", "t", "value"), "t", U, "value", 16.0, 3_600_000_000)
 
 
-@query()
+@query(
+    """with e as (select cast(floor(vec_id / 100) as bigint) subject, vec_id, cast(embedding as double[]) e from embeddings), u as (select subject, vec_id, unnest(e) x, generate_subscripts(e, 1) i from e),
+c as (select subject, vec_id, i, x - avg(x) over (partition by subject, i) x from u), v as (select subject, vec_id, list(x order by i) x, sum(x * x) q, count(*) p from c group by 1, 2),
+s as (select a.subject, sum(power(list_dot_product(a.x, b.x), 2)) ss from v a join v b using (subject) group by 1), t as (select subject, count(*) n, max(p) p, sum(q) / count(*) tr, sum(q * q) / count(*) qq from v group by 1)
+select subject, round(greatest(0, least(1, (qq - ss / n / n) / n / (ss / n / n - tr * tr / p))), 6) intensity, round(tr, 6) "trace" from s join t using (subject)"""
+)
 def m3_shrinkage(spark, d):
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        cov, intensity = linmod.ledoit_wolf(np.stack(rows["x"]))
-        return pd.DataFrame({"subject": rows["subject"].iloc[:1], "intensity": intensity, "trace": np.trace(cov)})
-
-    return vectors(spark, d).select("subject", "x").groupBy("subject").applyInPandas(run, "subject long, intensity double, trace double")
+    m = models.shrinkage(vectors(spark, d), ["subject"], "x")
+    return m.select("subject", r("intensity").alias("intensity"), r("trace").alias("trace"))
 
 
 @query()
@@ -1170,7 +1245,7 @@ def m18_acute_decoding(spark, d):
 @query()
 def k2_k3_null_table(spark, d):
     rows = series.chronological_split(classed(spark, d), ["subject"], ["vec_id"])
-    scored = models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=10)
+    scored = models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=PERMUTATIONS)
     areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
     return inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), ["subject"], "auc", strict=False)
 

@@ -13,19 +13,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidepool.functions import dsp, ssm
 
 
+#: What a channel keeps: the recursion's numbers, and the time of its last row.
+STATE = "held array<double>, last long"
+
+
+def _in_time(state: GroupState, batches: Iterator[pd.DataFrame], t: str) -> tuple[pd.DataFrame, np.ndarray | None]:
+    """A chunk's rows in order, without those before the channel's last one: their turn is over, a recursion can't go back."""
+    rows = pd.concat(list(batches)).sort_values(t)
+    if not state.exists:
+        return rows, None
+    held, last = state.get
+    return rows[rows[t] >= last], np.array(held)
+
+
+def _keep(state: GroupState, held: np.ndarray, times: pd.Series) -> None:
+    state.update((held.ravel().tolist(), int(times.iloc[-1])))
+
+
 def filter_stream(df: DataFrame, channel: str, t: str, value: str, sos: np.ndarray) -> DataFrame:
-    """``channel, t, value``: a causal filter over each channel of a stream; chunks must come in order of time."""
+    """``channel, t, value``: a causal filter over each channel of a stream; ``t`` is a bigint; rows that come after later ones' chunk are dropped."""
     kinds = dict(df.dtypes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(t)
+        rows, held = _in_time(state, batches, t)
+        if rows.empty:
+            return
         y, held = dsp.filter_sections(sos, rows[value].to_numpy(float), held)
-        state.update((held.ravel().tolist(),))
+        _keep(state, held, rows[t])
         yield pd.DataFrame({channel: key[0], t: rows[t].to_numpy(), value: y})
 
     schema = f"{channel} {kinds[channel]}, {t} {kinds[t]}, {value} double"
-    return df.select(channel, t, value).groupBy(channel).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return df.select(channel, t, value).groupBy(channel).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def kalman_stream(df: DataFrame, channel: str, t: str, x: str, a: np.ndarray, c: np.ndarray, k: np.ndarray) -> DataFrame:
@@ -33,14 +51,15 @@ def kalman_stream(df: DataFrame, channel: str, t: str, x: str, a: np.ndarray, c:
     kinds = dict(df.dtypes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(t)
+        rows, held = _in_time(state, batches, t)
+        if rows.empty:
+            return
         states, _, held = ssm.kalman(np.stack([np.asarray(v, float) for v in rows[x]]), a, c, k, held)
-        state.update((held.tolist(),))
+        _keep(state, held, rows[t])
         yield pd.DataFrame({channel: key[0], t: rows[t].to_numpy(), "state": states.tolist()})
 
     schema = f"{channel} {kinds[channel]}, {t} {kinds[t]}, state array<double>"
-    return df.select(channel, t, x).groupBy(channel).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return df.select(channel, t, x).groupBy(channel).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def window_power(df: DataFrame, channel: Sequence[str], ts: str, value: str, width: str = "1 second", late: str = "10 seconds") -> DataFrame:
