@@ -47,7 +47,7 @@ def contact_pair(text: str) -> list[Column]:
     return [F.regexp_extract(text, r"E(\d+)E(\d+)", i).cast("int").alias(f"contact_{i}") for i in (1, 2)]
 
 
-def smoothing_width(factor: str) -> Column:
+def smoothing_width(factor: str | Column) -> Column:
     """N of a factor named ``..._smoothN``, else null."""
     return F.nullif(F.regexp_extract(factor, r"_smooth(\d+)", 1), F.lit("")).cast("int")
 

@@ -158,9 +158,12 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
 
 @F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))
 def share_limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Clopper-Pearson limits, rounded to 3 digits."""
-    made = [clopper_pearson(int(a), int(b)) if b else (np.nan, np.nan) for a, b in zip(k, n, strict=True)]
-    return pd.DataFrame(np.round(made, 3), columns=["low", "high"])
+    """Clopper-Pearson limits, rounded to 3 digits; those of each distinct share are computed once in a batch."""
+    rows = pd.DataFrame({"k": k, "n": n})
+    known = rows.drop_duplicates()
+    made = [clopper_pearson(int(a), int(b)) if b else (np.nan, np.nan) for a, b in known.itertuples(index=False)]
+    known = known.assign(low=[x[0] for x in made], high=[x[1] for x in made])
+    return rows.merge(known, "left")[["low", "high"]].round(3)
 
 
 def shrinkage(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:

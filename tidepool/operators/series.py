@@ -87,9 +87,15 @@ def leave_one_out(df: DataFrame, group: Sequence[str], i: str, gap: int = 0) ->
     return rows.select(*group, "fold", first.alias("first"), last.alias("last"), (F.col("_n") - (last - first + 1)).alias("n_train"))
 
 
-def k_folds(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
-    """Rows with ``fold`` (from 1): parts that follow each other, the larger ones first."""
-    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*group).orderBy(*order)))
+def k_folds(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int, seed: int | None = None) -> DataFrame:
+    """Rows with ``fold`` (from 1): parts that follow each other, the larger ones first; with a ``seed``, of rows in a random order that follows from it."""
+    by = [F.xxhash64(F.lit(seed), *order), *order] if seed is not None else order
+    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*group).orderBy(*by)))
+
+
+def by_time(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in order of time, sorted in ranges."""
+    return df.orderBy(*order)
 
 
 def far_from_test(df: DataFrame, group: Sequence[str], i: str, fold: str, distance: int) -> DataFrame:

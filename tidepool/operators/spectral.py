@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from tidepool.functions import dsp
 from tidepool.functions.columns import closed_band, decibel
 from tidepool.functions.quantiles import chi2_quantile, t_quantile
+from tidepool.operators import agg
+
+#: The filters of acute recordings (kind, Hz, order); one comes twice.
+ACUTE_FILTERS = (
+    ("bandstop", 66.0, 70.0, 4),
+    ("bandstop", 81.0, 85.0, 4),
+    ("bandstop", 103.0, 107.0, 4),
+    ("bandstop", 103.0, 107.0, 4),
+    ("bandstop", 126.0, 130.0, 4),
+    ("highpass", 1.0, None, 4),
+)
 
 
 def _by_row(df: DataFrame, key: Sequence[str], samples: str, made: Callable[[np.ndarray], Mapping[str, np.ndarray]], schema: str) -> DataFrame:
@@ -61,14 +72,14 @@ def spectrogram(
     return _by_row(df, key, samples, made, "t double, f double, power double")
 
 
-def spectrum(df: DataFrame, key: Sequence[str], samples: str, fs: float, nw: float = 3.0, k: int = 5, fpass: tuple[float, float] = (0.0, 100.0), error: str | None = None, p: float = 0.05) -> DataFrame:
-    """``f, power, low, high``: a multitaper spectrum, with chi-square or jackknife limits (else null)."""
+def spectrum(df: DataFrame, key: Sequence[str], samples: str, fs: float, nw: float = 3.0, k: int = 5, fpass: tuple[float, float] = (0.0, 100.0), error: str | None = None, p: float = 0.05, finite_size: bool = False) -> DataFrame:
+    """``f, power, low, high``: a multitaper spectrum, with chi-square (``finite_size``: of fewer degrees for short series) or jackknife limits (else null)."""
 
     def made(x: np.ndarray) -> Mapping[str, np.ndarray]:
         f, s = dsp.multitaper(x, fs, nw, k, fpass)
         low = high = np.full(len(f), np.nan)
         if error == "chi2":
-            dof = 2 * k
+            dof = int(1 / (1 / (2 * k) + 1 / (2 * len(x)))) if finite_size else 2 * k
             low, high = dof * s / chi2_quantile(1 - p / 2, dof), dof * s / chi2_quantile(p / 2, dof)
         elif error == "jackknife":
             low, high = dsp.jackknife(x, fs, nw, k, fpass, t_quantile(1 - p / 2, k - 1))
@@ -96,26 +107,52 @@ def feature_columns(means: DataFrame, key: Sequence[str], side: str, region: str
     return rows.groupBy(*key).pivot("_f", list(names)).agg(F.first(value))
 
 
-def band_powers(df: DataFrame, key: Sequence[str], samples: str, fs: float, bands: Mapping[str, tuple[float, float]], window: float = 1.0) -> DataFrame:
-    """``window, band, db``: decibels of the mean density x 2 pi in each band [low, high) of whole windows."""
-    n = round(window * fs)
+def band_powers(df: DataFrame, key: Sequence[str], samples: str, fs: float, bands: Mapping[str, tuple[float, float]], window: float = 1.0, method: str = "multitaper") -> DataFrame:
+    """``window, band, db``: decibels of the mean power in each band [low, high) of whole windows, by adaptive ``multitaper`` or ``welch`` (density x 2 pi)."""
+    n, nw, nfft = round(window * fs), max(window, 1.25), max(dsp.fft_size(round(window * fs)), dsp.fft_size(int(np.ceil(fs))))
 
     def made(x: np.ndarray) -> Mapping[str, np.ndarray]:
-        whole = len(x) // n
-        out: dict[str, list] = {"window": [], "band": [], "power": []}
-        for w in range(whole):
-            f, s = dsp.welch(x[w * n : (w + 1) * n], fs)
-            for b, (lo, hi) in bands.items():
-                inside = (f >= lo) & (f < hi)
-                out["window"].append(w)
-                out["band"].append(b)
-                out["power"].append(2 * np.pi * s[inside].mean() if inside.any() else np.nan)
-        return out
+        windows = x[: len(x) // n * n].reshape(-1, n)
+        if not len(windows):
+            return {"window": [], "band": [], "power": []}
+        if method == "multitaper":
+            f, s = dsp.adaptive_multitaper(windows, fs, nw, nfft)
+        else:
+            f, s = dsp.welch(windows[0], fs)[0], 2 * np.pi * np.array([dsp.welch(w, fs)[1] for w in windows])
+        means = [s[:, (f >= lo) & (f < hi)].mean(1) if ((f >= lo) & (f < hi)).any() else np.full(len(s), np.nan) for lo, hi in bands.values()]
+        return {"window": np.repeat(np.arange(len(windows)), len(bands)), "band": np.tile(list(bands), len(windows)), "power": np.array(means).T.ravel()}
 
     rows = _by_row(df, key, samples, made, "window int, band string, power double")
     return rows.select(*key, "window", "band", decibel(F.when(~F.isnan("power"), F.col("power"))).alias("db"))
 
 
+def log_scaled(spectra: DataFrame, key: Sequence[str], z: bool = False, power: str = "power") -> DataFrame:
+    """Powers as log10; ``z``: as z-scores of each recording's frequency over time."""
+    rows = spectra.withColumn(power, F.log10(power))
+    return agg.z_scores(rows, [*key, "f"], power, power) if z else rows
+
+
+def between(df: DataFrame, samples: str, fs: float, start: float, stop: float) -> DataFrame:
+    """Recordings from ``start`` to ``stop`` (seconds)."""
+    return df.withColumn(samples, F.slice(samples, int(start * fs) + 1, max(int(stop * fs) - int(start * fs), 0)))
+
+
+def trial_mean(spectra: DataFrame, key: Sequence[str], power: str = "power") -> DataFrame:
+    """The mean of several recordings' spectrograms at each time and frequency."""
+    return spectra.groupBy(*key, "t", "f").agg(F.avg(power).alias(power), F.count(power).alias("n"))
+
+
+def acute_filters(spark) -> DataFrame:
+    """``position, kind, low, high, order``: the fixed filters of acute recordings; some rows from the program."""
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(ACUTE_FILTERS)], "position int, kind string, low double, high double, order int")
+
+
+def acute_filtered(df: DataFrame, key: Sequence[str], samples: str, fs: float) -> DataFrame:
+    """Recordings after the acute filters, causally, in order."""
+    cuts = [(kind, order, (low, high) if kind == "bandstop" else low) for kind, low, high, order in ACUTE_FILTERS]
+    return filtered(df, key, samples, [dsp.butterworth(order, cut, fs, kind) for kind, order, cut in cuts])
+
+
 def filtered(df: DataFrame, key: Sequence[str], samples: str, sections: Sequence[np.ndarray], causal: bool = True) -> DataFrame:
     """Rows with their samples filtered by one filter after another."""
 

@@ -899,6 +899,11 @@ def h10_feature_columns(spark, d):
     return spectral.feature_columns(m, ["label"], "side", "region", ["leftaccdelta", "leftaccalpha"])
 
 
+@query()
+def h11_welch(spark, d):
+    return spectral.band_powers(recordings(spark, d), U, "samples", 16.0, {"low": (1, 3), "high": (3, 8)}, 2.0, "welch")
+
+
 @query()
 def h11_band_powers(spark, d):
     return spectral.band_powers(recordings(spark, d), U, "samples", 16.0, {"low": (1, 3), "high": (3, 8)}, 2.0)
@@ -1222,10 +1227,14 @@ def m3_shrinkage(spark, d):
 @query()
 def m13_targets(spark, d):
     rows = vectors(spark, d)
-    two = [rows.withColumns({"score": F.col("x")[i], "target": F.lit(f"f{i}")}) for i in (0, 1)]
-    labelled_rows = agg.median_split(sets.stacked(two), ["subject", "target"], "score", "label")
-    scored = models.cross_validated(labelled_rows, ["subject", "target"], "x", "label", "vec_id", "lda", folds=5)
-    return agg.auc(scored, ["subject", "target"], "truth", "score")
+    half = {"left": F.slice("x", 1, WIDTH // 2), "right": F.slice("x", WIDTH // 2 + 1, WIDTH // 2)}
+    parts = [rows.withColumns({"score": F.col("x")[i], "target": F.lit(f"f{i}"), "side": F.lit(n), "x": x}) for i in (0, 1) for n, x in half.items()]
+    key = ["subject", "side", "target"]
+    labelled_rows = agg.median_split(sets.stacked(parts), key, "score", "label")
+    scored = models.cross_validated(labelled_rows, key, "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
+    areas = agg.auc(scored, [*key, "permutation"], "truth", "score")
+    report = inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), key, "auc")
+    return report.withColumn("result", C.result_text("auc", "p"))
 
 
 @query()
@@ -1261,3 +1270,81 @@ def k11_compared_bouts(spark, d):
 def v7_heatmap(spark, d):
     c = models.coefficients(classed(spark, d), ["subject"], "x", "label", "vec_id", [f"f{i}" for i in range(WIDTH)], "lasso")
     return sets.pivoted(plotdata.heatmap(c, ["subject"]), ["subject"], "name", [f"f{i}" for i in range(WIDTH)], F.first("scaled"))
+
+
+@query("select event_id, epoch_us(ts) t, value from events")
+def a1_a2_files(spark, d):
+    path = writers.scratch_path(spark, "records")
+    events(spark, d).select(F.col("ts").cast("string").alias("time"), "event_id", "t", "value").write.json(path)
+    return readers.read_timetable(spark, path, "time string, event_id long, t long, value double", "time", ["value"], ["event_id"], multi_line=False).select("event_id", "t", "value")
+
+
+@query("select vec_id, cast(embedding[1] as double) leftaccdelta, cast(embedding[3] as double) leftaccalpha, cast(embedding[6] as double) \"leftaccHgamma\" from embeddings")
+def b6_region_columns(spark, d):
+    names = features.feature_names()
+    wide = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    own = features.FeatureSet("left acc", "left", "acc").columns(wide.columns)
+    return wide.select("vec_id", *own).select("vec_id", "leftaccdelta", "leftaccalpha", "leftaccHgamma")
+
+
+@query(EV + " select event_id, t from ev order by t, event_id")
+def e11_by_time(spark, d):
+    return series.by_time(events(spark, d).select("event_id", "t"), "t", "event_id")
+
+
+@query("select user_id, cast(fold as integer) fold, count(*) n from (select user_id, ntile(4) over (partition by user_id order by event_id) fold from events) group by 1, 2")
+def e15_shuffled_folds(spark, d):
+    return series.k_folds(events(spark, d), U, TE, 4, seed=1).groupBy("user_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id, cast(regexp_extract('nrs_smooth' || user_id, '_smooth([0-9]+)', 1) as integer) width from events group by user_id")
+def g_smoothing(spark, d):
+    return table(spark, d, "events").select("user_id").distinct().select("user_id", C.smoothing_width(F.concat(F.lit("nrs_smooth"), "user_id")).alias("width"))
+
+
+@query("select user_id, count(*) filter (where event_type = 'click') clicks, count(distinct event_type) kinds from events group by user_id")
+def g_map(spark, d):
+    counted = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    maps = counted.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return maps.select("user_id", F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).alias("clicks"), F.size(F.map_keys("m")).cast("long").alias("kinds"))
+
+
+@query()
+def h8_options(spark, d):
+    part = spectral.between(recordings(spark, d), "samples", 16.0, 0.5, 3.5)
+    rows = spectral.spectrogram(part, U, "samples", 16.0, "mt", 1.0, 0.5, (0.0, 8.0))
+    scored = spectral.log_scaled(rows, U, z=True).withColumn("half", F.col("user_id") % 2)
+    return spectral.trial_mean(scored, ["half"])
+
+
+@query()
+def h7_finite_size(spark, d):
+    return spectral.spectrum(recordings(spark, d), U, "samples", 16.0, error="chi2", fpass=(0.0, 8.0), finite_size=True)
+
+
+@query("select * from (values (0, 'bandstop', 66e0, 70e0, 4), (1, 'bandstop', 81e0, 85e0, 4), (2, 'bandstop', 103e0, 107e0, 4), (3, 'bandstop', 103e0, 107e0, 4), (4, 'bandstop', 126e0, 130e0, 4), (5, 'highpass', 1e0, null, 4)) t(position, kind, low, high, \"order\")")
+def h19_acute_filters(spark, d):
+    return spectral.acute_filters(spark)
+
+
+@query()
+def h19_acute_filtered(spark, d):
+    return spectral.acute_filtered(recordings(spark, d), U, "samples", 420.1)
+
+
+@query()
+def h13_least_squares(spark, d):
+    h = dsp.fir_least_squares(24, [0, 0.2, 0.3, 0.6, 0.7, 1], [0, 0, 1, 1, 0, 0])
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(h)], "tap int, value double")
+
+
+@query()
+def m12_regions(spark, d):
+    names = features.feature_names()
+    rows = vectors(spark, d).withColumn("x", F.slice("x", 1, len(names)))
+    return analyses.region_grid(rows, "subject", "vec_id", "x", names, "score", F.col("subject") % 4 == 0, permutations=PERMUTATIONS, folds=10)
+
+
+@query()
+def m14_optimal(spark, d):
+    return analyses.optimal_metrics(labelled(spark, d), U, "y", "s")

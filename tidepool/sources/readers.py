@@ -15,9 +15,9 @@ def read_json_records(spark: SparkSession, path: str, schema: str, multi_line: b
     return nan_to_null(spark.read.schema(schema).option("multiLine", multi_line).option("allowNonNumericNumbers", True).option("mode", "PERMISSIVE").json(path))
 
 
-def read_timetable(spark: SparkSession, path: str, schema: str, time: str, needed: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
+def read_timetable(spark: SparkSession, path: str, schema: str, time: str, needed: Sequence[str], first: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
     """Records with ``time`` as a timestamp, without those that lack a ``needed`` value; ``first`` columns lead."""
-    df = read_json_records(spark, path, schema).withColumn(time, F.try_to_timestamp(time)).dropna(subset=[time, *needed])
+    df = read_json_records(spark, path, schema, multi_line).withColumn(time, F.try_to_timestamp(time)).dropna(subset=[time, *needed])
     lead = [time, *first]
     return df.select(*lead, *[c for c in df.columns if c not in lead])
 
