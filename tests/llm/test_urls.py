@@ -1,3 +1,4 @@
+from tidepool.llm import urls as llm_urls
 from tidepool.llm.urls import judge_urls
 
 PAGES = "page_id long, url string, html string"
@@ -38,3 +39,37 @@ def test_blocks_spread_over_aliases_and_allows_win(spark):
     more = spark.createDataFrame([("http://d.org/7", "http://a.org/1"), (None, "x")], "src string, dst string")
     assert {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, PAGES), edges=more).collect()}[7] == "block"
     assert judge_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_planted_aliases_against_brute_force(spark):
+    """Chains and stars of links in several spellings; a component's verdict reaches all of its pages."""
+    import random
+
+    rng = random.Random(12)
+    hosts = ["example.com", "www.example.com", "a.net", "b.org", "c.org", "d.io"]
+    plain = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr', 'x'])}/{i}" for i in range(120)]
+    links = [(i, rng.randrange(120)) for i in range(120) for _ in range(rng.choice([0, 0, 1, 2]))]
+
+    def spelled(url):
+        host = url.split("/")[2]
+        return url.replace(host, rng.choice([host, host.upper(), host + ":80"]), 1) + rng.choice(["", "#part"])
+
+    html = {i: "".join(f'<link href="{spelled(plain[b])}" rel=canonical>' if k % 2 else f'<meta http-equiv="refresh" content="0; url={spelled(plain[b])}">' for k, (a, b) in enumerate(links) if a == i) for i in range(120)}
+    pages = spark.createDataFrame([(i, u, html[i], 1, "x") for i, u in enumerate(plain)], "page_id long, url string, html string, component int, node string")
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+
+    def rule(url):
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        fits = [(len(h + p), v) for v, h, p in llm_urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    own = [rule(u) for u in plain]
+    of = {}
+    for i, v in enumerate(own):
+        of.setdefault(root[i], set()).add(v)
+    expected = {i: v or ("allow" if "allow" in of[root[i]] or "block" not in of[root[i]] else "block") for i, v in enumerate(own)}
+    got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
+    assert got == expected and any(own[i] is None and v == "block" for i, v in expected.items())

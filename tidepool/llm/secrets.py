@@ -64,8 +64,7 @@ def labelled_samples(spark: SparkSession, rows: int = SAMPLES, seed: int = 0) ->
     """``text, is_random``: ``rows`` strings of either label; another ``seed`` gives others, to test on.
 
     Random ones are base64, base64 in URLs, letters with digits, and upper-case letters with digits, cut from SHA-512
-    digests. Ordinary ones are identifiers, paths and dates of one to five of ``WORDS`` in the usual spellings, and
-    lengthened words.
+    digests. Ordinary ones are identifiers, paths and dates of one to five of ``WORDS`` in the usual spellings.
     """
     n = spark.range(rows).withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), "id").cast("binary"), 512))
     digest = F.base64(F.unhex("h"))

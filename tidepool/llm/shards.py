@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.store import bind, new_path, written
-from tidepool.llm.tokens import encode
+from tidepool.llm.tokens import encode, encoder
 
 LENGTH = 1024
 END_ID = 2
@@ -125,6 +125,8 @@ def training_order(
     compresses them, before they go to range partitions of whole shards. A shard is put together in memory (``per_shard`` x 2 x
     ``length`` bytes), written under a name of its own and renamed, so a task that is run again replaces it by the same bytes.
     """
+    if encoder(tokenizer).max_token_value > 0xFFFF or end_id > 0xFFFF:
+        raise ValueError("ids must fit into 16 bits")
     spark = docs.sparkSession
     cut = written(cut_sequences(docs, tokenizer, length, end_id), "sequences", level=9)
     sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()

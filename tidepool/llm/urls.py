@@ -60,14 +60,25 @@ def _absolute(link: Column, url: Column) -> Column:
     )
 
 
+def node(url: Column) -> Column:
+    """An address as a node of the alias graph: without fragment, scheme and host lower-cased, without a default port, its empty path "/"."""
+    url = F.regexp_replace(url, "(?s)#.*$", "")
+    scheme = F.lower(F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    rest = F.regexp_replace(url, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    whole = F.concat(scheme, F.lit("://"), host, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)))
+    return F.when(F.length(scheme) > 0, whole).otherwise(url)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst``: addresses without fragments that a page's canonical link or refreshing redirect declares the same."""
-    html = F.col("html")
-    canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.select(F.col("url"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
-    src = F.regexp_replace("url", "(?s)#.*$", "")
-    return found.select(src.alias("src"), _absolute(F.col("link"), F.col("url")).alias("dst")).where("src is not null and dst is not null").distinct()
+    """``src, dst``: nodes that a page's canonical links or refreshing redirects, all of them, declare the same."""
+    canonical = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+    refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+    html = F.col("html").cast("string")
+    links = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (canonical, refresh)])
+    found = pages.select("url", F.explode(links).alias("link")).where("link <> ''").withColumn("link", F.regexp_replace("link", "&amp;", "&"))
+    return found.select(node(F.col("url")).alias("src"), node(_absolute(F.col("link"), F.col("url"))).alias("dst")).where("src is not null and dst is not null").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -82,7 +93,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, edges: DataFrame | None =
     """
     links = alias_edges(pages)
     if edges is not None:
-        links = links.unionByName(edges.select(*[F.regexp_replace(c, "(?s)#.*$", "").alias(c) for c in ("src", "dst")]))
+        links = links.unionByName(edges.select(*[node(F.col(c)).alias(c) for c in ("src", "dst")]))
     members = connected_components(links)
     host, path = host_and_path(F.col("node"))
     ruled = members.withColumn("best", best_rule(host, path, rules))
@@ -90,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, edges: DataFrame | None =
     decided = ruled.select("node", "component").join(decided, "component")
     decided = written(decided.select("node", "component", (F.coalesce("allowed", F.lit(True)) | F.coalesce("not_blocked", F.lit(True))).alias("alias_allowed")), "aliases")
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", F.regexp_replace("url", "(?s)#.*$", "").alias("node"), host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", node(F.col("url")).alias("node"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("best", bind(F.struct("host", "path"), lambda x: best_rule(x["host"], x["path"], rules)))
     rows = rows.join(decided, "node", "left")
     allow = F.coalesce("best.allow", "alias_allowed", F.lit(True))
