@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from tidepool.queries import QUERIES
 
 HEADLINE = (
-    "b15_head", "c1_within", "c3_nearest", "c4_synced", "c6_trials", "d1_skip_sums", "d5_z_scores", "d9_median_split", "d12_histogram", "d24_chi_square", "d33_auc",
+    "b15_head", "c1_within", "c2_far", "h1_h5_spectrum", "h15_filtered", "c3_nearest", "c4_synced", "c6_trials", "d1_skip_sums", "d5_z_scores", "d9_median_split", "d12_histogram", "d24_chi_square", "d33_auc",
     "d34_youden", "e1_difference", "e2_smoothed", "e4_autocovariance", "e7_bouts", "e14_leave_one_out", "e18_mid_ranks", "h6_spectrogram", "h9_band_means", "k7_fdr_adjusted", "k8_rank_sum",
     "k1_permutations", "m1_m8_lda", "m12_grid", "j6_j8_states", "s3_top", "s8_pivoted",
 )
