@@ -149,3 +149,59 @@ def test_kalman_without_gain_and_with_gaps():
     y = np.array([[1.0], [np.nan], [1.0]])
     states, _, last = ssm.kalman(y, a, c, np.array([[0.4]]))
     assert states[2] == a @ states[1]
+
+
+def test_riccati_equals_its_recursion():
+    rng = np.random.default_rng(6)
+    for n, p in ((1, 1), (3, 2), (4, 1)):
+        a, c = rng.normal(size=(n, n)), rng.normal(size=(p, n))
+        a *= 0.9 / np.abs(np.linalg.eigvals(a)).max()
+        noise = rng.normal(size=(n + p, n + p + 3))
+        cov = noise @ noise.T
+        parts = cov[:n, :n], cov[n:, n:], cov[:n, n:]
+        k, e = ssm.steady(a, c, *parts)
+        k_steps, e_steps = ssm.gain(a, c, *parts, steps=5000)
+        assert np.allclose(k, k_steps, atol=1e-6) and np.allclose(e, e_steps, rtol=1e-6)
+    one = np.ones((1, 1))
+    assert ssm.riccati(one, 0 * one, 0 * one, one) is None  # its eigenvalues are on the unit circle
+    assert ssm.steady(one, one, one, one, 0 * one) is None
+
+
+def test_subspaces_of_other_weights_are_stable():
+    rng = np.random.default_rng(7)
+    a = 0.9 * np.array([[math.cos(0.5), -math.sin(0.5)], [math.sin(0.5), math.cos(0.5)]])
+    x, out = np.zeros(2), []
+    for _ in range(3000):
+        x = a @ x + rng.normal(size=2)
+        out.append([x[0] + rng.normal() * 0.1])
+    for weights in ("cva", "sv"):
+        for stable in (False, True):
+            shared = ssm.Subspace(np.array(out), 8, weights)
+            roots = np.linalg.eigvals(shared.fit(2, stable)[0])
+            assert shared.solved and np.abs(roots).max() < 1
+            assert np.allclose(np.abs(roots), 0.9, atol=0.06) and np.allclose(np.abs(np.angle(roots)), 0.5, atol=0.06), (weights, stable)
+    walk = rng.normal(size=(300, 1)).cumsum(0) + np.arange(300)[:, None] ** 2 / 100
+    for order in range(1, 5):
+        assert np.abs(np.linalg.eigvals(ssm.Subspace(walk, 5, "sv").fit(order, True)[0])).max() < 1 + 1e-9
+    with pytest.raises(ValueError):
+        ssm.Subspace(walk, 5, "other")
+
+
+def test_machines_are_optimal_and_searched():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2))
+    y = (np.hypot(*x.T) > 1).astype(float)
+    signs = 2 * y - 1
+    distance = ((x[:, None] - x[None]) ** 2).sum(-1)
+    boxes, scales = np.array([0.1, 1.0, 10.0]), np.array([0.5, 1.0, 3.0])
+    kernels = np.exp(-distance / scales[:, None, None] ** 2)
+    w, b = linmod.kernel_machines(kernels, y, boxes)
+    for k, box, wi, bi in zip(kernels, boxes, w, b, strict=True):
+        alpha, margin = wi * signs, signs * (k @ wi + bi)
+        assert abs(wi.sum()) < 1e-9 and alpha.min() >= 0 and alpha.max() <= box
+        assert (margin[alpha <= 0] > 1 - 2e-3).all() and (margin[alpha >= box] < 1 + 2e-3).all()
+        assert np.abs(margin[(alpha > 0) & (alpha < box)] - 1).max(initial=0) < 2e-3
+    rows, weights, intercept, box, scale = linmod.searched_machine(x, y)
+    fresh = rng.normal(size=(500, 2))
+    score = np.exp(-((fresh[:, None] - rows[None]) ** 2).sum(-1) / scale**2) @ weights + intercept
+    assert 1e-3 <= box <= 1e3 and 1e-3 <= scale <= 1e3 and linmod.auc((np.hypot(*fresh.T) > 1).astype(float), score) > 0.95

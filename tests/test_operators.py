@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import dsp
 from tidepool.functions.features import FeatureSet, feature_names, feature_sets
-from tidepool.operators import agg, inference, models, select, series, sets, spectral
+from tidepool.operators import agg, inference, models, plotdata, select, series, sets, spectral
 from tidepool.queries import QUERIES, recordings
 from tidepool.sources import readers, writers
 
@@ -23,6 +23,36 @@ def test_skip_sums(spark):
     assert (weighted.total, weighted.n) == (6.0, 3.0)
 
 
+def test_violins(spark):
+    rows = [("d", float(v)) for v in (1, 1, 1, 1, 1, 2, 2, 2, 5, 5)] + [("one", 3.0)] * 4 + [("gone", None)] + [("c", i * 1.5) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    auto = plotdata.violins(df, ["g"], "x", "auto")
+    got = {}
+    for r in plotdata.violin_widths(auto, ["g"], {"own": 0, "counts": 1, "equal": 3}).orderBy("g", "point").collect():
+        got.setdefault(r.g, []).append(r)
+    assert sorted(got) == ["c", "d", "one"]
+    assert [(r.center, r.n, r.step) for r in got["c"]] == [(2.75, 4.0, 5.5), (8.25, 4.0, 5.5), (13.75, 4.0, 5.5)]
+    assert [(r.center, r.n) for r in got["one"]] == [(3.0, 4.0)]
+    assert [(r.n, r.own) for r in got["c"]] == [(4.0, 1.0)] * 3 and got["one"][0].counts == 4 / max(r.n for g in got.values() for r in g)
+    repeated = df.where("g = 'd'").unionByName(df.where("g = 'd'"))  # 3 of 20 values are distinct: one bar each
+    bars = plotdata.violins(repeated, ["g"], "x", "auto").orderBy("point").collect()
+    assert [(r.point, r.center, r.n, r.step) for r in bars] == [(0, 1.0, 10.0, 1.0), (1, 2.0, 6.0, 1.0), (2, 5.0, 4.0, 1.0)]
+    for kind in ("even", "auto", "kernel", "bin_kernel"):
+        found = plotdata.violins(df, ["g"], "x", kind).groupBy("g").agg(F.sum("n").alias("n")).collect()
+        assert {r.g: round(r.n, 6) for r in found} == {"c": 12, "d": 10, "one": 4}, kind
+        assert plotdata.violins(df.where("false"), ["g"], "x", kind).isEmpty()
+    with pytest.raises(ValueError):
+        plotdata.violins(df, ["g"], "x", "other")
+
+
+def test_artifacts_become_lines(spark):
+    rows = [(0, [1.0, 2.0, 1.0, 90.0, 80.0, 2.0, 1.0, 2.0, 1.0]), (1, [50.0, 1.0, None, 2.0, 1.0, 2.0]), (2, []), (3, None), (4, [None]), (5, [1.0, 1.0, 1.0, 9.0])]
+    got = {r.i: r.x for r in spectral.without_artifacts(spark.createDataFrame(rows, "i int, x array<double>"), ["i"], "x", 5.0).collect()}
+    assert np.allclose(got[0], [1, 2, 1, 4 / 3, 5 / 3, 2, 1, 2, 1])
+    assert got[1][:2] == [1.0, 1.0] and got[1][2] is None and got[1][3:] == [2.0, 1.0, 2.0]
+    assert got[2] == [] and got[3] is None and len(got[4]) == 1 and got[5] == [1.0, 1.0, 1.0, 9.0]
+
+
 def test_median_splits(spark):
     for values, expected in (([1, 2, 3, 4], [0, 0, 1, 1]), ([0, 0, 0, 5], [1, 1, 1, 1]), ([3, 3, 3, 3], [1, 1, 1, 1])):
         rows = spark.createDataFrame([(0, float(v), i) for i, v in enumerate(values)], "g int, x double, i int")

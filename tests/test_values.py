@@ -373,7 +373,7 @@ def test_regressions(rows):
         train = np.setdiff1d(np.arange(100), test)
         guess[test] = ridge(z[train], y[train], z[test], [penalty(z[train], y[train])])[0]
     assert len(rows("m7_ridge")) == 500 and np.allclose(g.score, guess, atol=1e-6)
-    for name in ("m5_logistic", "m6_svm"):
+    for name in ("m5_logistic", "m6_svm", "m6_searched"):
         assert len(rows(name)) == 500 and np.mean([area(h.truth.to_numpy(), h.score.to_numpy()) for _, h in rows(name).groupby("subject")]) > 0.65, name
     both = rows("m18_acute_decoding")
     own = rows("m7_ridge").query("subject == 3")
@@ -428,6 +428,47 @@ def test_states(rows, spark):
     assert ((found.p > 0) & (found.p <= 1)).all()
 
 
+def test_stable_models(rows):
+    found = rows("j2_j3_stable")
+    assert set(found.subject) == set(rows("j2_j7_fitted").subject) and found.n.isin([1, 2, 3]).all() and np.isfinite(found.aic).all()
+    for r in found.itertuples():
+        a = np.array([list(row) for row in r.a])
+        assert a.shape == (r.n, r.n) and np.abs(np.linalg.eigvals(a)).max() < 1
+    assert found.solved.all()
+
+
+def test_recordings_without_artifacts(rows):
+    replaced = 0
+    for r in rows("h16_without_artifacts").itertuples():
+        x = samples()[r.user_id].copy()
+        off = np.abs(x - np.median(x))
+        good = off <= 3 * 1.4826 * np.median(off)
+        at = np.flatnonzero(good)
+        for i in np.flatnonzero(~good):
+            before, after = at[at < i], at[at > i]
+            a, b = before[-1] if len(before) else after[0], after[0] if len(after) else before[-1]
+            x[i] = x[a] if a == b else samples()[r.user_id][a] + (samples()[r.user_id][b] - samples()[r.user_id][a]) * (i - a) / (b - a)
+        replaced += (~good).sum()
+        sos = dsp.butterworth(4, 6.0, 32.0, "lowpass")
+        assert np.allclose(r.samples, both_ways(lambda v: one_way(sos, v), x, 6 * len(sos) + 3), atol=1e-6)  # noqa: B023
+    assert replaced > 0
+
+
+def test_kernels_over_bins(rows):
+    events = duckdb.sql(f"select event_type, value from '{SF}/events.parquet'").df()
+    found = rows("v2_bin_kernel")
+    for kind, g in found.groupby("event_type"):
+        v = np.sort(events.value[events.event_type == kind].to_numpy())
+        q1, q3 = np.interp([len(v) * 0.25 + 0.5, len(v) * 0.75 + 0.5], np.arange(1, len(v) + 1), v)
+        size = (v[-1] - v[0]) / round((v[-1] - v[0]) / (2 * (q3 - q1) / len(v) ** (1 / 3)))
+        x = v[0] - size + np.arange(len(g)) * size / 3
+        h = np.exp(-(((x[:, None] - v) / (size / 1.5)) ** 2) / 2).sum(1)
+        g = g.sort_values("point")
+        assert np.allclose(g.center, x, atol=1e-5) and abs(x[-1] - v[-1] - size) < 1e-6 and np.allclose(g.n, h / h.sum() * len(v), atol=1e-5)
+        assert np.allclose(g.width0, h / h.max(), atol=1e-5)
+    assert found[["width1", "width2", "width3"]].max().round(5).tolist() == [1, 1, 1]
+
+
 def test_smooth_histograms(rows):
     events = duckdb.sql(f"select event_type, value from '{SF}/events.parquet' where value between 0 and 500").df()
     bend = np.diff(np.eye(101), 2, axis=0) * np.sqrt(10)

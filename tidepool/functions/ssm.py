@@ -13,25 +13,35 @@ def block_hankel(y: np.ndarray, rows: int, columns: int | None = None) -> np.nda
 
 
 class Subspace:
-    """What all model orders share: the factored past and future of a series, computed once."""
+    """What all model orders share: the factored past and future of a series, computed once.
 
-    def __init__(self, y: np.ndarray, horizon: int) -> None:
+    ``weights``: ``cva`` (canonical variates: the future is whitened before its factors are taken) or ``sv`` (singular values as they are).
+    """
+
+    def __init__(self, y: np.ndarray, horizon: int, weights: str = "cva") -> None:
+        if weights not in ("cva", "sv"):
+            raise ValueError(f"no such weights: {weights}")
         self.p, self.i = y.shape[1], horizon
         h = block_hankel(y, 2 * horizon)
         self.r = np.linalg.qr((h / np.sqrt(h.shape[1])).T, mode="r").T
         past, future = self.r[: self.p * horizon], self.r[self.p * horizon :]
         self.cut = self.p * horizon
         projection = self._project(future, past)
-        weight = np.linalg.cholesky(future @ future.T + 1e-9 * np.trace(future @ future.T) / len(future) * np.eye(len(future)))
+        weight = np.eye(len(future))
+        if weights == "cva":
+            weight = np.linalg.cholesky(future @ future.T + 1e-9 * np.trace(future @ future.T) / len(future) * weight)
         u, s, _ = np.linalg.svd(np.linalg.solve(weight, projection), full_matrices=False)
-        self.u, self.s, self.weight = u, np.clip(s, 0, 1), weight
+        self.u, self.s, self.weight = u, np.clip(s, 0, 1) if weights == "cva" else s, weight
 
     @staticmethod
     def _project(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a @ np.linalg.pinv(b) @ b
 
-    def fit(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``A, C, K, R`` of innovations form x' = A x + K e, y = C x + e."""
+    def fit(self, order: int, stable: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``A, C, K, R`` of innovations form x' = A x + K e, y = C x + e; ``solved`` then says whether eigenvalues gave the Riccati equation's solution.
+
+        ``stable``: ``A`` from the observability matrix moved up by one block with zeros below, which has no eigenvalue outside the unit circle.
+        """
         p, i = self.p, self.i
         gamma = self.weight @ self.u[:, :order] * np.sqrt(self.s[:order])
         past, future = self.r[: p * i], self.r[p * i :]
@@ -39,14 +49,60 @@ class Subspace:
         longer, shorter = self.r[: p * (i + 1)], self.r[p * (i + 1) :]
         after = np.linalg.pinv(gamma[:-p]) @ self._project(shorter, longer)
         now = self.r[p * i : p * (i + 1)]
-        ac = np.concatenate([after, now]) @ np.linalg.pinv(state)
+        if stable:
+            moved = np.concatenate([gamma[p:], np.zeros((p, order))])
+            ac = np.concatenate([np.linalg.pinv(gamma) @ moved, gamma[:p]])
+        else:
+            ac = np.concatenate([after, now]) @ np.linalg.pinv(state)
         a, c = ac[:order], ac[order:]
         rest = np.concatenate([after, now]) - ac @ state
         noise = rest @ rest.T
-        k, r = gain(a, c, noise[:order, :order], noise[order:, order:], noise[:order, order:])
+        parts = noise[:order, :order], noise[order:, order:], noise[:order, order:]
+        found = steady(a, c, *parts)
+        self.solved = found is not None
+        k, r = found or gain(a, c, *parts)
         return a, c, k, r
 
 
+def riccati(a: np.ndarray, g: np.ndarray, c: np.ndarray, cov: np.ndarray) -> np.ndarray | None:
+    """``P`` = A P A' + (G - A P C') (cov - C P C')^-1 (G - A P C')', or None if an eigenvalue of its pencil lies on the unit circle.
+
+    ``g`` is the covariance of the next state and the output, ``cov`` the output's own.
+    """
+    n = len(a)
+    inner = np.linalg.pinv(cov)
+    f = a - g @ inner @ c
+    left = np.block([[f.T, np.zeros((n, n))], [-g @ inner @ g.T, np.eye(n)]])
+    right = np.block([[np.eye(n), -c.T @ inner @ c], [np.zeros((n, n)), f]])
+    try:
+        values, v = np.linalg.eig(np.linalg.solve(right, left))
+    except np.linalg.LinAlgError:
+        return None
+    size = np.abs(values)
+    inside = np.flatnonzero(size < 1)
+    if (np.abs(size - 1) <= 1e-9).any() or len(inside) != n:
+        return None
+    top, bottom = v[:n, inside], v[n:, inside]
+    p = np.real(bottom @ np.linalg.pinv(top))
+    return (p + p.T) / 2
+
+
+def steady(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Steady Kalman gain and innovation covariance from the states' own covariance; None where that, or the Riccati equation, has no solution."""
+    n = len(a)
+    if np.abs(np.linalg.eigvals(a)).max() >= 1 - 1e-9:
+        return None
+    spread = np.linalg.solve(np.eye(n * n) - np.kron(a, a), q.ravel()).reshape(n, n)
+    g, cov = a @ spread @ c.T + s, c @ spread @ c.T + r
+    p = riccati(a, g, c, cov)
+    if p is None:
+        return None
+    e = cov - c @ p @ c.T
+    if not np.isfinite(e).all() or np.linalg.eigvalsh((e + e.T) / 2).min() <= 0:
+        return None
+    return (g - a @ p @ c.T) @ np.linalg.inv(e), e
+
+
 def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Steady Kalman gain and innovation covariance: the Riccati recursion to its fixed point."""
     p = q.copy()
@@ -79,11 +135,11 @@ def aic(y: np.ndarray, guesses: np.ndarray, parameters: int) -> float:
     return float(len(e) * np.log(np.maximum(s, 1e-300)).sum() + 2 * parameters)
 
 
-def best_order(y: np.ndarray, horizon: int, orders: range) -> tuple[int, list[float]]:
+def best_order(y: np.ndarray, horizon: int, orders: range, weights: str = "cva", stable: bool = False) -> tuple[int, list[float]]:
     """The order with the least AIC and the values of all."""
-    shared = Subspace(y, horizon)
+    shared = Subspace(y, horizon, weights)
     values = []
     for n in orders:
-        a, c, k, _ = shared.fit(n)
+        a, c, k, _ = shared.fit(n, stable)
         values.append(aic(y, kalman(y, a, c, k)[1], (2 * y.shape[1] + 1) * n))
     return orders[int(np.argmin(values))], values

@@ -41,6 +41,12 @@ def _machine(x: np.ndarray, y: np.ndarray):
     return lambda z: 1 / (1 + np.exp(-(np.exp(-((((z - m) / sd)[:, None] - rows[None]) ** 2).sum(-1) / x.shape[1]) @ a + b)))
 
 
+def _searched(x: np.ndarray, y: np.ndarray):
+    m, sd = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
+    rows, a, b, _, scale = linmod.searched_machine((x - m) / sd, y)
+    return lambda z: 1 / (1 + np.exp(-np.clip(np.exp(-((((z - m) / sd)[:, None] - rows[None]) ** 2).sum(-1) / scale**2) @ a + b, -700, 700)))
+
+
 MODELS: dict[str, Fit] = {
     "lda": _probability(lambda x, y: linmod.lda(x, y, "auto")),
     "lda_full": _probability(lambda x, y: linmod.lda(x, y, 1.0)),
@@ -49,6 +55,7 @@ MODELS: dict[str, Fit] = {
     "ridge": _linear(lambda x, y: linmod.ridge(x, y, linmod.ridge_penalty(x, y))),
     "logistic": _probability(linmod.logistic),
     "svm": _machine,
+    "svm_searched": _searched,
 }
 
 

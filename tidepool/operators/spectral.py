@@ -192,14 +192,41 @@ def decimated(samples: str, power: int) -> Column:
     return F.filter(samples, lambda _, i: i % (1 << power) == 0)
 
 
+def without_artifacts(df: DataFrame, key: Sequence[str], samples: str, limit: float) -> DataFrame:
+    """Samples over ``limit`` robust deviations (1.4826 x the median absolute one) from their recording's median lie on a line between their neighbours.
+
+    Those at the ends take the next sample's value; missing ones stay missing. Recordings without any spread are left as they are.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(column: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            x = np.array(x, float)
+            known = ~np.isnan(x)
+            if not known.any():
+                return x
+            off = np.abs(x - np.median(x[known]))
+            bad = known & (off > limit * 1.4826 * np.median(off[known]))
+            good = known & ~bad
+            if np.median(off[known]) > 0 and good.any():
+                x[bad] = np.interp(np.flatnonzero(bad), np.flatnonzero(good), x[good])
+            return x
+
+        return column.map(one)
+
+    return df.select(*key, run(samples).alias(samples))
+
+
 def rereferenced(df: DataFrame, group: Sequence[str], i: str, value: str) -> DataFrame:
     """Long samples minus the mean of all channels at the same time."""
     means = df.groupBy(*group, i).agg(F.avg(value).alias("_m"))
     return df.join(means, [*group, i]).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
 
 
-def preprocess(df: DataFrame, key: Sequence[str], samples: str, fs: float, decimate: int = 0, high_pass: float | None = None, low_pass: float | None = None, line: float | None = None, harmonics: int = 1) -> DataFrame:
-    """Decimation, high- and low-pass, and band-stops around the line frequency and its harmonics, in this order."""
+def preprocess(df: DataFrame, key: Sequence[str], samples: str, fs: float, decimate: int = 0, high_pass: float | None = None, low_pass: float | None = None, line: float | None = None, harmonics: int = 1, artifacts: float | None = None) -> DataFrame:
+    """Without artifacts over a limit of deviations, decimation, high- and low-pass, and band-stops around the line frequency and its harmonics, in this order."""
     rate = fs / (1 << decimate)
     filters = []
     if high_pass:
@@ -209,7 +236,8 @@ def preprocess(df: DataFrame, key: Sequence[str], samples: str, fs: float, decim
     for h in range(1, harmonics + 1) if line else ():
         if line * h + 2 < rate / 2:
             filters.append(dsp.butterworth(4, (line * h - 2, line * h + 2), rate, "bandstop"))
-    rows = df.withColumn(samples, decimated(samples, decimate)) if decimate else df
+    rows = df if artifacts is None else without_artifacts(df, key, samples, artifacts)
+    rows = rows.withColumn(samples, decimated(samples, decimate)) if decimate else rows
     return filtered(rows, key, samples, filters, causal=False)
 
 

@@ -25,8 +25,12 @@ def _series(rows: pd.DataFrame, order: str, x: str) -> tuple[pd.DataFrame, np.nd
     return rows, np.stack([np.asarray(v, float) for v in rows[x]])
 
 
-def fitted(df: DataFrame, group: Sequence[str], order: str, x: str, horizon: int = 10, orders: Sequence[int] = range(1, 21)) -> DataFrame:
-    """``n, aic, a, c, k`` of each series' model, of the order with the least AIC; arrays of rows. Series that are too short have none."""
+def fitted(df: DataFrame, group: Sequence[str], order: str, x: str, horizon: int = 10, orders: Sequence[int] = range(1, 21), weights: str = "cva", stable: bool = False) -> DataFrame:
+    """``n, aic, a, c, k, solved`` of each series' model, of the order with the least AIC; arrays of rows. Series that are too short have none.
+
+    ``solved`` is false where the Riccati equation has an eigenvalue on the unit circle, or the model isn't stable: there the gain is the
+    recursion's. For ``weights`` and ``stable`` see ``ssm.Subspace``.
+    """
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -36,14 +40,15 @@ def fitted(df: DataFrame, group: Sequence[str], order: str, x: str, horizon: int
         y = y[ok]
         y = (y - y.mean(0)) / np.where(y.std(0, ddof=1) == 0, 1, y.std(0, ddof=1)) if len(y) > 1 else y
         if len(y) < 2 * horizon * (y.shape[1] + 1):
-            return pd.DataFrame({**{g: [] for g in group}, "n": [], "aic": [], "a": [], "c": [], "k": []})
+            return pd.DataFrame({**{g: [] for g in group}, "n": [], "aic": [], "a": [], "c": [], "k": [], "solved": []})
         possible = range(min(orders), min(max(orders), horizon * y.shape[1] - 1) + 1)
-        n, values = ssm.best_order(y, horizon, possible)
-        a, c, k, _ = ssm.Subspace(y, horizon).fit(n)
-        return pd.DataFrame({**keys, "n": [n], "aic": [min(values)], "a": [a.tolist()], "c": [c.tolist()], "k": [k.tolist()]})
+        shared = ssm.Subspace(y, horizon, weights)
+        n, values = ssm.best_order(y, horizon, possible, weights, stable)
+        a, c, k, _ = shared.fit(n, stable)
+        return pd.DataFrame({**keys, "n": [n], "aic": [min(values)], "a": [a.tolist()], "c": [c.tolist()], "k": [k.tolist()], "solved": [shared.solved]})
 
     nested = "array<array<double>>"
-    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"n int, aic double, a {nested}, c {nested}, k {nested}"])
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"n int, aic double, a {nested}, c {nested}, k {nested}, solved boolean"])
     return df.select(*group, order, x).groupBy(*group).applyInPandas(run, schema)
 
 

@@ -837,6 +837,36 @@ def v2_violin(spark, d):
     return v.select("event_type", "bin", "center", "n", r("width", 9).alias("width"))
 
 
+#: A group's outline ``h(event_type, point, center, n, step)`` with the widths of all four norms.
+WIDTHS = ", m as (select *, max(n) over w m, sum(n) over w t from h window w as (partition by event_type)) select event_type, point, round(center, 6) center, round(n, 6) n, round(n / m, 6) width0, round(n / max(m) over (), 6) width1, round(n / (step * max(m / step) over ()), 6) width2, round(n / (step * t * max(m / (step * t)) over ()), 6) width3 from m"
+
+
+def outlined(spark, d, kind, **options):
+    rows = plotdata.violins(table(spark, d, "events"), ["event_type"], "value", kind, **options)
+    rows = plotdata.violin_widths(rows, ["event_type"], {f"width{norm}": norm for norm in range(4)})
+    return rows.select("event_type", "point", *[r(c).alias(c) for c in ("center", "n", "width0", "width1", "width2", "width3")])
+
+
+@query("with s as (select event_type, min(value) a, (max(value) - min(value)) / 10 step from events group by 1), c as (select event_type, cast(least(floor((value - a) / step), 9) as integer) point, a, step from events join s using (event_type)), h as (select event_type, point, a + (point + 0.5e0) * step center, count(*)::double n, step from c group by event_type, point, a, step)" + WIDTHS)
+def v2_even_bins(spark, d):
+    return outlined(spark, d, "even")
+
+
+@query("with o as (select event_type, list(value order by value) v, count(*) n, min(value) a, max(value) b from events group by 1), q as (select *, n * 0.25e0 - 0.5e0 x1, n * 0.75e0 - 0.5e0 x3 from o), u as (select *, v[cast(floor(x1) + 1 as integer)] + (x1 - floor(x1)) * (v[cast(floor(x1) + 2 as integer)] - v[cast(floor(x1) + 1 as integer)]) q1, v[cast(floor(x3) + 1 as integer)] + (x3 - floor(x3)) * (v[cast(floor(x3) + 2 as integer)] - v[cast(floor(x3) + 1 as integer)]) q3 from q), s as (select event_type, a, round((b - a) / (2 * (q3 - q1) / power(n, 1 / 3e0))) bins, (b - a) / round((b - a) / (2 * (q3 - q1) / power(n, 1 / 3e0))) step from u), c as (select event_type, cast(least(floor((value - a) / step), bins - 1) as integer) point, a, step from events join s using (event_type)), h as (select event_type, point, a + (point + 0.5e0) * step center, count(*)::double n, step from c group by event_type, point, a, step)" + WIDTHS)
+def v2_auto_bins(spark, d):
+    return outlined(spark, d, "auto")
+
+
+@query("with s as (select event_type, min(value) a, max(value) b, count(*) k, mad(value) / 0.6745e0 * power(4 / (3e0 * count(*)), 0.2e0) w from events group by 1), g as (select event_type, a - 3 * w f, (b - a + 6 * w) / 39 step, k, w from s), p as (select event_type, cast(i as integer) point, f + i * step center, step, k, sum(exp(-power((f + i * step - value) / w, 2) / 2)) h from events join g using (event_type), range(40) t(i) group by all), h as (select event_type, point, center, h / sum(h) over (partition by event_type) * k n, step from p)" + WIDTHS)
+def v2_kernel(spark, d):
+    return outlined(spark, d, "kernel", points=40)
+
+
+@query()
+def v2_bin_kernel(spark, d):
+    return outlined(spark, d, "bin_kernel")
+
+
 # Spectra ----------------------------------------------------------------------------------------
 
 
@@ -933,6 +963,11 @@ def h16_preprocessed(spark, d):
     return spectral.preprocess(recordings(spark, d), U, "samples", 32.0, 1, 0.5, 6.0, 5.0)
 
 
+@query()
+def h16_without_artifacts(spark, d):
+    return spectral.preprocess(recordings(spark, d), U, "samples", 32.0, 0, None, 6.0, artifacts=3.0)
+
+
 @query("with n as (select user_id, i, avg(value) over (partition by i) m, value from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 i from events)) select user_id, i, round(value - m, 6) \"value\" from n")
 def h16_rereferenced(spark, d):
     n = series.numbered(events(spark, d), U, TE).select("user_id", "i", "value")
@@ -991,6 +1026,11 @@ def m6_svm(spark, d):
     return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "svm", folds=5)
 
 
+@query()
+def m6_searched(spark, d):
+    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "svm_searched", folds=5)
+
+
 @query()
 def m7_ridge(spark, d):
     return models.cross_validated(vectors(spark, d), ["subject"], "x", "score", "vec_id", "ridge", folds=3)
@@ -1073,6 +1113,11 @@ def j2_j7_fitted(spark, d):
     return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", 3, range(1, 4)).select("subject", "n", "aic")
 
 
+@query()
+def j2_j3_stable(spark, d):
+    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", 3, range(1, 4), "sv", stable=True).select("subject", "n", "aic", "a", "solved")
+
+
 @query()
 def j6_j8_states(spark, d):
     s = state_series(spark, d)
