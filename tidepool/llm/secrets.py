@@ -27,6 +27,9 @@ MIN_BITS_A_STEP = 0.75
 #: Characters of a candidate's part that is judged alone.
 LEAST_PART = 12
 
+#: Matches or spans that are worked on together, so that a text with many takes little more than linear time.
+BLOCK = 256
+
 #: Marks around matches; in a text, they are replaced before, by another character that no pattern takes.
 OPEN, CLOSE, INSTEAD = "\ue000", "\ue001", "\ue002"
 
@@ -176,26 +179,86 @@ def random_parts(token: Column, ratios: list[float], min_bits: float = MIN_BITS,
     return _steps(token, ratios, lambda x: bind(x, judged))
 
 
+def _blocks(items: Column) -> Column:
+    """An array in slices of ``BLOCK``; an empty one in an empty slice."""
+    last = ((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
 def _found(text: Column, kind: str, rank: int, pattern: str, parts_of) -> Column:
     """Spans of what ``parts_of`` gives (``struct(start, end)``) of a pattern's leftmost non-overlapping matches, in code points.
 
     Matches are put between two marks that no pattern matches (in the text, they were replaced before); the parts
-    between marks then give the places.
+    between marks then give the places: first from the start of their block of parts, then from the text's.
     """
     marked = F.regexp_replace(text, f"({pattern})", f"{OPEN}$0{CLOSE}")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, part: Column) -> Column:
-        match = F.substring_index(part, CLOSE, 1)
         own = F.transform(
-            bind(match, parts_of),
-            lambda p: F.struct((acc["at"] + p["start"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + p["end"]).alias("end"), F.lit(kind).alias("kind")),
+            bind(F.substring_index(part, CLOSE, 1), parts_of),
+            lambda p: F.struct((acc["at"] + p["start"]).alias("start"), (acc["at"] + p["end"]).alias("end")),
         )
         spans = F.when(F.contains(part, F.lit(CLOSE)), F.concat(acc["spans"], own)).otherwise(acc["spans"])
         return F.struct((acc["at"] + F.length(part) - F.when(F.contains(part, F.lit(CLOSE)), 1).otherwise(0)).alias("at"), spans.alias("spans"))
 
-    parts = bind(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), F.split(m, OPEN)).otherwise(F.array(F.lit("")))) 
-    return F.aggregate(parts, start, step, lambda a: a["spans"])
+    def shifted(acc: Column, block: Column) -> Column:
+        spans = F.transform(
+            block["spans"],
+            lambda s: F.struct((acc["at"] + s["start"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + s["end"]).alias("end"), F.lit(kind).alias("kind")),
+        )
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["spans"], F.array(spans)).alias("spans"))
+
+    parts = bind(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), F.split(m, OPEN)).otherwise(F.array(F.lit(""))))
+    blocks = F.transform(bind(parts, _blocks), lambda x: F.aggregate(x, start, step))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,end:int,kind:string>>>").alias("spans"))
+    return F.aggregate(blocks, whole, shifted, lambda a: F.flatten(a["spans"]))
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """``struct(from, to, gap)``: what is before each run of overlapping spans and not in one; ``spans`` are in order of start.
+
+    A block of spans cuts its own part of the text out first.
+    """
+
+    def of_block(x: Column, before: Column) -> Column:
+        start = F.struct(before.alias("end"), F.array().cast("array<struct<from:int,to:int,gap:string>>").alias("out"))
+
+        def step(region: Column):
+            def one(acc: Column, s: Column) -> Column:
+                gap = F.substr(region, acc["end"] - before + 1, F.greatest(s["start"] - acc["end"], F.lit(0)))
+                more = F.concat(acc["out"], F.array(F.struct(acc["end"].alias("from"), s["start"].alias("to"), gap.alias("gap"))))
+                return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["start"] < acc["end"], acc["out"]).otherwise(more).alias("out"))
+
+            return one
+
+        length = F.coalesce(F.greatest(F.get(x, F.size(x) - 1)["start"] - before, F.lit(0)), F.lit(0))
+        return bind(F.substr(text, before + 1, length), lambda region: F.aggregate(x, start, step(region), lambda acc: acc["out"]))
+
+    def of_all(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda x: F.array_max(F.transform(x, lambda s: s["end"])))
+        return bind(ends, lambda e: F.flatten(F.transform(blocks, lambda x, b: bind(F.coalesce(F.array_max(F.slice(e, F.lit(1), b)), F.lit(0)), lambda before: of_block(x, before)))))
+
+    return bind(bind(spans, _blocks), of_all)
+
+
+def _rest(text: Column, spans: Column) -> Column:
+    """What is behind all spans."""
+    return F.substr(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1)
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with the characters of spans replaced by ones that no candidate has."""
+
+    def joined(gaps: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return F.concat(F.repeat(F.lit(INSTEAD), x["from"] - F.coalesce(F.get(gaps, i - 1)["to"], x["from"])), x["gap"])
+
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        last = F.repeat(F.lit(INSTEAD), end - F.get(gaps, F.size(gaps) - 1)["to"])
+        return F.concat(F.array_join(F.transform(gaps, one), ""), last, _rest(text, spans))
+
+    return F.when(F.size(spans) > 0, bind(_gaps(text, spans), joined)).otherwise(text)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], min_bits: float = MIN_BITS, min_bits_a_step: float = MIN_BITS_A_STEP) -> DataFrame:
@@ -218,12 +281,8 @@ def find_secrets(docs: DataFrame, ratios: list[float], min_bits: float = MIN_BIT
 
     base = F.concat(*[_found(text, k, i, p, long_enough(k, p)) for i, (k, p) in enumerate(BASE)])
 
-    def outside(acc: Column, b: Column) -> Column:
-        """The text with a base span's characters replaced by ones that no candidate has."""
-        return F.concat(F.substr(acc, F.lit(1), b["start"]), F.repeat(F.lit(INSTEAD), b["end"] - b["start"]), F.substr(acc, b["end"] + 1))
-
     rows = docs.select(F.struct("*").alias("_doc"), text.alias("_rest"), F.array_sort(base).alias("base"))
-    rest = F.when(F.size("base") > 0, F.aggregate("base", F.col("_rest"), outside)).otherwise(F.col("_rest"))
+    rest = _without(F.col("_rest"), F.col("base"))
     rows = rows.select("_doc", "base", _found(rest, "random", len(BASE), CANDIDATE, lambda m: random_parts(m, ratios, min_bits, min_bits_a_step)).alias("new"))
     return rows.select(*[F.col("_doc")[c].alias(c) for c in names], "base", F.array_sort(F.concat("base", "new")).alias("spans"))
 
@@ -236,12 +295,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; spans that overlap share one. All rows and columns stay; ``n_chars`` follows."""
     rows = find_secrets(docs.select(F.struct("*").alias("_doc"), "text"), ratios)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.when(s["start"] < acc["at"], acc["out"]).otherwise(gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
+    kept = F.transform(_gaps(F.col("text"), F.col("spans")), lambda x: x["gap"])
+    whole = F.array_join(F.concat(kept, F.array(_rest(F.col("text"), F.col("spans")))), mark)
     new = F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
     return with_text(rows.select("_doc", new.alias("_text")), docs.columns)
