@@ -79,3 +79,13 @@ def test_chunks_keep_to_their_places():
     parts = list(repeats._chunks(iter(texts)))
     assert max(len(data) for data, _, _ in parts) <= repeats._PLACE
     assert sum(n - 399 for _, _, owners in parts for _, _, n in owners) == sum(len(t) - 399 for t in texts)
+
+
+def test_clashing_names(docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef") for _ in range(500)) for _ in range(2)] * 2
+    names = ("key_a", "key_b", "spans", "first", "last", "gram", "span", "place", "n_bytes", "kept", "found", "k")
+    table = docs(list(enumerate(texts))).withColumns({c: F.lit(c) for c in names})
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(table).collect()) == [(i, 500, 500) for i in range(4)]

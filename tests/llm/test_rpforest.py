@@ -92,3 +92,15 @@ def test_edges(spark):
     assert sorted(x for x in got if x[0] in (1, 2, 11)) == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (11, 3, 1, False)]
     assert all(n == 0 and c == i and k for i, n, c, k in got if i not in (1, 2, 11))
     assert rpforest.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from tidepool.llm import rpforest
+
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 1), (4, None, 1)]
+    names = ("id", "vec", "ok", "dim", "tree", "node", "home", "ball", "rows", "component", "n_links", "kept", "_label", "_vec")
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in names})
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.near_duplicates(table).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
