@@ -34,7 +34,8 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     a page over ``max_ratio``, however large the host is.
     """
     totals = docs.groupBy(_host(host).alias("host")).agg(F.count(F.lit(1)).alias("total"))
-    lines = docs.select(_host(host).alias("host"), F.explode(F.array_distinct(F.transform(_with_word(F.col("text")), _hash))).alias("line"))
+    lines = F.array_distinct(F.transform(_with_word(F.col("text")), F.trim))  # strings are told apart by a hash set, structs pair by pair
+    lines = docs.select(_host(host).alias("host"), F.explode(F.transform(lines, _hash)).alias("line"))
     counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     found = counted.join(totals, "host").where(F.col("n") > F.col("total") * max_ratio)
     return found.groupBy("host").agg(F.collect_list("line").alias("lines"))
