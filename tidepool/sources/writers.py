@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: New local folders by application, where ``spark.checkpoint.dir`` is unset.
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that ``spark.checkpoint.dir`` names for all executors; where it is unset, a local one."""
+    """A new place in the folder that ``spark.checkpoint.dir`` names for all executors; where it is unset, in a local one of the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = _own[app]
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
