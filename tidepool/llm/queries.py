@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import linedup, minhash, packing, quality, repeats, rpforest, secrets, shards, urls, wordbpe
+from tidepool.llm import centroids, linedup, minhash, packing, quality, repeats, resampling, rpforest, secrets, sentencepieces, shards, urls, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,22 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return rows.withColumn("centroid_sha256", digest).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_quality, op3_urls, op4_shards, op5_minhash, op6_repeats, op7_lines, op8_secrets, op9_words, op10_vectors, pipeline)
+    own = (op1_pack, op2_quality, op3_urls, op4_shards, op5_minhash, op6_repeats, op7_lines, op8_secrets, op9_words, op10_vectors, op11_resample, op12_pieces, op13_centroids, pipeline)
     return {f.__name__: f for f in own}
 
 
