@@ -1,12 +1,12 @@
-"""SentencePiece encoding and decoding through a table of distinct chunks."""
+"""SentencePiece encoding and decoding by distinct chunks."""
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
@@ -14,8 +14,8 @@ from tidepool.llm import wordblocks
 
 #: The sign that stands for a space in pieces.
 MARKER = "▁"
-#: Spaces and what follows them; a marked text starts with a space.
-CHUNK = re.compile(" +[^ ]*")
+#: Spaces, and after them letters, a digit or signs. A marked text starts with a space.
+CHUNK = re.compile(r" *(?:[A-Za-z\xaa\xb5\xba\xc0-\u1fff\u2070-\U0010ffff]+|[0-9]|[^ A-Za-z0-9\xaa\xb5\xba\xc0-\u1fff\u2070-\U0010ffff]+)| +")
 
 
 @functools.cache
@@ -24,45 +24,53 @@ def _model(path: str) -> SentencePieceProcessor:
 
 
 def check(path: str) -> None:
-    """Refuses models whose chunks depend on each other: pieces with a marker after another character, no marker before the text, or texts that are changed before."""
+    """Refuses models whose chunks depend on each other: pieces that are more than one chunk, no marker before the text, or texts that are changed before."""
     model = _model(path)
-    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    crossing = next((p for p in pieces if re.search(f"[^{MARKER}]{MARKER}", p)), None)
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
+    crossing = next((p for p in pieces if len(CHUNK.findall(p.replace(MARKER, " "))) != 1), None)
     if crossing is not None:
-        raise ValueError(f"the piece {crossing!r} crosses a marker, so chunks can't be segmented by themselves")
-    probe = "  ﬁ  Å é\t"
+        raise ValueError(f"the piece {crossing!r} crosses from one chunk to another, so chunks can't be segmented by themselves")
+    probe = "  ﬁ  Å é\t"
     if model.decode(model.encode(probe)) != probe or not model.id_to_piece(model.encode("a")[0]).startswith(MARKER):
         raise ValueError("the model changes texts before it segments them, or sets no marker before them")
 
 
 def split_chunks(text: str | None) -> list[str]:
-    """Chunks of a whole text: runs of spaces (or markers) with what follows them, the one set before the text included; none of an empty text."""
+    """Chunks of a whole text, with the space that is set before it and for markers in it; none of an empty text."""
     return CHUNK.findall(" " + text.replace(MARKER, " ")) if text else []
 
 
-def encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
-    """``word, ids, decoded`` of a table of distinct chunks (``word``)."""
+def encode_chunks(path: str, chunks: list[str]) -> list[pa.Array]:
+    """Ids of distinct chunks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
-        alone = model.piece_to_id(MARKER)
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            # the library sets a marker before what it is given, so a chunk goes without its own; of a lone space nothing is left
-            ids = [x or [alone] for x in model.encode([c[1:] for c in own], num_threads=1)]
-            decoded = [" " + t for t in model.decode(ids, num_threads=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["word", "ids", "decoded"])
+    The library sets a marker before what it is given. So a chunk that starts with a space goes without it; of a lone space nothing is left; any
+    other one goes after a line break, which no piece holds, and whose ids are taken off.
+    """
+    model = _model(path)
+    alone, lead = model.piece_to_id(MARKER), len(model.encode("\n"))
+    starts = [c[0] == " " for c in chunks]
+    ids = model.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, starts, strict=True)], num_threads=1)
+    return [pa.array([(x or [alone]) if s else x[lead:] for x, s in zip(ids, starts, strict=True)], pa.list_(pa.int32()))]
 
-    return chunks.select("word").mapInArrow(run, "word string, ids array<int>, decoded string")
+
+def _finish(path: str, rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Numbers, ids and decoded texts of a block's chunks; ids are decoded after those of a line break, as the library takes a marker off a text's start."""
+    model = _model(path)
+    lead = model.encode("\n")
+    rows = rows.sort_by("no").combine_chunks()
+    no, ids = (rows.column(c).combine_chunks() for c in ("no", "ids"))
+    decoded = [t for lo in range(0, len(ids), 10_000) for t in model.decode([lead + x for x in ids.slice(lo, 10_000).to_pylist()], num_threads=1)]
+    return no, ids, pc.utf8_slice_codeunits(pa.array(decoded, pa.string()), 1)
 
 
 def encode_and_decode(docs: DataFrame, path: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
     """``doc_id, ids, decoded`` of every row of ``docs`` (``doc_id, text``; other columns are ignored): ids as the library gives them without begin and end, and the text they decode to.
 
-    No piece of the model may cross from a character to a marker (``check`` refuses others), so what lies between such places
-    is segmented alike wherever it stands: every distinct chunk is segmented and decoded once, and both are joined back by position (see
+    No piece of the model crosses from what precedes a marker to it, nor between letters, digits and other signs (``check`` refuses other models), so what lies between such places
+    is segmented alike wherever it stands: every distinct chunk is segmented once, its ids are decoded once for each block, and both are joined back by position (see
     ``wordblocks``). A null text is an empty one, without ids; repeated rows and ids are repeated; an empty table stays empty.
     """
     check(path)
-    rows = wordblocks.encode_and_decode(docs, split_chunks, functools.partial(encode_chunks, path=path), "", block_chars)
-    return rows.selectExpr("doc_id", "ids", "substring(decoded, 2) as decoded")
+    coder = wordblocks.Coder(docs, split_chunks, block_chars)
+    rows = wordblocks.encoded(coder, functools.partial(encode_chunks, path), "ids array<int>")
+    return wordblocks.joined_back(coder, rows, functools.partial(_finish, path), "").selectExpr("doc_id", "ids", "substring(decoded, 2) as decoded")

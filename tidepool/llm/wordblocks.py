@@ -1,13 +1,15 @@
 """Blocks of texts coded by their distinct words, and what belongs to a word joined back by position.
 
 A block holds neighbouring texts of a partition as the numbers of their words in the block's own list of distinct
-words. Only these lists meet the table of distinct words, so a word is shuffled once for each block and not once for each
-time it occurs, however frequent it is, and no list of words goes through the driver.
+words. Only these lists are dealt out by word: all rows of a word meet in one partition, next to each other, where it is encoded once. So a word
+is shuffled once for each block and not once for each time it occurs, however frequent it is, and no list of words goes through the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.store import written
+Encode = Callable[[list[str]], list[pa.Array]]
 
 #: Characters of text in a block, and in a part of it that is split at once; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 24
 PART_CHARS = 1 << 20
-#: Words of a block's list in one row.
+#: Words of a block's list in one Arrow batch.
 LISTED = 10_000
+#: Rows that a task gathers before it packs them by block.
+PACKED = 500_000
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -48,86 +52,152 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             lo, before = hi, int(ends[hi - 1])
 
 
-def coded(docs: DataFrame, split: Callable[[str | None], list[str]], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of ``docs`` (``doc_id, text``), written: rows with ``block, doc_ids, sizes, codes`` for the texts and with ``block, first, words`` for their words.
+def _blocks(split: Callable[[str | None], list[str]], block_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """``block, doc_ids, sizes, codes, words`` of one block after another."""
+    ids: list[pa.Array] = []
+    sizes: list[int] = []
+    words: list[pa.Array] = []
+    held = made = 0
 
-    ``split`` gives a text's words. A block's words are numbered by frequency from 0; ``words`` are those from ``first`` on.
-    A text's row is known by its place in the block alone, so null and repeated ids are like any others.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "doc_ids", "sizes", "codes", "first", "words"]
-
-    def block_rows(block: int, ids: list[pa.Array], sizes: list[int], words: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def block() -> tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]:
         one = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
-        codes = np.concatenate([c.indices.to_numpy() for c in one.chunks])
-        listed = one.chunk(0).dictionary
+        codes, listed = np.concatenate([c.indices.to_numpy() for c in one.chunks]), one.chunk(0).dictionary
         order = np.argsort(-np.bincount(codes, minlength=len(listed)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        listed, all_ids = listed.take(pa.array(order)), pa.concat_arrays(ids)
-        n = -(-len(listed) // LISTED)
-        offsets = pa.array(np.minimum(np.arange(n + 1) * LISTED, len(listed)), pa.int32())
-        texts = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (all_ids, pa.array(sizes, pa.int32()))]
-        none = pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array([block]), *texts, pa.array([_planes(rank[codes])], pa.binary()), *none], names)
-        if n:
-            none = pa.nulls(n, texts[0].type), pa.nulls(n, texts[1].type), pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(np.arange(n) * LISTED, pa.int32()), pa.ListArray.from_arrays(offsets, listed)], names)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        ids, sizes, words, held = [], [], [], 0
-        for doc_ids, texts, chars in _parts(batches):
-            if held and held + chars > block_chars:
-                yield from block_rows(block, ids, sizes, words)
-                block, ids, sizes, words, held = block + 1, [], [], [], 0
-            lists = [split(t) for t in texts]
-            ids.append(doc_ids)
-            sizes += map(len, lists)
-            words.append(pa.array([w for x in lists for w in x], pa.string()).dictionary_encode())
-            held += max(chars, 1)
+        listed = listed.take(pa.array(order))
+        check = crc32(listed.buffers()[2] or b"") & 0xFFFFFF
+        key = (TaskContext.get().partitionId() << 40) | (made << 24) | check
+        return key, pa.concat_arrays(ids), np.array(sizes, np.int32), rank[codes], listed
+
+    for doc_ids, texts, chars in _parts(batches):
+        if held and held + chars > block_chars:
+            yield block()
+            ids, sizes, words, held, made = [], [], [], 0, made + 1
+        lists = [split(t) for t in texts]
+        ids.append(doc_ids)
+        sizes += map(len, lists)
+        words.append(pa.array([w for x in lists for w in x], pa.string()).dictionary_encode())
+        held += max(chars, 1)
+    if held:
+        yield block()
+
+
+class Coder:
+    """Blocks of ``docs`` (``doc_id, text``): as ``texts``, and as the ``words`` of their lists; ``split`` gives a text's words.
+
+    A block's words are numbered by frequency from 0. A text's row is known by its place in the block alone, so null and repeated ids are like any
+    others. Both tables are made from ``docs`` by themselves, as texts in numbers are much of the input's size, and keeping them beside their shuffle would
+    double that. So ``docs`` has to give the same rows in the same order, as a table in files does; a block's key holds a checksum of its list, and a
+    block whose list is another one the second time is an error.
+    """
+
+    def __init__(self, docs: DataFrame, split: Callable[[str | None], list[str]], block_chars: int = BLOCK_CHARS) -> None:
+        self.docs = docs.select("doc_id", F.col("text").cast("string"))
+        self.kind = docs.schema["doc_id"].dataType.simpleString()
+        self.blocks = functools.partial(_blocks, split, block_chars)
+
+    def texts(self) -> DataFrame:
+        """``block, doc_ids, sizes, codes``: a row for each block."""
+        blocks = self.blocks
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, ids, sizes, codes, _ in blocks(batches):
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (ids, pa.array(sizes))]
+                yield pa.RecordBatch.from_arrays([pa.array([key]), *lists, pa.array([_planes(codes)], pa.binary())], ["block", "doc_ids", "sizes", "codes"])
+
+        return self.docs.mapInArrow(run, f"block long, doc_ids array<{self.kind}>, sizes array<int>, codes binary")
+
+    def words(self) -> DataFrame:
+        """``block, no, word``: every block's distinct words."""
+        blocks = self.blocks
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, _, _, _, words in blocks(batches):
+                for lo in range(0, len(words), LISTED):
+                    part = words.slice(lo, LISTED)
+                    no = pa.array(np.arange(lo, lo + len(part), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), no, part], ["block", "no", "word"])
+
+        return self.docs.mapInArrow(run, "block long, no int, word string")
+
+
+def encoded(coder: Coder, encode: Encode, columns: str) -> DataFrame:
+    """``block, no`` and ``columns`` (a schema) of every block's words; ``encode`` gives the columns of a list of distinct words and sees each word once."""
+    names = ["block", "no", *[c.split()[0] for c in columns.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, made = None, []
+        for batch in batches:
+            if batch.num_rows:
+                coded = batch.column(2).dictionary_encode()
+                own = coded.dictionary.to_pylist()
+                known = [m.slice(len(m) - 1) for m in made] if own[0] == last else []
+                made = encode(own[1:] if known else own)
+                made = [pa.concat_arrays(parts) for parts in zip(known, made, strict=True)] if known else made
+                last = own[-1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[m.take(coded.indices) for m in made]], names)
+
+    words = coder.words().repartition("word").sortWithinPartitions("word")
+    return words.mapInArrow(run, f"block long, no int, {columns}")
+
+
+def _packed(rows: DataFrame) -> tuple[DataFrame, pa.Schema]:
+    """``of, content``: rows of one ``block`` as compressed Arrow batches, some ``PACKED`` rows of a task at a time; and their schema without the block."""
+    schema = pa.schema([(f.name, _arrow(f.dataType)) for f in rows.schema.fields if f.name != "block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(3).compress
+
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            block = table.column("block").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+            table = table.drop_columns("block").cast(schema)
+            content = [compress(pa.concat_batches(table.slice(a, b - a).to_batches()).serialize()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(content, pa.binary())], ["of", "content"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield flush(held)
+                held = []
         if held:
-            yield from block_rows(block, ids, sizes, words)
+            yield flush(held)
 
-    schema = f"block long, doc_ids array<{kind}>, sizes array<int>, codes binary, first int, words array<string>"
-    return written(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(code, schema), "blocks")
+    return rows.mapInArrow(pack, "of long, content binary"), schema
 
 
-def listed_words(blocks: DataFrame) -> DataFrame:
-    """``block, no, word``: every block's distinct words."""
-    return blocks.where("words is not null").select("block", "first", F.posexplode("words").alias("pos", "word")).select("block", (F.col("first") + F.col("pos")).alias("no"), "word")
+def _arrow(kind) -> pa.DataType:
+    return pa.list_(pa.int32()) if kind.typeName() == "array" else {"integer": pa.int32(), "string": pa.string()}[kind.typeName()]
 
 
-def joined_back(blocks: DataFrame, table: DataFrame, separator: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of every text: its words' ``ids`` one after another and their ``decoded`` texts with ``separator`` between them.
+def joined_back(coder: Coder, rows: DataFrame, finish: Callable[[pa.Table], tuple[pa.Array, pa.Array, pa.Array]], separator: str) -> DataFrame:
+    """``doc_id, ids, decoded`` of every text: its words' ids one after another and their decoded texts with ``separator`` between them.
 
-    ``table`` has ``word, ids, decoded`` for each distinct word. It is joined to the blocks' lists by word, then what belongs to a block's words
-    meets the block's texts, where it is taken by position. A task holds one block.
+    ``rows`` has ``block, no`` and what was made of each block's words; ``finish`` turns one block's rows into numbers, ids and decoded
+    texts by word. A task joins one block: what belongs to its words is taken at their positions in its texts.
     """
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    found = listed_words(blocks).join(table, "word").select(F.col("block").alias("of"), "no", "ids", "decoded")
-    texts = blocks.where("codes is not null").select("block", "doc_ids", "sizes", "codes")
+    packed, schema = _packed(rows)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("no").combine_chunks()
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [pa.ipc.read_record_batch(pa.py_buffer(unpack(x.as_py())), schema) for x in right.column("content")]
+        if not left.num_rows:
+            raise RuntimeError("the documents were read in another order the second time")
+        no, ids, decoded = finish(pa.Table.from_batches(parts, schema))
         row = left.combine_chunks()
         codes, doc_ids = pa.array(_numbers(row.column("codes")[0].as_py())), row.column("doc_ids").combine_chunks().flatten()
+        most = pc.max(codes).as_py()
+        if not np.array_equal(no.to_numpy(), np.arange(0 if most is None else most + 1)):
+            raise RuntimeError("some of a block's words were not encoded")
         ends = np.append(0, np.cumsum(row.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.int64))
-        if right.num_rows:
-            ids = right.column("ids").combine_chunks().take(codes)
-            tokens = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64))[ends]
-            ids, words = ids.flatten(), right.column("decoded").combine_chunks().take(codes)
-        else:
-            tokens, ids, words = ends, pa.array([], pa.int32()), pa.array([], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), ids)
-        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), separator)
-        return pa.table([doc_ids, lists, decoded], ["doc_id", "ids", "decoded"])
-
-    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(join, f"doc_id {kind}, ids array<int>, decoded string")
-
-
-def encode_and_decode(docs: DataFrame, split: Callable[[str | None], list[str]], encode: Callable[[DataFrame], DataFrame], separator: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, ids, decoded`` of ``docs``; ``encode`` turns a table of distinct ``word``s into ``word, ids, decoded``."""
-    blocks = coded(docs, split, block_chars)
-    words = listed_words(blocks).select("word").distinct()
-    return joined_back(blocks, written(encode(words), "words"), separator)
+        ids = ids.take(codes)
+        tokens = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64))[ends]
+        lists = pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), ids.flatten())
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), decoded.take(codes)), separator)
+        return pa.table([doc_ids, lists, text], ["doc_id", "ids", "decoded"])
+
+    return coder.texts().groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(join, f"doc_id {coder.kind}, ids array<int>, decoded string")
