@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import centroids, linedup, minhash, packing, quality, repeats, resampling, rpforest, secrets, sentencepieces, shards, urls, wordbpe
@@ -56,10 +56,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secrets.listed(F.col("spans")).alias("spans"))
 
 
+def _little_endian(ids: str) -> Column:
+    """Ids as little-endian unsigned 32-bit numbers: their hex digits' pairs turned round."""
+    digits = F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.unhex(F.regexp_replace(digits, "(..)(..)(..)(..)", "$4$3$2$1"))
+
+
 def op9_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wordbpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return rows.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_little_endian("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,21 @@
-"""Word-level BPE through a table of distinct words, and decoding through a table of pieces."""
+"""Word-level BPE by distinct words, and decoding by a join with the table of pieces."""
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words that every task gets as an Arrow table, at most (20 MB); they are the most frequent of at most so many rows.
-#: All other words go through joins, so neither number changes the result.
-HOT_WORDS = 400_000
-SAMPLE_ROWS = 40_000
+from tidepool.llm import wordblocks
 
 #: The word pattern of this kind of tokenizer, and Unicode's white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,9 +27,6 @@ ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^a-z0-9\x20\x09-\x0
 PLAIN_WORD = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\w\s]|_)+")
 ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f]")
 
-#: Where a text's own row comes among those of its rare words: last.
-LAST = 2**31 - 1
-
 
 @functools.cache
 def _special(path: str) -> tuple[dict[str, int], "re.Pattern | None"]:
@@ -93,194 +83,39 @@ def split_words(path: str, text: str | None) -> list[str]:
     return out
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Each word's ids as little-endian unsigned 32-bit numbers."""
+def _word_ids(path: str, words: list[str]) -> list[list[int]]:
     tokenizer, added = _tokenizer(path), _special(path)[0]
     plain = tokenizer.encode_batch_fast([w for w in words if w[0] != " "], add_special_tokens=False)
     ids = iter([e.ids for e in plain])
-    return [np.array([added[w[1:]]] if w[0] == " " else next(ids), "<u4").tobytes() for w in words]
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
-
-
-def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``word, n``: distinct words, counted in each task before they are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def table() -> pa.RecordBatch:
-            out = _batch(word=(list(counts), pa.string()), n=(list(counts.values()), pa.int64()))
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(split_words(tokenizer, text.as_py()))
-                if len(counts) > 500_000:
-                    yield table()
-        yield table()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class WordTable:
-    """Ids of frequent words, as Arrow and NumPy arrays: a few bytes a word in each Python worker."""
-
-    def __init__(self, words: pa.Array, ids: list[bytes]) -> None:
-        self.words = words
-        self.size = np.array([len(x) // 4 for x in ids], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
-
-    def find(self, words: pa.Array) -> np.ndarray:
-        """Places of words in the table, -1 for others."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
-
-    def with_rows(self, ids: list[bytes]) -> "WordTable":
-        """The table with further rows after its own; they have no word to be found by."""
-        more = WordTable(self.words, ids)
-        more.first = np.concatenate([self.first, more.first + len(self.ids)])
-        more.size, more.ids = np.concatenate([self.size, more.size]), np.concatenate([self.ids, more.ids])
-        return more
-
-    def join(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids at the places, one after another, and where each place's end."""
-        size = self.size[places]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.first[places] - (ends - size), size) + np.arange(size.sum())], ends
-
+    return [[added[w[1:]]] if w[0] == " " else next(ids) for w in words]
 
-def _split_all(path: str, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
-    """Words of some texts, one after another, and where each text's start and end."""
-    lists = [split_words(path, t) for t in texts]
-    return pa.array([w for x in lists for w in x], pa.string()), np.cumsum([0, *map(len, lists)])
 
+def encode_words(path: str, words: list[str]) -> list[pa.Array]:
+    """Ids of distinct words."""
+    return [pa.array(_word_ids(path, words), pa.list_(pa.int32()))]
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``word, ids`` of a table of distinct words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield _batch(word=(own, pa.string()), ids=(_word_ids(tokenizer, own), pa.binary()))
+def _finish(table: Broadcast, rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Numbers, ids and decoded texts of a block's words: their ids are joined with the table of pieces, which are set apart by spaces."""
+    rows = rows.sort_by("no").combine_chunks()
+    no, ids = (rows.column(c).combine_chunks() for c in ("no", "ids"))
+    flat = ids.flatten()
+    found = pa.table({"at": np.arange(len(flat)), "id": flat}).join(table.value, "id", join_type="inner", use_threads=False).sort_by("at")
+    if found.num_rows != len(flat):
+        raise ValueError("some ids have no piece")
+    offsets = pa.array(np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))), pa.int32())
+    return no, ids, pc.binary_join(pa.ListArray.from_arrays(offsets, found.column("piece").combine_chunks()), " ")
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
 
+def encode_and_decode(docs: DataFrame, tokenizer: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
+    """``doc_id, ids, decoded``: ids as the library gives them, and the text that they decode to.
 
-def _planes(places: np.ndarray) -> bytes:
-    """Numbers byte by byte, all lowest bytes first; they compress better so."""
-    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def encode_and_decode(docs: DataFrame, tokenizer: str, hot_words: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, ids, decoded``: ids as little-endian unsigned 32-bit numbers, and the text that they decode to.
-
-    ``docs`` needs ``doc_id`` and ``text``; a null text is an empty one, without ids; repeated rows are repeated; an empty
-    table stays empty. Every distinct word is encoded once. The ids of frequent words come from a table that every task
-    has, bounded by ``hot_words``; the others' are joined: the (row, position, word) rows of a word meet in one partition, one after
-    another, where it is encoded once; with its ids they meet their row, known by its id and a fingerprint of its text. A text goes
-    there as the numbers of its words in the table. Ids are joined with the table of pieces, which is bounded by the vocabulary and sent to all tasks.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. A null text is an empty one, without ids; repeated rows and ids are repeated;
+    an empty table stays empty. Every distinct word is encoded once; in each block, its words' ids are joined with the table of pieces, which goes to all tasks, as its size is the
+    vocabulary's; and both are joined back by position (see ``wordblocks``).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
-    kind = dict(rows.dtypes)["doc_id"]
-    count = docs.count()
-    sample = rows if count <= sample_rows else rows.sample(sample_rows / count, seed=1)
-    frequent = count_words(sample, tokenizer).orderBy(F.desc("n"), "word").limit(hot_words)
-    words = encode_words(frequent, tokenizer).toArrow().combine_chunks()
-    hot = spark.sparkContext.broadcast(WordTable(pa.array(words.column(0).to_pylist(), pa.string()), words.column(1).to_pylist()))
-    vocabulary = pieces(spark, tokenizer).toArrow().combine_chunks()
-    vocabulary = spark.sparkContext.broadcast((vocabulary.column("id").combine_chunks(), vocabulary.column("piece").combine_chunks()))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                words, ends = _split_all(tokenizer, part.column(1).to_pylist())
-                at = np.flatnonzero(hot.value.find(words) < 0)
-                text = np.searchsorted(ends, at, side="right") - 1
-                keys = [part.column(i).take(pa.array(text)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array((at - ends[text]).astype(np.int32)), words.take(pa.array(at))], ["doc_id", "key", "at", "word"])
-
-    def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, bytes] = {}
-        for batch in batches:
-            coded = batch.column(3).dictionary_encode()
-            own = coded.dictionary.to_pylist()
-            new = [w for w in own if w not in last]
-            made = last | dict(zip(new, _word_ids(tokenizer, new), strict=True))
-            ids = pa.array([made[w] for w in own], pa.binary()).take(coded.indices)
-            last = {own[-1]: made[own[-1]]} if own else last
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["doc_id", "key", "at", "content"])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                words, ends = _split_all(tokenizer, part.column(1).to_pylist())
-                places = hot.value.find(words) + 1
-                packed = [pack(_planes(places[a:b])) for a, b in itertools.pairwise(ends.tolist())]
-                at = pa.array(np.full(len(packed), LAST, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), at, pa.array(packed, pa.binary())], ["doc_id", "key", "at", "content"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (ids, pieces), unpack = hot.value, vocabulary.value, zstandard.ZstdDecompressor().decompress
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
-            held, made = _joined(table, known, unpack)
-            for doc_ids, texts in made:
-                own = pa.array(np.concatenate(texts) if texts else np.zeros(0, "<u4"), pa.uint32())
-                offsets = pa.array(np.cumsum([0, *map(len, texts)]), pa.int32())
-                decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pc.index_in(own.cast(pa.int32()), value_set=ids))), " ")
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.tobytes() for x in texts], pa.binary()), decoded], ["doc_id", "ids", "decoded"])
-
-    schema = f"doc_id {kind}, key long, at int, content binary"
-    apart = rows.select("doc_id", "text", "key").mapInArrow(rare, f"doc_id {kind}, key long, at int, word string")
-    found = apart.repartition("word").sortWithinPartitions("word").mapInArrow(encode_rows, schema)
-    numbered = rows.select("doc_id", "text", "key").mapInArrow(number, schema)
-    both = numbered.unionByName(found).repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "at")
-    return both.mapInArrow(finish, f"doc_id {kind}, ids binary, decoded string")
-
-
-def _joined(table: pa.Table, known: WordTable, unpack) -> tuple[pa.Table, Iterator[tuple[pa.Array, list[np.ndarray]]]]:
-    """The rare words' rows of the last key, which may go on; and, for some texts at a time, their doc_ids and ids.
-
-    Rows of one key follow each other, first its rare words' (once for each of its texts) by position, then its texts'.
-    """
-    key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
-    doc = table.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-    same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
-    table = table.filter(pa.array(np.append(True, ~(same & (at[1:] == at[:-1]) & (at[1:] < LAST))))) if len(key) else table
-    key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
-    doc = table.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
-    group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-    if not len(starts):
-        return table, iter(())
-    size = np.add.reduceat((at < LAST).astype(np.int64), starts)
-    content, texts = table.column("content").combine_chunks(), np.flatnonzero(at == LAST)
-
-    def some() -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-        for lo in range(0, len(texts), 500):
-            own = texts[lo : lo + 500]
-            lists = [_numbers(unpack(x)) for x in content.take(pa.array(own)).to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)])
-            n = size[group[own]]
-            row = np.repeat(starts[group[own]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            places = np.concatenate(lists) - 1
-            places[np.repeat(ends[:-1], n) + at[row]] = len(known.size) + np.arange(len(row))
-            joined, stops = known.with_rows(content.take(pa.array(row)).to_pylist()).join(places)
-            stops = np.append(0, stops)[ends]
-            yield table.column("doc_id").combine_chunks().take(pa.array(own)), [joined[a:b] for a, b in itertools.pairwise(stops.tolist())]
-
-    return table.slice(starts[-1], size[-1]), some()
+    table = spark.sparkContext.broadcast(pieces(spark, tokenizer).toArrow())
+    coder = wordblocks.Coder(docs, functools.partial(split_words, tokenizer), block_chars)
+    rows = wordblocks.encoded(coder, functools.partial(encode_words, tokenizer), "ids array<int>")
+    return wordblocks.joined_back(coder, rows, functools.partial(_finish, table), " ")
