@@ -291,7 +291,7 @@ def test_transfer_and_permutations(rows):
         r = rows("k2_k3_null_table").query("subject == @k").iloc[0]
         assert abs(r.auc - area(y[70:], s)) < 1e-9 and abs(r.p - (sum(v >= r.auc for v in null) + 1) / (PERMUTATIONS + 1)) < 1e-9
         one = rows("k1_permutations").query("subject == @k").iloc[0]
-        assert abs(one.auc - area(y, expected_scores(x, y, 10))) < 1e-9 and one.p < 0.05 and abs(one.p * 101 - round(one.p * 101)) < 1e-9
+        assert abs(one.auc - area(y, expected_scores(x, y, 10))) < 1e-9 and one.p < 0.05 and abs(one.p * (PERMUTATIONS + 1) - round(one.p * (PERMUTATIONS + 1))) < 1e-9
         swarm = rows("v6_swarm").query("subject == @k")
         assert len(swarm) == PERMUTATIONS + 1 and abs(swarm[swarm.is_model].auc.iloc[0] - area(y, expected_scores(x, y, 5))) < 1e-9
         assert abs(swarm[~swarm.is_model].auc.mean() - 0.5) < 0.1
@@ -318,6 +318,64 @@ def test_region_grids_and_targets(rows):
     assert abs(t.query("subject == 2 and side == 'right' and target == 'f1'").auc.iloc[0] - area(y, expected_scores(x[:, 32:], y, 5))) < 1e-9
 
 
+def test_permuted_regressions(rows):
+    """R2, correlation and their null values: Lasso of some permutations by slow coordinate descent, p-values by counting."""
+    from tidepool.operators import models
+
+    grid, whole = rows("m12_lasso_grid"), rows("k1_regressions")
+    assert len(grid) == 15 and len(whole) == 5
+    _, x, y = subject(rows, 1, score=True)
+
+    def quality(x, y, folds):
+        guess = np.zeros(len(y))
+        for test in np.array_split(np.arange(len(y)), folds):
+            keep = np.setdiff1d(np.arange(len(y)), test)
+            z = scaled(x, x)
+            w, b = lasso(z[keep], y[keep], 1e-4, 1500)
+            guess[test] = z[test] @ w + b
+        return 1 - ((y - guess) ** 2).sum() / ((y - y.mean()) ** 2).sum(), np.corrcoef(y, guess)[0, 1]
+
+    own = grid[(grid.subject == 1) & (grid.subset == "left")].iloc[0]
+    r2, rho = quality(x[:, :32], y, 10)
+    assert abs(own.r2 - r2) < 1e-3 and abs(own.rho - rho) < 1e-3 and own.p_r2 == own.p_rho == 1 / (PERMUTATIONS + 1)
+    right = grid[(grid.subject == 1) & (grid.subset == "right")].iloc[0]
+    assert right.p_r2 > 0.02 and abs(right.p_rho * (PERMUTATIONS + 1) - round(right.p_rho * (PERMUTATIONS + 1))) < 1e-9
+    parts = np.array_split(np.arange(100), 10)
+    truths = np.array([np.random.default_rng([0, perm]).permutation(y) for perm in (1, 2)])
+    made = models._stacked_lassos(x[:, :32], truths, parts, 0, "global")
+    for t, s in zip(truths, made, strict=True):
+        r2, rho = quality(x[:, :32], t, 10)
+        assert abs(models._quality(t, s)[0] - r2) < 5e-3 and abs(models._quality(t, s)[2] - rho) < 5e-3
+    one = whole[whole.subject == 1].iloc[0]
+    assert one.r2 > 0.9 and one.rho > 0.9 and one.p_r2 == 1 / (PERMUTATIONS + 1)
+
+
+def test_left_out_without_fitting_anew(spark):
+    """A group in one task, the same split over tasks, groups without a name, of one class and with too few rows; against fits of all but one row."""
+    from tidepool.functions import linmod
+    from tidepool.operators import models
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 5)) * [1, 10, 0.1, 1, 1] + [0, 1000, 0, 3, 0]
+    x[:, 3] = 3.0
+    y = (x[:, 0] + rng.normal(size=90) > 0) * 1.0
+    table = [("a" if i < 60 else None, i, list(map(float, v)), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    table += [("one", 100 + i, [float(i)] * 5, 1.0) for i in range(4)] + [("few", 110, [1.0] * 5, 0.0), ("few", 111, [2.0] * 5, 1.0), ("a", 120, None, 1.0), ("a", 121, [0.0] * 5, None)]
+    df = spark.createDataFrame(table, "g string, i long, x array<double>, y double").repartition(4)
+    for model, how in (("lda", {}), ("lda_uniform", {"priors": [0.5, 0.5], "diagonal": True})):
+        made = [models.left_out(df, ["g"], "x", "y", "i", model, limit).toPandas().sort_values("i") for limit in (1000, 7)]
+        assert made[0].i.tolist() == made[1].i.tolist() == [r[1] for r in table if r[1] < 120]
+        assert np.allclose(made[0].score, made[1].score, atol=1e-9, equal_nan=True)
+        assert made[1].score[made[1].i >= 100].isna().all()
+        for lo, hi in ((0, 60), (60, 90)):
+            z, expected = x[lo:hi] - [0, 1000, 0, 3, 0], []
+            for i in range(hi - lo):
+                keep = np.arange(hi - lo) != i
+                w, b = linmod.lda(z[keep], y[lo:hi][keep], "auto", how.get("priors"), "diagonal" if how else "identity")
+                expected.append(1 / (1 + np.exp(-(z[i] @ w + b))))
+            assert np.allclose(made[1].score[(made[1].i >= lo) & (made[1].i < hi)], expected, atol=1e-6)
+
+
 def test_coefficients(rows):
     _, x, y = subject(rows, 2)
     z, keep = scaled(x, x), ~np.eye(100, dtype=bool)

@@ -41,6 +41,170 @@ def lda(x: np.ndarray, y: np.ndarray, shrinkage: float | str = "auto", priors: t
     return w[1] - w[0], float(b[1] - b[0])
 
 
+class Moments:
+    """Sums of products of ``1, x - center, (x - center)**2`` over rows: all that shrunk discriminants need of a class, whatever its number of rows."""
+
+    def __init__(self, center: np.ndarray, gram: np.ndarray) -> None:
+        self.center, self.gram = center, gram
+
+    @classmethod
+    def of(cls, x: np.ndarray, center: np.ndarray | None = None) -> "Moments":
+        center = x.mean(0) if center is None else center
+        u = powers(x - center)
+        return cls(center, u.T @ u)
+
+    def moved(self, center: np.ndarray) -> "Moments":
+        """The same rows about another center."""
+        d, p = self.center - center, len(center)
+        t = np.eye(2 * p + 1)
+        t[1 : p + 1, 0], t[p + 1 :, 0] = d, d * d
+        t[np.arange(p + 1, 2 * p + 1), np.arange(1, p + 1)] = 2 * d
+        return Moments(center, t @ self.gram @ t.T)
+
+    def scaled(self, sd: np.ndarray) -> "Moments":
+        """The same rows over ``sd``, about zero."""
+        f = np.concatenate([[1], 1 / sd, 1 / sd**2])
+        return Moments(np.zeros(len(sd)), self.gram * f[:, None] * f)
+
+    @staticmethod
+    def added(parts: list["Moments"]) -> "Moments":
+        """All parts' rows about their common mean."""
+        n = np.array([m.gram[0, 0] for m in parts])
+        own = np.array([m.center + m.gram[0, 1 : len(m.center) + 1] / m.gram[0, 0] for m in parts])
+        center = n @ own / n.sum()
+        return Moments(center, sum(m.moved(center).gram for m in parts))
+
+
+def powers(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x, x * x])
+
+
+def _discriminants(classes: list[tuple], priors: tuple[float, float] | None, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """``coefficients, intercepts`` of stacked problems from each class's ``n, means, covariances, norms, quartic``.
+
+    ``norms``: mean squared length of standardised rows, squared; ``quartic``: their mean fourth powers, summed over features; the rest is Ledoit and Wolf's.
+    """
+    total = classes[0][0] + classes[1][0]
+    cov, floor = 0.0, 0.0
+    for i, (n, _, s, norms, quartic) in enumerate(classes):
+        share = priors[i] if priors else n / total
+        v = np.diagonal(s, axis1=1, axis2=2)
+        sd2 = np.where(v > 0, v, 1.0)
+        c2 = (s * s / (sd2[:, :, None] * sd2[:, None])).sum((1, 2))
+        diag = v / sd2
+        if target == "identity":
+            mu = diag.mean(1)
+            noise, distance = norms - c2, c2 - mu * mu * v.shape[1]
+        else:
+            noise, distance = norms - c2 - (quartic - (diag * diag).sum(1)), c2 - (diag * diag).sum(1)
+        apart = distance > 1e-12
+        intensity = np.where(apart, np.clip(noise / n / np.where(apart, distance, 1), 0, 1), 1.0)
+        part = (1 - intensity)[:, None, None] * s
+        at = np.arange(v.shape[1])
+        part[:, at, at] += intensity[:, None] * (mu[:, None] * sd2 if target == "identity" else v)
+        cov = cov + np.broadcast_to(share, n.shape)[:, None, None] * part
+        floor = floor + share * intensity * ((mu if target == "identity" else 1.0) * (sd2 if target == "identity" else v).min(1))
+    (n0, m0, *_), (n1, m1, *_) = classes
+    d = m1 - m0
+    sound = floor > 1e-10 * np.diagonal(cov, axis1=1, axis2=2).max(1)
+    w = np.empty_like(d)
+    w[sound] = np.linalg.solve(cov[sound], d[sound][:, :, None])[..., 0]
+    for i in np.flatnonzero(~sound):
+        w[i] = np.linalg.lstsq(cov[i], d[i], rcond=None)[0]
+    ratio = np.log(priors[1] / priors[0]) if priors else np.log(n1 / n0)
+    return w, ratio - (w * (m0 + m1)).sum(1) / 2
+
+
+def _positive(v: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Variances, those that are nothing but rounding as zero."""
+    return np.where(v > 1e-13 * np.maximum(second, 1e-300), v, 0.0)
+
+
+def stacked_lda(x: np.ndarray, ones: np.ndarray, train: np.ndarray, priors: tuple[float, float] | None = None, target: str = "identity") -> tuple[np.ndarray, np.ndarray]:
+    """``coefficients, intercepts`` of ``lda`` with ``auto`` shrinkage for each row of ``train``, which marks its rows of x, and of ``ones``, their classes.
+
+    The products of features are formed once; each problem's sums are one product with them, and all problems are solved together.
+    """
+    center = x.mean(0)
+    x = x - center
+    b, p = len(train), x.shape[1]
+    products, square = (x[:, :, None] * x[:, None]).reshape(len(x), -1), x * x
+    classes = []
+    for weight in ((train & ~ones).astype(float), (train & ones).astype(float)):
+        n = weight.sum(1)
+        m, second = weight @ x / n[:, None], (weight @ products).reshape(b, p, p) / n[:, None, None]
+        s = second - m[:, :, None] * m[:, None]
+        at = np.arange(p)
+        v = s[:, at, at] = _positive(s[:, at, at], second[:, at, at])
+        g = 1 / np.where(v > 0, v, 1.0)
+        r = g @ square.T - 2 * (m * g) @ x.T + (m * m * g).sum(1)[:, None]
+        quartic = 0.0
+        if target != "identity":
+            third, fourth = weight @ (square * x) / n[:, None], weight @ (square * square) / n[:, None]
+            quartic = (g * g * (fourth - 4 * m * third + 6 * m * m * second[:, at, at] - 3 * m**4)).sum(1)
+        classes.append((n, m, s, (weight * r * r).sum(1) / n, quartic))
+    w, intercept = _discriminants(classes, priors, target)
+    return w, intercept - w @ center
+
+
+def left_out_lda(x: np.ndarray, own: Moments, other: Moments, one: bool, priors: tuple[float, float] | None = None, target: str = "identity") -> np.ndarray:
+    """Each row's log odds by the discriminant of all rows but it, from its class's moments less the row's own products; ``one``: whether the rows are of the positive class."""
+    p = x.shape[1]
+    both = Moments.added([own, other])
+    var = np.diag(both.gram)[1 : p + 1] / both.gram[0, 0]
+    sd = np.sqrt(np.where(var > 0, var, 1.0))
+    own, other = (m.moved(both.center).scaled(sd) for m in (own, other))
+    x, at = (x - both.center) / sd, np.arange(p)
+    u = powers(x)
+
+    def class_of(gram: np.ndarray, less: np.ndarray) -> tuple:
+        n = gram[0, 0] - less[:, 0]
+        y = less[:, 1 : p + 1]
+        m = (gram[0, 1 : p + 1] - y) / n[:, None]
+        second = (gram[1 : p + 1, 1 : p + 1] - y[:, :, None] * y[:, None]) / n[:, None, None]
+        s = second - m[:, :, None] * m[:, None]
+        v = s[:, at, at] = _positive(s[:, at, at], second[:, at, at])
+        g = 1 / np.where(v > 0, v, 1.0)
+        a = np.column_stack([(g * m * m).sum(1), -2 * g * m, g])
+        norms = (((a @ gram) * a).sum(1) - (a * less).sum(1) ** 2) / n
+        third = (gram[at + 1, at + p + 1] - y * less[:, p + 1 :]) / n[:, None]
+        fourth = (gram[at + p + 1, at + p + 1] - less[:, p + 1 :] ** 2) / n[:, None]
+        quartic = (g * g * (fourth - 4 * m * third + 6 * m * m * second[:, at, at] - 3 * m**4)).sum(1)
+        return n, m, s, norms, quartic
+
+    out = np.full(len(x), np.nan)
+    if own.gram[0, 0] < 2 or own.gram[0, 0] + other.gram[0, 0] < 4:
+        return out
+    for lo in range(0, len(x), 256):
+        part = u[lo : lo + 256]
+        classes = [class_of(own.gram, part), class_of(other.gram, np.zeros_like(part))]
+        w, b = _discriminants(classes if not one else classes[::-1], priors, target)
+        out[lo : lo + 256] = (w * x[lo : lo + 256]).sum(1) + b
+    return out
+
+
+def stacked_lasso(grams: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: float, tol: float = 1e-4, most: int = 10_000) -> np.ndarray:
+    """``lasso`` coefficients for each fold's centered products of features (``folds x p x p``) and all permutations' products with the target (``folds x p x permutations``).
+
+    A step moves one feature of all problems; a problem that has converged stays.
+    """
+    w = np.zeros_like(xy)
+    diag = np.diagonal(grams, axis1=1, axis2=2)
+    active = np.ones((len(xy), xy.shape[2]), bool)
+    for _ in range(most):
+        largest = np.zeros(active.shape)
+        for j in range(xy.shape[1]):
+            d = diag[:, j, None]
+            r = xy[:, j] - np.matmul(grams[:, j : j + 1], w)[:, 0] + d * w[:, j]
+            new = np.where((d > 0) & active, np.sign(r) * np.maximum(np.abs(r) - alpha * n[:, None], 0) / np.where(d > 0, d, 1), w[:, j])
+            largest = np.maximum(largest, np.abs(new - w[:, j]))
+            w[:, j] = new
+        active &= largest > tol * np.maximum(np.abs(w).max(1), 1e-300)
+        if not active.any():
+            break
+    return w
+
+
 def lasso(x: np.ndarray, y: np.ndarray, alpha: float, tol: float = 1e-4, most: int = 10_000) -> tuple[np.ndarray, float]:
     """``coefficients, intercept`` that minimise half the mean squared error plus alpha times the absolute coefficients."""
     mx, my = x.mean(0), y.mean()

@@ -22,6 +22,22 @@ def permutation_p(null: DataFrame, observed: DataFrame, group: Sequence[str], st
     return observed.join(found, list(group), "left").withColumn("p", p).drop("_k", "_n")
 
 
+def permutation_p_among(df: DataFrame, group: Sequence[str], stats: Sequence[str], strict: bool = True, permutation: str = "permutation") -> DataFrame:
+    """Each group's ``stats`` of permutation 0, with ``p`` (several: ``p_<stat>``) as ``permutation_p`` has it against its other permutations.
+
+    Model and null values come from one table, so what makes them runs once; a group has a row for each permutation.
+    """
+    own = Window.partitionBy(*group)
+    null = F.col(permutation) > 0
+    marked = df.withColumns({f"_o_{s}": F.max(F.when(~null, F.col(s))).over(own) for s in stats})
+    parts = []
+    for s in stats:
+        hit = (F.col(s) > F.col(f"_o_{s}")) if strict else (F.col(s) >= F.col(f"_o_{s}"))
+        p = (F.count_if(null & hit) + 1) / (F.count(F.when(null, F.col(s))) + 1)
+        parts += [F.first(f"_o_{s}").alias(s), p.alias("p" if len(stats) == 1 else f"p_{s}")]
+    return marked.groupBy(*group).agg(*parts)
+
+
 #: Ranges that p-values without groups are ranked in.
 RANGES = 64
 

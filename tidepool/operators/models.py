@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -13,8 +15,14 @@ from pyspark.sql.types import DoubleType, StructType
 from tidepool.functions import linmod
 from tidepool.functions.quantiles import clopper_pearson
 
-#: Permutations that one task makes, so a group's matrix goes to the tasks once for so many.
+#: Permutations that one task makes, so a group's matrix goes to the tasks once for so many: of models that are fitted one by one, and of those that are solved together.
 BATCH = 20
+STACKED_BATCH = 200
+#: Problems that are solved together.
+TOGETHER = 128
+LASSO_ALPHA = 1e-4
+#: Rows of a group in one task of ``left_out``; of larger groups tasks add up moments first.
+GROUP_ROWS = 20_000
 
 Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
 
@@ -51,7 +59,7 @@ MODELS: dict[str, Fit] = {
     "lda": _probability(lambda x, y: linmod.lda(x, y, "auto")),
     "lda_full": _probability(lambda x, y: linmod.lda(x, y, 1.0)),
     "lda_uniform": _probability(lambda x, y: linmod.lda(x, y, "auto", (0.5, 0.5), "diagonal")),
-    "lasso": _linear(lambda x, y: linmod.lasso(x, y, 1e-4)),
+    "lasso": _linear(lambda x, y: linmod.lasso(x, y, LASSO_ALPHA)),
     "ridge": _linear(lambda x, y: linmod.ridge(x, y, linmod.ridge_penalty(x, y))),
     "logistic": _probability(linmod.logistic),
     "svm": _machine,
@@ -83,9 +91,78 @@ def _out_of_fold(x: np.ndarray, y: np.ndarray, fit: Fit, folds: list[np.ndarray]
     return out
 
 
-def _batched(df: DataFrame, permutations: int) -> DataFrame:
+def _batched(df: DataFrame, permutations: int, size: int = BATCH) -> DataFrame:
     """Rows once for each batch of permutations."""
-    return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(permutations // BATCH))))
+    return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(permutations // size))))
+
+
+#: Discriminants that are solved for all folds and permutations together: priors and what the covariance shrinks to.
+DISCRIMINANTS: dict[str, tuple[tuple[float, float] | None, str]] = {"lda": (None, "identity"), "lda_uniform": ((0.5, 0.5), "diagonal")}
+
+
+def _trained(n: int, folds: list[np.ndarray], gap: int) -> np.ndarray:
+    """``folds x rows``: which rows each fold's model is fitted on."""
+    out = np.ones((len(folds), n), bool)
+    for rows, test in zip(out, folds, strict=True):
+        rows[max(test[0] - gap, 0) : test[-1] + gap + 1] = False
+    return out
+
+
+def _stacked_discriminants(x: np.ndarray, truths: np.ndarray, folds: list[np.ndarray], gap: int, priors, target: str) -> np.ndarray:
+    """Out-of-fold probabilities, ``permutations x rows``; standardised by all rows or by a fold's, these discriminants are the same."""
+    z, trained = _standardised(x), _trained(len(x), folds, gap)
+    fold_of = np.repeat(np.arange(len(folds)), [len(f) for f in folds])
+    out = np.full(truths.shape, np.nan)
+    pairs = [(perm, fold) for perm in range(len(truths)) for fold in range(len(folds))]
+    for lo in range(0, len(pairs), TOGETHER):
+        perm, fold = np.array(pairs[lo : lo + TOGETHER]).T
+        ones, train = truths[perm] == 1, trained[fold]
+        fit = ((train & ones).sum(1) > 0) & ((train & ~ones).sum(1) > 0) & (train.sum(1) >= 3)
+        w, b = linmod.stacked_lda(z, ones[fit], train[fit], priors, target) if fit.any() else (np.zeros((0, x.shape[1])), np.zeros(0))
+        odds = w @ z.T + b[:, None]
+        held = fold_of == fold[fit][:, None]
+        at = np.nonzero(held)
+        out[perm[fit][at[0]], at[1]] = 1 / (1 + np.exp(-np.clip(odds[held], -700, 700)))
+    return out
+
+
+def _stacked_lassos(x: np.ndarray, truths: np.ndarray, folds: list[np.ndarray], gap: int, scaling: str) -> np.ndarray:
+    """Out-of-fold predictions, ``permutations x rows``: a fold's products of features are formed once for all permutations."""
+    trained, out = _trained(len(x), folds, gap), np.full(truths.shape, np.nan)
+    kept = [f for f, train in enumerate(trained) if train.sum() >= 3]
+    for lo in range(0, len(kept), 64):
+        some, grams, products, scaled = kept[lo : lo + 64], [], [], []
+        for f in some:
+            train = trained[f]
+            z = _standardised(x) if scaling == "global" else _standardised(x, x[train])
+            z = z - z[train].mean(0)
+            y = truths[:, train]
+            grams.append(z[train].T @ z[train])
+            products.append(z[train].T @ (y - y.mean(1, keepdims=True)).T)
+            scaled.append(z)
+        w = linmod.stacked_lasso(np.array(grams), np.array(products), trained[some].sum(1), LASSO_ALPHA)
+        for i, f in enumerate(some):
+            y = truths[:, trained[f]]
+            made = y.mean(1)[:, None] + (scaled[i][folds[f]] @ w[i]).T
+            out[:, folds[f]] = np.where(np.ptp(y, axis=1)[:, None] > 0, made, np.nan)
+    return out
+
+
+def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutations: int, folds: int, gap: int, seed: int, scaling: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's permutations, and of each its labels and out-of-fold scores."""
+    size = _batch_size(model)
+    parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
+    perms = np.arange(batch * size, min((batch + 1) * size, permutations + 1))
+    truths = np.array([np.random.default_rng([seed, perm]).permutation(truth) if perm else truth for perm in perms]).reshape(len(perms), len(truth))
+    if model in DISCRIMINANTS:
+        return perms, truths, _stacked_discriminants(m, truths, parts, gap, *DISCRIMINANTS[model])
+    if model == "lasso":
+        return perms, truths, _stacked_lassos(m, truths, parts, gap, scaling)
+    return perms, truths, np.array([_out_of_fold(m, t, MODELS[model], parts, gap, scaling) for t in truths]).reshape(truths.shape)
+
+
+def _batch_size(model: str) -> int:
+    return STACKED_BATCH if model in DISCRIMINANTS or model == "lasso" else BATCH
 
 
 def cross_validated(
@@ -93,26 +170,143 @@ def cross_validated(
 ) -> DataFrame:
     """``permutation, order, truth, score`` of out-of-fold predictions; ``folds`` 0: leave one out. Permutation 0 keeps the labels.
 
-    A group's rows are a small matrix (a participant's recordings). A task makes ``BATCH`` permutations of it; their random numbers follow
-    from the seed and the permutation's number.
+    A group's rows are a small matrix (a participant's recordings); for larger ones see ``left_out``. A task makes a batch of permutations of it; their random numbers follow
+    from the seed and the permutation's number. Shrunk discriminants and Lasso are solved for all folds and permutations of a task together, from products that
+    are formed once; the other models are fitted one by one.
     """
     kinds = dict(df.dtypes)
-    fit = MODELS[model]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         rows, m, truth = _matrix(rows, x, y, order)
-        parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
-        made = []
-        for perm in range(batch * BATCH, min((batch + 1) * BATCH, permutations + 1)):
-            t = np.random.default_rng([seed, perm]).permutation(truth) if perm else truth
-            score = _out_of_fold(m, t, fit, parts, gap, scaling)
-            made.append(pd.DataFrame({**{g: rows[g].to_numpy() for g in group}, "permutation": perm, order: rows[order].to_numpy(), "truth": t, "score": score}))
-        return pd.concat(made)
+        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling)
+        keys = {g: np.tile(rows[g].to_numpy(), len(perms)) for g in group}
+        return pd.DataFrame({**keys, "permutation": np.repeat(perms, len(truth)), order: np.tile(rows[order].to_numpy(), len(perms)), "truth": truths.ravel(), "score": scores.ravel()})
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    out = _batched(ok, permutations).groupBy(*group, "_batch").applyInPandas(run, schema)
+    out = _batched(ok, permutations, _batch_size(model)).groupBy(*group, "_batch").applyInPandas(run, schema)
+    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def _area(truth: np.ndarray, score: np.ndarray) -> tuple[float, ...]:
+    return (linmod.auc(truth, score),)
+
+
+def _quality(truth: np.ndarray, score: np.ndarray) -> tuple[float, ...]:
+    """R2, root mean squared error and correlation; those that aren't defined are NaN."""
+    if not len(truth):
+        return np.nan, np.nan, np.nan
+    sse, spread, other = ((truth - score) ** 2).sum(), truth - truth.mean(), score - score.mean()
+    sst, sss = (spread**2).sum(), (other**2).sum()
+    return (1 - sse / sst if sst > 0 else np.nan), np.sqrt(sse / len(truth)), ((spread * other).sum() / np.sqrt(sst * sss) if sst > 0 and sss > 0 else np.nan)
+
+
+STATISTICS = {"auc": (("auc",), _area), "regression": (("r2", "rmse", "rho"), _quality)}
+
+
+def statistics(
+    df: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", kind: str = "auc", folds: int = 0, gap: int = 0, permutations: int = 0, seed: int = 0, scaling: str = "global"
+) -> DataFrame:
+    """``permutation`` and the area (``auc``) or ``r2, rmse, rho`` (``regression``) of ``cross_validated`` predictions; permutation 0 is the model.
+
+    A permutation's predictions stay in the task that makes them; a row for each permutation leaves it. Statistics that aren't defined are null.
+    """
+    kinds = dict(df.dtypes)
+    names, measure = STATISTICS[kind]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        batch = int(rows["_batch"].iloc[0])
+        rows, m, truth = _matrix(rows, x, y, order)
+        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling)
+        made = [measure(t[~np.isnan(s)], s[~np.isnan(s)]) for t, s in zip(truths, scores, strict=True)]
+        keys = {g: [rows[g].iloc[0]] * len(perms) for g in group}
+        return pd.DataFrame({**keys, "permutation": perms, **dict(zip(names, np.array(made).reshape(-1, len(names)).T, strict=True))})
+
+    ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "permutation int", *[f"{n} double" for n in names]])
+    out = _batched(ok, permutations, _batch_size(model)).groupBy(*group, "_batch").applyInPandas(run, schema)
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    """Equal keys, nulls included; ``b`` has them under names of its own (``_0, _1, ...``)."""
+    return functools.reduce(Column.__and__, [a[n].eqNullSafe(b[f"_{i}"]) for i, n in enumerate(names)], F.lit(True))
+
+
+def _moments(rows: DataFrame, group: Sequence[str], x: str) -> DataFrame:
+    """``group, one, center, gram`` of each group's classes: tasks sum their own rows, then sums are added in two steps, so none gets a group's rows."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "one boolean, part long, center array<double>, gram array<double>"])
+    names = [*group, "one", "part", "center", "gram"]
+
+    def frame(made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, part, m.center, m.gram.ravel()) for key, part, m in made], columns=names)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, linmod.Moments] = {}
+        part = TaskContext.get().partitionId()
+        for rows in frames:
+            for key, own in rows.groupby([*group, "one"], dropna=False):
+                m = linmod.Moments.of(np.stack(own[x].to_numpy()).astype(float))
+                held[key] = linmod.Moments.added([held[key], m]) if key in held else m
+            if len(held) > 64:
+                yield frame([(k, part, m) for k, m in held.items()])
+                held = {}
+        yield frame([(k, part, m) for k, m in held.items()])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [linmod.Moments(c, g.reshape((2 * len(c) + 1,) * 2)) for c, g in zip(rows["center"], rows["gram"], strict=True)]
+        key = tuple(rows[c].iloc[0] for c in [*group, "one"])
+        return frame([(key, rows["part"].iloc[0], linmod.Moments.added(parts))])
+
+    sums = rows.select(*group, "one", x).mapInPandas(partial, schema).withColumn("part", F.pmod("part", F.lit(256)))
+    for keys in ([*group, "one", "part"], [*group, "one"]):
+        sums = sums.groupBy(*keys).applyInPandas(add, schema)
+    return sums.drop("part")
+
+
+def left_out(df: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``permutation (0), order, truth, score`` like ``cross_validated`` that leaves one out, of groups of any size and without fitting anew.
+
+    A shrunk discriminant follows from its classes' counts, sums and products (see ``Moments``); without a row, from these less the
+    row's own. Groups of up to ``group_rows`` rows are done in one task each. Of larger ones, moments are summed in the tasks that hold the rows, and go with parts of the group's rows
+    to many tasks. Rows without label or vector give none; a row whose class or group has too few others has a null score.
+    """
+    kinds = dict(df.dtypes)
+    priors, target = DISCRIMINANTS[model]
+    keys = ", ".join(f"{g} {kinds[g]}" for g in group)
+    schema = f"{keys}{', ' if group else ''}permutation int, {order} {kinds[order]}, truth double, score double"
+
+    def score(rows: pd.DataFrame, of: dict[bool, linmod.Moments]) -> pd.DataFrame:
+        truth, out = rows[y].to_numpy(float), np.full(len(rows), np.nan)
+        if len(of) == 2:
+            m = np.stack(rows[x].to_numpy()).astype(float)
+            for one in (False, True):
+                own = (truth == 1) == one
+                odds = linmod.left_out_lda(m[own], of[one], of[not one], one, priors, target)
+                out[own] = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        return pd.DataFrame({**{g: rows[g].to_numpy() for g in group}, "permutation": 0, order: rows[order].to_numpy(), "truth": truth, "score": out})
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        m, ones = np.stack(rows[x].to_numpy()).astype(float), rows["one"].to_numpy(bool)
+        return score(rows, {one: linmod.Moments.of(m[ones == one]) for one in (False, True) if (ones == one).any()})
+
+    def with_sums(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        of = {bool(one): linmod.Moments(c, g.reshape((2 * len(c) + 1,) * 2)) for one, c, g in zip(sums["one"], sums["center"], sums["gram"], strict=True)}
+        return score(rows, of)
+
+    rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y, (F.col(y) == 1).alias("one"))
+    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
+    large = large.select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.ceil(F.col("_n") / group_rows).alias("_parts"))
+    known = rows.join(large, _same(rows, large, group), "left")
+    small = known.where("_parts is null").select(rows.columns).groupBy(*group).applyInPandas(alone, schema)
+    split = known.where("_parts is not null").withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts"))).select(*rows.columns, "_part")
+    sums = _moments(split, group, x)
+    sums = sums.join(large, _same(sums, large, group)).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    sums = sums.select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.col("_part").alias("_of"), F.col("one"), "center", "gram")
+    cogroups = split.groupBy(*group, "_part").cogroup(sums.groupBy(*[f"_{i}" for i in range(len(group))], "_of"))
+    out = small.unionByName(cogroups.applyInPandas(with_sums, schema))
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
@@ -144,15 +338,24 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
     """``permutation, order, truth, score``: fitted on one table, scaled by it, applied to another; permutations shuffle the training labels."""
     kinds = dict(train.dtypes)
     fit = MODELS[model]
+    size = STACKED_BATCH if model in DISCRIMINANTS else BATCH
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         _, a, own = _matrix(rows[~rows["is_test"]], x, y, order)
         held, b, truth = _matrix(rows[rows["is_test"]], x, y, order)
         z, there, made = _standardised(a), _standardised(b, a), []
-        for perm in range(batch * BATCH, min((batch + 1) * BATCH, permutations + 1)):
-            t = np.random.default_rng([seed, perm]).permutation(own) if perm else own
-            score = fit(z, t)(there) if len(np.unique(t)) > 1 else np.full(len(b), np.nan)
+        perms = range(batch * size, min((batch + 1) * size, permutations + 1))
+        labels = np.array([np.random.default_rng([seed, perm]).permutation(own) if perm else own for perm in perms]).reshape(len(perms), len(own))
+        if len(np.unique(own)) < 2:
+            scores = np.full((len(perms), len(b)), np.nan)
+        elif model in DISCRIMINANTS:
+            priors, target = DISCRIMINANTS[model]
+            w, c = linmod.stacked_lda(z, labels == 1, np.ones(labels.shape, bool), priors, target)
+            scores = 1 / (1 + np.exp(-np.clip(w @ there.T + c[:, None], -700, 700)))
+        else:
+            scores = np.array([fit(z, t)(there) for t in labels]).reshape(len(perms), len(b))
+        for perm, score in zip(perms, scores, strict=True):
             made.append(pd.DataFrame({**{g: held[g].to_numpy() for g in group}, "permutation": perm, order: held[order].to_numpy(), "truth": truth, "score": score}))
         return pd.concat(made)
 
@@ -160,7 +363,7 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
     sides = both.groupBy(*group).agg(F.countDistinct("is_test").alias("_s")).where("_s = 2").select(*group)
     both = both.where(F.col(y).isNotNull()).join(sides, list(group), "left_semi")
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    return _batched(both, permutations).groupBy(*group, "_batch").applyInPandas(run, schema)
+    return _batched(both, permutations, size).groupBy(*group, "_batch").applyInPandas(run, schema)
 
 
 @F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))

@@ -12,15 +12,25 @@ from tidepool.functions.features import SIDES, feature_sets
 from tidepool.operators import agg, inference, models, statespace
 
 
+def _subsets(df: DataFrame, subject: str, order: str, features: str, y: str, subsets: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Rows once for each subset of the feature array, which is ``x``."""
+    picked = [F.struct(F.lit(n).alias("subset"), F.array(*[F.get(features, F.lit(i)) for i in at]).alias("x")) for n, at in subsets.items()]
+    return df.withColumn("_s", F.explode(F.array(*picked))).select(subject, "_s.subset", order, "_s.x", y)
+
+
 def grid(df: DataFrame, subject: str, order: str, features: str, y: str, subsets: Mapping[str, Sequence[int]], model: str = "lda", permutations: int = 20, folds: int = 0, gap: int = 0) -> DataFrame:
     """``subject, subset, auc, p``: a cross-validated classifier for each subject and subset of the feature array, against permutations."""
-    picked = [F.struct(F.lit(n).alias("subset"), F.array(*[F.get(features, F.lit(i)) for i in at]).alias("x")) for n, at in subsets.items()]
-    rows = df.withColumn("_s", F.explode(F.array(*picked))).select(subject, "_s.subset", order, "_s.x", y)
-    rows = agg.median_split(rows, [subject, "subset"], y, "label")
-    scored = models.cross_validated(rows, [subject, "subset"], "x", "label", order, model, folds, gap, permutations)
-    areas = agg.auc(scored, [subject, "subset", "permutation"], "truth", "score")
-    model_auc = areas.where("permutation = 0").drop("permutation")
-    return inference.permutation_p(areas.where("permutation > 0"), model_auc, [subject, "subset"], "auc")
+    rows = agg.median_split(_subsets(df, subject, order, features, y, subsets), [subject, "subset"], y, "label")
+    areas = models.statistics(rows, [subject, "subset"], "x", "label", order, model, "auc", folds, gap, permutations)
+    return inference.permutation_p_among(areas, [subject, "subset"], ["auc"])
+
+
+def regression_grid(df: DataFrame, subject: str, order: str, features: str, y: str, subsets: Mapping[str, Sequence[int]], model: str = "lasso", permutations: int = 20, folds: int = 0, gap: int = 0) -> DataFrame:
+    """``subject, subset, r2, rho, rmse, p_r2, p_rho``: a cross-validated regression for each subject and subset of the feature array; R2 and correlation against permutations."""
+    keys = [subject, "subset"]
+    found = models.statistics(_subsets(df, subject, order, features, y, subsets), keys, "x", y, order, model, "regression", folds, gap, permutations)
+    out = inference.permutation_p_among(found, keys, ["r2", "rho", "rmse"])
+    return out.select(*keys, "r2", "rho", "rmse", "p_r2", "p_rho")
 
 
 def region_grid(df: DataFrame, subject: str, order: str, features: str, names: Sequence[str], y: str, one_sided: Column, model: str = "lda", permutations: int = 20, folds: int = 0) -> DataFrame:
@@ -54,6 +64,5 @@ def state_decoding(df: DataFrame, subject: str, recording: str, order: str, x: s
     found = statespace.states(df, fitted, [subject], order, x).join(df.select(subject, order, recording), [subject, order])
     last = statespace.last_state(found, [subject, recording], order).join(score, [subject, recording])
     rows = agg.median_split(last, [subject], y, "label")
-    scored = models.cross_validated(rows, [subject], "state", "label", recording, "lda_uniform", 0, gap, permutations)
-    areas = agg.auc(scored, [subject, "permutation"], "truth", "score")
-    return inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), [subject], "auc", strict=False)
+    areas = models.statistics(rows, [subject], "state", "label", recording, "lda_uniform", "auc", 0, gap, permutations)
+    return inference.permutation_p_among(areas, [subject], ["auc"], strict=False)

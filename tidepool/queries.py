@@ -770,7 +770,7 @@ def k7_fdr_adjusted(spark, d):
 
 
 #: Shuffles of surrogate tests and permutations of models.
-SHUFFLES, PERMUTATIONS = 1000, 100
+SHUFFLES, PERMUTATIONS = 1000, 1000
 
 RANK = LABELLED + ", k as (select *, rank() over (partition by user_id order by s) + (count(*) over (partition by user_id, s) - 1) / 2e0 r from s), t as (select user_id, sum(c * c * c - c) t from (select user_id, count(*) c from s group by user_id, s) group by 1), w as (select user_id, count(*) filter (where y = 1) n1, count(*) filter (where y = 0) n0, sum(r) filter (where y = 1) w from k group by 1), z as (select *, sqrt(n1 * n0 / 12e0 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1)))) sp, w - n1 * (n1 + n0 + 1) / 2e0 dd from w join t using (user_id) where n1 > 0 and n0 > 0)"
 
@@ -1002,7 +1002,7 @@ def classed(spark, d):
 
 @query()
 def m1_m8_lda(spark, d):
-    return models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda")
+    return models.left_out(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda")
 
 
 @query()
@@ -1057,6 +1057,12 @@ def m12_grid(spark, d):
     return g.withColumn("result", C.result_text("auc", "p"))
 
 
+@query()
+def m12_lasso_grid(spark, d):
+    subsets = {"all": range(WIDTH), "left": range(WIDTH // 2), "right": range(WIDTH // 2, WIDTH)}
+    return analyses.regression_grid(vectors(spark, d), "subject", "vec_id", "x", "score", subsets, permutations=PERMUTATIONS, folds=10)
+
+
 @query()
 def m14_limits(spark, d):
     c = agg.confusion(labelled(spark, d), U, "y", "s", 0.1)
@@ -1079,16 +1085,19 @@ def m16_coefficients(spark, d):
 
 @query()
 def k1_permutations(spark, d):
-    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10, permutations=PERMUTATIONS)
-    areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
-    own = areas.where("permutation = 0").drop("permutation")
-    return inference.permutation_p(areas.where("permutation > 0"), own, ["subject"], "auc")
+    areas = models.statistics(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=10, permutations=PERMUTATIONS)
+    return inference.permutation_p_among(areas, ["subject"], ["auc"])
+
+
+@query()
+def k1_regressions(spark, d):
+    found = models.statistics(vectors(spark, d), ["subject"], "x", "score", "vec_id", "lasso", "regression", permutations=PERMUTATIONS)
+    return inference.permutation_p_among(found, ["subject"], ["r2", "rho"])
 
 
 @query()
 def v6_swarm(spark, d):
-    scored = models.cross_validated(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
-    areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
+    areas = models.statistics(classed(spark, d), ["subject"], "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
     return plotdata.swarm(areas.where("permutation > 0"), areas.where("permutation = 0"), ["subject"], "auc")
 
 
@@ -1276,9 +1285,8 @@ def m13_targets(spark, d):
     parts = [rows.withColumns({"score": F.col("x")[i], "target": F.lit(f"f{i}"), "side": F.lit(n), "x": x}) for i in (0, 1) for n, x in half.items()]
     key = ["subject", "side", "target"]
     labelled_rows = agg.median_split(sets.stacked(parts), key, "score", "label")
-    scored = models.cross_validated(labelled_rows, key, "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
-    areas = agg.auc(scored, [*key, "permutation"], "truth", "score")
-    report = inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), key, "auc")
+    areas = models.statistics(labelled_rows, key, "x", "label", "vec_id", "lda", folds=5, permutations=PERMUTATIONS)
+    report = inference.permutation_p_among(areas, key, ["auc"])
     return report.withColumn("result", C.result_text("auc", "p"))
 
 
@@ -1301,7 +1309,7 @@ def k2_k3_null_table(spark, d):
     rows = series.chronological_split(classed(spark, d), ["subject"], ["vec_id"])
     scored = models.transfer(rows.where("not is_test"), rows.where("is_test"), ["subject"], "x", "label", "vec_id", permutations=PERMUTATIONS)
     areas = agg.auc(scored, ["subject", "permutation"], "truth", "score")
-    return inference.permutation_p(areas.where("permutation > 0"), areas.where("permutation = 0").drop("permutation"), ["subject"], "auc", strict=False)
+    return inference.permutation_p_among(areas, ["subject"], ["auc"], strict=False)
 
 
 @query()
