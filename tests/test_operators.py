@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.functions import dsp
+from tidepool.functions import dsp, ssm
 from tidepool.functions.features import FeatureSet, feature_names, feature_sets
 from tidepool.operators import agg, inference, models, plotdata, select, series, sets, spectral
 from tidepool.queries import QUERIES, recordings
@@ -186,6 +186,47 @@ def test_streams_equal_batches(spark):
     assert np.allclose([got[user, t] for t, _ in own], expected)
 
 
+def _run_in_chunks(spark, folder, chunks, late, make):
+    """What a stream over one file of (channel, t, value) rows after another gives, once its watermark has passed them all."""
+    schema = "ts timestamp, channel long, t long, value double"
+    for n, rows in enumerate(chunks):
+        made = spark.createDataFrame(rows, "channel long, t long, value double").coalesce(1).withColumn("ts", F.timestamp_micros("t"))
+        made.select("ts", "channel", "t", "value").write.parquet(f"{folder}/rows-{n}")
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/rows-*")
+    out = make(files, late)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").collect()
+
+
+def test_streams_use_rows_that_are_late_within_the_delay(spark, tmp_path):
+    """Rows shuffled over chunks give what they give in order; a row beyond the delay is dropped, rows of no channel aren't used."""
+    from tidepool.streaming import stateful
+
+    sos, second = dsp.butterworth(2, 2.0, 16.0, "lowpass"), 1_000_000
+    rng = np.random.default_rng(7)
+    rows = [(c, i * second + 100 * c + 7, float(rng.normal())) for i in range(60) for c in (1, 2)]
+    order = np.argsort([r[1] + rng.uniform(0, 8 * second) for r in rows], kind="stable")  # late by up to 8 seconds
+    chunks = [[rows[j] for j in part] for part in np.array_split(order, 5)]
+    chunks[4].append((1, 5 * second + 1, 1000.0))  # its turn is over
+    chunks[2].append((None, 30 * second, 1.0))
+    chunks.append([(None, 100 * second, None)])
+    a, c, k = np.array([[0.9]]), np.array([[1.0]]), np.array([[0.3]])
+    made = {
+        "filter": lambda df, late: stateful.filter_stream(df, "channel", "t", "value", sos, late),
+        "kalman": lambda df, late: stateful.kalman_stream(df.withColumn("value", F.array("value")), "channel", "t", "value", a, c, k, late),
+    }
+    for name, make in made.items():
+        (tmp_path / name).mkdir()
+        got = _run_in_chunks(spark, str(tmp_path / name), chunks, "9 seconds", make)
+        assert len(got) == len(rows)
+        for channel in (1, 2):
+            own = [r for r in rows if r[0] == channel]
+            values = np.array([r[2] for r in own])
+            expected = dsp.filter_sections(sos, values)[0] if name == "filter" else ssm.kalman(values[:, None], a, c, k)[0][:, 0]
+            found = {r.t: r[2] for r in got if r.channel == channel}
+            assert np.allclose([np.ravel(found[r[1]])[0] for r in own], expected), name
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"time": "2020-01-01 10:00:00", "x": 1.5, "nrs": NaN}, {"time": "", "x": 2.0, "nrs": 3.0}, {"time": "2020-01-02 00:00:00", "x": null, "nrs": 4.0}]')
     t = readers.read_timetable(spark, str(tmp_path / "a.json"), "x double, nrs double, time string", "time", ["x"], ["nrs"])

@@ -1169,13 +1169,22 @@ def event_stream(spark, d):
     return files.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
+def closed_stream(spark, d):
+    """``event_stream``, and a row of no user a day after the last event, so that every event's turn comes."""
+    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 day")).first()[0]
+    events = event_stream(spark, d)
+    schema = ", ".join(f"{n} {k}" for n, k in events.dtypes)
+    end = stateful.closing(spark, writers.scratch_path(spark, "closing"), schema, F.lit(last))
+    return events.unionByName(end)
+
+
 STREAM_PASS = dsp.butterworth(2, 2.0, 16.0, "lowpass")
 IN_ORDER = "s as (select user_id, list(epoch_us(ts) order by ts) t, list(value order by ts) v from events group by 1), n as (select *, unnest(range(1, len(v) + 1)) i from s)"
 
 
 @query(f"with h as (select {impulse_response(STREAM_PASS, 120)} h), {IN_ORDER} select user_id, t[i] t, round(list_sum(list_transform(range(0, least(i, 120)), lambda k: h[k + 1] * v[i - k])), 6) \"value\" from n, h")
 def t1_filter_stream(spark, d):
-    rows = event_stream(spark, d).withColumn("t", F.unix_micros("ts"))
+    rows = closed_stream(spark, d).withColumn("t", F.unix_micros("ts"))
     return _streamed(spark, stateful.filter_stream(rows, "user_id", "t", "value", STREAM_PASS), "filtered").withColumn("value", r("value"))
 
 
@@ -1183,7 +1192,7 @@ def t1_filter_stream(spark, d):
 def t2_kalman_stream(spark, d):
     import numpy as np
 
-    rows = event_stream(spark, d).select("user_id", F.unix_micros("ts").alias("t"), F.array("value").alias("x"))
+    rows = closed_stream(spark, d).select("user_id", F.unix_micros("ts").alias("t"), F.array("value").alias("x"))
     a, c, k = np.array([[0.9]]), np.array([[1.0]]), np.array([[0.3]])
     found = _streamed(spark, stateful.kalman_stream(rows, "user_id", "t", "x", a, c, k), "states")
     return found.withColumn("state", F.transform("state", lambda v: F.round(v, 6)))

@@ -2,64 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidepool.functions import dsp, ssm
 
+#: Held numbers of a recursion and rows of a channel, and what gives the rows' results and the numbers after them.
+Advance = Callable[[np.ndarray | None, np.ndarray], tuple[np.ndarray, np.ndarray]]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Ordered(StatefulProcessor):
+    """A recursion over each channel's rows in order of time, whatever order they come in within the watermark's delay.
+
+    Rows wait in a list until the watermark has passed them, which a timer tells; then they are sorted and the recursion goes on from its held numbers. So
+    a channel's state is those numbers, and its rows of the delay. Rows at or before the channel's last watermark are dropped: their turn is over.
+    """
+
+    def __init__(self, channel: str, t: str, value: str, advance: Advance) -> None:
+        self.channel, self.t, self.value, self.advance = channel, t, value, advance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, v array<double>")
+        self.held = handle.getValueState("held", "numbers array<double>, passed long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = self.held.get()[1] if self.held.exists() else None
+        new = []
+        for part in rows:
+            new += [(int(a), np.atleast_1d(np.asarray(v, float)).tolist()) for a, v in zip(part[self.t], part[self.value], strict=True) if passed is None or a > passed]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(-(-min(a for a, _ in new) // 1000))  # timers are in milliseconds, rows in microseconds
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[0])
+        due, rest = [r for r in rows if r[0] <= limit], [r for r in rows if r[0] > limit]
+        if not due:
+            yield pd.DataFrame()
+            return
+        before = np.array(self.held.get()[0]) if self.held.exists() else None
+        made, numbers = self.advance(before, np.array([r[1] for r in due]))
+        self.held.update((numbers.ravel().tolist(), limit))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({self.channel: [key[0]] * len(due), self.t: [r[0] for r in due], "_out": list(made)})
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(df: DataFrame, channel: str, t: str, value: str, late: str, advance: Advance, out: str) -> DataFrame:
+    """``channel, t`` and what ``advance`` makes (``out``: its name and type). Rows of no channel only move the watermark, so the filter on them names its column and stays above it."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # timers and lists need it
+    kinds = dict(df.dtypes)
+    rows = df.select(channel, t, value, F.timestamp_micros(t).alias("_at")).withWatermark("_at", late)
+    rows = rows.where(F.when(F.col("_at").isNotNull(), F.col(channel).isNotNull()))
+    name, kind = out.split()
+    made = rows.groupBy(channel).transformWithStateInPandas(Ordered(channel, t, value, advance), f"{channel} {kinds[channel]}, {t} {kinds[t]}, _out {kind}", "Append", "EventTime")
+    return made.withColumnRenamed("_out", name)
 
-#: What a channel keeps: the recursion's numbers, and the time of its last row.
-STATE = "held array<double>, last long"
 
+def filter_stream(df: DataFrame, channel: str, t: str, value: str, sos: np.ndarray, late: str = "10 seconds") -> DataFrame:
+    """``channel, t, value``: a causal filter over each channel of a stream; ``t``: microseconds. Rows may come late by up to ``late`` (see ``Ordered``)."""
 
-def _in_time(state: GroupState, batches: Iterator[pd.DataFrame], t: str) -> tuple[pd.DataFrame, np.ndarray | None]:
-    """A chunk's rows in order, without those before the channel's last one: their turn is over, a recursion can't go back."""
-    rows = pd.concat(list(batches)).sort_values(t)
-    if not state.exists:
-        return rows, None
-    held, last = state.get
-    return rows[rows[t] >= last], np.array(held)
+    def advance(held: np.ndarray | None, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return dsp.filter_sections(sos, values[:, 0], held)
 
+    return _ordered(df, channel, t, value, late, advance, f"{value} double")
 
-def _keep(state: GroupState, held: np.ndarray, times: pd.Series) -> None:
-    state.update((held.ravel().tolist(), int(times.iloc[-1])))
 
+def kalman_stream(df: DataFrame, channel: str, t: str, x: str, a: np.ndarray, c: np.ndarray, k: np.ndarray, late: str = "10 seconds") -> DataFrame:
+    """``channel, t, state``: predicted states of each channel of a stream, as in one batch; rows may come late by up to ``late``."""
 
-def filter_stream(df: DataFrame, channel: str, t: str, value: str, sos: np.ndarray) -> DataFrame:
-    """``channel, t, value``: a causal filter over each channel of a stream; ``t`` is a bigint; rows that come after later ones' chunk are dropped."""
-    kinds = dict(df.dtypes)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, held = _in_time(state, batches, t)
-        if rows.empty:
-            return
-        y, held = dsp.filter_sections(sos, rows[value].to_numpy(float), held)
-        _keep(state, held, rows[t])
-        yield pd.DataFrame({channel: key[0], t: rows[t].to_numpy(), value: y})
+    def advance(held: np.ndarray | None, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        states, _, last = ssm.kalman(values, a, c, k, held)
+        return states, last
 
-    schema = f"{channel} {kinds[channel]}, {t} {kinds[t]}, {value} double"
-    return df.select(channel, t, value).groupBy(channel).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return _ordered(df, channel, t, x, late, advance, "state array<double>")
 
 
-def kalman_stream(df: DataFrame, channel: str, t: str, x: str, a: np.ndarray, c: np.ndarray, k: np.ndarray) -> DataFrame:
-    """``channel, t, state``: predicted states of each channel of a stream, as in one batch."""
-    kinds = dict(df.dtypes)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, held = _in_time(state, batches, t)
-        if rows.empty:
-            return
-        states, _, held = ssm.kalman(np.stack([np.asarray(v, float) for v in rows[x]]), a, c, k, held)
-        _keep(state, held, rows[t])
-        yield pd.DataFrame({channel: key[0], t: rows[t].to_numpy(), "state": states.tolist()})
-
-    schema = f"{channel} {kinds[channel]}, {t} {kinds[t]}, state array<double>"
-    return df.select(channel, t, x).groupBy(channel).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+def closing(spark: SparkSession, path: str, schema: str, after: Column) -> DataFrame:
+    """A stream of one row of ``schema``, null but for ``ts`` at ``after``: joined to another stream, it moves the watermark beyond that one's last row. ``path``: a new folder."""
+    row = spark.range(1).select(*[(after.cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in spark.createDataFrame([], schema).schema])
+    row.write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def window_power(df: DataFrame, channel: Sequence[str], ts: str, value: str, width: str = "1 second", late: str = "10 seconds") -> DataFrame:
