@@ -40,7 +40,7 @@ def split_chunks(text: str | None) -> list[str]:
     return CHUNK.findall(" " + text.replace(MARKER, " ")) if text else []
 
 
-def encode_chunks(path: str, chunks: list[str]) -> list[pa.Array]:
+def encode_chunks(path: str, chunks: list[str]) -> pa.Array:
     """Ids of distinct chunks.
 
     The library sets a marker before what it is given. So a chunk that starts with a space goes without it; of a lone space nothing is left; any
@@ -50,17 +50,14 @@ def encode_chunks(path: str, chunks: list[str]) -> list[pa.Array]:
     alone, lead = model.piece_to_id(MARKER), len(model.encode("\n"))
     starts = [c[0] == " " for c in chunks]
     ids = model.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, starts, strict=True)], num_threads=1)
-    return [pa.array([(x or [alone]) if s else x[lead:] for x, s in zip(ids, starts, strict=True)], pa.list_(pa.int32()))]
+    return pa.array([(x or [alone]) if s else x[lead:] for x, s in zip(ids, starts, strict=True)], pa.list_(pa.int32()))
 
 
-def _finish(path: str, rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Numbers, ids and decoded texts of a block's chunks; ids are decoded after those of a line break, as the library takes a marker off a text's start."""
+def decode_chunks(path: str, ids: pa.Array) -> pa.Array:
+    """Texts of chunks' ids, which are decoded after those of a line break, as the library takes a marker off a text's start."""
     model = _model(path)
     lead = model.encode("\n")
-    rows = rows.sort_by("no").combine_chunks()
-    no, ids = (rows.column(c).combine_chunks() for c in ("no", "ids"))
-    decoded = [t for lo in range(0, len(ids), 10_000) for t in model.decode([lead + x for x in ids.slice(lo, 10_000).to_pylist()], num_threads=1)]
-    return no, ids, pc.utf8_slice_codeunits(pa.array(decoded, pa.string()), 1)
+    return pc.utf8_slice_codeunits(pa.array(model.decode([lead + x for x in ids.to_pylist()], num_threads=1), pa.string()), 1)
 
 
 def encode_and_decode(docs: DataFrame, path: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
@@ -72,5 +69,5 @@ def encode_and_decode(docs: DataFrame, path: str, block_chars: int = wordblocks.
     """
     check(path)
     coder = wordblocks.Coder(docs, split_chunks, block_chars)
-    rows = wordblocks.encoded(coder, functools.partial(encode_chunks, path), "ids array<int>")
-    return wordblocks.joined_back(coder, rows, functools.partial(_finish, path), "").selectExpr("doc_id", "ids", "substring(decoded, 2) as decoded")
+    rows = wordblocks.encoded(coder, functools.partial(encode_chunks, path))
+    return wordblocks.joined_back(coder, rows, functools.partial(decode_chunks, path), "").selectExpr("doc_id", "ids", "substring(decoded, 2) as decoded")

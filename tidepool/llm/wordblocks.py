@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Encode = Callable[[list[str]], list[pa.Array]]
+Encode = Callable[[list[str]], pa.Array]
 
 #: Characters of text in a block, and in a part of it that is split at once; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 24
@@ -28,6 +28,9 @@ PART_CHARS = 1 << 20
 LISTED = 10_000
 #: Rows that a task gathers before it packs them by block.
 PACKED = 500_000
+#: Words of a block that are decoded, or joined to its texts, at once.
+DECODED = 100_000
+CONTENT = pa.schema([("no", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -122,82 +125,80 @@ class Coder:
         return self.docs.mapInArrow(run, "block long, no int, word string")
 
 
-def encoded(coder: Coder, encode: Encode, columns: str) -> DataFrame:
-    """``block, no`` and ``columns`` (a schema) of every block's words; ``encode`` gives the columns of a list of distinct words and sees each word once."""
-    names = ["block", "no", *[c.split()[0] for c in columns.split(", ")]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, made = None, []
-        for batch in batches:
-            if batch.num_rows:
-                coded = batch.column(2).dictionary_encode()
-                own = coded.dictionary.to_pylist()
-                known = [m.slice(len(m) - 1) for m in made] if own[0] == last else []
-                made = encode(own[1:] if known else own)
-                made = [pa.concat_arrays(parts) for parts in zip(known, made, strict=True)] if known else made
-                last = own[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[m.take(coded.indices) for m in made]], names)
-
-    words = coder.words().repartition("word").sortWithinPartitions("word")
-    return words.mapInArrow(run, f"block long, no int, {columns}")
-
-
-def _packed(rows: DataFrame) -> tuple[DataFrame, pa.Schema]:
-    """``of, content``: rows of one ``block`` as compressed Arrow batches, some ``PACKED`` rows of a task at a time; and their schema without the block."""
-    schema = pa.schema([(f.name, _arrow(f.dataType)) for f in rows.schema.fields if f.name != "block"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(3).compress
-
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
-            block = table.column("block").to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-            table = table.drop_columns("block").cast(schema)
-            content = [compress(pa.concat_batches(table.slice(a, b - a).to_batches()).serialize()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(content, pa.binary())], ["of", "content"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= PACKED:
-                yield flush(held)
-                held = []
-        if held:
+def _encoded(encode: Encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, no, ids`` of ``block, no, word`` in order of words; each word is encoded once."""
+    last, made = None, pa.nulls(0)
+    for batch in batches:
+        if batch.num_rows:
+            coded = batch.column(2).dictionary_encode()
+            own = coded.dictionary.to_pylist()
+            known = [made.slice(len(made) - 1)] if own[0] == last else []
+            made = pa.concat_arrays([*known, encode(own[len(known) :])])
+            last = own[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made.take(coded.indices)], ["block", "no", "ids"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``of, content``: rows of one block as compressed Arrow batches, some ``PACKED`` rows at a time."""
+    compress = zstandard.ZstdCompressor(3).compress
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = table.column("block").to_numpy()
+        cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+        table = table.drop_columns("block").cast(CONTENT)
+        content = [compress(pa.concat_batches(table.slice(a, b - a).to_batches()).serialize()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(content, pa.binary())], ["of", "content"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED:
             yield flush(held)
+            held = []
+    if held:
+        yield flush(held)
 
-    return rows.mapInArrow(pack, "of long, content binary"), schema
 
+def encoded(coder: Coder, encode: Encode) -> DataFrame:
+    """``of, content``: numbers and ids of every block's words, packed by block; ``encode`` gives the ids of a list of distinct words and sees each word once."""
 
-def _arrow(kind) -> pa.DataType:
-    return pa.list_(pa.int32()) if kind.typeName() == "array" else {"integer": pa.int32(), "string": pa.string()}[kind.typeName()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(_encoded(encode, batches))
+
+    return coder.words().repartition("word").sortWithinPartitions("word").mapInArrow(run, "of long, content binary")
 
 
-def joined_back(coder: Coder, rows: DataFrame, finish: Callable[[pa.Table], tuple[pa.Array, pa.Array, pa.Array]], separator: str) -> DataFrame:
+def joined_back(coder: Coder, packed: DataFrame, decode: Callable[[pa.Array], pa.Array], separator: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every text: its words' ids one after another and their decoded texts with ``separator`` between them.
 
-    ``rows`` has ``block, no`` and what was made of each block's words; ``finish`` turns one block's rows into numbers, ids and decoded
-    texts by word. A task joins one block: what belongs to its words is taken at their positions in its texts.
+    ``packed``: see ``encoded``; ``decode`` gives the texts of words' ids. A task joins one block: what belongs to its words is taken at their positions in its texts.
     """
-    packed, schema = _packed(rows)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = [pa.ipc.read_record_batch(pa.py_buffer(unpack(x.as_py())), schema) for x in right.column("content")]
         if not left.num_rows:
             raise RuntimeError("the documents were read in another order the second time")
-        no, ids, decoded = finish(pa.Table.from_batches(parts, schema))
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [pa.ipc.read_record_batch(pa.py_buffer(unpack(x.as_py())), CONTENT) for x in right.column("content")]
+        rows = pa.Table.from_batches(parts, CONTENT).sort_by("no").combine_chunks()
         row = left.combine_chunks()
-        codes, doc_ids = pa.array(_numbers(row.column("codes")[0].as_py())), row.column("doc_ids").combine_chunks().flatten()
-        most = pc.max(codes).as_py()
-        if not np.array_equal(no.to_numpy(), np.arange(0 if most is None else most + 1)):
+        codes, doc_ids = _numbers(row.column("codes")[0].as_py()), row.column("doc_ids").combine_chunks().flatten()
+        if not np.array_equal(rows.column("no").to_numpy(), np.arange(codes.max() + 1 if len(codes) else 0)):
             raise RuntimeError("some of a block's words were not encoded")
+        ids = pa.concat_arrays(rows.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
+        texts = pa.concat_arrays([pa.array([], pa.string()), *(decode(ids.slice(lo, DECODED)) for lo in range(0, len(ids), DECODED))])
         ends = np.append(0, np.cumsum(row.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.int64))
-        ids = ids.take(codes)
-        tokens = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64))[ends]
-        lists = pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), ids.flatten())
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), decoded.take(codes)), separator)
-        return pa.table([doc_ids, lists, text], ["doc_id", "ids", "decoded"])
+        made = []
+        lo = 0
+        while lo < len(doc_ids):  # some texts at a time, so that no large batch goes back
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED, side="right")) - 1)
+            at, own = pa.array(codes[ends[lo] : ends[hi]]), ends[lo : hi + 1] - ends[lo]
+            taken = ids.take(at)
+            tokens = np.append(0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False), dtype=np.int64))[own]
+            lists = pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), taken.flatten())
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(own, pa.int32()), texts.take(at)), separator)
+            made.append(pa.table([doc_ids.slice(lo, hi - lo), lists, text], ["doc_id", "ids", "decoded"]))
+            lo = hi
+        return pa.concat_tables(made)
 
     return coder.texts().groupBy("block").cogroup(packed.groupBy("of")).applyInArrow(join, f"doc_id {coder.kind}, ids array<int>, decoded string")

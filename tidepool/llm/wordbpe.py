@@ -90,21 +90,19 @@ def _word_ids(path: str, words: list[str]) -> list[list[int]]:
     return [[added[w[1:]]] if w[0] == " " else next(ids) for w in words]
 
 
-def encode_words(path: str, words: list[str]) -> list[pa.Array]:
+def encode_words(path: str, words: list[str]) -> pa.Array:
     """Ids of distinct words."""
-    return [pa.array(_word_ids(path, words), pa.list_(pa.int32()))]
+    return pa.array(_word_ids(path, words), pa.list_(pa.int32()))
 
 
-def _finish(table: Broadcast, rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Numbers, ids and decoded texts of a block's words: their ids are joined with the table of pieces, which are set apart by spaces."""
-    rows = rows.sort_by("no").combine_chunks()
-    no, ids = (rows.column(c).combine_chunks() for c in ("no", "ids"))
+def decode_words(table: Broadcast, ids: pa.Array) -> pa.Array:
+    """Texts of words' ids, which are joined with the table of pieces; pieces are set apart by spaces."""
     flat = ids.flatten()
     found = pa.table({"at": np.arange(len(flat)), "id": flat}).join(table.value, "id", join_type="inner", use_threads=False).sort_by("at")
     if found.num_rows != len(flat):
         raise ValueError("some ids have no piece")
     offsets = pa.array(np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))), pa.int32())
-    return no, ids, pc.binary_join(pa.ListArray.from_arrays(offsets, found.column("piece").combine_chunks()), " ")
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, found.column("piece").combine_chunks()), " ")
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
@@ -117,5 +115,5 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, block_chars: int = wordbl
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(pieces(spark, tokenizer).toArrow())
     coder = wordblocks.Coder(docs, functools.partial(split_words, tokenizer), block_chars)
-    rows = wordblocks.encoded(coder, functools.partial(encode_words, tokenizer), "ids array<int>")
-    return wordblocks.joined_back(coder, rows, functools.partial(_finish, table), " ")
+    rows = wordblocks.encoded(coder, functools.partial(encode_words, tokenizer))
+    return wordblocks.joined_back(coder, rows, functools.partial(decode_words, table), " ")
