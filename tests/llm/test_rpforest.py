@@ -104,3 +104,48 @@ def test_clashing_names(spark):
     table = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in names})
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.near_duplicates(table).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_parallel_vectors(spark):
+    """Multiples of one direction: equal as units, but not as vectors."""
+    rng = np.random.default_rng(12)
+    v, w = rng.normal(size=(2, 16))
+    rows = [(i, (v * 2.0 ** (i % 100 - 50)).tolist(), 0) for i in range(400)] + [(400 + i, (w * (i + 1)).tolist(), 0) for i in range(300)]
+    rows += [(700 + i, rng.normal(size=16).tolist(), 0) for i in range(300)]
+    got = {r.vec_id: r for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for first, n in ((0, 400), (400, 300)):
+        assert all(got[i].component_id == first and got[i].n_links == n - 1 for i in range(first, first + n))
+
+
+def planted_pairs(rng, pairs, singles, size=13, width=64, cosine=0.94):
+    """Pairs of balls whose centers are far apart, with one link between an edge of each; and vectors by themselves."""
+
+    def turned(a, angle):
+        b = rng.normal(size=width)
+        b -= a * (a @ b)
+        return np.cos(angle) * a + np.sin(angle) * b / np.linalg.norm(b)
+
+    rows, links, most = [], [], np.arccos(0.93) * 0.499
+    for _ in range(pairs):
+        u = rng.normal(size=width)
+        u /= np.linalg.norm(u)
+        v = turned(u, np.arccos(cosine))
+        side = (v - u * (u @ v)) / np.linalg.norm(v - u * (u @ v))
+        reach, gap = most * 0.96, np.arccos(cosine)
+        at = lambda angle: np.cos(angle) * u + np.sin(angle) * side
+        first = len(rows)
+        for edge, center in ((u, at(-reach)), (v, at(gap + reach))):
+            own = [center, edge, *(turned(center, rng.uniform(0, most * 0.3)) for _ in range(size - 2))]
+            rows += [(len(rows) + i, x.tolist(), 0) for i, x in enumerate(own)]
+        links.append((first, first + size))
+    rows += [(len(rows) + i, rng.normal(size=width).tolist(), 0) for i in range(singles)]
+    return rows, links
+
+
+def test_links_between_balls(spark):
+    rows, links = planted_pairs(np.random.default_rng(13), 100, 6000)
+    got = {r.vec_id: r for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[a].component_id == got[b].component_id for a, b in links) >= 99
+    expected = _links(rows)
+    total = sum(len(x) for x in expected.values())
+    assert all(got[i].n_links <= len(x) for i, x in expected.items()) and sum(r.n_links for r in got.values()) >= 0.99 * total

@@ -21,6 +21,10 @@ LEAF = 256
 SPILL = 0.05
 THRESHOLD = 0.93
 MOST_LEVELS = 80
+#: Projections of unit vectors that differ by no more are equal.
+EQUAL = 1e-12
+#: Members of a ball within this share of its largest radius go into the forest with its center, others by themselves.
+INNER = 0.2
 #: Levels whose projections go with a vector at once.
 DEPTH = 12
 #: Vectors of a component that are compared with as many others in one task.
@@ -60,8 +64,8 @@ def grow(vectors: DataFrame, trees: int, leaf: int = LEAF, spill: float = SPILL,
 
     Level by level, every node of more than ``leaf`` vectors is split at the median of their projections on a random
     direction of its tree and level; medians and spill limits are approximate percentiles, which are
-    aggregated in the tasks first, and a node's go to its vectors by a join. What a level writes are ids, nodes and projections, not vectors. Only
-    distinct vectors may come in, so that nodes can always be split in the end.
+    aggregated in the tasks first, and a node's go to its vectors by a join. What a level writes are ids, nodes and projections, not vectors. Where
+    all of a node's projections are equal, as parallel vectors' are, ids' hashes split it.
     """
     names = ["id", "label", "dim", "tree", "node", "home"]
     keys = ["label", "dim", "tree", "node"]
@@ -76,19 +80,22 @@ def grow(vectors: DataFrame, trees: int, leaf: int = LEAF, spill: float = SPILL,
         drop(*before)
         limits = F.percentile_approx("now", F.array(*[F.lit(x) for x in (0.5 - spill, 0.5, 0.5 + spill)]), F.lit(1000))
         placed = active.withColumn("now", F.get("at", F.lit(level % DEPTH)))
-        nodes = written(placed.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), limits.alias("cut")), "nodes")
+        equal = F.max("now") - F.min("now") <= EQUAL
+        nodes = written(placed.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), limits.alias("cut"), equal.alias("equal")), "nodes")
         before = [active, nodes]
         rows = placed.join(nodes, keys)
         done.append(written(rows.where(F.col("n") <= leaf).select(names), "leaves"))
         if nodes.where(F.col("n") > leaf).isEmpty():
             drop(*before)
             return functools.reduce(DataFrame.unionByName, done).join(vectors.select("id", "vec"), "id")
-        left, right = F.col("now") <= F.col("cut")[2], F.col("now") > F.col("cut")[0]
-        is_left = F.col("now") <= F.col("cut")[1]
+        odd = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 1
+        left = F.when(F.col("equal"), ~odd).otherwise(F.col("now") <= F.col("cut")[2])
+        right = F.when(F.col("equal"), odd).otherwise(F.col("now") > F.col("cut")[0])
+        is_left = F.when(F.col("equal"), ~odd).otherwise(F.col("now") <= F.col("cut")[1])
         sides = F.array_compact(F.array(F.when(left, F.struct(F.lit("0").alias("s"), is_left.alias("h"))), F.when(right, F.struct(F.lit("1").alias("s"), (~is_left).alias("h")))))
         active = rows.where(F.col("n") > leaf).withColumn("side", F.explode(sides))
         active = active.withColumns({"node": F.concat("node", "side.s"), "home": F.col("home") & F.col("side.h")})
-    raise RuntimeError("nodes could not be split; are there equal vectors?")
+    raise RuntimeError("nodes could not be split")
 
 
 def _leaders(vectors: DataFrame, radius: float, seed: int) -> DataFrame:
@@ -154,6 +161,25 @@ def _spanning(linked: np.ndarray) -> np.ndarray:
     return first
 
 
+def _between(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: for each of ``pairs`` (``stand, other``) one link between their members, if there is one in a pair of their blocks; no more, as one joins their components."""
+    sizes = members.groupBy("stand").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "stand").select("stand", "id", "vec", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    cells = pairs.join(sizes, "stand").join(sizes.toDF("other", "more"), "other")
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = written(cells.withColumn("beside", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1))).select("stand", "other", "block", "beside"), "cells")
+    keys = ["stand", "other", "block", "beside"]
+    left = cells.join(dealt, ["stand", "block"]).select(*keys, F.lit(True).alias("is_a"), "id", "vec")
+    right = cells.join(dealt.toDF("other", "id", "vec", "beside"), ["other", "beside"]).select(*keys, F.lit(False).alias("is_a"), "id", "vec")
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["is_a"]], rows[~rows["is_a"]]
+        i, j = np.nonzero(_unit(np.stack(a["vec"])) @ _unit(np.stack(b["vec"])).T >= threshold) if len(a) and len(b) else ([], [])
+        return pd.DataFrame({"a": a["id"].to_numpy()[i[:1]], "b": b["id"].to_numpy()[j[:1]]}) if len(i) else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    return left.unionByName(right).groupBy(keys).applyInPandas(first, "a long, b long")
+
+
 def _across(known: DataFrame, radius: DataFrame, threshold: float) -> DataFrame:
     """``id, links``: rows of other balls of its component that a vector is linked with, in parts that have to be added.
 
@@ -212,7 +238,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     lengths neither. Repeated rows are linked with each other.
 
     Equal vectors are one class, with a number of its own and that of its rows, so rows of one ``vec_id`` with different vectors are told apart. Classes in a ball (see ``balls``) are linked without
-    pairs. Balls' centers go into the forest; two that meet in a leaf, are near enough for their radii and aren't connected by other links have
+    pairs. Balls' centers go into the forest, and so do members away from them; two vectors that meet in a leaf, are near enough for what they stand for and aren't connected by other links have
     their members compared. In the components that this gives, all pairs are compared (see ``_across``), so leaves don't limit a group's links. Every
     link found is exact. A link between components whose balls no leaf holds would be missed; the tests measure the recall.
     """
@@ -230,28 +256,31 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     vectors = classes.select("id", "label", "dim", "vec")
     ball = balls(vectors, threshold)
     radius = ball.groupBy("ball").agg(F.max("angle").alias("radius"))
-    centers = vectors.join(radius.withColumnRenamed("ball", "id"), "id")
-    leaves = grow(centers.select("id", "label", "dim", "vec"), trees, seed=7).join(radius.withColumnRenamed("ball", "id"), "id")
     most = math.acos(threshold) + 1e-7
+    stands = F.when(F.col("angle") <= math.acos(threshold) * 0.499 * INNER, F.col("ball")).otherwise(F.col("id"))
+    ball = written(ball.withColumn("stand", stands), "stands")
+    reach = ball.groupBy("stand").agg(F.max(F.when(F.col("id") == F.col("stand"), 0.0).otherwise(F.col("angle"))).alias("reach"))
+    reach = written(reach, "reach")
+    inside = vectors.join(reach.withColumnRenamed("stand", "id"), "id")
+    leaves = grow(inside.select("id", "label", "dim", "vec"), trees, seed=7).join(reach.withColumnRenamed("stand", "id"), "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, own = _unit(np.stack(rows["vec"])), rows["id"].to_numpy(), rows["radius"].to_numpy()
+        unit, ids, own = _unit(np.stack(rows["vec"])), rows["id"].to_numpy(), rows["reach"].to_numpy()
         cosine = unit @ unit.T
         tree = _spanning(cosine >= threshold)
         near = np.arccos(np.clip(cosine, -1, 1)) <= most + own[:, None] + own[None, :]
+        near &= (own[:, None] > 0) | (own[None, :] > 0)  # else the vectors themselves decide
         a, b = np.nonzero(near & (ids[:, None] < ids[None, :]) & (tree[:, None] != tree[None, :]))
         other = np.flatnonzero(tree != np.arange(len(ids)))
-        return pd.DataFrame({"ball": ids[np.append(a, tree[other])], "other": ids[np.append(b, other)], "linked": np.arange(len(a) + len(other)) >= len(a)})
+        return pd.DataFrame({"stand": ids[np.append(a, tree[other])], "other": ids[np.append(b, other)], "linked": np.arange(len(a) + len(other)) >= len(a)})
 
-    met = written(leaves.groupBy("label", "dim", "tree", "node").applyInPandas(compare, "ball long, other long, linked boolean").distinct(), "met")
-    edges = met.where("linked").select(F.col("ball").alias("a"), F.col("other").alias("b")).unionByName(ball.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b")))
+    met = written(leaves.groupBy("label", "dim", "tree", "node").applyInPandas(compare, "stand long, other long, linked boolean").distinct(), "met")
+    edges = met.where("linked").select(F.col("stand").alias("a"), F.col("other").alias("b")).unionByName(ball.where("id <> ball").select(F.col("id").alias("a"), F.col("ball").alias("b")))
     joined = written(connected_components(edges, "a", "b").toDF("id", "component"), "joined")
-    members = ball.join(joined, "id", "left").select("ball", "id", "vec", F.coalesce("component", "id").alias("component"))
-    one = members.where("id = ball").select("ball", F.col("component").alias("one"))
-    apart = met.where("not linked").join(one, "ball").join(one.toDF("other", "two"), "other").where("one <> two").select("ball", "other")
-    own = members.select("ball", "id", "vec")
-    both = apart.join(own.toDF("ball", "a", "u"), "ball").join(own.toDF("other", "b", "v"), "other")
-    pairs = written(both.where(_cosine("u", "v") >= threshold).select("a", "b"), "pairs")
+    members = written(ball.join(joined, "id", "left").select("stand", "id", "vec", F.coalesce("component", "id").alias("component")), "members")
+    one = members.where("id = stand").select("stand", F.col("component").alias("one"))
+    apart = met.where("not linked").join(one, "stand").join(one.toDF("other", "two"), "other").where("one <> two").select("stand", "other")
+    pairs = written(_between(members, apart, threshold), "pairs")
     if not pairs.isEmpty():
         edges = pairs.unionByName(joined.toDF("a", "b"))
         joined = written(connected_components(edges, "a", "b").toDF("id", "component"), "joined")
