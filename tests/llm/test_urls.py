@@ -73,3 +73,39 @@ def test_planted_aliases_against_brute_force(spark):
     expected = {i: v or ("allow" if "allow" in of[root[i]] or "block" not in of[root[i]] else "block") for i, v in enumerate(own)}
     got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
     assert got == expected and any(own[i] is None and v == "block" for i, v in expected.items())
+
+
+def test_long_pages_take_linear_time(spark):
+    """Unclosed tags, one endless tag, runs of white space where numbers are looked for, and a link after all of them."""
+    import time
+
+    link = '<link href="http://x.net/es/" rel="canonical">'
+    long = ["<link " * 100_000, "<link " * 100_000 + ">" + link, "<meta http-equiv=refresh content=" * 18_000 + " " * 20_000 + ">" + link, "<meta http-equiv=refresh content='" + " " * 600_000 + "'>" + link, "x" * 600_000 + link + "<link rel=canonical href=http://y.org/"]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in enumerate(long)], PAGES).repartition(5)
+    llm_urls.alias_edges(pages.limit(0)).collect()
+    began = time.perf_counter()
+    got = {r.page_id: r.verdict for r in judge_urls(pages).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {0: "allow", 1: "block", 2: "block", 3: "block", 4: "block"}
+
+
+def test_planted_links_against_the_sql(spark, tmp_path):
+    """Any order of attributes, relative links, spellings; the query's SQL over a table that declares links."""
+    import duckdb
+
+    from tidepool.llm import queries
+
+    pages = [
+        (1, "http://a.org/x/1", '<link rel="canonical" href="/y/2">'), (2, "http://a.org/y/2", "<LINK HREF='//spam.net/es/3#z' REL=canonical>"), (3, "http://spam.net/es/3", None), (4, "http://A.org:80/y/2", ""),
+        (5, "http://c.org/d/e?q", '<meta content="0; url=f" http-equiv=refresh>'), (6, "http://c.org/d/f", '<meta http-equiv="refresh" content="5;url=?k=1&amp;m">'), (7, "http://c.org/d/f?k=1&m", '<link href="http://www.example.com/en/q" rel=canonical>'),
+        (8, "https://e.org", '<link href="http://net/fr/" rel="stylesheet"><link rel="canonical" href="https://E.org:443/g">'), (9, "https://e.org/g", "<link rel=canonical href=http://b.net/fr/1"), (10, None, '<link rel="canonical" href="/">'),
+        (11, "no scheme", '<link rel="canonical" href="http://spam.net/es/3">'), (11, "no scheme", "x"), (None, "http://a.org/y/2#part", None),
+    ]
+    spark.createDataFrame(pages, PAGES).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    expected = con.sql(f"select page_id, host, path, rule, verdict from ({queries.URLS})").fetchall()
+    got = queries.op3_urls(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+    verdicts = {r.page_id: r.verdict for r in got}
+    assert [verdicts[i] for i in (1, 2, 3, 4, None, 11)] == ["block"] * 6 and [verdicts[i] for i in (5, 6, 7, 8, 9)] == ["allow"] * 5

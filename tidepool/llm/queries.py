@@ -128,16 +128,34 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 
 URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
+#: An address ``u`` as a node of the alias graph.
+NODE = r"""case when regexp_matches(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') then
+  lower(regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
+  case lower(regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) when 'http' then regexp_replace(lower(regexp_extract(u, '(?s)://([^/?]*)', 1)), ':80$', '')
+    when 'https' then regexp_replace(lower(regexp_extract(u, '(?s)://([^/?]*)', 1)), ':443$', '') else lower(regexp_extract(u, '(?s)://([^/?]*)', 1)) end ||
+  case when starts_with(regexp_replace(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '/') then '' else '/' end || regexp_replace(u, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '')
+  else u end"""
+
+
+def _node(url: str) -> str:
+    return f"(select {NODE} from (select regexp_replace({url}, '(?s)#.*$', '') u))"
+
+
 URLS = rf"""
 with recursive rules(v, h, p) as (values {URL_RULES}),
-links as (select distinct regexp_replace(url, '#.*$', '', 's') src, link dst from (
-  select url, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1)]) link
-  from pages) where link <> ''),
-both_ways as (select src, dst from links union select dst, src from links),
+tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) tag from pages),
+raw as (select url, case when regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') then regexp_extract(tag, '(?is)^<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  when regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(tag, '(?is)^<meta\b[^>]*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1) else '' end link from tags),
+cut as (select url, regexp_replace(trim(replace(link, '&amp;', '&')), '(?s)#.*$', '') link, regexp_extract(url, '(?s)^([^:/?#]*)://', 1) scheme,
+  regexp_extract(url, '(?s)^[^:/?#]*://[^/?#]*') site, regexp_extract(url, '(?s)^[^?#]*') page from raw where link <> ''),
+whole as (select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then scheme || ':' || link when starts_with(link, '/') then site || link
+  when starts_with(link, '?') then page || link when link <> '' then case when length(page) > length(site) then regexp_extract(page, '(?s)^.*/') else site || '/' end || link end link from cut),
+links as (select distinct {_node("url")} src, {_node("link")} dst from whole where url is not null and link is not null),
+both_ways as (select src, dst from links where src <> dst union select dst, src from links where src <> dst),
 reach(node, root) as (select src, src from both_ways union select e.dst, r.root from reach r join both_ways e on e.src = r.node),
 parts as (select node, min(root) component from reach group by node),
-u as (select distinct url from pages union select node from parts),
+own as (select distinct url, {_node("url")} node from pages),
+u as (select url from own union select node from parts),
 s as (select url, case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*', 0, 's') else '' end rest from u),
 hp as (select url, coalesce(translate(regexp_extract(rest, '^[^/]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
   coalesce(substr(rest, length(regexp_extract(rest, '^[^/]*', 0, 's')) + 1), '') path from s),
@@ -145,8 +163,8 @@ best as (select url, arg_max(rules.h || p, length(rules.h || p)) rule, arg_max(v
   join rules on (host = rules.h or ends_with(host, '.' || rules.h)) and starts_with(path, p) group by url),
 decided as (select component, bool_or(v = 'allow') or not bool_or(v = 'block') ok from parts left join best on best.url = parts.node group by component)
 select page_id, coalesce(hp.host, '') host, coalesce(hp.path, '') path, best.rule, coalesce(best.v, case when coalesce(ok, true) then 'allow' else 'block' end) verdict
-from pages left join hp on hp.url = pages.url left join best on best.url = pages.url
-left join parts on parts.node = regexp_replace(pages.url, '#.*$', '', 's') left join decided using (component)
+from pages left join hp on hp.url = pages.url left join best on best.url = pages.url left join own on own.url = pages.url
+left join parts on parts.node = own.node left join decided using (component)
 """
 
 #: Components of links ``e(a, b)`` in both directions.

@@ -71,12 +71,19 @@ def node(url: Column) -> Column:
     return F.when(F.length(scheme) > 0, whole).otherwise(url)
 
 
+#: Tags that may declare an alias, and the address in one. Each tag ends at its first ``>``, so cutting them out takes one pass, and so does each pattern within a tag:
+#: it starts at the tag's start, and what it has taken of white space and digits it doesn't give back.
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"""(?is)^<link\b(?=[^>]*\brel\s*+=\s*+["']?+canonical\b)[^>]*\bhref\s*+=\s*+["']?+([^"'\s>]+)"""
+REFRESH = r"""(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*+=\s*+["']?+refresh\b)[^>]*\bcontent\s*+=\s*+["']?+\s*+[0-9.]*+\s*+[;,]\s*+url\s*+=\s*+["']?+([^"'\s>]+)"""
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst``: nodes that a page's canonical links or refreshing redirects, all of them, declare the same."""
-    canonical = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-    refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+    """``src, dst``: nodes that a page's canonical links or refreshing redirects, all of them, declare the same. A tag that never ends declares nothing."""
     html = F.col("html").cast("string")
-    links = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (canonical, refresh)])
+    closed = F.substr(html, F.lit(1), F.length(html) - F.instr(F.reverse(html), ">") + 1)  # up to the last tag's end; else each start of an unclosed one would be read to the text's end
+    tags = F.when(F.instr(html, ">") > 0, F.regexp_extract_all(closed, F.lit(TAG), F.lit(0)))
+    links = F.transform(tags, lambda tag: F.concat(F.regexp_extract(tag, CANONICAL, 1), F.regexp_extract(tag, REFRESH, 1)))
     found = pages.select("url", F.explode(links).alias("link")).where("link <> ''").withColumn("link", F.regexp_replace("link", "&amp;", "&"))
     return found.select(node(F.col("url")).alias("src"), node(_absolute(F.col("link"), F.col("url"))).alias("dst")).where("src is not null and dst is not null").distinct()
 
