@@ -186,6 +186,33 @@ def test_streams_equal_batches(spark):
     assert np.allclose([got[user, t] for t, _ in own], expected)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3])
+def test_selection_of_hot_groups(spark, rounds):
+    """Percentiles by rounds of selection: a group with most rows, heavy ties, huge ranges, one value, nulls; as NumPy's."""
+    rng = np.random.default_rng(15)
+    data = {"hot": np.round(rng.normal(size=6000) * 1e3) / 7, "ties": rng.choice([1.0, 2.0, 2.5], 900), "wide": 10.0 ** rng.uniform(-300, 300, 500), "one": np.array([3.0]), "two": np.array([-1.0, 4.0])}
+    rows = [(g, float(v)) for g, own in data.items() for v in own] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"low": 0.0, "q1": 0.25, "med": 0.5, "p99": 0.99, "most": 1.0}
+    got = {r.g: r for r in agg.percentiles(df, ["g"], "v", shares, rounds=rounds).collect()}
+    assert set(got) == set(data)
+    for g, own in data.items():
+        assert np.allclose([got[g][n] for n in shares], np.quantile(own, list(shares.values())), rtol=1e-12), g
+    whole = agg.percentiles(df, [], "v", shares, rounds=rounds).first()
+    assert np.allclose([whole[n] for n in shares], np.quantile(np.concatenate(list(data.values())), list(shares.values())), rtol=1e-12)
+
+
+def test_selection_sorts_no_group(spark):
+    """With rounds, windows are over ranges of a group or over counts of its ranges; the estimate of the input decides whether there are any."""
+    df = spark.range(20_000).selectExpr("'g' g", "cast(hash(id) as double) v")
+    plan = agg.percentiles(df, ["g"], "v", {"m": 0.5}, rounds=2)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [sum" in line]
+    assert windows and all("_s" in line or "_r1" in line for line in windows)
+    kept = agg._narrowed(df.groupBy("g", "v").agg(F.count("*").alias("_k")).withColumn("_base", F.lit(0).cast("long")), ["g"], ["g"], "v", spark.createDataFrame([("g", [9999, 10000])], "g string, _places array<long>"), 0)
+    assert kept.count() < 3 * 20_000 / agg.SELECT_RANGES
+    assert agg._estimated_bytes(df) < agg.SELECT_BYTES < agg._estimated_bytes(spark.range(10**9))
+
+
 def _run_in_chunks(spark, folder, chunks, late, make):
     """What a stream over one file of (channel, t, value) rows after another gives, once its watermark has passed them all."""
     schema = "ts timestamp, channel long, t long, value double"

@@ -12,17 +12,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mapping[str, Column], *more: str) -> DataFrame:
+#: Ranges that a round of ``order_statistics`` deals a group's values into.
+SELECT_RANGES = 64
+#: Input from which values are narrowed down before they are sorted, and so often; Spark's estimate decides, and results are the same.
+SELECT_BYTES = 256 << 20
+SELECT_ROUNDS = 2
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _narrowed(values: DataFrame, keys: Sequence[str], group: Sequence[str], value: str, wanted: DataFrame, level: int) -> DataFrame:
+    """Of ``keys, value, _k, _base``, the values of those ranges that hold a wanted place, with the range as a further key and in ``_base`` the number of values before it.
+
+    Ranges lie between approximate percentiles of the distinct values; their counts are summed in the tasks that hold the values, and only
+    these counts, ``SELECT_RANGES`` of a key at most, are put in order.
+    """
+    name = f"_r{level}"
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / SELECT_RANGES) for i in range(1, SELECT_RANGES)]), F.lit(1000)).alias("_cuts"))
+    ranged = values.join(cuts, list(keys)).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    counts = ranged.groupBy(*keys, name).agg(F.sum("_k").alias("_s"), F.first("_base").alias("_b"))
+    lower = F.sum("_s").over(Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_b", F.col("_b") + F.coalesce(lower, F.lit(0))).join(wanted, list(group))
+    kept = counts.where(F.exists("_places", lambda t: (t >= F.col("_b")) & (t < F.col("_b") + F.col("_s")))).select(*keys, name, "_b")
+    return ranged.drop("_base").join(kept, [*keys, name]).withColumnRenamed("_b", "_base")
+
+
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mapping[str, Column], *more: str, rounds: int | None = None) -> DataFrame:
     """The values at places in each group's order, interpolated: ``at`` has them from 0, as expressions of ``_n``, the values that are there.
 
-    Values are counted before they are shuffled. A window then adds up the counts of distinct values, which Spark can
-    spill, and one aggregation picks those at the places; ``_n`` and ``_distinct`` come too if ``more`` names them.
+    Values are counted before they are shuffled. Rounds of selection (see ``_narrowed``) keep only the values about the places, some 1 / ``SELECT_RANGES`` of them for each
+    place and round, so no task sorts a large group; ``rounds`` None: none for inputs that are estimated below ``SELECT_BYTES``. A window adds up the counts of
+    what is left, and one aggregation picks the values at the places; ``_n`` and ``_distinct`` come too if ``more`` names them.
     """
+    if not group:
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, at, *more, rounds=rounds).drop("_all")
+    if rounds is None:
+        rounds = SELECT_ROUNDS if _estimated_bytes(df.select(*group, value)) > SELECT_BYTES else 0
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
     totals = counts.groupBy(*group).agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
-    up = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_c", F.sum("_k").over(up))
-    counts = counts.join(totals, list(group)) if group else counts.join(F.broadcast(totals))
+    places = [p for place in at.values() for p in (F.floor(place), F.least(F.floor(place) + 1, F.col("_n") - 1))]
+    wanted, keys = totals.select(*group, F.array(*[p.cast("long") for p in places]).alias("_places")), list(group)
+    counts = counts.withColumn("_base", F.lit(0).cast("long"))
+    for level in range(rounds):
+        counts = _narrowed(counts, keys, group, value, wanted, level)
+        keys = [*keys, f"_r{level}"]
+    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_c", F.col("_base") + F.sum("_k").over(up)).join(totals, list(group))
     found, places = [F.first(c).alias(c) for c in ("_n", "_distinct")], {}
     for name, place in at.items():
         lo = F.floor(place)
@@ -32,11 +69,11 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mappin
     return picked.select(*group, *more, *[c.alias(n) for n, c in places.items()])
 
 
-def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Mapping[str, float], approx: bool = False) -> DataFrame:
-    """Exact (or approximate) percentiles of each group, interpolated between the values about them."""
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Mapping[str, float], approx: bool = False, rounds: int | None = None) -> DataFrame:
+    """Exact (or approximate) percentiles of each group, interpolated between the values about them; ``rounds``: see ``order_statistics``."""
     if approx:
         return df.groupBy(*group).agg(*[F.percentile_approx(value, p, 10_000).alias(n) for n, p in shares.items()])
-    return order_statistics(df, group, value, {n: (F.col("_n") - 1) * F.lit(p) for n, p in shares.items()})
+    return order_statistics(df, group, value, {n: (F.col("_n") - 1) * F.lit(p) for n, p in shares.items()}, rounds=rounds)
 
 
 def joined(df: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
