@@ -134,7 +134,7 @@ def test_state_space_predicts_an_oscillation():
         x = a @ x + rng.normal(size=2) * 0.1
         out.append([x[0] + rng.normal() * 0.05, x[1] + rng.normal() * 0.05])
     y = np.array(out)
-    n, values = ssm.best_order(y, 5, range(1, 5))
+    n, values = ssm.best_order(y, ssm.Subspace(y, 5), range(1, 5))
     fa, fc, fk, _ = ssm.Subspace(y, 5).fit(2)
     roots = np.linalg.eigvals(fa)
     assert np.allclose(np.abs(roots), 0.98, atol=0.03) and np.allclose(np.abs(np.angle(roots)), 0.3, atol=0.03)

@@ -118,6 +118,78 @@ def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
     return k, e
 
 
+class InputSubspace:
+    """The factored past and future of a series with inputs, shared by all model orders.
+
+    One triangular factor of stacked inputs and outputs holds all that is needed. The future outputs are projected on the past along the future inputs (an
+    oblique projection); its singular vectors, weighted by what future inputs leave, span the observability matrix.
+    """
+
+    def __init__(self, y: np.ndarray, u: np.ndarray, horizon: int) -> None:
+        self.y, self.u, self.p, self.m, self.i = y, u, y.shape[1], u.shape[1], horizon
+        h = np.concatenate([block_hankel(u, 2 * horizon), block_hankel(y, 2 * horizon)])
+        self.r = np.linalg.qr((h / np.sqrt(h.shape[1])).T, mode="r").T
+        past, inputs, future = self._parts(horizon)
+        left = self._rest(inputs)
+        self.oblique = future @ left @ np.linalg.pinv(past @ left) @ past
+        self.vectors, self.s, _ = np.linalg.svd(self.oblique @ left, full_matrices=False)
+
+    def _parts(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the past (inputs, then outputs), of the future inputs and the future outputs, from block ``at`` on."""
+        m, p, blocks = self.m, self.p, 2 * self.i
+        inputs, outputs = self.r[: m * blocks], self.r[m * blocks :]
+        return np.concatenate([inputs[: m * at], outputs[: p * at]]), inputs[m * at :], outputs[p * at :]
+
+    @staticmethod
+    def _rest(rows: np.ndarray) -> np.ndarray:
+        """What takes the span of ``rows`` out of rows."""
+        return np.eye(rows.shape[1]) - np.linalg.pinv(rows) @ rows
+
+    def fit(self, order: int) -> tuple[np.ndarray, ...] | None:
+        """``A, B, C, D, K`` of x' = A x + B u + K e, y = C x + D u + e; None where A isn't stable, as what it does without noise then outgrows any number.
+
+        A and C follow from the observability matrix; B and D, with the first state, are the least squares fit of what the system does without noise to
+        the outputs; K from the covariance of what the regression of states and outputs on states and inputs leaves.
+        """
+        p, i = self.p, self.i
+        gamma = self.vectors[:, :order] * np.sqrt(self.s[:order])
+        a, c = np.linalg.pinv(gamma[:-p]) @ gamma[p:], gamma[:p]
+        if not np.isfinite(a).all() or np.abs(np.linalg.eigvals(a)).max() > 1:
+            return None
+        b, d = self._inputs_of(a, c)
+        past, inputs, future = self._parts(i)
+        later, after, rest = self._parts(i + 1)
+        known, known_after = np.concatenate([past, inputs]), np.concatenate([later, after])
+        state = np.linalg.pinv(gamma) @ (future @ np.linalg.pinv(known) @ known)
+        new = np.linalg.pinv(gamma[:-p]) @ (rest @ np.linalg.pinv(known_after) @ known_after)
+        both, given = np.concatenate([new, future[:p]]), np.concatenate([state, inputs])
+        left = both - both @ np.linalg.pinv(given) @ given
+        noise = left @ left.T
+        parts = noise[:order, :order], noise[order:, order:], noise[:order, order:]
+        k = (steady(a, c, *parts) or gain(a, c, *parts))[0]
+        return a, b, c, d, k
+
+    def _inputs_of(self, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m, p, t = len(a), self.m, self.p, len(self.y)
+        columns = np.zeros((t, p, n + n * m + p * m))
+        free, driven = np.eye(n), np.zeros((n, n * m))
+        for s in range(t):
+            columns[s, :, :n], columns[s, :, n : n + n * m] = c @ free, c @ driven
+            columns[s, :, n + n * m :] = np.kron(self.u[s], np.eye(p))
+            free, driven = a @ free, a @ driven + np.kron(self.u[s], np.eye(n))
+        found = np.linalg.lstsq(columns.reshape(t * p, -1), self.y.ravel(), rcond=None)[0]
+        return found[n : n + n * m].reshape(m, n).T, found[n + n * m :].reshape(m, p).T
+
+
+def predicted(y: np.ndarray, u: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One-step predictions of a system with inputs."""
+    x, out = np.zeros(len(a)), np.empty_like(y, dtype=float)
+    for t, sample in enumerate(y):
+        out[t] = c @ x + d @ u[t]
+        x = a @ x + b @ u[t] + k @ (sample - out[t])
+    return out
+
+
 def kalman(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``states, predictions, next state``: one-step predictions; a sample with NaN doesn't update."""
     x = np.zeros(len(a)) if x is None else np.asarray(x, float)
@@ -135,9 +207,8 @@ def aic(y: np.ndarray, guesses: np.ndarray, parameters: int) -> float:
     return float(len(e) * np.log(np.maximum(s, 1e-300)).sum() + 2 * parameters)
 
 
-def best_order(y: np.ndarray, horizon: int, orders: range, weights: str = "cva", stable: bool = False) -> tuple[int, list[float]]:
-    """The order with the least AIC and the values of all."""
-    shared = Subspace(y, horizon, weights)
+def best_order(y: np.ndarray, shared: Subspace, orders: range, stable: bool = False) -> tuple[int, list[float]]:
+    """The order with the least AIC and the values of all, of models that ``shared`` gives."""
     values = []
     for n in orders:
         a, c, k, _ = shared.fit(n, stable)

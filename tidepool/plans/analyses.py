@@ -58,11 +58,9 @@ def optimal_metrics(df: DataFrame, group: Sequence[str], truth: str, score: str)
     return c.select(*group, F.round("threshold", 3).alias("threshold"), "tp", "fp", "tn", "fn", *rates)
 
 
-def state_decoding(df: DataFrame, subject: str, recording: str, order: str, x: str, score: DataFrame, y: str, horizon: int = 5, orders: Sequence[int] = range(1, 6), permutations: int = 20, gap: int = 4) -> DataFrame:
+def state_decoding(df: DataFrame, subject: str, recording: str, order: str, x: str, score: DataFrame, y: str, horizon: int = 10, orders: Sequence[int] = range(1, 21), permutations: int = 20, gap: int = 4) -> DataFrame:
     """``subject, auc, p``: labels of recordings decoded from the last state of each by a model of the subject's whole series."""
-    fitted = statespace.fitted(df, [subject], order, x, horizon, orders)
-    found = statespace.states(df, fitted, [subject], order, x).join(df.select(subject, order, recording), [subject, order])
-    last = statespace.last_state(found, [subject, recording], order).join(score, [subject, recording])
+    last = statespace.recording_states(df, [subject], recording, order, x, horizon, orders).join(score, [subject, recording])
     rows = agg.median_split(last, [subject], y, "label")
     areas = models.statistics(rows, [subject], "state", "label", recording, "lda_uniform", "auc", 0, gap, permutations)
     return inference.permutation_p_among(areas, [subject], ["auc"], strict=False)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import columns as C
@@ -1104,6 +1104,10 @@ def v6_swarm(spark, d):
 # State space ------------------------------------------------------------------------------------
 
 
+#: Block rows of past and future, and orders of which the one with the least AIC is taken.
+HORIZON, ORDERS = 10, range(1, 21)
+
+
 def state_series(spark, d):
     """Each user's two-dimensional series, in order of time, in recordings of six samples."""
     e = events(spark, d).withColumnRenamed("user_id", "subject")
@@ -1119,20 +1123,48 @@ def j1_hankel(spark, d):
 
 @query()
 def j2_j7_fitted(spark, d):
-    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", 3, range(1, 4)).select("subject", "n", "aic")
+    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", HORIZON, ORDERS).select("subject", "n", "aic")
 
 
 @query()
 def j2_j3_stable(spark, d):
-    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", 3, range(1, 4), "sv", stable=True).select("subject", "n", "aic", "a", "solved")
+    return statespace.fitted(state_series(spark, d), ["subject"], "i", "x", HORIZON, ORDERS, "sv", stable=True).select("subject", "n", "aic", "a", "solved")
 
 
 @query()
 def j6_j8_states(spark, d):
-    s = state_series(spark, d)
-    fitted = statespace.fitted(s, ["subject"], "i", "x", 3, range(2, 3))
-    found = statespace.states(s, fitted, ["subject"], "i", "x").join(s.select("subject", "i", "recording"), ["subject", "i"])
-    return statespace.last_state(found, ["subject", "recording"], "i")
+    return statespace.recording_states(state_series(spark, d), ["subject"], "recording", "i", "x", HORIZON, ORDERS)
+
+
+@query()
+def j2_inputs(spark, d):
+    """Values of each user's events as the output of a system whose input is the length of the event's type."""
+    s = state_series(spark, d).select("subject", "i", F.slice("x", 1, 1).alias("y"), F.slice("x", 2, 1).alias("u"))
+    return statespace.fitted_with_inputs(s, ["subject"], "i", "y", "u", 5, range(1, 6))
+
+
+@query()
+def j2_planted(spark, d):
+    """A planted system, driven by each user's values with noise from their ids: what comes out at once, and one, two and three samples after an input."""
+    by = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(-60, 0)
+    e = events(spark, d).withColumn("v", F.col("value") / 100)
+    e = series.numbered(e.withColumn("past", F.reverse(F.collect_list("v").over(by))), U, TE)
+    response = F.aggregate(F.transform("past", lambda v, k: v * F.when(k == 0, 0.2).otherwise(0.5 * F.pow(F.lit(0.7), k - 1))), F.lit(0.0), lambda a, b: a + b)
+    noise = (F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000 - 0.5) * 0.02
+    s = e.select(F.col("user_id").alias("subject"), "i", F.array(response + noise).alias("y"), F.array("v").alias("u"))
+    m = statespace.fitted_with_inputs(s, ["subject"], "i", "y", "u", 5, range(1, 6))
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda p, q: p + q)
+
+    def times_a(row):
+        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: dot(row, F.transform("a", lambda r: F.get(r, j))))
+
+    rows = [F.col("c")[0]]
+    for _ in range(2):
+        rows.append(times_a(rows[-1]))
+    b = F.transform("b", lambda r: r[0])
+    return m.select("subject", "n", F.col("d")[0][0].alias("at_once"), *[dot(row, b).alias(f"after_{k + 1}") for k, row in enumerate(rows)])
 
 
 @query(EV + ", n as (select user_id, floor((row_number() over (partition by user_id order by t, event_id) - 1) / 5) trial from ev), b as (select user_id, min(trial) a, max(trial) z from n group by 1) select n.user_id, cast(run as bigint) run, is_warm_up, count(*) n from (select user_id, trial run, false is_warm_up from n union all select user_id, trial + 1, true from n) n join b using (user_id) where run > a and run <= z group by 1, 2, 3")
@@ -1150,7 +1182,7 @@ def j10_mean_power(spark, d):
 def m19_state_decoding(spark, d):
     s = state_series(spark, d)
     score = s.groupBy("subject", "recording").agg(F.avg(F.col("x")[0]).alias("y"))
-    return analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", 3, range(1, 3), permutations=PERMUTATIONS)
+    return analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", HORIZON, ORDERS, permutations=PERMUTATIONS)
 
 
 # Streams ----------------------------------------------------------------------------------------
