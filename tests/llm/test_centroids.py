@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from oracle import assert_same, connection
 
 from tidepool.llm import centroids, queries
 
@@ -72,3 +73,7 @@ def test_components_at_the_limits(spark):
     table = spark.range(64).selectExpr("id vec_id", "array(cast(if(id % 2 = 0, 1e30, -1e30) as float)) embedding").repartition(3)
     rows = centroids.cluster(table, k=1, width=1).collect()
     assert {r.distance for r in rows} == {2**52} and {r.inertia for r in rows} == {64 * 2**52} and rows[0].centroid == [0]
+
+
+def test_query_equals_its_sql(spark):
+    assert_same(queries.queries()["op13_centroids"](spark, SF), connection(SF), queries.oracle_sql()["op13_centroids"])

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from oracle import assert_same, connection
 
 from tidepool.llm import queries, resampling
 
@@ -88,3 +89,7 @@ def test_ranges_and_ties(spark, draw, ties):
     got = resampling.ranked(keys, 6000, draw, sample=2000, range_rows=200)
     expected = sorted(keys.collect(), key=lambda r: (-r.score, r.id, r.row))[:draw]
     assert [(r.row, r["rank"]) for r in sorted(got.collect(), key=lambda r: r["rank"])] == [(r.row, i + 1) for i, r in enumerate(expected)]
+
+
+def test_query_equals_its_sql(spark):
+    assert_same(queries.queries()["op11_resample"](spark, SF), connection(SF), queries.oracle_sql()["op11_resample"])

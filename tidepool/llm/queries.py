@@ -203,5 +203,68 @@ from embeddings left join n on n.a = vec_id left join parts on parts.node = vec_
 """
 
 
+def _nibbles() -> list[int]:
+    """CRC-32 of each four bits, from its polynomial."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in out]
+    return out
+
+
+#: CRC-32 of a text ``g`` in UTF-8, four bits after another, the lower ones of a byte first.
+CRC32 = f"""xor(list_reduce(list_transform(range(0, 2 * octet_length(encode(g))), lambda i: instr('0123456789ABCDEF', substr(hex(encode(g)), cast(i + 2 - 2 * (i % 2) as int), 1)) - 1),
+  lambda c, b: xor(c // 16, ({_nibbles()})[cast(xor(c, b) & 15 as int) + 1]), 4294967295), 4294967295)"""
+
+
+def _word_lists(table: str) -> str:
+    lower = "coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    return f"select row_number() over () id, *, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from {table}"
+
+
+def _runs(table: str) -> str:
+    """Runs ``g`` of one to three words."""
+    two, three = "ws[i] || ' ' || ws[i+1]", "ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]"
+    return f"select id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: {two}), list_transform(range(1, len(ws) - 1), lambda i: {three}))) g from {table}"
+
+
+RESAMPLE = f"""
+with d as materialized ({_word_lists("documents")}), b as materialized ({_word_lists("benchmark")}), f as materialized ({_runs("d")}), e as materialized ({_runs("b")}),
+known as materialized (select g, cast({CRC32} % {resampling.BUCKETS} as int) bucket from (select g from f union select g from e)),
+own as (select bucket, count(*) s from f join known using (g) group by 1), theirs as (select bucket, count(*) t from e join known using (g) group by 1),
+total as (select (select count(*) from f) s, (select count(*) from e) t),
+gain as (select every.bucket, cast(floor(1000 * ln((coalesce(theirs.t, 0) + 1e0) * (total.s + {resampling.BUCKETS}) / ((coalesce(own.s, 0) + 1e0) * (total.t + {resampling.BUCKETS})))) as bigint) gain
+  from (select unnest(range(0, {resampling.BUCKETS})) bucket) every left join own using (bucket) left join theirs using (bucket) cross join total),
+weights as (select id, count(*) n, sum(gain) w from f join known using (g) join gain using (bucket) group by id),
+scored as (select d.doc_id, len(ws) n_words, coalesce(n, 0) n_features, cast(coalesce(w, 0) as bigint) weight, cast(coalesce(w, 0) as bigint)
+  + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) as bigint) + 0.5e0) / 4294967296e0))) as bigint) score from d left join weights using (id)),
+fit as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from scored where n_words >= {resampling.MIN_WORDS})
+select scored.doc_id, n_features, weight, score, case when r <= {resampling.PERCENT} * n // 100 then r end "rank" from scored left join fit on fit.doc_id = scored.doc_id and n_words >= {resampling.MIN_WORDS}
+"""
+
+
+def _assigned(n: int) -> str:
+    """Each vector's nearest centroid of round ``n``."""
+    distance = f"cast(list_sum(list_transform(list_zip(v.q, c{n}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    return f"a{n} as materialized (select rid, min({{'d': d, 'k': k}}) m from (select rid, k, {distance} d from v cross join c{n}) group by rid)"
+
+
+def _moved(n: int) -> str:
+    """Centroids after round ``n``."""
+    down = "cast((s - ((s % n) + n) % n) // n as bigint)"
+    sums = f"s{n} as materialized (select a{n}.m.k k, i, sum(x) s, count(*) n from a{n} join u using (rid) group by all)"
+    return f"{sums}, c{n + 1} as materialized (select c{n}.k, coalesce(f.q, c{n}.q) q from c{n} left join (select k, list({down} order by i) q from s{n} group by k) f using (k))"
+
+
+CENTROIDS = f"""
+with v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor({centroids.SCALE} * cast(x as double)) as bigint)) q from embeddings
+  where len(embedding) = {centroids.WIDTH} and len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.WIDTH}),
+u as materialized (select rid, unnest(q) x, generate_subscripts(q, 1) i from v),
+c0 as materialized (select row_number() over (order by h, q) - 1 k, q from (select sha256('{centroids.SEED}:' || vec_id) h, q from v) order by h, q limit {centroids.K}),
+{", ".join(f"{_assigned(n)}, {_moved(n)}" for n in range(centroids.ROUNDS))}, {_assigned(centroids.ROUNDS)}
+select vec_id, cast(m.k as int) "cluster", m.d distance, cast(sum(m.d) over (partition by m.k) as bigint) cluster_inertia, cast(sum(m.d) over () as bigint) inertia,
+  sha256(array_to_string(c{centroids.ROUNDS}.q, ',')) centroid_sha256 from v join a{centroids.ROUNDS} using (rid) join c{centroids.ROUNDS} on c{centroids.ROUNDS}.k = m.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": QUALITY, "op3_urls": URLS, "op5_minhash": MINHASH, "op7_lines": LINES, "op10_vectors": VECTORS}
+    return {"op2_quality": QUALITY, "op3_urls": URLS, "op5_minhash": MINHASH, "op7_lines": LINES, "op10_vectors": VECTORS, "op11_resample": RESAMPLE, "op13_centroids": CENTROIDS}
