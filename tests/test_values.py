@@ -375,6 +375,56 @@ def test_left_out_without_fitting_anew(spark):
             assert np.allclose(made[1].score[(made[1].i >= lo) & (made[1].i < hi)], expected, atol=1e-6)
 
 
+def dense_spline(x, y, w, stiffness, points):
+    """Slopes of the smoothing spline by a dense least squares fit of a natural spline's basis (truncated cubes)."""
+
+    def basis(at, order):
+        cube = lambda k: np.where(at > k, (at - k) ** 3 if order == 0 else 3 * (at - k) ** 2, 0.0)
+        part = lambda k: (cube(k) - cube(x[-1])) / (x[-1] - k)
+        return np.column_stack([np.full(len(at), 1.0 - order), at if order == 0 else np.ones(len(at)), *[part(k) - part(x[-2]) for k in x[:-2]]])
+
+    def bends(at):
+        cube = lambda k: np.where(at > k, 6 * (at - k), 0.0)
+        part = lambda k: (cube(k) - cube(x[-1])) / (x[-1] - k)
+        return np.column_stack([np.zeros(len(at)), np.zeros(len(at)), *[part(k) - part(x[-2]) for k in x[:-2]]])
+
+    at, share = np.polynomial.legendre.leggauss(4)
+    inner = (x[:-1, None] + np.diff(x)[:, None] * (at + 1) / 2).ravel()
+    size = (np.diff(x)[:, None] * share / 2).ravel()
+    b, d2 = basis(x, 0), bends(inner)
+    left = np.concatenate([b * np.sqrt(w)[:, None], d2 * np.sqrt(stiffness * size)[:, None]])
+    found = np.linalg.lstsq(left, np.concatenate([y * np.sqrt(w), np.zeros(len(inner))]), rcond=None)[0]
+    return basis(points, 1) @ found
+
+
+def test_spline_densities(rows, spark):
+    from tidepool.functions.splines import smoothing_spline
+    from tidepool.operators import agg
+
+    rng = np.random.default_rng(31)
+    x = np.sort(rng.uniform(0, 3, 25))
+    y, w = np.cumsum(rng.uniform(0, 2, 25)), rng.integers(1, 4, 25).astype(float)
+    for stiffness in (1e-4, 0.1, 10.0):
+        assert np.allclose(smoothing_spline(x, y, w, stiffness)[1], dense_spline(x, y, w, stiffness, x), rtol=1e-4, atol=1e-5)
+    given = duckdb.sql(f"select event_type, value from '{SF}/events.parquet' where value is not null").fetchall()
+    for kind, g in rows("d14_spline").groupby("event_type"):
+        v = np.sort([b for a, b in given if a == kind])
+        at, counts = np.unique(v, return_counts=True)
+        mean_rank = np.cumsum(counts) - (counts - 1) / 2
+        slopes = smoothing_spline(at, mean_rank, counts.astype(float), np.diff(v).mean() ** 3 / 0.0006)[1]
+        g = g.sort_values("x")
+        assert np.allclose(g.x, at) and np.allclose(g.density, slopes * len(v) / np.trapezoid(slopes, at), rtol=1e-9)
+    values = np.round(rng.normal(size=5000), 2)  # ties, and a knot for every 25th value
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("c", None)], "g string, v double").repartition(3)
+    got = agg.spline_density(df, ["g"], "v", 200).toPandas().sort_values("x")
+    picked = np.sort(values)[::25]
+    at, counts = np.unique(picked, return_counts=True)
+    ranks = np.array([np.mean(np.flatnonzero(picked == a) * 25 + 1) for a in at])
+    slopes = smoothing_spline(at, ranks, counts.astype(float), np.diff(picked).mean() ** 3 / 0.0006)[1]
+    own = got[got.g == "a"]
+    assert np.allclose(own.x, at) and np.allclose(own.density, slopes * 5000 / np.trapezoid(slopes, at)) and got.density[got.g == "b"].isna().all() and "c" not in set(got.g)
+
+
 def test_coefficients(rows):
     _, x, y = subject(rows, 2)
     z, keep = scaled(x, x), ~np.eye(100, dtype=bool)

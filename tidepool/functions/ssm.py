@@ -26,7 +26,8 @@ class Subspace:
         self.r = np.linalg.qr((h / np.sqrt(h.shape[1])).T, mode="r").T
         past, future = self.r[: self.p * horizon], self.r[self.p * horizon :]
         self.cut = self.p * horizon
-        projection = self._project(future, past)
+        self.projection = projection = self._project(future, past)
+        self.shorter = self._project(self.r[self.p * (horizon + 1) :], self.r[: self.p * (horizon + 1)])
         weight = np.eye(len(future))
         if weights == "cva":
             weight = np.linalg.cholesky(future @ future.T + 1e-9 * np.trace(future @ future.T) / len(future) * weight)
@@ -44,10 +45,8 @@ class Subspace:
         """
         p, i = self.p, self.i
         gamma = self.weight @ self.u[:, :order] * np.sqrt(self.s[:order])
-        past, future = self.r[: p * i], self.r[p * i :]
-        state = np.linalg.pinv(gamma) @ self._project(future, past)
-        longer, shorter = self.r[: p * (i + 1)], self.r[p * (i + 1) :]
-        after = np.linalg.pinv(gamma[:-p]) @ self._project(shorter, longer)
+        state = np.linalg.pinv(gamma) @ self.projection
+        after = np.linalg.pinv(gamma[:-p]) @ self.shorter
         now = self.r[p * i : p * (i + 1)]
         if stable:
             moved = np.concatenate([gamma[p:], np.zeros((p, order))])
@@ -89,10 +88,14 @@ def riccati(a: np.ndarray, g: np.ndarray, c: np.ndarray, cov: np.ndarray) -> np.
 
 def steady(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Steady Kalman gain and innovation covariance from the states' own covariance; None where that, or the Riccati equation, has no solution."""
-    n = len(a)
     if np.abs(np.linalg.eigvals(a)).max() >= 1 - 1e-9:
         return None
-    spread = np.linalg.solve(np.eye(n * n) - np.kron(a, a), q.ravel()).reshape(n, n)
+    spread, power = q, a
+    for _ in range(60):  # twice as many terms of the sum over steps each time
+        more = power @ spread @ power.T
+        spread, power = spread + more, power @ power
+        if np.abs(more).max() <= 1e-16 * np.abs(spread).max():
+            break
     g, cov = a @ spread @ c.T + s, c @ spread @ c.T + r
     p = riccati(a, g, c, cov)
     if p is None:
@@ -109,7 +112,10 @@ def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
     k, e = np.zeros((len(a), len(c))), r
     for _ in range(steps):
         e = c @ p @ c.T + r
-        k_new = (a @ p @ c.T + s) @ np.linalg.pinv(e)
+        try:
+            k_new = (a @ p @ c.T + s) @ np.linalg.inv(e)
+        except np.linalg.LinAlgError:
+            k_new = (a @ p @ c.T + s) @ np.linalg.pinv(e)
         p = a @ p @ a.T + q - k_new @ e @ k_new.T
         p = (p + p.T) / 2
         if np.abs(k_new - k).max() < 1e-10:

@@ -187,6 +187,53 @@ def smooth_histogram(df: DataFrame, group: Sequence[str], value: str, low: float
     return counted.groupBy(*group).applyInPandas(run, schema)
 
 
+def cumulated(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``group, value, _k, _c, _n``: distinct values, how often they come, how many are as low, and the group's number; no task puts a whole group in order.
+
+    Values are dealt into ranges between approximate percentiles, and the counts of lower ranges are added.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx(value, F.array(*[F.lit(i / SELECT_RANGES) for i in range(1, SELECT_RANGES)]), F.lit(1000)).alias("_cuts"))
+    ranged = counts.join(cuts, list(group)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = ranged.groupBy(*group, "_r").agg(F.sum("_k").alias("_s"))
+    lower = F.sum("_s").over(Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*group, "_r", F.coalesce(lower, F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(*group)).alias("_n"))
+    inside = F.sum("_k").over(Window.partitionBy(*group, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(sums, [*group, "_r"]).withColumn("_c", F.col("_b") + inside).select(*group, value, "_k", "_c", "_n")
+
+
+def spline_density(df: DataFrame, group: Sequence[str], value: str, knots: int = 1000) -> DataFrame:
+    """``x, density`` of each group: the slope of a cubic smoothing spline through its cumulative counts, at the knots, scaled to the group's number of values.
+
+    Knots are every ``floor(n / knots)``-th value in order, at least each one, so fewer than twice ``knots``; equal ones are one knot with their number as its weight and their mean
+    count. The stiffness is the cubed mean distance of knots over 0.0006. Groups of fewer than two knots have no density (null). Nulls are skipped.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from tidepool.functions.splines import smoothing_spline
+
+    step = F.greatest(F.floor(F.col("_n") / knots), F.lit(1))
+    low = F.col("_c") - F.col("_k")  # places are 0, step, 2 step, ...: those from low up to _c are the value's
+    first, beyond = F.ceil(low / step), F.ceil(F.col("_c") / step)
+    rows = cumulated(df, group, value).withColumns({"_w": beyond - first, "_y": (first + beyond - 1) / 2 * step + 1}).where("_w > 0")
+    kinds = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(value)
+        x, y, w, n = (rows[c].to_numpy(float) for c in (value, "_y", "_w", "_n"))
+        density = np.full(len(x), np.nan)
+        if len(x) > 1:
+            apart = np.diff(np.repeat(x, w.astype(int))).mean()
+            density = smoothing_spline(x, y, w, apart**3 / 0.0006)[1]
+            density = density * n[0] / np.trapezoid(density, x)
+        return pd.DataFrame({**{g: rows[g].to_numpy() for g in group}, "x": x, "density": density})
+
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "x double, density double"])
+    made = rows.select(*group, F.col(value).cast("double").alias(value), "_y", "_w", "_n").groupBy(*group).applyInPandas(run, schema)
+    return made.withColumn("density", F.when(~F.isnan("density"), F.col("density")))
+
+
 def entries(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values with ``n`` and ``rank`` (from 1, in order), nulls as one."""
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))

@@ -91,6 +91,12 @@ def _out_of_fold(x: np.ndarray, y: np.ndarray, fit: Fit, folds: list[np.ndarray]
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` into tasks that Spark doesn't merge again: it would by their few bytes, but each group is much work."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys) if keys else df
+
+
 def _batched(df: DataFrame, permutations: int, size: int = BATCH) -> DataFrame:
     """Rows once for each batch of permutations."""
     return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(permutations // size))))
@@ -185,7 +191,7 @@ def cross_validated(
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    out = _batched(ok, permutations, _batch_size(model)).groupBy(*group, "_batch").applyInPandas(run, schema)
+    out = dealt(_batched(ok, permutations, _batch_size(model)), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
@@ -225,10 +231,14 @@ def statistics(
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "permutation int", *[f"{n} double" for n in names]])
-    out = _batched(ok, permutations, _batch_size(model)).groupBy(*group, "_batch").applyInPandas(run, schema)
+    out = dealt(_batched(ok, permutations, _batch_size(model)), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 
+def _with_nulls(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
 def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     """Equal keys, nulls included; ``b`` has them under names of its own (``_0, _1, ...``)."""
     return functools.reduce(Column.__and__, [a[n].eqNullSafe(b[f"_{i}"]) for i, n in enumerate(names)], F.lit(True))
@@ -299,15 +309,16 @@ def left_out(df: DataFrame, group: Sequence[str], x: str, y: str, order: str, mo
     rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y, (F.col(y) == 1).alias("one"))
     large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
     large = large.select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.ceil(F.col("_n") / group_rows).alias("_parts"))
+    if large.isEmpty():
+        return _with_nulls(dealt(rows, *group).groupBy(*group).applyInPandas(alone, schema))
     known = rows.join(large, _same(rows, large, group), "left")
-    small = known.where("_parts is null").select(rows.columns).groupBy(*group).applyInPandas(alone, schema)
+    small = dealt(known.where("_parts is null").select(rows.columns), *group).groupBy(*group).applyInPandas(alone, schema)
     split = known.where("_parts is not null").withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts"))).select(*rows.columns, "_part")
     sums = _moments(split, group, x)
     sums = sums.join(large, _same(sums, large, group)).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     sums = sums.select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.col("_part").alias("_of"), F.col("one"), "center", "gram")
     cogroups = split.groupBy(*group, "_part").cogroup(sums.groupBy(*[f"_{i}" for i in range(len(group))], "_of"))
-    out = small.unionByName(cogroups.applyInPandas(with_sums, schema))
-    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    return _with_nulls(small.unionByName(cogroups.applyInPandas(with_sums, schema)))
 
 
 def coefficients(df: DataFrame, group: Sequence[str], x: str, y: str, order: str, names: Sequence[str], model: str = "lda") -> DataFrame:
@@ -363,7 +374,7 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
     sides = both.groupBy(*group).agg(F.countDistinct("is_test").alias("_s")).where("_s = 2").select(*group)
     both = both.where(F.col(y).isNotNull()).join(sides, list(group), "left_semi")
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
-    return _batched(both, permutations, size).groupBy(*group, "_batch").applyInPandas(run, schema)
+    return dealt(_batched(both, permutations, size), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
 
 
 @F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))

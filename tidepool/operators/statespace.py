@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import ssm
+from tidepool.operators.models import dealt
 
 
 def hankel_columns(df: DataFrame, group: Sequence[str], order: str, values: Sequence[str], rows: int) -> DataFrame:
@@ -64,7 +65,7 @@ def fitted(df: DataFrame, group: Sequence[str], order: str, x: str, horizon: int
 
     nested = "array<array<double>>"
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"n int, aic double, a {nested}, c {nested}, k {nested}, solved boolean"])
-    return df.select(*group, order, x).groupBy(*group).applyInPandas(run, schema)
+    return dealt(df.select(*group, order, x), *group).groupBy(*group).applyInPandas(run, schema)
 
 
 def recording_states(df: DataFrame, group: Sequence[str], recording: str, order: str, x: str, horizon: int = 10, orders: Sequence[int] = range(1, 21), weights: str = "cva", stable: bool = False) -> DataFrame:
@@ -92,7 +93,7 @@ def recording_states(df: DataFrame, group: Sequence[str], recording: str, order:
         return pd.DataFrame({**{g: [v] * len(found) for g, v in keys.items()}, **found})
 
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"{recording} {kinds[recording]}, n int, state array<double>"])
-    return df.select(*group, recording, order, x).groupBy(*group).applyInPandas(run, schema)
+    return dealt(df.select(*group, recording, order, x), *group).groupBy(*group).applyInPandas(run, schema)
 
 
 def fitted_with_inputs(df: DataFrame, group: Sequence[str], order: str, x: str, u: str, horizon: int = 10, orders: Sequence[int] = range(1, 21)) -> DataFrame:
@@ -121,7 +122,7 @@ def fitted_with_inputs(df: DataFrame, group: Sequence[str], order: str, x: str,
         return pd.DataFrame({**{g: [v] for g, v in keys.items()}, **{n: [v] for n, v in zip(names, best, strict=True)}}) if best else pd.DataFrame({n: [] for n in [*group, *names]}, dtype=object)
 
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "n int, aic double", *[f"{n} array<array<double>>" for n in names[2:]]])
-    return df.select(*group, order, x, u).groupBy(*group).applyInPandas(run, schema)
+    return dealt(df.select(*group, order, x, u), *group).groupBy(*group).applyInPandas(run, schema)
 
 
 def states(df: DataFrame, models: DataFrame, group: Sequence[str], order: str, x: str) -> DataFrame:

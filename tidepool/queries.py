@@ -387,6 +387,11 @@ def d14_smooth_histogram(spark, d):
     return agg.smooth_histogram(table(spark, d, "events"), ["event_type"], "value", 0.0, 500.0)
 
 
+@query()
+def d14_spline(spark, d):
+    return agg.spline_density(table(spark, d, "events"), ["event_type"], "value")
+
+
 @query("select event_type, x, round(avg(exp(-power((x - value) / 20e0, 2) / 2)) / (20e0 * 2.5066282746310002e0), 9) density from events, (select unnest([0e0, 50e0, 100e0, 200e0]) x) group by event_type, x")
 def d15_kernel_density(spark, d):
     k = agg.kernel_density(table(spark, d, "events"), ["event_type"], "value", [0, 50, 100, 200], 20.0)
