@@ -6,7 +6,8 @@ held together; medians and percentiles are exact by default, from counts of dist
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -329,6 +330,26 @@ def curves(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*group).agg(F.avg(value).alias("mean"), sem(value).alias("sem"), F.count(value).alias("n"))
 
 
+def curves_by(df: DataFrame, group: Sequence[str], value: str, handles: Mapping[str, Callable[[Any], float]]) -> DataFrame:
+    """``curves`` with functions of one's own: each gets a point's values that are there, as a NumPy array, and gives a number; null where there are none, or no number comes out.
+
+    A point's values are in one task, as a function may need them all; what Spark's aggregates can say should be said with them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def aggregate(function: Callable[[Any], float]):
+        def run(values: pd.Series) -> float:
+            there = values.to_numpy(float)
+            there = there[~np.isnan(there)]
+            found = float(function(there)) if len(there) else float("nan")
+            return None if np.isnan(found) else found
+
+        return F.pandas_udf(run, "double", F.PandasUDFType.GROUPED_AGG)
+
+    return df.groupBy(*group).agg(*[aggregate(f)(F.col(value).cast("double")).alias(n) for n, f in handles.items()])
+
+
 def score_counts(df: DataFrame, group: Sequence[str], label: str, score: str) -> DataFrame:
     """``pos`` and ``neg`` rows of each distinct score: all that ROC curves need, counted in the tasks first."""
     ok = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())

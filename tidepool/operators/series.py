@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -217,3 +218,26 @@ def resampled(df: DataFrame, group: Sequence[str], t: str, value: str, step: int
         + s * s * (s - 1) * F.col("h") * F.col("m1")
     )
     return rows.select(*group, at.alias("t"), y.alias("value"))
+
+
+def sliding_rows(df: DataFrame, key: str, i: str, value: str, length: int, step: int) -> DataFrame:
+    """``sliding`` over rows in place of an array: a table function that gets each ``key``'s rows in order of ``i`` and holds the last ``length`` of them.
+
+    A series may so be as long as it likes. A null value is one of a window's, as null; a null key is a key.
+    """
+
+    class Sliding:
+        def __init__(self) -> None:
+            self.held: deque = deque(maxlen=length)
+            self.seen = 0
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            self.held.append(row[value])
+            self.seen += 1
+            start = self.seen - length
+            if start >= 0 and start % step == 0:
+                yield row[key], start // step, start, list(self.held)
+
+    schema = f"{key} {dict(df.dtypes)[key]}, window int, start int, values array<double>"
+    rows = df.select(key, i, F.col(value).cast("double").alias(value))
+    return F.udtf(Sliding, returnType=schema)(rows.asTable().partitionBy(key).orderBy(i))

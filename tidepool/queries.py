@@ -494,6 +494,15 @@ def d30_curves(spark, d):
     return agg.curves(e, ["event_type", "h"], "nv").select("event_type", "h", r("mean").alias("mean"), r("sem").alias("sem"), "n")
 
 
+@query(EV + " select event_type, hour(ts) h, round(avg(nv), 6) \"mean\", round(stddev_samp(nv) / sqrt(count(nv)), 6) sem, round(median(nv), 6) middle from ev group by 1, 2")
+def n_handles(spark, d):
+    import numpy as np
+
+    handles = {"mean": np.mean, "sem": lambda v: v.std(ddof=1) / np.sqrt(len(v)) if len(v) > 1 else np.nan, "middle": np.median}
+    c = agg.curves_by(events(spark, d).withColumn("h", F.hour("ts").cast("long")), ["event_type", "h"], "nv", handles)
+    return c.select("event_type", "h", *[r(n).alias(n) for n in handles])
+
+
 @query("select event_type, round(avg(m), 6) \"mean\", round(stddev_samp(m), 6) sd from (select event_type, user_id, avg(value) m from events group by 1, 2) group by event_type")
 def d31_summary(spark, d):
     m = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m"))
@@ -607,6 +616,13 @@ def e8_sliding(spark, d):
     return w.select("vec_id", "window", "start", r(total, 5).alias("total"))
 
 
+@query("select vec_id, w \"window\", w * 8 \"start\", round(list_sum(cast(embedding[w * 8 + 1 : w * 8 + 16] as double[])), 5) total from embeddings, (select cast(unnest(range(0, 7)) as integer) w)")
+def n_sliding_rows(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    w = series.sliding_rows(rows, "vec_id", "i", "v", 16, 8)
+    return w.select("vec_id", "window", "start", r(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
 @query(EV + ", n as (select *, row_number() over (partition by user_id order by t, event_id) - 1 i from ev) select user_id, cast(floor(i / 5) as bigint) \"window\", round(avg(value), 6) m from n group by 1, 2 having count(*) = 5")
 def e9_tumbling(spark, d):
     n = series.numbered(events(spark, d), U, TE)
