@@ -660,10 +660,10 @@ def test_surrogates(rows):
 def test_recordings(rows):
     got = rows("h20_recordings").set_index("user_id")
     ends = {u: v[:64] for u, v in samples().items()}
-    gone = {sorted(u for u in ends if u % 3 == k)[j - 1] for k, j in ((1, 2), (2, 5)) if len([u for u in ends if u % 3 == k]) >= j}
+    gone = {sorted(u for u in ends if u // 5 == k)[j - 1] for k, j in ((1, 2), (2, 5)) if len([u for u in ends if u // 5 == k]) >= j}
     sd = {u: v.std(ddof=1) for u, v in ends.items() if u not in gone}
     for k in range(3):
-        own = [u for u in sd if u % 3 == k]
+        own = [u for u in sd if u // 5 == k]
         q1, q3 = np.percentile([sd[u] for u in own], [25, 75])
         kept = {u for u in own if q1 - 10 * (q3 - q1) <= sd[u] <= q3 + 10 * (q3 - q1)}
         assert kept == set(got.index[got.subject == k])
@@ -705,7 +705,7 @@ def test_compared_bouts(rows):
             y = (user * 1000 + trial) % 2
             for m, v in (("rate", len(starts) / 30), ("mean_duration", np.mean(lengths) if lengths else None), ("percent", 100 * sum(lengths) / len(part))):
                 if v is not None:
-                    found.setdefault((user % 20, m), []).append((v, y))
+                    found.setdefault((user, m), []).append((v, y))
     got = {(r.subject, r.measure): r for r in rows("k11_compared_bouts").itertuples()}
     for key, values in found.items():
         v, y = np.array(values).T

@@ -1310,7 +1310,7 @@ def h14_designs(spark, d):
 
 @query()
 def h20_recordings(spark, d):
-    rows = recordings(spark, d).withColumns({"contact": F.lit("E3E1"), "start_us": F.lit(0).cast("long"), "fs": F.lit(16.0), "subject": F.col("user_id") % 3})
+    rows = recordings(spark, d).withColumns({"contact": F.lit("E3E1"), "start_us": F.lit(0).cast("long"), "fs": F.lit(16.0), "subject": F.floor(F.col("user_id") / 5)})  # a subject for five users
     gone = spark.createDataFrame([(1, 2), (2, 5)], "subject long, ordinal long")
     loaded = recording_plans.load_recordings(rows, U, "samples", "contact", "start_us", "fs", 64, gone, ["subject"])
     return recording_plans.quiet_recordings(loaded, ["subject"], "samples").select("user_id", "subject", "contact_1", "contact_2", "end_us", "sd")
@@ -1376,7 +1376,7 @@ def k2_k3_null_table(spark, d):
 
 @query()
 def k11_compared_bouts(spark, d):
-    e = series.numbered(events(spark, d), U, TE).withColumns({"trial": F.floor(F.col("i") / 12), "subject": F.col("user_id") % 20})
+    e = series.numbered(events(spark, d), U, TE).withColumns({"trial": F.floor(F.col("i") / 12), "subject": F.col("user_id")})
     e = e.withColumn("trial", F.col("user_id") * 1000 + F.col("trial")).withColumn("y", (F.col("trial") % 2).cast("int"))
     return recording_plans.compared_bouts(e, "subject", "trial", TE, "value", "y", 30.0)
 
