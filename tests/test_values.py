@@ -162,12 +162,14 @@ def both_ways(filtered, x, pad):
     return filtered(filtered(long)[::-1])[::-1][pad : pad + len(x)]
 
 
-def test_designs(rows):
+def test_designs():
+    from tidepool.queries import DESIGNS, LEAST_SQUARES
+
     for kind, edges, ends in (("lowpass", [4.0], (1, 0)), ("highpass", [1.0], (0, 1)), ("bandstop", [3.0, 5.0], (1, 1))):
-        sos = rows("h14_designs").query("kind == @kind").sort_values(["section", "term"])["value"].to_numpy().reshape(-1, 6)
+        sos = np.array(DESIGNS[kind]).reshape(-1, 6)
         gain = lambda f: abs(np.prod([(s[:3] @ np.exp(-2j * np.pi * f / 16 * np.arange(3))) / (s[3:] @ np.exp(-2j * np.pi * f / 16 * np.arange(3))) for s in sos]))  # noqa: B023, E731
         assert np.allclose([gain(f) for f in edges], np.sqrt(0.5), atol=1e-9) and np.allclose([gain(1e-9), gain(8 - 1e-9)], ends, atol=1e-6)
-    h = rows("h13_least_squares").sort_values("tap")["value"].to_numpy()
+    h = np.array(LEAST_SQUARES)
     at = np.concatenate([np.linspace(a, b, 4001) for a, b in ((0, 0.2), (0.3, 0.6), (0.7, 1))])
     goal, waves = ((at >= 0.3) & (at <= 0.6)) * 1.0, np.cos(np.outer(at, np.arange(13)) * np.pi)
     weight = np.concatenate([np.r_[0.5, np.ones(3999), 0.5] * w for w in (0.2, 0.3, 0.3)])

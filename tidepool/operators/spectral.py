@@ -241,6 +241,18 @@ def preprocess(df: DataFrame, key: Sequence[str], samples: str, fs: float, decim
     return filtered(rows, key, samples, filters, causal=False)
 
 
+def convolved(df: DataFrame, key: Sequence[str], samples: str, taps: Sequence[float]) -> DataFrame:
+    """Recordings through a finite response, causally, from rest; a missing sample leaves those that it reaches missing."""
+    h = F.array(*[F.lit(float(v)) for v in taps])
+
+    def at(i: Column) -> Column:
+        last = F.reverse(F.slice(samples, F.greatest(F.lit(1), i - len(taps) + 1), F.least(i, F.lit(len(taps)))))
+        return F.aggregate(F.zip_with(last, F.slice(h, F.lit(1), F.size(last)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+
+    made = F.when(F.size(samples) > 0, F.transform(F.sequence(F.lit(1), F.size(samples)), at)).otherwise(F.col(samples))
+    return df.select(*key, made.alias(samples))
+
+
 def fir_filtered(df: DataFrame, key: Sequence[str], samples: str, fs: float, low: float, high: float, notch: bool = False) -> DataFrame:
     """Zero-phase band-pass (0: open end) or notch."""
     h = dsp.fir(fs, low, high, notch=notch)

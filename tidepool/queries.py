@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,11 +98,11 @@ def a8_result_matrix(spark, d):
     return m.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "view")])
 
 
-@query("select range id, true near from range(1000)")
+@query("select vec_id, round(list_dot_product(cast(embedding[1:5] as double[]), [1e0, 2e0, 0.5e0, -1e0, 3e0]), 5) y from embeddings")
 def a11_linear_data(spark, d):
-    weights = [1.0, 2.0, 0.5, -1.0, 3.0]
-    exact = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
-    return readers.linear_data(spark, 1000, weights, 0.1).select("id", (F.abs(F.col("y") - exact) < 0.8).alias("near"))
+    x = F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double"))
+    made = readers.linear_target(table(spark, d, "embeddings").select("vec_id", x.alias("x")), "x", [1.0, 2.0, 0.5, -1.0, 3.0], 0.0)
+    return made.select("vec_id", r("y", 5).alias("y"))
 
 
 @query("select user_id, [max(value) filter (where event_type = 'click'), max(value) filter (where event_type = 'view')] \"values\" from events group by user_id")
@@ -960,9 +960,16 @@ def h11_band_powers(spark, d):
     return spectral.band_powers(recordings(spark, d), U, "samples", 16.0, {"low": (1, 3), "high": (3, 8)}, 2.0)
 
 
-@query("select * from (values ('delta', 1e0, 4e0), ('theta', 4e0, 8e0), ('alpha', 8e0, 12e0), ('beta', 12e0, 30e0), ('Lgamma', 30e0, 70e0), ('Hgamma', 70e0, 100e0)) t(band, low, high)")
+BAND_VALUES = "(values ('delta', 1e0, 4e0), ('theta', 4e0, 8e0), ('alpha', 8e0, 12e0), ('beta', 12e0, 30e0), ('Lgamma', 30e0, 70e0), ('Hgamma', 70e0, 100e0)) t(band, low, high)"
+
+
+@query(f"with g as (select user_id, count(*) n, cast(unnest(range(0, cast(floor(count(*) / 2) as bigint) + 1)) as double) i from events group by 1) select user_id, band, low, high, count(*) bins from g, {BAND_VALUES} where i * 420.1e0 / n >= low and i * 420.1e0 / n < high group by all")
 def h12_bands(spark, d):
-    return spectral.band_dimension(spark, features.BANDS)
+    """Each band's number of points on the frequency grid of each recording."""
+    n = F.size("samples")
+    grid = recordings(spark, d).select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), lambda i: i.cast("double") * 420.1 / n)).alias("f"))
+    bands = F.broadcast(spectral.band_dimension(spark, features.BANDS))
+    return grid.join(bands, (F.col("f") >= F.col("low")) & (F.col("f") < F.col("high"))).groupBy("user_id", "band", "low", "high").agg(F.count(F.lit(1)).alias("bins"))
 
 
 @query()
@@ -1301,11 +1308,20 @@ def s2_sorted_sizes(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber"), asc=False).alias("sizes"))
 
 
-@query()
+DESIGNS = {kind: dsp.butterworth(4, cut, 16.0, kind) for kind, cut in (("lowpass", 4.0), ("highpass", 1.0), ("bandstop", (3.0, 5.0)))}
+
+
+def convolved(responses: Mapping[str, str]) -> str:
+    """SQL of recordings through filters of the given responses (lists) by kind."""
+    each = " union all ".join(f"select '{kind}' kind, {h} h" for kind, h in responses.items())
+    return f"with h as ({each}), s as (select user_id, list(value order by ts, event_id) v from events group by 1) select user_id, kind, list_transform(range(1, len(v) + 1), lambda i: round(list_sum(list_transform(range(0, least(i, len(h))), lambda k: h[k + 1] * v[i - k])), 5)) samples from s, h"
+
+
+@query(convolved({kind: impulse_response(sos, 240) for kind, sos in DESIGNS.items()}))
 def h14_designs(spark, d):
-    designs = [("lowpass", 4.0), ("highpass", 1.0), ("bandstop", (3.0, 5.0))]
-    rows = [(kind, i, j, float(v)) for kind, cut in designs for i, s in enumerate(dsp.butterworth(4, cut, 16.0, kind)) for j, v in enumerate(s)]
-    return spark.createDataFrame(rows, "kind string, section int, term int, value double")
+    """Recordings through each of the designed filters."""
+    made = [spectral.filtered(recordings(spark, d), U, "samples", [sos]).withColumn("kind", F.lit(kind)) for kind, sos in DESIGNS.items()]
+    return sets.stacked(made).select("user_id", "kind", F.transform("samples", lambda v: F.round(v, 5)).alias("samples"))
 
 
 @query()
@@ -1437,9 +1453,11 @@ def h7_finite_size(spark, d):
     return spectral.spectrum(recordings(spark, d), U, "samples", 16.0, error="chi2", fpass=(0.0, 8.0), finite_size=True)
 
 
-@query("select * from (values (0, 'bandstop', 66e0, 70e0, 4), (1, 'bandstop', 81e0, 85e0, 4), (2, 'bandstop', 103e0, 107e0, 4), (3, 'bandstop', 103e0, 107e0, 4), (4, 'bandstop', 126e0, 130e0, 4), (5, 'highpass', 1e0, null, 4)) t(position, kind, low, high, \"order\")")
+@query("select user_id, position, kind, low, high, \"order\", len samples from (select user_id, count(*) len from events group by 1), (values (0, 'bandstop', 66e0, 70e0, 4), (1, 'bandstop', 81e0, 85e0, 4), (2, 'bandstop', 103e0, 107e0, 4), (3, 'bandstop', 103e0, 107e0, 4), (4, 'bandstop', 126e0, 130e0, 4), (5, 'highpass', 1e0, null, 4)) t(position, kind, low, high, \"order\") where low < len")
 def h19_acute_filters(spark, d):
-    return spectral.acute_filters(spark)
+    """The filters below the rate of each recording, were its samples those of two seconds."""
+    rows = recordings(spark, d).select("user_id", F.size("samples").cast("long").alias("samples"))
+    return rows.join(F.broadcast(spectral.acute_filters(spark)), F.col("low") < F.col("samples")).select("user_id", "position", "kind", "low", "high", "order", "samples")
 
 
 @query()
@@ -1447,10 +1465,14 @@ def h19_acute_filtered(spark, d):
     return spectral.acute_filtered(recordings(spark, d), U, "samples", 420.1)
 
 
-@query()
+LEAST_SQUARES = dsp.fir_least_squares(24, [0, 0.2, 0.3, 0.6, 0.7, 1], [0, 0, 1, 1, 0, 0])
+
+
+@query(convolved({"band": "[" + ", ".join(f"{v:.17e}" for v in LEAST_SQUARES) + "]"}).replace("user_id, kind,", "user_id,"))
 def h13_least_squares(spark, d):
-    h = dsp.fir_least_squares(24, [0, 0.2, 0.3, 0.6, 0.7, 1], [0, 0, 1, 1, 0, 0])
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(h)], "tap int, value double")
+    """Recordings through a band-pass filter that is designed by least squares, causally."""
+    made = spectral.convolved(recordings(spark, d), U, "samples", LEAST_SQUARES)
+    return made.select("user_id", F.transform("samples", lambda v: F.round(v, 5)).alias("samples"))
 
 
 @query()

@@ -39,9 +39,13 @@ def channels_assembled(df: DataFrame, key: Sequence[str], channel: str, names: S
     return wide.select(*key, F.array(*names).alias("values"))
 
 
+def linear_target(df: DataFrame, x: str, weights: Sequence[float], noise: float, seed: int = 0) -> DataFrame:
+    """Rows with ``y`` = x . weights + noise."""
+    dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return df.withColumn("y", dot + F.randn(seed) * noise)
+
+
 def linear_data(spark: SparkSession, rows: int, weights: Sequence[float], noise: float, seed: int = 0) -> DataFrame:
     """``id, x, y``: normal features and y = x . weights + noise."""
     x = F.array(*[F.randn(seed + i) for i in range(len(weights))])
-    df = spark.range(rows).withColumn("x", x)
-    dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn("y", dot + F.randn(seed + len(weights)) * noise)
+    return linear_target(spark.range(rows).withColumn("x", x), "x", weights, noise, seed + len(weights))
