@@ -213,6 +213,19 @@ def test_selection_sorts_no_group(spark):
     assert agg._estimated_bytes(df) < agg.SELECT_BYTES < agg._estimated_bytes(spark.range(10**9))
 
 
+@pytest.mark.parametrize("mode", ["biased", "unbiased", "coeff"])
+def test_autocovariance_by_blocks(spark, mode):
+    """One series in many blocks, lags longer than a block, missing values, and a short series; as by windows."""
+    rng = np.random.default_rng(17)
+    rows = [("long", 3 * k, None if k % 11 == 4 else float(v)) for k, v in enumerate(rng.normal(size=500) + 100)] + [("short", k, float(k)) for k in range(3)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(4)
+    whole = {(r.g, r.lag): (r.acov, r.n) for r in series.autocovariance(df, ["g"], "i", "v", 40, mode).collect()}
+    got = {(r.g, r.lag): (r.acov, r.n) for r in series.autocovariance_by_blocks(df, ["g"], "i", "v", 40, mode, block=32).collect()}
+    assert got.keys() == whole.keys()
+    for key, (acov, n) in whole.items():
+        assert got[key][1] == n and (got[key][0] is None if acov is None else abs(got[key][0] - acov) < 1e-9), key
+
+
 def _run_in_chunks(spark, folder, chunks, late, make):
     """What a stream over one file of (channel, t, value) rows after another gives, once its watermark has passed them all."""
     schema = "ts timestamp, channel long, t long, value double"

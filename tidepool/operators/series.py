@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import agg
+
 
 def next_difference(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, label: str | None = None) -> DataFrame:
     """``diff`` to the next value, without the last row; ``label``: also whether it changed or increased."""
@@ -154,6 +158,47 @@ def autocovariance(df: DataFrame, group: Sequence[str], i: str, value: str, lags
     return out.select(*group, "lag", (F.col("_s") / F.col("_n")).alias("acov"), "n")
 
 
+#: Rows of a series that one task correlates at once.
+BLOCK_ROWS = 1 << 16
+
+
+def autocovariance_by_blocks(df: DataFrame, group: Sequence[str], i: str, value: str, lags: int, mode: str = "biased", block: int = BLOCK_ROWS) -> DataFrame:
+    """``autocovariance`` of series of any length and for many lags: a task has one block of a series and the ``lags`` rows after it, and correlates them by Fourier transforms.
+
+    ``i`` orders a series' rows and is distinct in it. Places come from counts of ranges (see ``agg.cumulated``), so no task puts a whole series in order; a block gives one
+    sum for each lag, and these are added. Missing values are skipped, as zeros in the sums and in the numbers of products.
+    """
+    means = df.groupBy(*group).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"), F.count(value).alias("_there"))
+    places = agg.cumulated(df.select(*group, i), group, i).select(*group, i, (F.col("_c") - 1).alias("_at"))
+    rows = df.select(*group, i, value).join(places, [*group, i]).join(means.select(*group, "_m"), list(group))
+    rows = rows.select(*group, "_at", (F.col(value) - F.col("_m")).cast("double").alias("_x"), F.floor(F.col("_at") / block).alias("_block"))
+    first = F.floor(F.greatest(F.col("_at") - lags, F.lit(0)) / block)
+    rows = rows.withColumn("_block", F.explode(F.sequence(first, F.col("_block"))))
+    kinds = dict(df.dtypes)
+
+    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
+        start = int(rows["_block"].iloc[0]) * block
+        x = np.full(block + lags, np.nan)
+        x[rows["_at"].to_numpy() - start] = rows["_x"].to_numpy(float)
+        there = (~np.isnan(x)).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        size = 1 << int(np.ceil(np.log2(2 * block + lags)))
+
+        def against(v: np.ndarray) -> np.ndarray:
+            return np.fft.irfft(np.conj(np.fft.rfft(v[:block], size)) * np.fft.rfft(v, size), size)[: lags + 1]
+
+        made = {"lag": np.arange(lags + 1), "_s": against(x), "_k": np.rint(against(there)).astype(np.int64)}
+        return pd.DataFrame({**{g: [rows[g].iloc[0]] * (lags + 1) for g in group}, **made})
+
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "lag int, _s double, _k long"])
+    sums = rows.groupBy(*group, "_block").applyInPandas(correlate, schema).groupBy(*group, "lag").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
+    out = sums.join(means.select(*group, "_n", F.col("_there").alias("n")), list(group)).withColumn("_s", F.when(F.col("_k") > 0, F.col("_s")))
+    if mode == "coeff":
+        zero = sums.where("lag = 0").select(*group, F.col("_s").alias("_z"))
+        return out.join(zero, list(group)).select(*group, "lag", (F.col("_s") / F.col("_z")).alias("acov"), "n")
+    return out.select(*group, "lag", (F.col("_s") / (F.col("_k") if mode == "unbiased" else F.col("_n"))).alias("acov"), "n")
+
+
 def partial_autocorrelation(acov: DataFrame, group: Sequence[str], n: int | str = "n") -> DataFrame:
     """``lag, pacf, significant`` by the Durbin-Levinson recursion over a series' few autocovariances; ``n``: its length, or the column that has it."""
     import numpy as np

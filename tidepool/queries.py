@@ -580,6 +580,16 @@ def e4_autocovariance(spark, d):
     return a.select("user_id", F.col("lag").cast("long").alias("lag"), r("acov", 4).alias("acov"))
 
 
+@query(
+    EV
+    + """, m as (select user_id, event_id, t, nv - avg(nv) over (partition by user_id) x, count(*) over (partition by user_id) n from ev), k as (select *, row_number() over (partition by user_id order by event_id) i from m)
+select a.user_id, l.lag, round(sum(a.x * b.x) / max(a.n), 4) acov from k a join (select unnest(range(0, 6)) lag) l on true join k b on b.user_id = a.user_id and b.i = a.i + l.lag group by 1, 2"""
+)
+def e4_by_blocks(spark, d):
+    a = series.autocovariance_by_blocks(events(spark, d), U, "event_id", "nv", 5)
+    return a.select("user_id", F.col("lag").cast("long").alias("lag"), r("acov", 4).alias("acov"))
+
+
 def _levinson(group: str, lags: int, scale: str) -> str:
     """SQL of the recursion over the autocovariances of ``value``, in order of event_id."""
     return f"""with recursive x as (select {group} g, event_id, value - avg(value) over (partition by {group}) x, count(*) over (partition by {group}) n, row_number() over (partition by {group} order by event_id) i from events),
