@@ -207,16 +207,25 @@ def kalman(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray, x: np.nda
 
 
 def aic(y: np.ndarray, guesses: np.ndarray, parameters: int) -> float:
-    """n x the log determinant of the residuals' covariance, and twice the parameters."""
+    """n x the log determinant of the residuals' covariance, and twice the parameters; infinite where predictions, or their squares, outgrow any number."""
     e = (y - guesses)[~np.isnan(y).any(1)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        outgrown = not np.isfinite(e.T @ e).all()
+    if outgrown:
+        return float("inf")
     s = np.linalg.svd(e.T @ e / max(len(e), 1), compute_uv=False)
     return float(len(e) * np.log(np.maximum(s, 1e-300)).sum() + 2 * parameters)
 
 
 def best_order(y: np.ndarray, shared: Subspace, orders: range, stable: bool = False) -> tuple[int, list[float]]:
-    """The order with the least AIC and the values of all, of models that ``shared`` gives."""
+    """The order with the least AIC and the values of all, of models that ``shared`` gives; infinite for one that can't be solved or whose predictions outgrow any number."""
     values = []
     for n in orders:
-        a, c, k, _ = shared.fit(n, stable)
-        values.append(aic(y, kalman(y, a, c, k)[1], (2 * y.shape[1] + 1) * n))
+        try:
+            a, c, k, _ = shared.fit(n, stable)
+        except np.linalg.LinAlgError:
+            values.append(float("inf"))
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            values.append(aic(y, kalman(y, a, c, k)[1], (2 * y.shape[1] + 1) * n))
     return orders[int(np.argmin(values))], values

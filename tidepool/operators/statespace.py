@@ -37,18 +37,20 @@ def _standardised(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _model(y: np.ndarray, horizon: int, orders: Sequence[int], weights: str, stable: bool) -> tuple | None:
-    """``n, aic, a, c, k, solved`` of standardised samples, of which incomplete ones are left out; None if there are too few."""
+    """``n, aic, a, c, k, solved`` of standardised samples, of which incomplete ones are left out; None if there are too few, they never change, or no order predicts them."""
     y = y[~np.isnan(y).any(1)]
-    if len(y) < 2 * horizon * (y.shape[1] + 1):
+    if len(y) < 2 * horizon * (y.shape[1] + 1) or not np.ptp(y, axis=0).any():
         return None
     shared = ssm.Subspace(y, horizon, weights)
     n, values = ssm.best_order(y, shared, range(min(orders), min(max(orders), horizon * y.shape[1] - 1) + 1), stable)
+    if not np.isfinite(min(values)):
+        return None
     a, c, k, _ = shared.fit(n, stable)
     return n, min(values), a, c, k, shared.solved
 
 
 def fitted(df: DataFrame, group: Sequence[str], order: str, x: str, horizon: int = 10, orders: Sequence[int] = range(1, 21), weights: str = "cva", stable: bool = False) -> DataFrame:
-    """``n, aic, a, c, k, solved`` of each series' model, of the order with the least AIC; arrays of rows. Series that are too short have none.
+    """``n, aic, a, c, k, solved`` of each series' model, of the order with the least AIC; arrays of rows. Series that are too short, or never change, have none.
 
     ``solved`` is false where the Riccati equation has an eigenvalue on the unit circle, or the model isn't stable: there the gain is the
     recursion's. For ``weights`` and ``stable`` see ``ssm.Subspace``.
