@@ -226,3 +226,14 @@ def test_orders_whose_predictions_outgrow_numbers():
     assert outgrown
     assert statespace._model(np.zeros((200, 2)), 10, range(1, 21), "cva", False) is None
     assert ssm.aic(np.zeros((3, 1)), np.array([[0.0], [1e200], [np.nan]]), 1) == np.inf
+
+
+def test_filter_by_stretches():
+    """Predictions of a long series by stretches side by side equal those of its samples one by one."""
+    rng = np.random.default_rng(4)
+    for t, n in ((1, 1), (2, 3), (50, 4), (1003, 7)):
+        a, c, k = rng.normal(size=(n, n)), rng.normal(size=(2, n)), rng.normal(size=(n, 2)) * 0.1
+        a = a * 0.9 / np.abs(np.linalg.eigvals(a)).max()
+        k *= 0.1
+        y = rng.normal(size=(t, 2))
+        assert np.allclose(ssm.filtered(y, a, c, k), ssm.kalman(y, a, c, k)[1], atol=1e-9)

@@ -206,6 +206,31 @@ def kalman(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray, x: np.nda
     return states, guesses, x
 
 
+def filtered(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``kalman``'s predictions of complete samples, for many at once.
+
+    The series is cut into stretches as long as they are many: all are filtered side by side from rest, then each one's first state, which
+    follows from the stretch before, is carried through it.
+    """
+    t, n = len(y), len(a)
+    length = max(int(np.sqrt(t)), 1)
+    parts = -(-t // length)
+    given = np.zeros((parts * length, y.shape[1]))
+    given[:t] = y
+    driven = (given @ k.T).reshape(parts, length, n)
+    step = (a - k @ c).T
+    x, power = np.zeros((parts, length + 1, n)), np.empty((length + 1, n, n))
+    power[0] = np.eye(n)
+    for i in range(length):
+        x[:, i + 1] = x[:, i] @ step + driven[:, i]
+        power[i + 1] = power[i] @ step
+    first = np.zeros((parts, n))
+    for j in range(1, parts):
+        first[j] = first[j - 1] @ power[length] + x[j - 1, length]
+    states = x[:, :length] + (first @ power[:length].transpose(1, 0, 2).reshape(n, -1)).reshape(parts, length, n)
+    return states.reshape(-1, n)[:t] @ c.T
+
+
 def aic(y: np.ndarray, guesses: np.ndarray, parameters: int) -> float:
     """n x the log determinant of the residuals' covariance, and twice the parameters; infinite where predictions, or their squares, outgrow any number."""
     e = (y - guesses)[~np.isnan(y).any(1)]
@@ -227,5 +252,5 @@ def best_order(y: np.ndarray, shared: Subspace, orders: range, stable: bool = Fa
             values.append(float("inf"))
             continue
         with np.errstate(over="ignore", invalid="ignore"):
-            values.append(aic(y, kalman(y, a, c, k)[1], (2 * y.shape[1] + 1) * n))
+            values.append(aic(y, filtered(y, a, c, k), (2 * y.shape[1] + 1) * n))
     return orders[int(np.argmin(values))], values
