@@ -280,3 +280,16 @@ def test_files(spark, tmp_path):
 def test_recordings_plan_needs_no_join(spark):
     plan = recordings(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_surrogates_are_dealt_out(spark, monkeypatch):
+    """Few bytes of rows still go to many tasks; a long series is drawn from in parts; subsets are even, without repeats and in order."""
+    rows = spark.createDataFrame([(u, float(v) if v < 40 else None, None if v < 40 else 0.0) for u in range(6) for v in range(50)], "u long, a double, b double")
+    monkeypatch.setattr(inference, "DRAWN", 4000)
+    made = inference.surrogate_differences(rows, ["u"], "a", "b", 1500, 5)
+    assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    got = made.toPandas()
+    assert len(got) == 6 * 1500 * 5 and (got.groupby(["u", "shuffle"])["diff"].nunique() == 5).all()
+    assert got.sort_values(["u", "shuffle", "i"]).groupby(["u", "shuffle"])["diff"].is_monotonic_increasing.all()
+    share = got["diff"].value_counts() / (6 * 1500 * 5)
+    assert len(share) == 40 and share.between(0.02, 0.03).all()

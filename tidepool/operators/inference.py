@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidepool.functions.quantiles import chi2_sf, normal_two_sided, t_quantile
+from tidepool.operators.models import dealt
 from tidepool.operators.series import mid_ranks
 
 
@@ -149,14 +150,16 @@ def t_quantiles(p: float):
     return found
 
 
-#: Shuffles of a group that one task makes.
-SHUFFLES = 250
+#: Shuffles of a group that one task makes, and numbers that it draws at once.
+SHUFFLES = 1000
+DRAWN = 1 << 20
 
 
 def surrogate_differences(df: DataFrame, group: Sequence[str], a: str, b: str, shuffles: int, size: int, seed: int = 0) -> DataFrame:
     """``shuffle, i, diff``: ``size`` values of ``a`` minus ``size`` of ``b``, each a random subset in order, for every shuffle.
 
-    A shuffle's randomness follows from the seed, its number and the group, wherever it runs; a task makes ``SHUFFLES`` of a group.
+    Randomness follows from the seed, the group and the batch of ``SHUFFLES`` that a task makes of it, wherever it runs; a batch's shuffles are drawn
+    together, the values with the least of as many random numbers.
     """
     import numpy as np
 
@@ -165,15 +168,22 @@ def surrogate_differences(df: DataFrame, group: Sequence[str], a: str, b: str, s
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         keys = {g: rows[g].iloc[0] for g in group}
-        name = [*"|".join(map(str, keys.values())).encode()]
-        x, y = (np.sort(rows[c].dropna().to_numpy()) for c in (a, b))
-        n, numbers, made = min(size, len(x), len(y)), np.arange(batch * SHUFFLES, min((batch + 1) * SHUFFLES, shuffles)), []
-        for shuffle in numbers:
-            rng = np.random.default_rng([seed, int(shuffle), *name])
-            pick = [v[np.sort(rng.permutation(len(v))[:n])] for v in (x, y)]
-            made.append(pick[0] - pick[1])
-        return pd.DataFrame({**keys, "shuffle": np.repeat(numbers, n), "i": np.tile(np.arange(n), len(numbers)), "diff": np.concatenate(made)})
-
-    rows = df.select(*group, a, b).withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit((shuffles - 1) // SHUFFLES))))
+        rng = np.random.default_rng([seed, batch, *"|".join(map(str, keys.values())).encode()])
+        values = [np.sort(rows[c].dropna().to_numpy()) for c in (a, b)]
+        n, numbers = min(size, *map(len, values)), np.arange(batch * SHUFFLES, min((batch + 1) * SHUFFLES, shuffles))
+
+        def drawn(v: np.ndarray) -> np.ndarray:
+            made, some = np.empty((len(numbers), n)), max(DRAWN // max(len(v), 1), 1)
+            for lo in range(0, len(numbers), some):
+                at = rng.random((len(numbers[lo : lo + some]), len(v)))
+                at = np.argpartition(at, n - 1, axis=1)[:, :n] if n else np.zeros((len(at), 0), int)
+                made[lo : lo + some] = v[np.sort(at, axis=1)]
+            return made
+
+        diff = drawn(values[0]) - drawn(values[1])
+        return pd.DataFrame({**keys, "shuffle": np.repeat(numbers, n), "i": np.tile(np.arange(n), len(numbers)), "diff": diff.ravel()})
+
+    rows = df.select(*group, a, b).where(F.col(a).isNotNull() | F.col(b).isNotNull())
+    rows = rows.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit((shuffles - 1) // SHUFFLES))))
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "shuffle int, i long, diff double"])
-    return rows.groupBy(*group, "_batch").applyInPandas(run, schema)
+    return dealt(rows, *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
