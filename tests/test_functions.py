@@ -237,3 +237,10 @@ def test_filter_by_stretches():
         k *= 0.1
         y = rng.normal(size=(t, 2))
         assert np.allclose(ssm.filtered(y, a, c, k), ssm.kalman(y, a, c, k)[1], atol=1e-9)
+
+
+def test_next_power_of_zero(spark):
+    from tidepool.functions import columns
+
+    rows = spark.createDataFrame([(0.0,), (0.3,), (4.0,), (5.0,), (None,)], "v double")
+    assert [r[0] for r in rows.select(columns.next_power_of_two(rows["v"])).collect()] == [0.0, 0.5, 4.0, 8.0, None]

@@ -57,7 +57,8 @@ def decibel(power: Column) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.pow(F.lit(2.0), F.ceil(F.log2(n)))
+    """0 of 0, whose logarithm Spark has as null."""
+    return F.when(n == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(n))))
 
 
 def sigmoid(x: Column) -> Column:
