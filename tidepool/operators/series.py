@@ -66,9 +66,14 @@ def runs(df: DataFrame, group: Sequence[str], order: Sequence[str], up: Column)
 
 
 def bouts(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, fs: float = 1.0) -> DataFrame:
-    """Runs above the group's mean: ``n_rows, bouts, mean_duration, total_time, percent``."""
-    means = df.groupBy(*group).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("n_rows"))
-    found = runs(df.join(means, list(group)), group, order, F.col(value) > F.col("_mean"))
+    """Runs above the group's mean: ``n_rows, bouts, mean_duration, total_time, percent``.
+
+    A mean of doubles depends on the order in which they are added, so whether a value that equals it lies above is left to chance; of a decimal ``value``, sums are exact.
+    """
+    means = df.groupBy(*group).agg(F.avg(value).alias("_mean"), F.sum(value).alias("_sum"), F.count(value).alias("_there"), F.count(F.lit(1)).alias("n_rows"))
+    exact = dict(df.dtypes)[value].startswith("decimal")
+    up = F.col(value) * F.col("_there").cast("decimal(12,0)") > F.col("_sum") if exact else F.col(value) > F.col("_mean")
+    found = runs(df.join(means, list(group)), group, order, up)
     stats = found.groupBy(*group).agg(F.count(F.lit(1)).alias("bouts"), F.avg(F.col("length") / fs).alias("mean_duration"), F.sum(F.col("length") / fs).alias("total_time"))
     total = F.coalesce("total_time", F.lit(0.0))
     return means.join(stats, list(group), "left").select(
