@@ -293,3 +293,14 @@ def test_surrogates_are_dealt_out(spark, monkeypatch):
     assert got.sort_values(["u", "shuffle", "i"]).groupby(["u", "shuffle"])["diff"].is_monotonic_increasing.all()
     share = got["diff"].value_counts() / (6 * 1500 * 5)
     assert len(share) == 40 and share.between(0.02, 0.03).all()
+
+
+def test_blocks_of_short_series(spark):
+    """Series shorter than the lags, and a block's tasks: lags beyond a series have no products; few bytes go to many tasks."""
+    rows = spark.createDataFrame([(u, i, float((i * 7 + u) % 5)) for u in range(3) for i in range(4 + u)], "u long, i long, v double")
+    got = {(r.u, r.lag): r.acov for r in series.autocovariance_by_blocks(rows, ["u"], "i", "v", 5).collect()}
+    plain = {(r.u, r.lag): r.acov for r in series.autocovariance(rows, ["u"], "i", "v", 5).collect()}
+    for key, value in got.items():
+        assert value is None if plain.get(key) is None else abs(value - plain[key]) < 1e-9, key
+    made = series.autocovariance_by_blocks(rows, ["u"], "i", "v", 5)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()

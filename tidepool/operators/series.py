@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import agg
+from tidepool.operators.models import dealt
 
 
 def next_difference(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, label: str | None = None) -> DataFrame:
@@ -182,21 +183,25 @@ def autocovariance_by_blocks(df: DataFrame, group: Sequence[str], i: str, value:
     kinds = dict(df.dtypes)
 
     def correlate(rows: pd.DataFrame) -> pd.DataFrame:
-        start = int(rows["_block"].iloc[0]) * block
-        x = np.full(block + lags, np.nan)
-        x[rows["_at"].to_numpy() - start] = rows["_x"].to_numpy(float)
+        at = rows["_at"].to_numpy() - int(rows["_block"].iloc[0]) * block
+        length = int(at.max()) + 1  # of a short series, not the block's
+        x = np.full(length, np.nan)
+        x[at] = rows["_x"].to_numpy(float)
         there = (~np.isnan(x)).astype(float)
         x = np.where(there > 0, x, 0.0)
-        size = 1 << int(np.ceil(np.log2(2 * block + lags)))
+        size = 1 << int(np.ceil(np.log2(length + min(length, block))))
 
         def against(v: np.ndarray) -> np.ndarray:
-            return np.fft.irfft(np.conj(np.fft.rfft(v[:block], size)) * np.fft.rfft(v, size), size)[: lags + 1]
+            made = np.zeros(lags + 1)
+            some = min(lags + 1, length)
+            made[:some] = np.fft.irfft(np.conj(np.fft.rfft(v[:block], size)) * np.fft.rfft(v, size), size)[:some]
+            return made
 
         made = {"lag": np.arange(lags + 1), "_s": against(x), "_k": np.rint(against(there)).astype(np.int64)}
         return pd.DataFrame({**{g: [rows[g].iloc[0]] * (lags + 1) for g in group}, **made})
 
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "lag int, _s double, _k long"])
-    sums = rows.groupBy(*group, "_block").applyInPandas(correlate, schema).groupBy(*group, "lag").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
+    sums = dealt(rows, *group, "_block").groupBy(*group, "_block").applyInPandas(correlate, schema).groupBy(*group, "lag").agg(F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
     out = sums.join(means.select(*group, "_n", F.col("_there").alias("n")), list(group)).withColumn("_s", F.when(F.col("_k") > 0, F.col("_s")))
     if mode == "coeff":
         zero = sums.where("lag = 0").select(*group, F.col("_s").alias("_z"))
