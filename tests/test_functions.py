@@ -244,3 +244,24 @@ def test_next_power_of_zero(spark):
 
     rows = spark.createDataFrame([(0.0,), (0.3,), (4.0,), (5.0,), (None,)], "v double")
     assert [r[0] for r in rows.select(columns.next_power_of_two(rows["v"])).collect()] == [0.0, 0.5, 4.0, 8.0, None]
+
+
+def test_ridge_penalties_together(monkeypatch):
+    """The penalty chosen from all penalties' errors by a fold's axes is the one of systems solved one by one, none of which is solved here."""
+    rng = np.random.default_rng(9)
+    for n, p in ((30, 3), (66, 64), (40, 64)):
+        x = rng.normal(size=(n, p))
+        x[:, -1] = 2.0
+        y = x[:, 0] + rng.normal(size=n) * 0.5
+        grid, parts = np.logspace(-4, 5, 100), np.array_split(np.arange(n), 10)
+        errors = np.empty((100, 10))
+        for j, test in enumerate(parts):
+            train = np.setdiff1d(np.arange(n), test)
+            for i, k in enumerate(grid):
+                w, b = linmod.ridge(x[train], y[train], k)
+                errors[i, j] = np.sqrt(np.mean((y[test] - x[test] @ w - b) ** 2))
+        mean = errors.mean(1)
+        limit = mean.min() + errors[mean.argmin()].std(ddof=1) / np.sqrt(10)
+        with monkeypatch.context() as m:
+            m.setattr(linmod, "ridge", None)
+            assert linmod.ridge_penalty(x, y) == grid[np.flatnonzero(mean <= limit)[0]]
