@@ -304,3 +304,18 @@ def test_blocks_of_short_series(spark):
         assert value is None if plain.get(key) is None else abs(value - plain[key]) < 1e-9, key
     made = series.autocovariance_by_blocks(rows, ["u"], "i", "v", 5)
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coefficients_of_all_folds_together(spark):
+    """Lasso coefficients of folds that are solved at once equal each fold's own; groups go to many tasks though they are few bytes."""
+    from tidepool.functions import linmod
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(70, 4))
+    t = (m[:, 0] + rng.normal(size=70) > 0).astype(int)
+    rows = spark.createDataFrame([(0, i, [float(v) for v in m[i]], int(t[i])) for i in range(70)], "g int, i int, x array<double>, y int")
+    made = models.coefficients(rows, ["g"], "x", "y", "i", list("abcd"), "lasso")
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    got = made.toPandas().pivot(index="fold", columns="name", values="coefficient").to_numpy()
+    z = (m - m.mean(0)) / m.std(0)
+    assert np.allclose(got, [linmod.lasso(np.delete(z, i, 0), np.delete(t, i).astype(float), 1e-4)[0] for i in range(70)], atol=1e-9)
