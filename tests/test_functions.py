@@ -265,3 +265,17 @@ def test_ridge_penalties_together(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(linmod, "ridge", None)
             assert linmod.ridge_penalty(x, y) == grid[np.flatnonzero(mean <= limit)[0]]
+
+
+def test_inputs_meet_states_without_products_for_each_sample(monkeypatch):
+    """B, D of a known A, C without noise, and no Kronecker product for each sample."""
+    rng = np.random.default_rng(3)
+    a, b, c, d = np.array([[0.7, 0.2], [-0.1, 0.5]]), rng.normal(size=(2, 2)), rng.normal(size=(2, 2)), rng.normal(size=(2, 2))
+    u, x, y = rng.normal(size=(300, 2)), np.zeros(2), []
+    for v in u:
+        y.append(c @ x + d @ v)
+        x = a @ x + b @ v
+    made = ssm.InputSubspace(np.array(y), u, 4)
+    monkeypatch.setattr(np, "kron", None)
+    found = made._inputs_of(a, c)
+    assert np.allclose(found[0], b, atol=1e-8) and np.allclose(found[1], d, atol=1e-8)

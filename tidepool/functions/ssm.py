@@ -178,11 +178,13 @@ class InputSubspace:
     def _inputs_of(self, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, m, p, t = len(a), self.m, self.p, len(self.y)
         columns = np.zeros((t, p, n + n * m + p * m))
-        free, driven = np.eye(n), np.zeros((n, n * m))
+        columns[:, :, n + n * m :] = (self.u[:, None, :, None] * np.eye(p)[:, None]).reshape(t, p, p * m)
+        both, given = np.concatenate([np.eye(n), np.zeros((n, n * m))], axis=1), np.repeat(self.u, n, axis=1)
+        at = np.tile(np.arange(n), m), np.arange(n, n + n * m)  # where each input meets each state
         for s in range(t):
-            columns[s, :, :n], columns[s, :, n : n + n * m] = c @ free, c @ driven
-            columns[s, :, n + n * m :] = np.kron(self.u[s], np.eye(p))
-            free, driven = a @ free, a @ driven + np.kron(self.u[s], np.eye(n))
+            columns[s, :, : n + n * m] = c @ both
+            both = a @ both
+            both[at] += given[s]
         found = np.linalg.lstsq(columns.reshape(t * p, -1), self.y.ravel(), rcond=None)[0]
         return found[n : n + n * m].reshape(m, n).T, found[n + n * m :].reshape(m, p).T
 
