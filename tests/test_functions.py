@@ -279,3 +279,19 @@ def test_inputs_meet_states_without_products_for_each_sample(monkeypatch):
     monkeypatch.setattr(np, "kron", None)
     found = made._inputs_of(a, c)
     assert np.allclose(found[0], b, atol=1e-8) and np.allclose(found[1], d, atol=1e-8)
+
+
+def test_stacked_lassos_end_on_the_minimum():
+    """Gradients are the penalty times the sign, or less where a coefficient is 0; with more rows than features, with fewer, and with equal features by the same predictions."""
+    rng = np.random.default_rng(3)
+    for n, p in ((100, 64), (56, 64), (90, 8), (12, 1)):
+        x, y = rng.normal(size=(n, p)), rng.normal(size=(n, 40))
+        x, y = x - x.mean(0), y - y.mean(0)
+        gram, xy, weight = x.T @ x, x.T @ y, 1e-2 * n
+        w = linmod.stacked_lasso(gram[None], xy[None], np.array([n]), 1e-2)[0]
+        rest = xy - gram @ w
+        assert np.abs(np.where(w != 0, rest - weight * np.sign(w), 0)).max() < 1e-6 * weight and (np.abs(rest) < weight * (1 + 1e-6)).all()
+        assert (w == 0).any() and ((w != 0).sum(0) <= min(n - 1, p)).all()
+    twice = np.column_stack([x, x, np.zeros(n)])
+    both = linmod.stacked_lasso((twice.T @ twice)[None], (twice.T @ y)[None], np.array([n]), 1e-2)[0]
+    assert np.allclose(twice @ both, x @ w, atol=1e-3)

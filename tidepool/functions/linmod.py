@@ -186,8 +186,109 @@ def left_out_lda(x: np.ndarray, own: Moments, other: Moments, one: bool, priors:
 def stacked_lasso(grams: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: float, tol: float = 1e-4, most: int = 10_000) -> np.ndarray:
     """``lasso`` coefficients for each fold's centered products of features (``folds x p x p``) and all permutations' products with the target (``folds x p x permutations``).
 
-    A step moves one feature of all problems; a problem that has converged stays.
+    Folds whose products have an inverse are solved exactly, by signs (``_by_signs``), others, as those with fewer rows than features, along the path of
+    penalties (``_by_path``); what neither ends on a minimum, by steps of coordinates.
     """
+    w = np.full(xy.shape, np.nan)
+    for fold, (gram, own) in enumerate(zip(grams, xy, strict=True)):
+        inverse = _inverse(gram)
+        if inverse is not None:
+            w[fold] = _by_signs(inverse, own, alpha * n[fold])
+        left = np.isnan(w[fold]).any(0)
+        if left.any():
+            w[fold][:, left] = _by_path(gram, own[:, left], alpha * n[fold])
+            left = np.isnan(w[fold]).any(0)
+        if left.any():
+            w[fold][:, left] = _descended(grams[fold : fold + 1], xy[fold : fold + 1][:, :, left], n[fold : fold + 1], alpha, tol, most)[0]
+    return w
+
+
+def _inverse(gram: np.ndarray) -> np.ndarray | None:
+    """The inverse, or none where rounding would tell in it."""
+    try:
+        inverse = np.linalg.inv(gram)
+    except np.linalg.LinAlgError:
+        return None
+    condition = np.abs(gram).sum(0).max() * np.abs(inverse).sum(0).max()
+    return inverse if condition < 1e9 else None
+
+
+def _by_signs(inverse: np.ndarray, xy: np.ndarray, weight: float, most: int = 50) -> np.ndarray:
+    """Coefficients (``p x problems``) of Lasso problems with one matrix of products.
+
+    ``w = inverse (xy - weight s)`` with ``s`` the sign of each coefficient, or a number within -1 .. 1 where it is 0. Given which are 0 and
+    the others' signs, at first those without penalty, ``s`` follows from a small linear system; coefficients that come out with the other sign are 0 next,
+    and zeros whose ``s`` is beyond 1 get that sign, until nothing changes, which is the minimum. Problems that don't get there in ``most`` rounds have NaN.
+    """
+    plain = inverse @ xy
+    w, s, at = np.full(xy.shape, np.nan), np.sign(plain), np.arange(xy.shape[1])
+    for _ in range(most):
+        zero, v = s == 0, plain - weight * (inverse @ s)
+        new = np.where(v * s < 0, 0, s)
+        k = zero.sum(0)
+        if k.any():
+            rows = np.argsort(~zero, axis=0, kind="stable")[: k.max()].T
+            held = np.arange(rows.shape[1]) < k[:, None]
+            systems = np.where(held[:, :, None] & held[:, None], inverse[rows[:, :, None], rows[:, None]], np.eye(rows.shape[1]))
+            free = np.linalg.solve(systems, np.where(held, np.take_along_axis(v.T, rows, 1), 0)[:, :, None])[..., 0]
+            within = np.zeros(s.shape)
+            within[rows[held], np.nonzero(held)[0]] = free[held]
+            v = np.where(zero, 0, v - inverse @ within)
+            new = np.where(zero, np.sign(within) * (np.abs(within) > weight), np.where(v * s < 0, 0, s))
+        same = (new == s).all(0)
+        w[:, at[same]] = v[:, same]
+        if same.all():
+            break
+        s, plain, at = new[:, ~same], plain[:, ~same], at[~same]
+    return w
+
+
+def _by_path(gram: np.ndarray, xy: np.ndarray, weight: float) -> np.ndarray:
+    """As ``_by_signs`` without an inverse: from the penalty that leaves nothing down to ``weight``, past each one at which a coefficient comes in or goes out.
+
+    Between these, coefficients are linear in the penalty. What doesn't end on a minimum, as with equal features, is NaN.
+    """
+    p, m = xy.shape
+    w, c, at = np.zeros((m, p)), xy.T.copy(), np.arange(m)
+    high = np.abs(c).max(1)
+    active, going, out = np.abs(c) >= high[:, None], high > weight, np.zeros((m, p))
+    for _ in range(8 * p):
+        w, c, active, high, at = (v[going] for v in (w, c, active, high, at))
+        if not len(at):
+            break
+        each, s = np.arange(len(at)), np.where(active, np.sign(c), 0)
+        k = active.sum(1)
+        rows = np.argsort(~active, axis=1, kind="stable")[:, : k.max()]
+        held = np.arange(rows.shape[1]) < k[:, None]
+        systems = gram[rows[:, :, None], rows[:, None]]
+        systems[~(held[:, :, None] & held[:, None])] = 0
+        systems[:, np.arange(rows.shape[1]), np.arange(rows.shape[1])] += ~held
+        try:
+            found = np.linalg.solve(systems, np.where(held, np.take_along_axis(s, rows, 1), 0)[:, :, None])[..., 0]
+        except np.linalg.LinAlgError:
+            break
+        d = np.zeros(w.shape)
+        d[np.nonzero(held)[0], rows[held]] = found[held]
+        a = d @ gram
+        with np.errstate(divide="ignore", invalid="ignore"):
+            steps = np.where(active, -w / d, np.minimum(*(np.where(r > 1e-12, q / r, np.inf) for q, r in ((high[:, None] - c, 1 - a), (high[:, None] + c, 1 + a)))))
+        steps[~(steps > 1e-12 * high[:, None])] = np.inf
+        j = steps.argmin(1)
+        step = np.minimum(steps[each, j], high - weight)
+        w, c, high = w + step[:, None] * d, c - step[:, None] * a, high - step
+        going = steps[each, j] < high + step - weight
+        leaves = going & active[each, j]
+        w[each[leaves], j[leaves]] = 0
+        active[each[going], j[going]] ^= True
+        out[at] = w
+    rest = xy.T - out @ gram
+    wrong = np.where(out != 0, np.abs(rest - weight * np.sign(out)), np.abs(rest) - weight).max(1) > 1e-6 * weight
+    out[wrong] = np.nan
+    return out.T
+
+
+def _descended(grams: np.ndarray, xy: np.ndarray, n: np.ndarray, alpha: float, tol: float, most: int) -> np.ndarray:
+    """As ``stacked_lasso``; a step moves one feature of all problems, and a problem that has converged stays."""
     w = np.zeros_like(xy)
     diag = np.diagonal(grams, axis1=1, axis2=2)
     active = np.ones((len(xy), xy.shape[2]), bool)
@@ -209,17 +310,7 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, tol: float = 1e-4, most: i
     """``coefficients, intercept`` that minimise half the mean squared error plus alpha times the absolute coefficients."""
     mx, my = x.mean(0), y.mean()
     x, y = x - mx, y - my
-    gram, xy, n = x.T @ x, x.T @ y, len(y)
-    w = np.zeros(x.shape[1])
-    for _ in range(most):
-        largest = 0.0
-        for j in np.flatnonzero(np.diag(gram) > 0):
-            r = xy[j] - gram[j] @ w + gram[j, j] * w[j]
-            new = np.sign(r) * max(abs(r) - alpha * n, 0) / gram[j, j]
-            largest = max(largest, abs(new - w[j]))
-            w[j] = new
-        if largest <= tol * max(np.abs(w).max(initial=0), 1e-300):
-            break
+    w = stacked_lasso((x.T @ x)[None], (x.T @ y)[None, :, None], np.array([len(y)]), alpha, tol, most)[0, :, 0]
     return w, float(my - mx @ w)
 
 
