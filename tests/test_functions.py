@@ -295,3 +295,20 @@ def test_stacked_lassos_end_on_the_minimum():
     twice = np.column_stack([x, x, np.zeros(n)])
     both = linmod.stacked_lasso((twice.T @ twice)[None], (twice.T @ y)[None], np.array([n]), 1e-2)[0]
     assert np.allclose(twice @ both, x @ w, atol=1e-3)
+
+
+def test_folded_discriminants_are_those_of_each_fold():
+    """With gaps about a fold, folds without training rows of a class, and one fold of all rows."""
+    rng = np.random.default_rng(5)
+    x, ones = rng.normal(size=(40, 6)), rng.random((30, 40)) < 0.5
+    ones[0] = np.arange(40) < 4
+    trained = np.ones((9, 40), bool)
+    for fold in range(8):
+        trained[fold, max(fold * 5 - 2, 0) : fold * 5 + 7] = False
+    for priors, target in ((None, "identity"), ((0.5, 0.5), "diagonal")):
+        w, b, fit = linmod.folded_lda(x, ones, trained, priors, target)
+        assert not fit[0, 0] and fit[1:].all()
+        for fold, train in enumerate(trained):
+            for perm in np.flatnonzero(fit[:, fold]):
+                there, at = linmod.stacked_lda(x, ones[perm : perm + 1], train[None], priors, target)
+                assert np.allclose(w[perm, fold], there[0], atol=1e-10) and abs(b[perm, fold] - at[0]) < 1e-10

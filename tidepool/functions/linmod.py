@@ -85,12 +85,13 @@ def _discriminants(classes: list[tuple], priors: tuple[float, float] | None, tar
     ``norms``: mean squared length of standardised rows, squared; ``quartic``: their mean fourth powers, summed over features; the rest is Ledoit and Wolf's.
     """
     total = classes[0][0] + classes[1][0]
-    cov, floor = 0.0, 0.0
+    cov, floor = np.zeros(classes[0][2].shape), 0.0
     for i, (n, _, s, norms, quartic) in enumerate(classes):
         share = priors[i] if priors else n / total
         v = np.diagonal(s, axis1=1, axis2=2)
         sd2 = np.where(v > 0, v, 1.0)
-        c2 = (s * s / (sd2[:, :, None] * sd2[:, None])).sum((1, 2))
+        g = 1 / sd2
+        c2 = (g * np.matmul(s * s, g[:, :, None])[..., 0]).sum(1)
         diag = v / sd2
         if target == "identity":
             mu = diag.mean(1)
@@ -99,16 +100,17 @@ def _discriminants(classes: list[tuple], priors: tuple[float, float] | None, tar
             noise, distance = norms - c2 - (quartic - (diag * diag).sum(1)), c2 - (diag * diag).sum(1)
         apart = distance > 1e-12
         intensity = np.where(apart, np.clip(noise / n / np.where(apart, distance, 1), 0, 1), 1.0)
-        part = (1 - intensity)[:, None, None] * s
         at = np.arange(v.shape[1])
-        part[:, at, at] += intensity[:, None] * (mu[:, None] * sd2 if target == "identity" else v)
-        cov = cov + np.broadcast_to(share, n.shape)[:, None, None] * part
+        share = np.broadcast_to(share, n.shape)
+        part = (share * (1 - intensity))[:, None, None] * s
+        part[:, at, at] += (share * intensity)[:, None] * (mu[:, None] * sd2 if target == "identity" else v)
+        cov += part
         floor = floor + share * intensity * ((mu if target == "identity" else 1.0) * (sd2 if target == "identity" else v).min(1))
     (n0, m0, *_), (n1, m1, *_) = classes
     d = m1 - m0
     sound = floor > 1e-10 * np.diagonal(cov, axis1=1, axis2=2).max(1)
     w = np.empty_like(d)
-    w[sound] = np.linalg.solve(cov[sound], d[sound][:, :, None])[..., 0]
+    w[sound] = np.linalg.solve(cov if sound.all() else cov[sound], d[sound][:, :, None])[..., 0]
     for i in np.flatnonzero(~sound):
         w[i] = np.linalg.lstsq(cov[i], d[i], rcond=None)[0]
     ratio = np.log(priors[1] / priors[0]) if priors else np.log(n1 / n0)
@@ -120,6 +122,10 @@ def _positive(v: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where(v > 1e-13 * np.maximum(second, 1e-300), v, 0.0)
 
 
+#: Numbers in the covariances that ``folded_lda`` solves at once, so that they stay near the processor.
+FOLDED = 160_000
+
+
 def stacked_lda(x: np.ndarray, ones: np.ndarray, train: np.ndarray, priors: tuple[float, float] | None = None, target: str = "identity") -> tuple[np.ndarray, np.ndarray]:
     """``coefficients, intercepts`` of ``lda`` with ``auto`` shrinkage for each row of ``train``, which marks its rows of x, and of ``ones``, their classes.
 
@@ -147,6 +153,46 @@ def stacked_lda(x: np.ndarray, ones: np.ndarray, train: np.ndarray, priors: tupl
     return w, intercept - w @ center
 
 
+def folded_lda(x: np.ndarray, ones: np.ndarray, trained: np.ndarray, priors: tuple[float, float] | None = None, target: str = "identity") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``coefficients, intercepts, fitted`` (``permutations x folds``) of ``stacked_lda`` for each row of ``ones`` and of ``trained``; what has no two classes isn't fitted.
+
+    A fold's sums are those of all rows less its own, so a permutation's products are summed once for all folds.
+    """
+    x = x - (center := x.mean(0))
+    p, perms, marks = x.shape[1], len(ones), ones.astype(float)
+    at, square = np.arange(p), x * x
+    products = (x[:, :, None] * x[:, None]).reshape(len(x), -1)
+    fit = np.array([(ones @ trained.T) > 0, (~ones @ trained.T) > 0, np.broadcast_to(trained.sum(1) >= 3, (perms, len(trained)))]).all(0)
+    w, b = np.zeros((perms, len(trained), p)), np.zeros((perms, len(trained)))
+    all_rows, all_ones, some = products.sum(0), marks @ products, max(FOLDED // (p * p), 1)
+    for fold, train in enumerate(trained):
+        away = np.flatnonzero(~train)
+        held, kept, kept_square = products[away], x[train], square[train]
+        whole, fitted = all_rows - held.sum(0), np.flatnonzero(fit[:, fold])
+        for lo in range(0, len(fitted), some):
+            mine = fitted[lo : lo + some]
+            first = marks[mine][:, away] @ held
+            np.subtract(all_ones[mine], first, out=first)
+            positive = marks[mine][:, train]
+            classes = []
+            for s, weight in ((whole - first, 1 - positive), (first, positive)):
+                count, s = weight.sum(1), s.reshape(-1, p, p)
+                s /= count[:, None, None]
+                m, second = weight @ kept / count[:, None], s[:, at, at]
+                s -= m[:, :, None] * m[:, None]
+                v = s[:, at, at] = _positive(s[:, at, at], second)
+                g = 1 / np.where(v > 0, v, 1.0)
+                r = g @ kept_square.T - 2 * (m * g) @ kept.T + (m * m * g).sum(1)[:, None]
+                quartic = 0.0
+                if target != "identity":
+                    third, fourth = weight @ (kept_square * kept) / count[:, None], weight @ (kept_square * kept_square) / count[:, None]
+                    quartic = (g * g * (fourth - 4 * m * third + 6 * m * m * second - 3 * m**4)).sum(1)
+                classes.append((count, m, s, (weight * r * r).sum(1) / count, quartic))
+            made, intercept = _discriminants(classes, priors, target)
+            w[mine, fold], b[mine, fold] = made, intercept - made @ center
+    return w, b, fit
+
+
 def left_out_lda(x: np.ndarray, own: Moments, other: Moments, one: bool, priors: tuple[float, float] | None = None, target: str = "identity") -> np.ndarray:
     """Each row's log odds by the discriminant of all rows but it, from its class's moments less the row's own products; ``one``: whether the rows are of the positive class."""
     p = x.shape[1]

@@ -18,8 +18,6 @@ from tidepool.functions.quantiles import clopper_pearson
 #: Permutations that one task makes, so a group's matrix goes to the tasks once for so many: of models that are fitted one by one, and of those that are solved together.
 BATCH = 20
 STACKED_BATCH = 200
-#: Problems that are solved together.
-TOGETHER = 128
 LASSO_ALPHA = 1e-4
 #: Rows of a group in one task of ``left_out``; of larger groups tasks add up moments first.
 GROUP_ROWS = 20_000
@@ -117,18 +115,11 @@ def _trained(n: int, folds: list[np.ndarray], gap: int) -> np.ndarray:
 def _stacked_discriminants(x: np.ndarray, truths: np.ndarray, folds: list[np.ndarray], gap: int, priors, target: str) -> np.ndarray:
     """Out-of-fold probabilities, ``permutations x rows``; standardised by all rows or by a fold's, these discriminants are the same."""
     z, trained = _standardised(x), _trained(len(x), folds, gap)
-    fold_of = np.repeat(np.arange(len(folds)), [len(f) for f in folds])
     out = np.full(truths.shape, np.nan)
-    pairs = [(perm, fold) for perm in range(len(truths)) for fold in range(len(folds))]
-    for lo in range(0, len(pairs), TOGETHER):
-        perm, fold = np.array(pairs[lo : lo + TOGETHER]).T
-        ones, train = truths[perm] == 1, trained[fold]
-        fit = ((train & ones).sum(1) > 0) & ((train & ~ones).sum(1) > 0) & (train.sum(1) >= 3)
-        w, b = linmod.stacked_lda(z, ones[fit], train[fit], priors, target) if fit.any() else (np.zeros((0, x.shape[1])), np.zeros(0))
-        odds = w @ z.T + b[:, None]
-        held = fold_of == fold[fit][:, None]
-        at = np.nonzero(held)
-        out[perm[fit][at[0]], at[1]] = 1 / (1 + np.exp(-np.clip(odds[held], -700, 700)))
+    w, b, fitted = linmod.folded_lda(z, truths == 1, trained, priors, target)
+    for f, test in enumerate(folds):
+        odds = w[:, f] @ z[test].T + b[:, f, None]
+        out[:, test] = np.where(fitted[:, f, None], 1 / (1 + np.exp(-np.clip(odds, -700, 700))), np.nan)
     return out
 
 
@@ -154,12 +145,18 @@ def _stacked_lassos(x: np.ndarray, truths: np.ndarray, folds: list[np.ndarray],
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _orders(seed: int, first: int, end: int, n: int) -> np.ndarray:
+    """Permutations ``first .. end`` of ``n`` rows, which groups of a size share; number 0 leaves them in order."""
+    return np.array([np.random.default_rng([seed, perm]).permutation(n) if perm else np.arange(n) for perm in range(first, end)]).reshape(end - first, n)
+
+
 def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutations: int, folds: int, gap: int, seed: int, scaling: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A batch's permutations, and of each its labels and out-of-fold scores."""
     size = _batch_size(model)
     parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
     perms = np.arange(batch * size, min((batch + 1) * size, permutations + 1))
-    truths = np.array([np.random.default_rng([seed, perm]).permutation(truth) if perm else truth for perm in perms]).reshape(len(perms), len(truth))
+    truths = truth[_orders(seed, perms[0], perms[-1] + 1, len(truth))] if len(perms) else np.empty((0, len(truth)))
     if model in DISCRIMINANTS:
         return perms, truths, _stacked_discriminants(m, truths, parts, gap, *DISCRIMINANTS[model])
     if model == "lasso":
@@ -362,8 +359,10 @@ def linear_shap(coefs: Column, x: Column, means: Column) -> Column:
     return F.zip_with(F.zip_with(x, means, lambda a, m: a - m), coefs, lambda d, c: d * c)
 
 
-def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", permutations: int = 0, seed: int = 0) -> DataFrame:
-    """``permutation, order, truth, score``: fitted on one table, scaled by it, applied to another; permutations shuffle the training labels."""
+def _transferred(
+    train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str, permutations: int, seed: int, made: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str
+) -> DataFrame:
+    """What ``made`` has of a group's held rows, a batch's permutations, truths and scores (``permutations x rows``)."""
     kinds = dict(train.dtypes)
     fit = MODELS[model]
     size = STACKED_BATCH if model in DISCRIMINANTS else BATCH
@@ -372,28 +371,47 @@ def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y:
         batch = int(rows["_batch"].iloc[0])
         _, a, own = _matrix(rows[~rows["is_test"]], x, y, order)
         held, b, truth = _matrix(rows[rows["is_test"]], x, y, order)
-        z, there, made = _standardised(a), _standardised(b, a), []
-        perms = range(batch * size, min((batch + 1) * size, permutations + 1))
-        labels = np.array([np.random.default_rng([seed, perm]).permutation(own) if perm else own for perm in perms]).reshape(len(perms), len(own))
+        z, there = _standardised(a), _standardised(b, a)
+        perms = np.arange(batch * size, min((batch + 1) * size, permutations + 1))
+        labels = own[_orders(seed, batch * size, batch * size + len(perms), len(own))]
         if len(np.unique(own)) < 2:
             scores = np.full((len(perms), len(b)), np.nan)
         elif model in DISCRIMINANTS:
             priors, target = DISCRIMINANTS[model]
-            w, c = linmod.stacked_lda(z, labels == 1, np.ones(labels.shape, bool), priors, target)
-            scores = 1 / (1 + np.exp(-np.clip(w @ there.T + c[:, None], -700, 700)))
+            w, c, _ = linmod.folded_lda(z, labels == 1, np.ones((1, len(z)), bool), priors, target)
+            scores = 1 / (1 + np.exp(-np.clip(w[:, 0] @ there.T + c, -700, 700)))
         else:
             scores = np.array([fit(z, t)(there) for t in labels]).reshape(len(perms), len(b))
-        for perm, score in zip(perms, scores, strict=True):
-            made.append(pd.DataFrame({**{g: held[g].to_numpy() for g in group}, "permutation": perm, order: held[order].to_numpy(), "truth": truth, "score": score}))
-        return pd.concat(made)
+        return made(held, perms, truth, scores)
 
     both = train.select(*group, order, x, y, F.lit(False).alias("is_test")).unionByName(test.select(*group, order, x, y, F.lit(True).alias("is_test")))
     sides = both.groupBy(*group).agg(F.countDistinct("is_test").alias("_s")).where("_s = 2").select(*group)
     both = both.where(F.col(y).isNotNull()).join(sides, list(group), "left_semi")
-    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"permutation int, {order} {kinds[order]}, truth double, score double"])
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], schema])
     return dealt(_batched(both, permutations, size), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
 
 
+def transfer(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", permutations: int = 0, seed: int = 0) -> DataFrame:
+    """``permutation, order, truth, score``: fitted on one table, scaled by it, applied to another; permutations shuffle the training labels."""
+
+    def made(held: pd.DataFrame, perms: np.ndarray, truth: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        n = len(perms)
+        keys = {g: np.tile(held[g].to_numpy(), n) for g in group}
+        return pd.DataFrame({**keys, "permutation": np.repeat(perms, len(held)), order: np.tile(held[order].to_numpy(), n), "truth": np.tile(truth, n), "score": scores.ravel()})
+
+    return _transferred(train, test, group, x, y, order, model, permutations, seed, made, f"permutation int, {order} {dict(train.dtypes)[order]}, truth double, score double")
+
+
+def transfer_areas(train: DataFrame, test: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", permutations: int = 0, seed: int = 0) -> DataFrame:
+    """``permutation, auc`` of ``transfer``, whose scores stay in the task that makes them; null where the other table has one class."""
+
+    def made(held: pd.DataFrame, perms: np.ndarray, truth: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{g: [held[g].iloc[0]] * len(perms) for g in group}, "permutation": perms, "auc": [linmod.auc(truth, s) for s in scores]})
+
+    out = _transferred(train, test, group, x, y, order, model, permutations, seed, made, "permutation int, auc double")
+    return out.withColumn("auc", F.when(~F.isnan("auc"), F.col("auc")))
+
+
 @F.pandas_udf(StructType().add("low", DoubleType()).add("high", DoubleType()))
 def share_limits(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Clopper-Pearson limits, rounded to 3 digits; those of each distinct share are computed once in a batch."""
