@@ -319,3 +319,14 @@ def test_coefficients_of_all_folds_together(spark):
     got = made.toPandas().pivot(index="fold", columns="name", values="coefficient").to_numpy()
     z = (m - m.mean(0)) / m.std(0)
     assert np.allclose(got, [linmod.lasso(np.delete(z, i, 0), np.delete(t, i).astype(float), 1e-4)[0] for i in range(70)], atol=1e-9)
+
+
+def test_areas_of_a_transfer_leave_one_row_for_a_permutation(spark):
+    """They are those of its scores; a group whose other table has one class has none."""
+    rows = spark.range(60).selectExpr("id % 3 g", "id i", "array(sin(id), cos(id * id), id % 7 / 1e0) x", "cast(id % 2 as int) y")
+    train, test = rows.where("i < 36"), rows.where("i >= 36 and (g < 2 or y = 1)")
+    areas = models.transfer_areas(train, test, ["g"], "x", "y", "i", permutations=230)
+    scored = models.transfer(train, test, ["g"], "x", "y", "i", permutations=230)
+    assert areas.count() == 3 * 231 and areas.where("auc is null").select("g").distinct().collect() == [(2,)]
+    both = areas.join(agg.auc(scored, ["g", "permutation"], "truth", "score").withColumnRenamed("auc", "there"), ["g", "permutation"])
+    assert both.count() == 3 * 231 and both.where("not auc <=> there").isEmpty()
