@@ -330,3 +330,12 @@ def test_areas_of_a_transfer_leave_one_row_for_a_permutation(spark):
     assert areas.count() == 3 * 231 and areas.where("auc is null").select("g").distinct().collect() == [(2,)]
     both = areas.join(agg.auc(scored, ["g", "permutation"], "truth", "score").withColumnRenamed("auc", "there"), ["g", "permutation"])
     assert both.count() == 3 * 231 and both.where("not auc <=> there").isEmpty()
+
+
+def test_swarm_makes_its_models_once(spark):
+    """The query's plan fits its models in one place, and marks permutation 0."""
+    plan = QUERIES["v6_swarm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+    areas = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, 0.4)], "g long, permutation int, auc double")
+    other = plotdata.swarm(areas.where("permutation > 0"), areas.where("permutation = 0"), ["g"], "auc")
+    assert sorted(plotdata.swarm_among(areas, ["g"], "auc").collect()) == sorted(other.collect())

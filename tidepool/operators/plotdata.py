@@ -105,6 +105,11 @@ def swarm(null: DataFrame, observed: DataFrame, group: Sequence[str], stat: str)
     return null.select(*group, stat, F.lit(False).alias("is_model")).unionByName(observed.select(*group, stat, F.lit(True).alias("is_model")))
 
 
+def swarm_among(df: DataFrame, group: Sequence[str], stat: str, permutation: str = "permutation") -> DataFrame:
+    """As ``swarm`` of one table, permutation 0 being the model, so what makes it runs once."""
+    return df.select(*group, stat, (F.col(permutation) == 0).alias("is_model"))
+
+
 def heatmap(coefs: DataFrame, group: Sequence[str], name: str = "name", value: str = "coefficient") -> DataFrame:
     """Mean absolute coefficients, scaled to -1 .. 1 in each group."""
     means = coefs.groupBy(*group, name).agg(F.avg(F.abs(value)).alias("mean_abs"))
