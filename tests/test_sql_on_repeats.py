@@ -28,3 +28,12 @@ def test_values_that_equal_the_mean_are_no_bout(spark, tmp_path):
     found = QUERIES["e7_bouts"](spark, d)
     assert found.where("user_id >= 100 and bouts > 0").isEmpty() and found.where("user_id >= 100").count() == 30
     assert_same(found, connection(d), SQL["e7_bouts"])
+
+
+def test_what_rounds_to_zero_has_no_sign(spark, tmp_path):
+    d = with_events(tmp_path, f"select * replace (value / 1e6 as value) from '{SF}/events.parquet'")
+    for name, key in (("h13_least_squares", "user_id"), ("h14_designs", "user_id, kind")):
+        expected = connection(d).sql(f"select samples from ({SQL[name]}) order by {key}").fetchall()
+        found = QUERIES[name](spark, d).orderBy(*key.split(", ")).select("samples").collect()
+        assert "0.0, " in str(expected), name
+        assert [str(list(r[0])) for r in found] == [str(r[0]) for r in expected], name
