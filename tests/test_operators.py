@@ -186,6 +186,25 @@ def test_streams_equal_batches(spark):
     assert np.allclose([got[user, t] for t, _ in own], expected)
 
 
+def test_outlines_deal_a_large_group_to_many_tasks(spark):
+    """A group's values are joined with its statistics in parts, not in a task each; medians take counts of values."""
+    df = spark.range(4000).select(F.lit("a").alias("g"), (F.col("id") % 500).cast("double").alias("x"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = agg.joined_in_parts(df, df.groupBy("g").agg(F.max("x").alias("top")), ["g"], "x")
+        assert rows.where("top = 499").count() == 4000 and rows.select(F.spark_partition_id()).distinct().count() == 4
+        for kind in ("even", "auto", "kernel", "bin_kernel"):
+            plan = plotdata.violins(df, ["g"], "x", kind)._jdf.queryExecution().executedPlan().toString()
+            assert "_part#" in plan, kind
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    counts = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("a", 9.0, 2)], "g string, v double, c int")
+    assert agg.percentiles(counts, ["g"], "v", {"m": 0.5, "q": 0.75}, weight="c").first()[1:] == (1.5, 7.25)
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 2, 3])
 def test_selection_of_hot_groups(spark, rounds):
     """Percentiles by rounds of selection: a group with most rows, heavy ties, huge ranges, one value, nulls; as NumPy's."""

@@ -40,18 +40,19 @@ def _narrowed(values: DataFrame, keys: Sequence[str], group: Sequence[str], valu
     return ranged.drop("_base").join(kept, [*keys, name]).withColumnRenamed("_b", "_base")
 
 
-def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mapping[str, Column], *more: str, rounds: int | None = None) -> DataFrame:
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mapping[str, Column], *more: str, rounds: int | None = None, weight: str | None = None) -> DataFrame:
     """The values at places in each group's order, interpolated: ``at`` has them from 0, as expressions of ``_n``, the values that are there.
 
     Values are counted before they are shuffled. Rounds of selection (see ``_narrowed``) keep only the values about the places, some 1 / ``SELECT_RANGES`` of them for each
     place and round, so no task sorts a large group; ``rounds`` None: none for inputs that are estimated below ``SELECT_BYTES``. A window adds up the counts of
-    what is left, and one aggregation picks the values at the places; ``_n`` and ``_distinct`` come too if ``more`` names them.
+    what is left, and one aggregation picks the values at the places; ``_n`` and ``_distinct`` come too if ``more`` names them. A row stands for as many
+    values as ``weight`` says, a whole number from 1 on.
     """
     if not group:
-        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, at, *more, rounds=rounds).drop("_all")
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, at, *more, rounds=rounds, weight=weight).drop("_all")
     if rounds is None:
         rounds = SELECT_ROUNDS if _estimated_bytes(df.select(*group, value)) > SELECT_BYTES else 0
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_k"))
     totals = counts.groupBy(*group).agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
     places = [p for place in at.values() for p in (F.floor(place), F.least(F.floor(place) + 1, F.col("_n") - 1))]
     wanted, keys = totals.select(*group, F.array(*[p.cast("long") for p in places]).alias("_places")), list(group)
@@ -70,11 +71,11 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, at: Mappin
     return picked.select(*group, *more, *[c.alias(n) for n, c in places.items()])
 
 
-def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Mapping[str, float], approx: bool = False, rounds: int | None = None) -> DataFrame:
-    """Exact (or approximate) percentiles of each group, interpolated between the values about them; ``rounds``: see ``order_statistics``."""
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Mapping[str, float], approx: bool = False, rounds: int | None = None, weight: str | None = None) -> DataFrame:
+    """Exact (or approximate) percentiles of each group, interpolated between the values about them; ``rounds``, ``weight``: see ``order_statistics``."""
     if approx:
         return df.groupBy(*group).agg(*[F.percentile_approx(value, p, 10_000).alias(n) for n, p in shares.items()])
-    return order_statistics(df, group, value, {n: (F.col("_n") - 1) * F.lit(p) for n, p in shares.items()}, rounds=rounds)
+    return order_statistics(df, group, value, {n: (F.col("_n") - 1) * F.lit(p) for n, p in shares.items()}, rounds=rounds, weight=weight)
 
 
 def joined(df: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -82,6 +83,12 @@ def joined(df: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
     return df.join(stats, list(group), "left") if group else df.join(F.broadcast(stats), how="left")
 
 
+def joined_in_parts(df: DataFrame, stats: DataFrame, group: Sequence[str], by: str, parts: int = 32) -> DataFrame:
+    """Rows with their group's statistics, of few columns; none where a group has none. A group's rows are dealt to many tasks, by ``by``: a few large groups would else be sorted in a task each."""
+    copies = stats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(copies, [*group, "_part"]).drop("_part")
+
+
 def with_stats(df: DataFrame, group: Sequence[str], **stats: Column) -> DataFrame:
     """Rows with their group's aggregates."""
     found = df.groupBy(*group).agg(*[c.alias(k) for k, c in stats.items()])

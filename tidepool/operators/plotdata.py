@@ -54,7 +54,7 @@ def violins(df: DataFrame, group: Sequence[str], value: str, kind: str = "even",
     elif kind != "kernel":
         raise ValueError(f"no such kind: {kind}")
     if kind in ("even", "auto"):
-        rows = agg.joined(counts, stats, group).withColumn("step", F.when(size > 0, size / F.col("bins")).otherwise(1.0))
+        rows = agg.joined_in_parts(counts, stats, group, "_v").withColumn("step", F.when(size > 0, size / F.col("bins")).otherwise(1.0))
         at = F.least(F.floor((F.col("_v") - F.col("_a")) / F.col("step")), F.col("bins") - 1).cast("int")
         middle = F.when(size > 0, F.col("_a") + (at + 0.5) * F.col("step")).otherwise(F.col("_v"))
         binned = rows.where(~F.col("discrete")).select(*group, at.alias("point"), middle.alias("center"), "step", "_c")
@@ -66,9 +66,9 @@ def violins(df: DataFrame, group: Sequence[str], value: str, kind: str = "even",
         values = values.withColumn("step", F.coalesce(F.min("_gap").over(Window.partitionBy(*group)), F.lit(1.0)))
         return found.unionByName(values.select(*group, "point", F.col("_v").alias("center"), F.col("_c").cast("double").alias("n"), "step"))
     if kind == "kernel":
-        middle = agg.percentiles(known, group, "_v", {"_m": 0.5})
-        off = agg.joined(known, middle, group).withColumn("_off", F.abs(F.col("_v") - F.col("_m")))
-        stats = agg.joined(stats, agg.percentiles(off, group, "_off", {"_mad": 0.5}), group)
+        middle = agg.percentiles(counts, group, "_v", {"_m": 0.5}, rounds=0, weight="_c")
+        off = agg.joined_in_parts(counts, middle, group, "_v").select(*group, F.abs(F.col("_v") - F.col("_m")).alias("_off"), "_c")
+        stats = agg.joined(stats, agg.percentiles(off, group, "_off", {"_mad": 0.5}, rounds=0, weight="_c"), group)
         sd = F.when(F.col("_mad") > 0, F.col("_mad") / 0.6745).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
         stats = stats.withColumn("_w", sd * F.pow(4 / (3 * F.col("_n")), F.lit(0.2)))
         first, last, steps = F.col("_a") - 3 * F.col("_w"), F.col("_b") + 3 * F.col("_w"), F.lit(points - 1)
@@ -76,13 +76,13 @@ def violins(df: DataFrame, group: Sequence[str], value: str, kind: str = "even",
     else:
         bin_size = F.when(size > 0, size / F.col("bins")).otherwise(0.1)
         stats = stats.withColumns({"step": bin_size / 3, "_w": bin_size / 1.5, "_first": F.col("_a") - bin_size, "_steps": (3 * F.when(size > 0, F.col("bins")).otherwise(0) + 6).cast("int")})
-    laid = agg.joined(counts, stats, group).withColumn("point", F.explode(F.sequence(F.lit(0), F.col("_steps").cast("int"))))
+    laid = agg.joined_in_parts(counts, stats, group, "_v").withColumn("point", F.explode(F.sequence(F.lit(0), F.col("_steps").cast("int"))))
     center = F.col("_first") + F.col("point") * F.col("step")
     z = (center - F.col("_v")) / F.col("_w")
-    heights = laid.groupBy(*group, "point").agg(F.sum(F.col("_c") * F.exp(-z * z / 2)).alias("_h"))
+    own = [F.first(c).alias(c) for c in ("_first", "step", "_n")]  # the same in all of a group's rows
+    heights = laid.groupBy(*group, "point").agg(F.sum(F.col("_c") * F.exp(-z * z / 2)).alias("_h"), *own)
     share = F.col("_h") / F.sum("_h").over(Window.partitionBy(*group))
-    heights = agg.joined(heights.withColumn("_s", share), stats, group)
-    return heights.select(*group, "point", center.alias("center"), (F.col("_s") * F.col("_n")).alias("n"), "step")
+    return heights.select(*group, "point", center.alias("center"), (share * F.col("_n")).alias("n"), "step")
 
 
 def violin_widths(rows: DataFrame, group: Sequence[str], norms: Mapping[str, int]) -> DataFrame:
