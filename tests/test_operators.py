@@ -358,3 +358,25 @@ def test_swarm_makes_its_models_once(spark):
     areas = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, 0.4)], "g long, permutation int, auc double")
     other = plotdata.swarm(areas.where("permutation > 0"), areas.where("permutation = 0"), ["g"], "auc")
     assert sorted(plotdata.swarm_among(areas, ["g"], "auc").collect()) == sorted(other.collect())
+
+
+def test_statistics_of_permutations_taken_together(spark):
+    """Number 0 has no batch of its own at the end; R2 and correlation of all permutations at once equal those of each one's scores, also where some rows or all have none."""
+    assert [r._batch for r in models._batched(spark.range(1), 1000, 200).orderBy("_batch").collect()] == [0, 1, 2, 3, 4]
+    for permutations in (0, 1, 199, 200, 201, 1000):
+        batches = [r._batch for r in models._batched(spark.range(1), permutations, 200).orderBy("_batch").collect()]
+        assert np.concatenate([models._numbers(b, permutations, 200) for b in batches]).tolist() == list(range(permutations + 1))
+    rng = np.random.default_rng(5)
+    rows = [(g, i, [float(v) for v in rng.normal(size=4)], float(rng.normal()) if g else 2.0) for g in range(2) for i in range(24)]
+    rows += [(2, i, [float(i), 1.0, float(i % 2), 0.0], 1.0 if i < 6 else 0.0) for i in range(7)] + [(1, 99, None, 1.0), (1, 98, [1.0] * 4, None)]
+    df = spark.createDataFrame(rows, "g int, i int, x array<double>, y double")
+    found = models.statistics(df.repartition(5), ["g"], "x", "y", "i", "lasso", "regression", folds=4, permutations=230).toPandas().set_index(["g", "permutation"])
+    scored = models.cross_validated(df, ["g"], "x", "y", "i", "lasso", folds=4, permutations=230).toPandas()
+    assert len(found) == 3 * 231 and found.loc[0].r2.isna().all() and scored[scored.g == 2].score.isna().any() and found.loc[2].rmse.notna().any()
+    for key, own in scored.groupby(["g", "permutation"]):
+        t, s = own.sort_values("i")[["truth", "score"]].dropna().to_numpy().T
+        expected = (1 - ((t - s) ** 2).sum() / ((t - t.mean()) ** 2).sum(), np.sqrt(((t - s) ** 2).mean())) if len(t) and np.ptp(t) else (np.nan, np.sqrt(((t - s) ** 2).mean()) if len(t) else np.nan)
+        assert np.allclose(found.loc[key, ["r2", "rmse"]].astype(float), expected, atol=1e-9, equal_nan=True), key
+    t, s = rng.normal(size=(2, 3, 9))
+    assert np.allclose(np.transpose(models._quality(t, s)), [models._quality(a, b) for a, b in zip(t, s, strict=True)], rtol=0, atol=0)
+    assert np.allclose(models._quality(t, s)[2], [np.corrcoef(a, b)[0, 1] for a, b in zip(t, s, strict=True)])

@@ -266,27 +266,29 @@ def _by_signs(inverse: np.ndarray, xy: np.ndarray, weight: float, most: int = 50
     the others' signs, at first those without penalty, ``s`` follows from a small linear system; coefficients that come out with the other sign are 0 next,
     and zeros whose ``s`` is beyond 1 get that sign, until nothing changes, which is the minimum. Problems that don't get there in ``most`` rounds have NaN.
     """
-    plain = inverse @ xy
-    w, s, at = np.full(xy.shape, np.nan), np.sign(plain), np.arange(xy.shape[1])
+    back = inverse.T
+    plain = xy.T @ back
+    w, s, at = np.full(plain.shape, np.nan), np.sign(plain), np.arange(len(plain))
     for _ in range(most):
-        zero, v = s == 0, plain - weight * (inverse @ s)
-        new = np.where(v * s < 0, 0, s)
-        k = zero.sum(0)
+        zero, v = s == 0, plain - weight * (s @ back)
+        k = zero.sum(1)
         if k.any():
-            rows = np.argsort(~zero, axis=0, kind="stable")[: k.max()].T
+            rows = np.argsort(~zero, axis=1, kind="stable")[:, : k.max()]
             held = np.arange(rows.shape[1]) < k[:, None]
             systems = np.where(held[:, :, None] & held[:, None], inverse[rows[:, :, None], rows[:, None]], np.eye(rows.shape[1]))
-            free = np.linalg.solve(systems, np.where(held, np.take_along_axis(v.T, rows, 1), 0)[:, :, None])[..., 0]
+            free = np.linalg.solve(systems, np.where(held, np.take_along_axis(v, rows, 1), 0)[:, :, None])[..., 0]
             within = np.zeros(s.shape)
-            within[rows[held], np.nonzero(held)[0]] = free[held]
-            v = np.where(zero, 0, v - inverse @ within)
+            within[np.nonzero(held)[0], rows[held]] = free[held]
+            v = np.where(zero, 0, v - within @ back)
             new = np.where(zero, np.sign(within) * (np.abs(within) > weight), np.where(v * s < 0, 0, s))
-        same = (new == s).all(0)
-        w[:, at[same]] = v[:, same]
+        else:
+            new = np.where(v * s < 0, 0, s)
+        same = (new == s).all(1)
+        w[at[same]] = v[same]
         if same.all():
             break
-        s, plain, at = new[:, ~same], plain[:, ~same], at[~same]
-    return w
+        s, plain, at = new[~same], plain[~same], at[~same]
+    return w.T
 
 
 def _by_path(gram: np.ndarray, xy: np.ndarray, weight: float) -> np.ndarray:

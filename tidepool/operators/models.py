@@ -97,7 +97,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 def _batched(df: DataFrame, permutations: int, size: int = BATCH) -> DataFrame:
     """Rows once for each batch of permutations."""
-    return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(permutations // size))))
+    return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(max(permutations - 1, 0) // size))))
+
+
+def _numbers(batch: int, permutations: int, size: int) -> np.ndarray:
+    """A batch's permutations: ``size`` of them, and the first batch has number 0 too, so it has no batch of its own at the end."""
+    return np.arange(batch * size + (batch > 0), min((batch + 1) * size, permutations) + 1)
 
 
 #: Discriminants that are solved for all folds and permutations together: priors and what the covariance shrinks to.
@@ -124,24 +129,26 @@ def _stacked_discriminants(x: np.ndarray, truths: np.ndarray, folds: list[np.nda
 
 
 def _stacked_lassos(x: np.ndarray, truths: np.ndarray, folds: list[np.ndarray], gap: int, scaling: str) -> np.ndarray:
-    """Out-of-fold predictions, ``permutations x rows``: a fold's products of features are formed once for all permutations."""
+    """Out-of-fold predictions, ``permutations x rows``: a fold's products of features are formed once for all permutations, and products with the labels once for all folds, less a fold's own rows."""
     trained, out = _trained(len(x), folds, gap), np.full(truths.shape, np.nan)
+    means = truths.mean(1)
+    z, y = _standardised(x), truths.T - means
+    whole = z.T @ y
     kept = [f for f, train in enumerate(trained) if train.sum() >= 3]
     for lo in range(0, len(kept), 64):
-        some, grams, products, scaled = kept[lo : lo + 64], [], [], []
+        some, grams, products, centered = kept[lo : lo + 64], [], [], []
         for f in some:
-            train = trained[f]
-            z = _standardised(x) if scaling == "global" else _standardised(x, x[train])
-            z = z - z[train].mean(0)
-            y = truths[:, train]
-            grams.append(z[train].T @ z[train])
-            products.append(z[train].T @ (y - y.mean(1, keepdims=True)).T)
-            scaled.append(z)
+            train, left = trained[f], ~trained[f]
+            own = z if scaling == "global" else _standardised(x, x[train])
+            center, mean = own[train].mean(0), -y[left].sum(0) / train.sum()
+            own = own - center
+            grams.append(own[train].T @ own[train])
+            products.append(whole - z[left].T @ y[left] - np.outer(center * train.sum(), mean) if scaling == "global" else own[train].T @ y[train])
+            centered.append((own[folds[f]], means + mean))
         w = linmod.stacked_lasso(np.array(grams), np.array(products), trained[some].sum(1), LASSO_ALPHA)
         for i, f in enumerate(some):
-            y = truths[:, trained[f]]
-            made = y.mean(1)[:, None] + (scaled[i][folds[f]] @ w[i]).T
-            out[:, folds[f]] = np.where(np.ptp(y, axis=1)[:, None] > 0, made, np.nan)
+            test, mean = centered[i]
+            out[:, folds[f]] = np.where(np.ptp(truths[:, trained[f]], axis=1)[:, None] > 0, mean[:, None] + (test @ w[i]).T, np.nan)
     return out
 
 
@@ -155,8 +162,8 @@ def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutat
     """A batch's permutations, and of each its labels and out-of-fold scores."""
     size = _batch_size(model)
     parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
-    perms = np.arange(batch * size, min((batch + 1) * size, permutations + 1))
-    truths = truth[_orders(seed, perms[0], perms[-1] + 1, len(truth))] if len(perms) else np.empty((0, len(truth)))
+    perms = _numbers(batch, permutations, size)
+    truths = truth[_orders(seed, perms[0], perms[-1] + 1, len(truth))]
     if model in DISCRIMINANTS:
         return perms, truths, _stacked_discriminants(m, truths, parts, gap, *DISCRIMINANTS[model])
     if model == "lasso":
@@ -192,22 +199,35 @@ def cross_validated(
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
-def _area(truth: np.ndarray, score: np.ndarray) -> tuple[float, ...]:
-    return (linmod.auc(truth, score),)
+def _area(truth: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (np.array([linmod.auc(t, s) for t, s in zip(truth, score, strict=True)]),)
 
 
-def _quality(truth: np.ndarray, score: np.ndarray) -> tuple[float, ...]:
-    """R2, root mean squared error and correlation; those that aren't defined are NaN."""
-    if not len(truth):
-        return np.nan, np.nan, np.nan
-    sse, spread, other = ((truth - score) ** 2).sum(), truth - truth.mean(), score - score.mean()
-    sst, sss = (spread**2).sum(), (other**2).sum()
-    return (1 - sse / sst if sst > 0 else np.nan), np.sqrt(sse / len(truth)), ((spread * other).sum() / np.sqrt(sst * sss) if sst > 0 and sss > 0 else np.nan)
+def _quality(truth: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """R2, root mean squared error and correlation along the last axis; those that aren't defined are NaN."""
+    if not truth.shape[-1]:
+        return (np.full(truth.shape[:-1], np.nan),) * 3
+    sse, spread, other = ((truth - score) ** 2).sum(-1), truth - truth.mean(-1, keepdims=True), score - score.mean(-1, keepdims=True)
+    sst, sss = (spread**2).sum(-1), (other**2).sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2, rho = 1 - sse / sst, (spread * other).sum(-1) / np.sqrt(sst * sss)
+    return np.where(sst > 0, r2, np.nan), np.sqrt(sse / truth.shape[-1]), np.where((sst > 0) & (sss > 0), rho, np.nan)
 
 
 STATISTICS = {"auc": (("auc",), _area), "regression": (("r2", "rmse", "rho"), _quality)}
 
 
+def _measured(truths: np.ndarray, scores: np.ndarray, kind: str) -> np.ndarray:
+    """``statistics x permutations``, over the rows of each that have a score: at once where these are the same ones."""
+    names, measure = STATISTICS[kind]
+    out, known = np.full((len(names), len(truths)), np.nan), ~np.isnan(scores)
+    whole = known.all(1)
+    out[:, whole] = measure(truths[whole], scores[whole])
+    for i in np.nonzero(~whole)[0]:
+        out[:, [i]] = measure(truths[i, known[i]][None], scores[i, known[i]][None])
+    return out
+
+
 def statistics(
     df: DataFrame, group: Sequence[str], x: str, y: str, order: str, model: str = "lda", kind: str = "auc", folds: int = 0, gap: int = 0, permutations: int = 0, seed: int = 0, scaling: str = "global"
 ) -> DataFrame:
@@ -215,16 +235,14 @@ def statistics(
 
     A permutation's predictions stay in the task that makes them; a row for each permutation leaves it. Statistics that aren't defined are null.
     """
-    kinds = dict(df.dtypes)
-    names, measure = STATISTICS[kind]
+    kinds, names = dict(df.dtypes), STATISTICS[kind][0]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         rows, m, truth = _matrix(rows, x, y, order)
         perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling)
-        made = [measure(t[~np.isnan(s)], s[~np.isnan(s)]) for t, s in zip(truths, scores, strict=True)]
         keys = {g: [rows[g].iloc[0]] * len(perms) for g in group}
-        return pd.DataFrame({**keys, "permutation": perms, **dict(zip(names, np.array(made).reshape(-1, len(names)).T, strict=True))})
+        return pd.DataFrame({**keys, "permutation": perms, **dict(zip(names, _measured(truths, scores, kind), strict=True))})
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "permutation int", *[f"{n} double" for n in names]])
@@ -372,8 +390,8 @@ def _transferred(
         _, a, own = _matrix(rows[~rows["is_test"]], x, y, order)
         held, b, truth = _matrix(rows[rows["is_test"]], x, y, order)
         z, there = _standardised(a), _standardised(b, a)
-        perms = np.arange(batch * size, min((batch + 1) * size, permutations + 1))
-        labels = own[_orders(seed, batch * size, batch * size + len(perms), len(own))]
+        perms = _numbers(batch, permutations, size)
+        labels = own[_orders(seed, perms[0], perms[-1] + 1, len(own))]
         if len(np.unique(own)) < 2:
             scores = np.full((len(perms), len(b)), np.nan)
         elif model in DISCRIMINANTS:
