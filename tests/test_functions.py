@@ -312,3 +312,26 @@ def test_folded_discriminants_are_those_of_each_fold():
             for perm in np.flatnonzero(fit[:, fold]):
                 there, at = linmod.stacked_lda(x, ones[perm : perm + 1], train[None], priors, target)
                 assert np.allclose(w[perm, fold], there[0], atol=1e-10) and abs(b[perm, fold] - at[0]) < 1e-10
+
+
+def test_recursion_by_doubling(monkeypatch):
+    """A gain of 500 steps takes few inverses, and is the one of steps made one by one; so is a recursion that hasn't ended by then."""
+    rng = np.random.default_rng(8)
+    inverse, calls = np.linalg.inv, []
+    monkeypatch.setattr(np.linalg, "inv", lambda m: calls.append(1) or inverse(m))
+    for n, steps in ((1, 500), (3, 500), (8, 500), (8, 1), (8, 2), (8, 37)):
+        a, c, root = rng.normal(size=(n, n)), rng.normal(size=(2, n)), rng.normal(size=(n + 2, n + 2)) * 0.1
+        a = a * 1.05 / np.abs(np.linalg.eigvals(a)).max()
+        noise = root @ root.T
+        q, r, s = noise[:n, :n], noise[n:, n:], noise[:n, n:]
+        p = q
+        for _ in range(steps):
+            e = c @ p @ c.T + r
+            k = (a @ p @ c.T + s) @ inverse(e)
+            p = a @ p @ a.T + q - k @ e @ k.T
+            p = (p + p.T) / 2
+        calls.clear()
+        found, spread = ssm.gain(a, c, q, r, s, steps)
+        assert len(calls) < 30 and np.allclose(found, k, atol=1e-8) and np.allclose(spread, e, atol=1e-8)
+    still = ssm.gain(np.diag([1.1, 0.5]), np.array([[0.0, 1.0]]), np.eye(2) * 0.1, np.zeros((1, 1)), np.zeros((2, 1)))[0]  # nothing tells of the first state; no noise of the output
+    assert np.allclose(still[1], 0.5)

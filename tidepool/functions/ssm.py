@@ -107,7 +107,14 @@ def steady(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.nda
 
 
 def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Steady Kalman gain and innovation covariance: the Riccati recursion to its fixed point."""
+    """Steady Kalman gain and innovation covariance: the Riccati recursion to its fixed point, or for ``steps`` steps, by doubling where it can be."""
+    p = doubled(a, c, q, r, s, steps - 1)
+    if p is not None:
+        e = c @ p @ c.T + r
+        try:
+            return (a @ p @ c.T + s) @ np.linalg.inv(e), e
+        except np.linalg.LinAlgError:
+            pass
     p = q.copy()
     k, e = np.zeros((len(a), len(c))), r
     for _ in range(steps):
@@ -124,6 +131,33 @@ def gain(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarr
     return k, e
 
 
+def doubled(a: np.ndarray, c: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, steps: int) -> np.ndarray | None:
+    """The states' covariance ``steps`` steps of the Riccati recursion after ``q``; None where ``r`` has no inverse, or rounding hides the steps.
+
+    Any number of steps is ``P -> h + f P (1 + g P)^-1 f'``; twice as many follow from its ``f, g, h``, so powers of two are put together.
+    """
+    own = np.linalg.eigvalsh((r + r.T) / 2)
+    if not own[0] > 1e-10 * own[-1]:
+        return None
+    one, inner = np.eye(len(a)), np.linalg.inv(r)
+    f, g, h, p = a - s @ inner @ c, c.T @ inner @ c, q - s @ inner @ s.T, q
+    try:
+        with np.errstate(over="ignore", invalid="ignore"):
+            while steps:
+                if steps & 1:
+                    p = h + f @ np.linalg.solve(one + p @ g, p) @ f.T
+                    p = (p + p.T) / 2
+                steps >>= 1
+                if steps:
+                    inverse = np.linalg.inv(one + h @ g)
+                    after = inverse @ f
+                    f, g, h = f @ after, g + f.T @ g @ after, h + f @ inverse @ h @ f.T
+                    g, h = (g + g.T) / 2, (h + h.T) / 2
+    except np.linalg.LinAlgError:
+        return None
+    return p if np.isfinite(p).all() else None
+
+
 class InputSubspace:
     """The factored past and future of a series with inputs, shared by all model orders.
 
