@@ -335,3 +335,25 @@ def test_recursion_by_doubling(monkeypatch):
         assert len(calls) < 30 and np.allclose(found, k, atol=1e-8) and np.allclose(spread, e, atol=1e-8)
     still = ssm.gain(np.diag([1.1, 0.5]), np.array([[0.0, 1.0]]), np.eye(2) * 0.1, np.zeros((1, 1)), np.zeros((2, 1)))[0]  # nothing tells of the first state; no noise of the output
     assert np.allclose(still[1], 0.5)
+
+
+def test_orders_of_samples_that_come_many_times():
+    """Few singular values of such a series are more than rounding, so it has few orders; predictions that run away along one line aren't taken for exact."""
+    import duckdb
+
+    from tidepool.operators import statespace
+
+    events = duckdb.sql("select user_id, value, length(event_type) kind from '/root/testdata/sf0.1/events.parquet' where user_id < 10 order by user_id, ts, event_id").df()
+    for _, g in events.groupby("user_id"):
+        y = statespace._standardised(np.repeat(g[["value", "kind"]].to_numpy(float), 60, axis=0))[0]
+        shared = ssm.Subspace(y, 10)
+        rank = (shared.s > 1e-10 * shared.s[0]).sum()
+        n, values = ssm.best_order(y, shared, range(1, 20))
+        assert rank < 19 and n <= rank and np.isinf(values[rank:]).all() and np.isfinite(values[n - 1])
+        a, c, k, _ = shared.fit(n)
+        assert np.abs(np.linalg.eigvals(a - k @ c)).max() < 1
+    y = np.random.default_rng(2).normal(size=(4000, 2))
+    away = np.outer(1.03 ** np.arange(4000), [2.0, 1.0])
+    assert ssm.aic(y, away, 1) == np.inf
+    e = y - 0.3
+    assert abs(ssm.aic(y, np.full_like(y, 0.3), 3) - (4000 * np.linalg.slogdet(e.T @ e / 4000)[1] + 6)) < 1e-6

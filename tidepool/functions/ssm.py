@@ -42,8 +42,11 @@ class Subspace:
         """``A, C, K, R`` of innovations form x' = A x + K e, y = C x + e; ``solved`` then says whether eigenvalues gave the Riccati equation's solution.
 
         ``stable``: ``A`` from the observability matrix moved up by one block with zeros below, which has no eigenvalue outside the unit circle.
+        Orders beyond the projection's rank, as of a series whose samples come many times in a row, would be made of rounding: LinAlgError.
         """
         p, i = self.p, self.i
+        if not self.s[order - 1] > 1e-10 * self.s[0]:
+            raise np.linalg.LinAlgError(f"no order {order}")
         gamma = self.weight @ self.u[:, :order] * np.sqrt(self.s[:order])
         state = np.linalg.pinv(gamma) @ self.projection
         after = np.linalg.pinv(gamma[:-p]) @ self.shorter
@@ -268,14 +271,16 @@ def filtered(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.n
 
 
 def aic(y: np.ndarray, guesses: np.ndarray, parameters: int) -> float:
-    """n x the log determinant of the residuals' covariance, and twice the parameters; infinite where predictions, or their squares, outgrow any number."""
-    e = (y - guesses)[~np.isnan(y).any(1)]
+    """n x the log determinant of the residuals' covariance, and twice the parameters; infinite where predictions, or their squares, outgrow any number, or leave nothing of the samples in the residuals' digits."""
+    known = ~np.isnan(y).any(1)
+    y = y[known]
+    e = y - guesses[known]
     with np.errstate(over="ignore", invalid="ignore"):
         outgrown = not np.isfinite(e.T @ e).all()
-    if outgrown:
+    if outgrown or (len(e) and np.finfo(float).eps * np.abs(e).max() > np.abs(y).max()):
         return float("inf")
-    s = np.linalg.svd(e.T @ e / max(len(e), 1), compute_uv=False)
-    return float(len(e) * np.log(np.maximum(s, 1e-300)).sum() + 2 * parameters)
+    s = np.linalg.svd(e / np.sqrt(max(len(e), 1)), compute_uv=False)
+    return float(2 * len(e) * np.log(np.maximum(s, 1e-150)).sum() + 2 * parameters)
 
 
 def best_order(y: np.ndarray, shared: Subspace, orders: range, stable: bool = False) -> tuple[int, list[float]]:
