@@ -357,3 +357,38 @@ def test_orders_of_samples_that_come_many_times():
     assert ssm.aic(y, away, 1) == np.inf
     e = y - 0.3
     assert abs(ssm.aic(y, np.full_like(y, 0.3), 3) - (4000 * np.linalg.slogdet(e.T @ e / 4000)[1] + 6)) < 1e-6
+
+
+def test_discriminants_of_few_features_are_those_of_each_fold():
+    """All folds and permutations at once, against one by one: also of fewer rows than have an inverse, of values close together, and of many rows with a gap."""
+    rng = np.random.default_rng(12)
+    for n, p, perms, kind in ((10, 1, 40, ""), (12, 2, 60, ""), (16, 4, 20, ""), (40, 3, 6, ""), (90, 2, 4, ""), (90, 2, 4, "close"), (12, 2, 30, "close")):
+        x = rng.normal(size=(n, p))
+        if kind:
+            x[: n // 2] = x[: n // 2] * 1e-3 + 5
+        x = (x - x.mean(0)) / x.std(0)
+        ones = np.array([rng.permutation(n) < n // 2 for _ in range(perms)])
+        ones[0] = np.arange(n) < n // 2
+        trained = np.abs(np.arange(n)[:, None] - np.arange(n)) > 4
+        w, b, fit = linmod.folded_lda(x, ones, trained, (0.5, 0.5), "diagonal")
+        for perm in range(perms):
+            for fold, train in enumerate(trained):
+                both = train.sum() >= 3 and len(set(ones[perm, train])) == 2
+                assert fit[perm, fold] == both
+                if both:
+                    there, at = linmod.lda(x[train], ones[perm, train] * 1.0, "auto", (0.5, 0.5), "diagonal")
+                    found, expected = x[fold] @ w[perm, fold] + b[perm, fold], x[fold] @ there + at
+                    assert abs(found - expected) <= 1e-6 * max(abs(expected), 1), (n, p, kind)
+
+
+def test_areas_of_many():
+    rng = np.random.default_rng(13)
+    y, score = (rng.random((50, 20)) < 0.5) * 1.0, rng.integers(0, 6, (50, 20)) / 4
+    score[rng.random((50, 20)) < 0.3] = np.nan
+    y[0], score[1] = 1.0, np.nan
+    found = linmod.areas(y, score)
+    for own, truth, s in zip(found, y, score, strict=True):
+        known = ~np.isnan(s)
+        expected = linmod.auc(truth[known], s[known])
+        assert own == expected or (np.isnan(own) and np.isnan(expected))
+    assert np.isnan(found[:2]).all() and not np.isnan(found).all()

@@ -380,3 +380,25 @@ def test_statistics_of_permutations_taken_together(spark):
     t, s = rng.normal(size=(2, 3, 9))
     assert np.allclose(np.transpose(models._quality(t, s)), [models._quality(a, b) for a, b in zip(t, s, strict=True)], rtol=0, atol=0)
     assert np.allclose(models._quality(t, s)[2], [np.corrcoef(a, b)[0, 1] for a, b in zip(t, s, strict=True)])
+
+
+def test_decoding_fits_models_once(spark):
+    """Models aren't fitted again for the median; groups of few rows have the same areas from larger batches."""
+    from tidepool.functions import linmod
+    from tidepool.plans import analyses
+
+    s = spark.range(400).selectExpr("id % 4 subject", "floor(id / 4) i", "array(double(xxhash64(id) % 100), double(xxhash64(id, 1) % 7)) x", "floor(id / 24) recording")
+    score = s.groupBy("subject", "recording").agg(F.avg(F.col("x")[0]).alias("y"))
+    decoded = analyses.state_decoding(s, "subject", "recording", "i", "x", score, "y", 5, range(1, 4), permutations=300)
+    assert decoded._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 2
+    rows = decoded.toPandas()
+    assert len(rows) == 4 and rows.p.between(0, 1).all()
+    data = spark.range(60).selectExpr("if(id < 20, 0, 1) g", "id", "array(double(xxhash64(id) % 100)) x", "int(xxhash64(id, 2) % 2 = 0) y")
+    assert {r._batch for r in models._batched_by_rows(data, ["g"], 1000, "lda").where("g = 0").collect()} == {0}
+    assert {r._batch for r in models._batched_by_rows(data, ["g"], 1000, "lda").where("g = 1").collect()} == {0, 1, 2, 3, 4}
+    areas = models.statistics(data, ["g"], "x", "y", "id", "lda_uniform", gap=1, permutations=450).toPandas()
+    assert sorted(areas.permutation) == sorted([*range(451)] * 2)
+    slow = models.cross_validated(data, ["g"], "x", "y", "id", "lda_uniform", gap=1, permutations=450).toPandas()
+    one = areas.set_index(["g", "permutation"]).auc
+    for key, g in slow[slow.permutation.isin([0, 3, 199, 200, 201, 450])].dropna().groupby(["g", "permutation"]):
+        assert abs(one[key] - linmod.auc(g.truth.to_numpy(), g.score.to_numpy())) < 1e-12

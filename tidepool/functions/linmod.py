@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -124,6 +127,8 @@ def _positive(v: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 #: Numbers in the covariances that ``folded_lda`` solves at once, so that they stay near the processor.
 FOLDED = 160_000
+#: Features up to which ``folded_lda`` has an array for each number of a problem, and how many problems one takes.
+FEW, PROBLEMS = 8, 40_000
 
 
 def stacked_lda(x: np.ndarray, ones: np.ndarray, train: np.ndarray, priors: tuple[float, float] | None = None, target: str = "identity") -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +161,12 @@ def stacked_lda(x: np.ndarray, ones: np.ndarray, train: np.ndarray, priors: tupl
 def folded_lda(x: np.ndarray, ones: np.ndarray, trained: np.ndarray, priors: tuple[float, float] | None = None, target: str = "identity") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``coefficients, intercepts, fitted`` (``permutations x folds``) of ``stacked_lda`` for each row of ``ones`` and of ``trained``; what has no two classes isn't fitted.
 
-    A fold's sums are those of all rows less its own, so a permutation's products are summed once for all folds.
+    A fold's sums are those of all rows less its own, so a permutation's products are summed once for all folds. Of few features shrunk to their
+    diagonal, all folds are solved at once (``_few_features``).
     """
     x = x - (center := x.mean(0))
+    if target == "diagonal" and x.shape[1] <= FEW:
+        return _few_features(x, center, ones, trained, priors)
     p, perms, marks = x.shape[1], len(ones), ones.astype(float)
     at, square = np.arange(p), x * x
     products = (x[:, :, None] * x[:, None]).reshape(len(x), -1)
@@ -193,6 +201,118 @@ def folded_lda(x: np.ndarray, ones: np.ndarray, trained: np.ndarray, priors: tup
     return w, b, fit
 
 
+def _sums(trained: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What sums values (``rows``) times weights (``permutations x rows``) over each fold's rows: ``permutations x folds``; many rows by running sums, if those left out lie together."""
+    n = trained.shape[1]
+    away = ~trained
+    lo, count = np.where(away.any(1), away.argmax(1), 0), away.sum(1)
+    hi = lo + count
+    if n <= 64 or not all(out[a:b].all() for out, a, b in zip(away, lo, hi, strict=True)):
+        marks = trained.T.astype(float)
+        return lambda weight, values: (weight * values) @ marks
+
+    def running(weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+        until = np.zeros((len(weight), n + 1))
+        np.cumsum(weight * values, axis=1, out=until[:, 1:])
+        return until[:, -1:] - (until[:, hi] - until[:, lo])
+
+    return running
+
+
+def _few_features(x: np.ndarray, center: np.ndarray, ones: np.ndarray, trained: np.ndarray, priors: tuple[float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``folded_lda`` of centered ``x`` with few features, shrunk to their diagonal: a number of each problem (a permutation's fold) is an array, so none is formed by itself.
+
+    Its covariances' and fourth moments' sums are those of products of features. Where a variance is small beside its mean's square, rounding would tell in these:
+    there they are taken about the means. Covariances without an inverse give the least coefficients, and what rounding adds to their rank isn't used.
+    """
+    (n, p), (perms, folds) = x.shape, (len(ones), len(trained))
+    sums, size = _sums(trained), trained.sum(1)
+    w, b, fit = np.zeros((perms, folds, p)), np.zeros((perms, folds)), np.zeros((perms, folds), bool)
+    pairs = [(j, k) for j in range(p) for k in range(j + 1, p)]
+    for lo in range(0, perms, some := max(PROBLEMS // folds, 1)):
+        own = ones[lo : lo + some]
+        made, counts = [], [sums(part.astype(float), np.ones(n)) for part in (~own, own)]
+        fit[lo : lo + some] = (counts[0] > 0) & (counts[1] > 0) & (size >= 3)
+        for part, count in zip((~own, own), counts, strict=True):
+            weight, of = part.astype(float), np.maximum(count, 1)
+
+            def mean(values, weight=weight, of=of):
+                return sums(weight, values) / of
+
+            m = [mean(x[:, j]) for j in range(p)]
+            second = [mean(x[:, j] ** 2) for j in range(p)]
+            v = [_positive(s - a * a, s) for a, s in zip(m, second, strict=True)]
+            cov, quartic = {}, {}
+            for j, k in pairs:
+                both = mean(x[:, j] * x[:, k])
+                cov[j, k] = both - m[j] * m[k]
+                quartic[j, k] = mean((x[:, j] * x[:, k]) ** 2) - 2 * (m[k] * mean(x[:, j] ** 2 * x[:, k]) + m[j] * mean(x[:, j] * x[:, k] ** 2))
+                quartic[j, k] += m[k] ** 2 * second[j] + m[j] ** 2 * second[k] + 4 * m[j] * m[k] * both - 3 * (m[j] * m[k]) ** 2
+            if pairs:
+                close = functools.reduce(np.logical_or, [(a > 0) & (a < 1e-3 * s) for a, s in zip(v, second, strict=True)])
+                at = np.nonzero(close & fit[lo : lo + some])
+                for i in range(0, len(at[0]), many := max(PROBLEMS // n, 1)):
+                    of_perm, of_fold = at[0][i : i + many], at[1][i : i + many]
+                    mine = part[of_perm] & trained[of_fold]
+                    share = mine / mine.sum(1, keepdims=True)
+                    z = [x[:, j] - share @ x[:, j, None] for j in range(p)]
+                    for j in range(p):
+                        v[j][of_perm, of_fold] = np.where(v[j][of_perm, of_fold] > 0, (share * z[j] ** 2).sum(1), 0)
+                    for j, k in pairs:
+                        cov[j, k][of_perm, of_fold] = (share * z[j] * z[k]).sum(1)
+                        quartic[j, k][of_perm, of_fold] = (share * z[j] ** 2 * z[k] ** 2).sum(1)
+            g = [1 / np.where(a > 0, a, 1.0) for a in v]
+            noise, distance = np.zeros(count.shape), np.zeros(count.shape)
+            for j, k in pairs:
+                scale = 2 * g[j] * g[k]
+                squares = scale * cov[j, k] ** 2
+                distance += squares
+                noise += scale * quartic[j, k] - squares
+            apart = distance > 1e-12
+            intensity = np.where(apart, np.clip(noise / of / np.where(apart, distance, 1), 0, 1), 1.0)
+            made.append((m, v, cov, intensity))
+        total = counts[0] + counts[1]
+        shares = [np.broadcast_to(s, total.shape) for s in priors] if priors else [c / np.maximum(total, 1) for c in counts]
+        whole = [[None] * p for _ in range(p)]
+        floor = sum(s * intensity * functools.reduce(np.minimum, v) for s, (_, v, _, intensity) in zip(shares, made, strict=True))
+        for j in range(p):
+            whole[j][j] = sum(s * v[j] for s, (_, v, _, _) in zip(shares, made, strict=True))
+        for j, k in pairs:
+            whole[j][k] = sum(s * (1 - intensity) * cov[j, k] for s, (_, _, cov, intensity) in zip(shares, made, strict=True))
+        apart = [b1 - b0 for b0, b1 in zip(made[0][0], made[1][0], strict=True)]
+        solved = _eliminated(whole, apart)
+        unsound = np.nonzero(~(floor > 1e-10 * functools.reduce(np.maximum, [whole[j][j] for j in range(p)])) & fit[lo : lo + some])
+        if len(unsound[0]):
+            rows = np.stack([np.stack([whole[min(j, k)][max(j, k)][unsound] for k in range(p)], -1) for j in range(p)], -2)
+            right = np.stack([d[unsound] for d in apart], -1)
+            least = np.matmul(np.linalg.pinv(rows, rcond=1e-11), right[:, :, None])[..., 0]
+            for j in range(p):
+                solved[j][unsound] = least[:, j]
+        ratio = np.log(priors[1] / priors[0]) if priors else np.log(np.maximum(counts[1], 1) / np.maximum(counts[0], 1))
+        intercept = ratio - sum(wj * ((m0 + m1) / 2 + cj) for wj, m0, m1, cj in zip(solved, made[0][0], made[1][0], center, strict=True))
+        here = fit[lo : lo + some]
+        b[lo : lo + some] = np.where(here, intercept, 0)
+        for j in range(p):
+            w[lo : lo + some, :, j] = np.where(here, solved[j], 0)
+    return w, b, fit
+
+
+def _eliminated(whole: list[list], right: list[np.ndarray]) -> list[np.ndarray]:
+    """Solutions of positive definite systems, of which ``whole`` has the upper triangles' entries and ``right`` the right sides', all problems' in an array each."""
+    p = len(right)
+    whole, right = [list(row) for row in whole], list(right)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for i in range(p):
+            for j in range(i + 1, p):
+                f = whole[i][j] / whole[i][i]
+                for k in range(j, p):
+                    whole[j][k] = whole[j][k] - f * whole[i][k]
+                right[j] = right[j] - f * right[i]
+        for i in reversed(range(p)):
+            right[i] = (right[i] - sum((whole[i][k] * right[k] for k in range(i + 1, p)), 0.0)) / whole[i][i]
+    return right
+
+
 def left_out_lda(x: np.ndarray, own: Moments, other: Moments, one: bool, priors: tuple[float, float] | None = None, target: str = "identity") -> np.ndarray:
     """Each row's log odds by the discriminant of all rows but it, from its class's moments less the row's own products; ``one``: whether the rows are of the positive class."""
     p = x.shape[1]
@@ -494,3 +614,22 @@ def auc(y: np.ndarray, score: np.ndarray) -> float:
     pos = y == 1
     n1, n0 = pos.sum(), (~pos).sum()
     return float((rank[pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)) if n1 and n0 else float("nan")
+
+
+def areas(y: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """``auc`` of each row of ``y`` and ``score``, over those that have a score."""
+    order = np.argsort(score, axis=1)
+    score, known = np.take_along_axis(score, order, 1), ~np.isnan(score)
+    pos = np.take_along_axis(y, order, 1) == 1
+    pos &= (at := np.arange(score.shape[1])) < known.sum(1)[:, None]
+    new = np.ones(score.shape, bool)
+    new[:, 1:] = score[:, 1:] != score[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    end = np.ones(score.shape, bool)
+    end[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(end, at, len(at))[:, ::-1], axis=1)[:, ::-1]
+    n1 = pos.sum(1)
+    n0 = known.sum(1) - n1
+    both = (n1 > 0) & (n0 > 0)
+    ranks = np.where(pos, (first + last) / 2 + 1, 0).sum(1)
+    return np.where(both, (ranks - n1 * (n1 + 1) / 2) / np.where(both, n1 * n0, 1), np.nan)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -18,6 +18,8 @@ from tidepool.functions.quantiles import clopper_pearson
 #: Permutations that one task makes, so a group's matrix goes to the tasks once for so many: of models that are fitted one by one, and of those that are solved together.
 BATCH = 20
 STACKED_BATCH = 200
+#: Rows of a group up to which discriminants make ``FEW_ROWS_BATCH`` permutations in a task, as what goes to and from it would take longer than they do.
+FEW_ROWS, FEW_ROWS_BATCH = 32, 1000
 LASSO_ALPHA = 1e-4
 #: Rows of a group in one task of ``left_out``; of larger groups tasks add up moments first.
 GROUP_ROWS = 20_000
@@ -100,6 +102,16 @@ def _batched(df: DataFrame, permutations: int, size: int = BATCH) -> DataFrame:
     return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit(max(permutations - 1, 0) // size))))
 
 
+def _batched_by_rows(df: DataFrame, group: Sequence[str], permutations: int, model: str) -> DataFrame:
+    """``_batched``, with fewer and larger batches for groups of few rows (see ``_batch_size``)."""
+    many = max(permutations - 1, 0)
+    size, larger = (many // _batch_size(model, rows) for rows in (FEW_ROWS + 1, FEW_ROWS))
+    if size == larger or not group:
+        return _batched(df, permutations, _batch_size(model))
+    last = F.when(F.count(F.lit(1)).over(Window.partitionBy(*group)) <= FEW_ROWS, larger).otherwise(size)
+    return df.withColumn("_last", last).withColumn("_batch", F.explode(F.sequence(F.lit(0), "_last"))).drop("_last")
+
+
 def _numbers(batch: int, permutations: int, size: int) -> np.ndarray:
     """A batch's permutations: ``size`` of them, and the first batch has number 0 too, so it has no batch of its own at the end."""
     return np.arange(batch * size + (batch > 0), min((batch + 1) * size, permutations) + 1)
@@ -122,6 +134,9 @@ def _stacked_discriminants(x: np.ndarray, truths: np.ndarray, folds: list[np.nda
     z, trained = _standardised(x), _trained(len(x), folds, gap)
     out = np.full(truths.shape, np.nan)
     w, b, fitted = linmod.folded_lda(z, truths == 1, trained, priors, target)
+    if len(folds) == len(x):
+        odds = np.einsum("ijk,jk->ij", w, z) + b
+        return np.where(fitted, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), np.nan)
     for f, test in enumerate(folds):
         odds = w[:, f] @ z[test].T + b[:, f, None]
         out[:, test] = np.where(fitted[:, f, None], 1 / (1 + np.exp(-np.clip(odds, -700, 700))), np.nan)
@@ -158,9 +173,8 @@ def _orders(seed: int, first: int, end: int, n: int) -> np.ndarray:
     return np.array([np.random.default_rng([seed, perm]).permutation(n) if perm else np.arange(n) for perm in range(first, end)]).reshape(end - first, n)
 
 
-def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutations: int, folds: int, gap: int, seed: int, scaling: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's permutations, and of each its labels and out-of-fold scores."""
-    size = _batch_size(model)
+def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutations: int, folds: int, gap: int, seed: int, scaling: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The permutations of a batch of ``size``, and of each its labels and out-of-fold scores."""
     parts = [p for p in np.array_split(np.arange(len(truth)), folds or len(truth)) if len(p)]
     perms = _numbers(batch, permutations, size)
     truths = truth[_orders(seed, perms[0], perms[-1] + 1, len(truth))]
@@ -171,7 +185,10 @@ def _permuted(model: str, m: np.ndarray, truth: np.ndarray, batch: int, permutat
     return perms, truths, np.array([_out_of_fold(m, t, MODELS[model], parts, gap, scaling) for t in truths]).reshape(truths.shape)
 
 
-def _batch_size(model: str) -> int:
+def _batch_size(model: str, rows: int | None = None) -> int:
+    """Permutations that a task makes of a group, of ``rows`` if known."""
+    if rows is not None and rows <= FEW_ROWS and model in DISCRIMINANTS:
+        return FEW_ROWS_BATCH
     return STACKED_BATCH if model in DISCRIMINANTS or model == "lasso" else BATCH
 
 
@@ -189,7 +206,7 @@ def cross_validated(
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         rows, m, truth = _matrix(rows, x, y, order)
-        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling)
+        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling, _batch_size(model))
         keys = {g: np.tile(rows[g].to_numpy(), len(perms)) for g in group}
         return pd.DataFrame({**keys, "permutation": np.repeat(perms, len(truth)), order: np.tile(rows[order].to_numpy(), len(perms)), "truth": truths.ravel(), "score": scores.ravel()})
 
@@ -200,7 +217,7 @@ def cross_validated(
 
 
 def _area(truth: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
-    return (np.array([linmod.auc(t, s) for t, s in zip(truth, score, strict=True)]),)
+    return (linmod.areas(truth, score),)
 
 
 def _quality(truth: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -220,6 +237,8 @@ STATISTICS = {"auc": (("auc",), _area), "regression": (("r2", "rmse", "rho"), _q
 def _measured(truths: np.ndarray, scores: np.ndarray, kind: str) -> np.ndarray:
     """``statistics x permutations``, over the rows of each that have a score: at once where these are the same ones."""
     names, measure = STATISTICS[kind]
+    if kind == "auc":
+        return np.array(measure(truths, scores))
     out, known = np.full((len(names), len(truths)), np.nan), ~np.isnan(scores)
     whole = known.all(1)
     out[:, whole] = measure(truths[whole], scores[whole])
@@ -240,13 +259,13 @@ def statistics(
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         batch = int(rows["_batch"].iloc[0])
         rows, m, truth = _matrix(rows, x, y, order)
-        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling)
+        perms, truths, scores = _permuted(model, m, truth, batch, permutations, folds, gap, seed, scaling, _batch_size(model, len(rows) if group else None))
         keys = {g: [rows[g].iloc[0]] * len(perms) for g in group}
         return pd.DataFrame({**keys, "permutation": perms, **dict(zip(names, _measured(truths, scores, kind), strict=True))})
 
     ok = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*group, order, x, y)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "permutation int", *[f"{n} double" for n in names]])
-    out = dealt(_batched(ok, permutations, _batch_size(model)), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
+    out = dealt(_batched_by_rows(ok, group, permutations, model), *group, "_batch").groupBy(*group, "_batch").applyInPandas(run, schema)
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import result_text
@@ -59,8 +59,12 @@ def optimal_metrics(df: DataFrame, group: Sequence[str], truth: str, score: str)
 
 
 def state_decoding(df: DataFrame, subject: str, recording: str, order: str, x: str, score: DataFrame, y: str, horizon: int = 10, orders: Sequence[int] = range(1, 21), permutations: int = 20, gap: int = 4) -> DataFrame:
-    """``subject, auc, p``: labels of recordings decoded from the last state of each by a model of the subject's whole series."""
+    """``subject, auc, p``: labels of recordings decoded from the last state of each by a model of the subject's whole series.
+
+    Models are fitted once: the median that splits a subject's scores is a window over its recordings, which are one matrix afterwards, and not a statistic that is joined
+    back to what it was made of.
+    """
     last = statespace.recording_states(df, [subject], recording, order, x, horizon, orders).join(score, [subject, recording])
-    rows = agg.median_split(last, [subject], y, "label")
+    rows = last.withColumn("label", (F.col(y) >= F.percentile(y, F.lit(0.5)).over(Window.partitionBy(subject))).cast("int"))
     areas = models.statistics(rows, [subject], "state", "label", recording, "lda_uniform", "auc", 0, gap, permutations)
     return inference.permutation_p_among(areas, [subject], ["auc"], strict=False)
